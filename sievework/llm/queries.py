@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from sievework.llm.op8_packing import op8_packing
 from sievework.llm.op9_bpe import op9_bpe
 
 QUERIES = {
+    "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
 }
 ORACLES: dict[str, str] = {}
