@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from sievework.llm import op1_topk as op1
 from sievework.llm.op10_html import op10_html
 from sievework.llm.op8_packing import op8_packing
 from sievework.llm.op9_bpe import op9_bpe
 
 QUERIES = {
+    "op1_topk": op1.op1_topk,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": op1.ORACLE,
+}
