@@ -70,3 +70,28 @@ def lists(parts: Iterable[bytes], kind: pa.DataType) -> pa.Array:
     data = b"".join(parts)
     values = pa.Array.from_buffers(kind, len(data) // width, [None, pa.py_buffer(data)])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def joined(known: dict[str, bytes], runs: list[list[str]], learn) -> list[bytes]:
+    """The values of each list of keys, joined. learn(keys) has to add the keys that are not known yet."""
+    found = [list(map(known.get, keys)) for keys in runs]
+    holes: list[list[int]] = []
+    for values in found:
+        at, i = [], -1
+        try:
+            while True:
+                at.append(i := values.index(None, i + 1))
+        except ValueError:
+            holes.append(at)
+    learn({keys[i] for keys, at in zip(runs, holes) for i in at})
+    for keys, values, at in zip(runs, found, holes):
+        for i in at:
+            values[i] = known[keys[i]]
+    return [b"".join(values) for values in found]
+
+
+def byte_chars() -> list[str]:
+    """The printable character that stands for each byte: its own, or the next free one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in own else next(free)) for b in range(256)]

@@ -14,7 +14,9 @@ are packed one by one. An empty table gives no rows; other columns of the input
 
 from __future__ import annotations
 
+import bisect
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialize, read, slices, texts, worker_store
+from sievework.llm.common import byte_chars, joined, materialize, read, slices, texts, worker_store
 
 CAPACITY = 2048
 END = 0
@@ -31,8 +33,8 @@ END = 0
 GROUPS, LARGE = 32, 0.4
 #: Share of the capacity that patterns leave free, so that the room beside large pieces is one that small ones can fill.
 SPARE = 1 / 8
-#: Words that a worker remembers.
-CACHE = 400_000
+#: Words that a worker remembers, and marks that may follow a plain word.
+CACHE, MARKS = 400_000, ".,;:!?#$%&*|)"
 #: Pieces that get their ranks in one bucket, roughly.
 BUCKET = 100_000
 
@@ -49,22 +51,33 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.symbols = {c: "".join(map(byte_chars().__getitem__, chr(c).encode())) for c in range(128, 0x3000)}
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         # Words end at blanks and line ends for this kind of tokenizer, wherever else they end.
-        runs = [t.replace("\n", " ").split(" ") for t in batch]
-        missing = list({w for ws in runs for w in set(ws).difference(self.known)})
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(missing, found))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in runs]
-
-
-def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of each document: doc_id, piece, start, length, ids (little-endian, 32 bits each)."""
+        return joined(self.known, [t.replace("\n", " ").split(" ") for t in batch], self.learn)
+
+    def learn(self, words: set[str]) -> None:
+        """A plain word needs no rules for parting: it is lower-cased and given to the model, and marks after it are a
+        piece of their own. Other words go through the whole tokenizer."""
+        known, plain = self.known, {}
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and max(core) < "\u0250" and (low := core.lower()).isalpha():
+                plain[w] = (low, w[len(core) :])
+        other = list(words.difference(plain).union(end for _, end in plain.values()).difference(known))
+        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+        of, symbols = self.tokenizer.model.tokenize, self.symbols
+        for core in {core for core, _ in plain.values()}.difference(known):
+            known[core] = array("I", [t.id for t in of(core if core.isascii() else core.translate(symbols))]).tobytes()
+        known.update((w, known[core] + known[end]) for w, (core, end) in plain.items() if w not in known)
+
+
+def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """The pieces of each document: doc_id, piece, start, length, ids_crc32, and ids (little-endian, 32 bits each) if asked for."""
     import public_tokenizers
 
     with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
@@ -79,7 +92,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             store.update(word_spec=spec.value, word_ids=WordIds(spec.value))
         end, width = np.array([END], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 rows, cuts = [], []
                 for r, ids in enumerate(store["word_ids"].encode(part.column("text").to_pylist())):
                     ids += end
@@ -89,10 +102,12 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
                 at = pa.array([r for r, _ in rows], pa.int64())
                 start = np.array([a // 4 for _, a in rows], dtype=np.int64)
                 size = np.array([len(c) // 4 for c in cuts], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(size), pa.array(cuts, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                out = [part.column("doc_id").take(at), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(size), pa.array(map(zlib.crc32, cuts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, *[pa.array(cuts, pa.binary())] * with_ids], names)
 
     rows = texts(docs, key, text)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # ---- the plan -----------------------------------------------------------------------------------------------------
@@ -209,8 +224,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
 
     # Best fit, longest first, on runs of sequences with the same room.
     rooms = sorted(open_)
-    import bisect
-
     for n in sorted((k for k, c in rest.items() if c), reverse=True):
         left = rest[n]
         while left:
@@ -266,16 +279,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
 
 
 def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every document with its place. Ids are given by their checksum: they are made again from the text when a writer needs them."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], crc], [*b.schema.names[:4], "ids_crc32"])
-
-    cut = tokenize(docs, path, capacity)
-    kept = cut.mapInArrow(digest, f"doc_id {cut.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
-    return pack(materialize(kept), capacity)
+    """Every piece of every document with its place and the checksum of its ids; tokenize() gives the ids to a writer."""
+    return pack(materialize(tokenize(docs, path, capacity, with_ids=False)), capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
