@@ -12,31 +12,25 @@ of the input are not read.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import lists, read, slices, texts, worker_store
+from sievework.llm.common import byte_chars, joined, lists, read, slices, texts, worker_store
 
-#: Pieces that a worker remembers.
-CACHE = 400_000
+#: Pieces that a worker remembers, and pieces in one index: few enough for a processor's cache.
+CACHE, TOGETHER = 400_000, 2_000
 #: White space, and the pattern of pieces that the vocabulary was made with.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-def byte_chars() -> list[str]:
-    """The printable character that stands for each byte: its own, or the next free one from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    free = iter(range(256, 512))
-    return [chr(b if b in own else next(free)) for b in range(256)]
-
-
 class PairIndex:
     """The merges of a tokenizer file, applied to many pieces at once."""
 
@@ -47,10 +41,21 @@ class PairIndex:
         vocab = spec["model"]["vocab"]
         chars = byte_chars()
         self.of_byte = [vocab[c] for c in chars]
-        self.ranks = {}
+        #: By rank: its left and right symbol and the symbol that replaces them.
+        self.rules: list[tuple[int, int, int]] = []
+        #: By symbol: the rank of the pair with the symbol after it, and with the one before it.
+        self.followed: dict[int, dict[int, int]] = defaultdict(dict)
+        self.preceded: dict[int, dict[int, int]] = defaultdict(dict)
         for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            x, y = vocab[left], vocab[right]
+            self.rules.append((x, y, vocab[left + right]))
+            self.followed[x][y] = rank
+            self.preceded[y][x] = rank
+        self.of_pair = np.full((256, 256), -1, dtype=np.int32)
+        for i, x in enumerate(self.of_byte):
+            for j, y in enumerate(self.of_byte):
+                self.of_pair[i, j] = self.followed.get(x, {}).get(y, -1)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces = regex.compile(PIECE).findall
         self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
@@ -60,75 +65,81 @@ class PairIndex:
         self.token_bytes = {i: bytes(byte[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.known: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
-        sym: list[int] = []
-        after: list[int] = []
-        starts: list[int] = []
-        of_byte, ranks = self.of_byte, self.ranks
-        for p in pieces:
-            starts.append(len(sym))
-            sym.extend(of_byte[b] for b in p)
-            after.extend(range(len(after) + 1, len(sym)))
-            after.append(-1)
-        before = [-1] * len(sym)
-        at: dict[int, list[int]] = {}  # rank -> positions of the left symbol
-        made: dict[int, tuple[int, int, int]] = {}
-        for i, j in enumerate(after):
-            if j > 0:
-                before[j] = i
-                if found := ranks.get((sym[i], sym[j])):
-                    if (r := found[0]) in at:
-                        at[r].append(i)
-                    else:
-                        at[r] = [i]
-                        made[r] = (sym[i], sym[j], found[1])
-        active = list(at)
-        heapq.heapify(active)
-        while active:
-            r = heapq.heappop(active)
-            a, b, new = made[r]
-            for i in sorted(at.pop(r)):
-                if sym[i] != a or (j := after[i]) < 0 or sym[j] != b:
-                    continue  # another merge took one of the two
-                sym[i], sym[j] = new, -1
-                after[i] = k = after[j]
-                if k >= 0:
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each piece. The pieces lie in one array with a gap after each."""
+        if not pieces:
+            return []
+        raw = np.frombuffer(b"\0".join([*pieces, b""]), dtype=np.uint8)
+        gaps = np.cumsum([len(p) + 1 for p in pieces]) - 1
+        symbols = np.array(self.of_byte, dtype=np.int64)[raw]
+        symbols[gaps] = -1
+        pairs = self.of_pair[raw[:-1], raw[1:]]
+        pairs[gaps[:-1]] = -1
+        pairs[gaps - 1] = -1
+        where = np.flatnonzero(pairs >= 0)
+        where = where[np.argsort(pairs[where], kind="stable")]
+        found, first = np.unique(pairs[where], return_index=True)
+        at: list[list[int] | None] = [None] * len(self.rules)  # rank -> positions of the left symbol
+        for r, part in zip(found.tolist(), np.split(where, first[1:])):
+            at[r] = part.tolist()
+        sym = symbols.tolist()
+        after = list(range(1, len(sym) + 1))
+        before = list(range(-1, len(sym) - 1))
+        none: dict[int, int] = {}
+        for r, positions in enumerate(at):  # a merge files pairs under later ranks only
+            if positions is None:
+                continue
+            x, y, new = self.rules[r]
+            followed, preceded = self.followed.get(new, none), self.preceded.get(new, none)
+            positions.sort()
+            for i in positions:
+                if sym[i] == x and sym[j := after[i]] == y:  # else another merge took one of the two
+                    sym[i], sym[j] = new, -1
+                    after[i] = k = after[j]
                     before[k] = i
-                    if found := ranks.get((new, sym[k])):
-                        if (s := found[0]) in at:
+                    if (s := followed.get(sym[k])) is not None:
+                        if at[s] is None:
+                            at[s] = [i]
+                        else:
                             at[s].append(i)
+                    if (s := preceded.get(sym[h := before[i]])) is not None:
+                        if at[s] is None:
+                            at[s] = [h]
                         else:
-                            at[s] = [i]
-                            made[s] = (new, sym[k], found[1])
-                            heapq.heappush(active, s)
-                if (h := before[i]) >= 0 and (found := ranks.get((sym[h], new))):
-                    if (s := found[0]) in at:
-                        at[s].append(h)
-                    else:
-                        at[s] = [h]
-                        made[s] = (sym[h], new, found[1])
-                        heapq.heappush(active, s)
-        starts.append(len(sym))
-        return [[s for s in sym[x:y] if s >= 0] for x, y in zip(starts, starts[1:])]
+                            at[s].append(h)
+            at[r] = None
+        out = np.array(sym, dtype="<i4")
+        ends = np.cumsum(out >= 0)[gaps] * 4
+        data = out[out >= 0].tobytes()
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def learn(self, keys: set[str]) -> None:
-        """Encode keys that are not known yet; a key is a run of characters that pieces do not cross."""
-        from array import array
-
-        parts = {k: self.pieces(k) for k in keys}
-        fresh = list({p for ps in parts.values() for p in ps})
-        ids = {p: array("i", x).tobytes() for p, x in zip(fresh, self.merge([p.encode() for p in fresh]))}
-        self.known.update((k, b"".join([ids[p] for p in ps])) for k, ps in parts.items())
+        """Encode runs that are not known yet."""
+        known, parts = self.known, {}
+        for k in keys:
+            core = k.rstrip(".,;:!?#$%&*|)")
+            if core.isalpha():  # two pieces, of which the first is often known
+                parts[k] = [" " + core, k[len(core) :]] if core != k else [" " + k]
+            else:
+                parts[k] = self.pieces(k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k)
+        fresh = {p for ps in parts.values() for p in ps}
+        ids = {p: known[p[1:]] for p in fresh if p[1:] in known and p[0] == " " and p[1:].isalpha()}
+        fresh = list(fresh.difference(ids))
+        for a in range(0, len(fresh), TOGETHER):
+            some = fresh[a : a + TOGETHER]
+            ids.update(zip(some, self.merge([p.encode() for p in some])))
+        known.update((k, b"".join([ids[p] for p in ps])) for k, ps in parts.items())
 
     def cut(self, text: str) -> list[str]:
-        """Runs that can be encoded alone. A space belongs to the run after it."""
+        """Runs that can be encoded alone. A run that begins with neither NUL, which is left out, nor a line end has a
+        space before it."""
         if not text:
             return []
-        if self.uneven(text):
-            return self.pieces(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[0] == "\n" else f" {p}" for p in rest]]
+        if "\0" in text or self.uneven(text):
+            return ["\0" + p for p in self.pieces(text)]
+        runs = text.replace("\n", " \n").split(" ")
+        runs[0] = "\0" + runs[0]
+        return runs
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -136,19 +147,22 @@ class PairIndex:
             self.known.clear()
         special = self.special
         runs = []
+        self.known.update(("\0\0" + s, i.to_bytes(4, "little")) for s, i in special.items())
         for text in batch:
-            parts = self.parted(text) if any(s in text for s in special) else [text]
-            runs.append([r for p in parts for r in ([p] if p in special else self.cut(p))])
-        missing = {r for rs in runs for r in set(rs).difference(self.known)}
-        if own := missing & special.keys():
-            self.known.update((s, special[s].to_bytes(4, "little")) for s in own)
-        self.learn(missing - special.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, rs)) for rs in runs]
+            if any(s in text for s in special):
+                runs.append([r for p in self.parted(text) for r in (["\0\0" + p] if p in special else self.cut(p))])
+            else:
+                runs.append(self.cut(text))
+        return joined(self.known, runs, self.learn)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_lists(self, ids: pa.ListArray) -> list[str]:
+        edges = ids.offsets.to_pylist()
+        flat = ids.values[edges[0] : edges[-1]].to_numpy().tolist()
+        return [self.decode(flat[a - edges[0] : b - edges[0]]) for a, b in zip(edges, edges[1:])]
+
 
 def _index(spec: str) -> PairIndex:
     kept = worker_store().setdefault("pair_index", {})
@@ -172,7 +186,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(spec.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids = index.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(ids, pa.int32())], ["doc_id", "ids"])
 
@@ -191,7 +205,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             step = max(1, batch.num_rows * 2_000_000 // max(1, len(ids.values)))
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
-                out = [index.decode(x) for x in part.column("ids").to_pylist()]
+                out = index.decode_lists(part.column("ids"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "decoded"])
 
     rows = encoded.select("doc_id", "ids")
