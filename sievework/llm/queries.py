@@ -7,6 +7,7 @@ from sievework.llm.op2_ann import op2_ann
 from sievework.llm.op10_html import op10_html
 from sievework.llm.op3_quality import op3_quality
 from sievework.llm.op4_substring import op4_substring
+from sievework.llm.op6_jaccard import op6_jaccard
 from sievework.llm.op7_language import op7_language
 from sievework.llm.op8_packing import op8_packing
 from sievework.llm.op9_bpe import op9_bpe
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_ann": op2_ann,
     "op3_quality": op3_quality,
     "op4_substring": op4_substring,
+    "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
