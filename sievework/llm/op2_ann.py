@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import materialize, read
 from sievework.llm.vectors import clean, matrix
 
-TABLES, K, W, PROBES, SEED = 4, 5, 2.0, 24, 7
+TABLES, K, W, PROBES, SEED = 4, 5, 2.0, 36, 7
 #: Rows of a bucket that are scored together, roughly.
 BLOCK = 2048
 
