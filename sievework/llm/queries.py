@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sievework.llm import op1_topk as op1
+from sievework.llm import op5_chat as op5
 from sievework.llm.op2_ann import op2_ann
 from sievework.llm.op10_html import op10_html
 from sievework.llm.op3_quality import op3_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_ann": op2_ann,
     "op3_quality": op3_quality,
     "op4_substring": op4_substring,
+    "op5_chat": op5.op5_chat,
     "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
@@ -25,4 +27,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_topk": op1.ORACLE,
+    "op5_chat": op5.ORACLE,
 }
