@@ -95,3 +95,14 @@ def byte_chars() -> list[str]:
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     free = iter(range(256, 512))
     return [chr(b if b in own else next(free)) for b in range(256)]
+
+
+#: Ids that are sent to every task at most; more are matched by a shuffled join.
+SENT = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key is not in ids (one column of that name). Few ids are broadcast, so that texts stay where they are."""
+    ids = materialize(ids.where(F.col(key).isNotNull()).distinct())
+    few = ids.limit(SENT + 1).count() <= SENT
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")

@@ -139,6 +139,21 @@ def scored(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def good(docs: DataFrame, space: Space, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is at least `least`."""
+    sent = docs.sparkSession.sparkContext.broadcast(space)  # fixed by SAMPLE, RANK and DIM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, 2 << 20):
+                for a in range(0, part.num_rows, 500):
+                    some = part.slice(a, 500)
+                    scores = sent.value.score([t or "" for t in some.column(text).to_pylist()])
+                    yield some.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document; labels of held-out documents are never seen."""
     docs = read(spark, sf_dir, "documents")
