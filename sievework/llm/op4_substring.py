@@ -1,41 +1,38 @@
 """Substring dedup by level-wise doubling.
 
 A level has a length in words. Windows of the first level (half of the target, rounded up) that start in more than one
-document are found, then only pairs of them at the right distance are extended to a window of twice that length (at
-most the target), and so on; a window that does not repeat at one level is never looked at again. At the target, each
-window learns the smallest document it starts in; it is a repeat in every other one, and the words that repeats cover
-are removed.
-
-Data moves as buffers, not rows: a task sends the window names of many documents to a bucket in one buffer (32 bits a
-name, the bucket stands for the others), and a bucket answers each document in one buffer with the names that repeat.
-The levels below the target are a filter: two windows may share a name there, which only lets a window through to the
-next level. The target's names have 96 bits and a bucket, so they tell windows of a corpus of any real size apart.
-Texts cross the network once: both later uses read the same exchange.
-
-Cases: null and empty texts have no words and are returned. Rows that share a doc_id are one document's parts only in
-the sense that none is a repeat of another. Texts of any length are handled whole. Texts are UTF-8, words are runs
-without the white space characters named below. Other columns of the input are not read.
+document are found; only pairs of them at the right distance are extended to a window of twice that length, at most
+the target. A window that does not repeat at one level is never looked at again. At the target, each window learns the
+smallest document it starts in; it is a repeat in every other one, and the words that repeats cover are removed.
+
+Documents are dealt into chunks by a hash of their id, and data moves as buffers between chunks and buckets of window
+names, not as rows: a chunk sends a bucket its sorted names in one buffer, and the bucket answers with those that
+repeat. The first level is a filter: its names have 32 bits beside the bucket's, and two windows that share one are only
+let through to the next level. The target's names have 96 bits and a bucket. Texts cross the network once: all three
+uses of a chunk read the same exchange. A chunk and a bucket hold about CHUNK bytes of text and BUCKET names, whatever
+the size of the corpus, and a window that very many documents share is one name in each chunk.
+
+Cases: null and empty texts have no words and are returned. A document without an id is returned whole and repeats
+nothing. Rows that share a doc_id are one document: none is a repeat of another. Long texts are handled whole. Words
+are runs without the white space named below, as they are. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import read, slices, texts
+from sievework.llm.common import read
 
-#: Words of a window, and window names in a bucket, roughly.
-WINDOW, BUCKET = 13, 1_000_000
+#: Words of a window; bytes of text in a chunk and window names in a bucket, roughly.
+WINDOW, CHUNK, BUCKET = 13, 6 << 20, 4_000_000
 #: White space between words: blank, and \x09 to \x0D.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 ODD = re.compile(r"[\x09\x0B-\x0D]|  |\n\n|\A[ \n]|[ \n]\Z|\n | \n").search
-MASK = (1 << 64) - 1
 
 
 def words_of(text: str) -> list[str]:
@@ -52,9 +49,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_names(batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit names for each word, from its digest."""
+    from xxhash import xxh3_128_digest
+
     known: dict[str, int] = {}
-    at = np.fromiter((known.setdefault(w, len(known)) for ws in batch for w in ws), dtype=np.int64)
-    raw = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in known), dtype=np.uint64).reshape(-1, 2)
+    at = np.array([known.setdefault(w, len(known)) for ws in batch for w in ws], dtype=np.int64)
+    raw = np.frombuffer(b"".join([xxh3_128_digest(w) for w in known]), dtype=np.uint64).reshape(-1, 2)
     return (raw[at, 0], raw[at, 1]) if len(known) else (np.zeros(0, np.uint64),) * 2
 
 
@@ -77,7 +76,7 @@ def windows(names: np.ndarray, length: int) -> np.ndarray:
     return doubled(windows(names, half_of(length)), half_of(length), length)
 
 
-def repeated_positions(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
+def within(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """Which of names occur in kept (sorted)."""
     if not len(kept):
         return np.zeros(len(names), dtype=bool)
@@ -85,191 +84,164 @@ def repeated_positions(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return kept[at] == names
 
 
-def parted(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(counts)])
-
-
-# ---- first level: 32-bit names within a bucket --------------------------------------------------------------------
-
-
-def send_filter(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket, docs (64-bit ids), sizes (32 bits), names: distinct names of each document, sorted, document by document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                texts_ = [words_of(t) for t in part.column("text").to_pylist()]
-                first, _ = word_names(texts_)
-                edges = parted(np.array([len(t) for t in texts_]))
-                found = [windows(first[a:b], length) for a, b in zip(edges, edges[1:])]
-                doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                names = np.concatenate(found)
-                if not len(names):
-                    continue
-                bucket = ((names >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                low = (names & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                # bucket, document, name: sorted, each once
-                key = np.sort((bucket * len(found) + doc) << 32 | low)
-                key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-                yield from packed(key >> 32, (key & 0xFFFFFFFF).astype(np.uint32), ids)
-
-    return docs.mapInArrow(run, "bucket long, docs binary, sizes binary, names binary")
-
-
-def packed(owner: np.ndarray, values: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket; owner is bucket * len(ids) + document, in order."""
-    own, at = np.unique(owner, return_index=True)
-    sizes = np.diff(np.append(at, len(owner))).astype(np.uint32)
-    bucket, doc = own // len(ids), own % len(ids)
-    each, first = np.unique(bucket, return_index=True)
-    edges = np.append(first, len(own))
-    ends = np.append(at, len(owner))
-    rows = [(ids[doc[a:b]].tobytes(), sizes[a:b].tobytes(), values[ends[a] : ends[b]].tobytes()) for a, b in zip(edges, edges[1:])]
-    yield pa.RecordBatch.from_arrays([pa.array(each), *(pa.array(x, pa.binary()) for x in zip(*rows))], ["bucket", "docs", "sizes", "names"])
-
-
-def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray, bytes]]]]:
-    """Rows of each bucket; a partition is sorted by bucket."""
-    now, held = None, []
-    for batch in batches:
-        for b, docs, sizes, names in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != now:
-                if held:
-                    yield now, held
-                now, held = b, []
-            held.append((np.frombuffer(docs, np.int64), np.frombuffer(sizes, np.uint32), names))
-    if held:
-        yield now, held
-
-
-def answers(docs: np.ndarray, sizes: np.ndarray, keep: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, names: what is kept of each document's names."""
-    owner = np.repeat(np.arange(len(docs)), sizes)[keep]
-    own, at = np.unique(owner, return_index=True)
-    edges = np.append(at, len(owner))
-    kept = values[keep]
-    for start in range(0, len(own), 5000):
-        some = slice(start, start + 5000)
-        cuts = [kept[a:b].tobytes() for a, b in zip(edges[some], edges[1:][some])]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[own[some]]), pa.array(cuts, pa.binary())], ["doc_id", "names"])
-
-
-def reply_filter(sent: DataFrame) -> DataFrame:
-    """doc_id, names (64 bits: bucket and name) that start in more than one document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in gather(batches):
-            docs, sizes = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            names = np.frombuffer(b"".join(r[2] for r in rows), np.uint32)
-            ordered = np.sort(names)
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            keep = repeated_positions(names, twice)
-            yield from answers(docs, sizes, keep, names)
-
-    return sent.mapInArrow(run, "doc_id long, names binary")
-
-
-# ---- the target: 96-bit names, and the smallest document of each --------------------------------------------------
-
-
-def flagged(text: str, kept: list[bytes], length: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the target whose two halves repeat: 64- and 32-bit names, and positions."""
-    first, second = word_names([words_of(text)])
-    half = windows(first, length)
-    names = np.unique(np.frombuffer(b"".join(kept), np.uint32))
-    ok = repeated_positions((half & np.uint64(0xFFFFFFFF)).astype(np.uint32), names)
-    step = target - length
-    at = np.flatnonzero(ok[: len(ok) - step] & ok[step:]) if len(ok) > step else np.zeros(0, np.int64)
-    a = doubled(half, length, target)
-    b = windows(second, target)
-    return a[at], b[at], at
-
-
-def level(docs: DataFrame, replies: DataFrame, length: int, target: int, buckets: int) -> DataFrame:
-    """bucket, docs, sizes, names: windows of the target that may repeat, 128 bits each."""
-    kind = np.dtype([("a", "<u8"), ("b", "<u8")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                owners, values = [], []
-                for i, (text, kept) in enumerate(zip(part.column("text").to_pylist(), part.column("names").to_pylist())):
-                    a, b, _ = flagged(text, kept, length, target)
-                    v = np.empty(len(a), kind)
-                    v["a"], v["b"] = a, b
-                    v = np.unique(v)
-                    owners.append((v["a"] % np.uint64(buckets)).astype(np.int64) * len(ids) + i)
-                    values.append(v)
-                owner, value = np.concatenate(owners), np.concatenate(values)
-                if len(owner):
-                    order = np.argsort(owner, kind="stable")
-                    yield from packed(owner[order], value[order], ids)
-
-    return docs.join(replies, "doc_id").select("doc_id", "text", "names").mapInArrow(run, "bucket long, docs binary, sizes binary, names binary")
-
-
-def reply_target(sent: DataFrame) -> DataFrame:
-    """doc_id, names (64 bits of them): windows that also start in a document with a smaller id."""
-    kind = np.dtype([("a", "<u8"), ("b", "<u8")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in gather(batches):
-            docs, sizes = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            names = np.frombuffer(b"".join(r[2] for r in rows), kind)
-            doc = np.repeat(docs, sizes)
-            order = np.lexsort((doc, names["b"], names["a"]))
-            a, b, d = names["a"][order], names["b"][order], doc[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            keep = np.zeros(len(doc), dtype=bool)
-            keep[order] = d > least
-            yield from answers(docs, sizes, keep, names)
-
-    return sent.mapInArrow(run, "doc_id long, names binary")
-
-
-def by_bucket(sent: DataFrame, buckets: int) -> DataFrame:
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-
-
-def dedup(docs: DataFrame, target: int = WINDOW, key: str = "doc_id", text: str = "text", n_buckets: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: every document without the words of windows that start in a smaller one."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def keyed(names: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket << 32 | 32 bits of the name, in the order of names."""
+    return ((names >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(16)
+
+
+def folded(values: np.ndarray) -> bytes:
+    """Bytes of numbers plane by plane, which the exchange compresses better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def unfolded(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def steps(values: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return folded(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def summed(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(unfolded(data, kind), dtype=kind)
+
+
+class Chunk:
+    """The words of a chunk's documents in one array, documents by id."""
+
+    def __init__(self, table: pa.Table, target: int):
+        ids = table.column("doc_id").to_pylist()
+        texts = table.column("text").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        self.ids = [ids[i] for i in order]
+        self.rest = table.column("rest").take(pa.array(order, pa.int64())) if "rest" in table.column_names else None
+        self.words = [words_of(texts[i] or "") for i in order]
+        self.edges = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        self.target, self.half = target, half_of(target)
+        self.doc = np.repeat(np.arange(len(ids)), np.diff(self.edges))
+        known = np.array([i is not None for i in self.ids], dtype=bool)
+        self.key = np.array([i or 0 for i in self.ids], dtype=np.int64)[self.doc]
+        # Words from each on to the end of its document; none where the document has no id.
+        self.room = np.where(known[self.doc], self.edges[self.doc + 1] - np.arange(len(self.doc)), 0)
+        self.first, self.second = word_names(self.words)
+        self.halves = windows(self.first, self.half)
+
+    def halves_sent(self) -> np.ndarray:
+        """Sorted names of the first level; one that several documents have is there twice."""
+        at = np.flatnonzero(self.room[: len(self.halves)] >= self.half)
+        names, doc = self.halves[at], self.key[at]
+        order = np.argsort(names, kind="stable")  # documents stay in their order
+        names, doc = names[order], doc[order]
+        new = np.ones(len(names), dtype=bool)
+        new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
+        names = names[new]
+        third = np.zeros(len(names), dtype=bool)
+        third[2:] = names[2:] == names[:-2]
+        return names[~third]
+
+    def targets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where windows of the target begin, and their two names."""
+        a, b = doubled(self.halves, self.half, self.target), windows(self.second, self.target)
+        at = np.flatnonzero(self.room[: len(a)] >= self.target)
+        return at, a[at], b[at]
+
+    def survivors(self, kept: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names (64 and 32 bits) of windows of the target whose halves both repeat, and the smallest document of each."""
+        at, a, b = self.targets()
+        ok = within(keyed(self.halves, buckets), kept)
+        keep = ok[at] & ok[at + self.target - self.half]
+        a, b, doc = a[keep], (b[keep] >> np.uint64(32)).astype(np.uint32), self.key[at[keep]]
+        order = np.lexsort((doc, b, a))
+        a, b, doc = a[order], b[order], doc[order]
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return a[new], b[new], doc[new]
+
+    def repeats(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Where windows begin that also start in a smaller document: of this chunk, or elsewhere (their names)."""
+        at, a, b = self.targets()
+        order = np.argsort(a, kind="stable")
+        x, y, key = a[order], b[order], self.key[at[order]]
+        begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        lead = np.repeat(begin, np.diff(np.append(begin, len(x))))
+        gone = np.zeros(len(a), dtype=bool)
+        gone[order] = (key > key[lead]) & (y == y[lead])
+        return at[gone | within(a, elsewhere)]
+
+    def kept(self, starts: np.ndarray) -> pa.Table:
+        cover = np.zeros(len(self.doc) + 1, dtype=np.int64)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + self.target, -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        texts = []
+        n_removed = np.zeros(len(self.ids), dtype=np.int64)
+        for i, (w, a, b) in enumerate(zip(self.words, self.edges, self.edges[1:])):
+            n_removed[i] = gone[a:b].sum()
+            texts.append(" ".join(w if not n_removed[i] else [x for x, g in zip(w, gone[a:b].tolist()) if not g]))
+        out = {"doc_id": pa.array(self.ids, pa.int64()), "n_words": pa.array(np.diff(self.edges)), "n_removed": pa.array(n_removed), "kept": pa.array(texts, pa.string())}
+        return pa.table(out | ({} if self.rest is None else {"rest": self.rest}))
+
+
+def by_bucket(bucket: np.ndarray, chunk: int, columns: list, pack: list) -> pa.Table:
+    """One row for each bucket; bucket ascends."""
+    each, begin = np.unique(bucket, return_index=True)
+    edges = np.append(begin, len(bucket))
+    cuts = [pa.array([f(c[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()) for c, f in zip(columns, pack)]
+    return pa.table([pa.array(each.astype(np.int64)), pa.array(np.full(len(each), chunk, dtype=np.int64)), *cuts], ["bucket", "chunk", *"abc"[: len(cuts)]])
+
+
+def dedup(docs: DataFrame, target: int = WINDOW, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, bucket: int = BUCKET, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept: every document without the words of windows that start in a smaller one.
+    With carry, the other columns come along in the struct `rest`."""
+    others = [c for c in docs.columns if c not in (key, text)] if carry else []
+    rest = [F.struct(*others).alias("rest")] if others else []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    buckets = n_buckets or max(12, size // 6 // BUCKET)
-    length = half_of(target)
-    dealt = rows.repartition(max(12, size // (16 << 20)), "doc_id")
-    gathered = lambda df: df.groupBy("doc_id").agg(F.collect_list("names").alias("names"))
-    repeats = gathered(reply_filter(by_bucket(send_filter(rows.where("doc_id IS NOT NULL"), length, buckets), buckets)))
-    removed = gathered(reply_target(by_bucket(level(dealt, repeats, length, target, buckets), buckets)))
-    kind = np.dtype([("a", "<u8"), ("b", "<u8")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                n_words, n_removed, kept = [], [], []
-                for t, names in zip(part.column("text").to_pylist(), part.column("names").to_pylist()):
-                    words = words_of(t)
-                    n_words.append(len(words))
-                    if not names:
-                        n_removed.append(0)
-                        kept.append(t if not ODD(t) and "\n" not in t else " ".join(words))
-                        continue
-                    first, second = word_names([words])
-                    v = np.empty(len(words) - target + 1, kind)
-                    v["a"], v["b"] = windows(first, target), windows(second, target)
-                    starts = repeated_positions(v, np.unique(np.frombuffer(b"".join(names), kind)))
-                    cover = np.zeros(len(words) + 1, np.int64)
-                    cover[np.flatnonzero(starts)] += 1
-                    cover[np.flatnonzero(starts) + target] -= 1
-                    gone = np.cumsum(cover)[:-1] > 0
-                    n_removed.append(int(gone.sum()))
-                    kept.append(" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return dealt.join(removed, "doc_id", "left").select("doc_id", "text", "names").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    chunks, buckets = 1 + size // chunk, min(65_000, 1 + size // 6 // bucket)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).groupBy("chunk")
+
+    def send_halves(table: pa.Table) -> pa.Table:
+        sent = keyed(Chunk(table, target).halves_sent(), buckets)
+        return by_bucket(sent >> np.uint64(32), table.column("chunk")[0].as_py(), [sent.astype(np.uint32)], [steps])
+
+    def answer_halves(table: pa.Table) -> pa.Table:
+        names = [summed(x, "<u4") for x in table.column("a").to_pylist()]
+        every = np.sort(np.concatenate(names))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        found = [np.unique(x[within(x, twice)]) for x in names]
+        return pa.table([table.column("chunk"), table.column("bucket"), pa.array([steps(x) for x in found], pa.binary())], ["chunk", "bucket", "a"])
+
+    def kept_halves(table: pa.Table) -> np.ndarray:
+        parts = sorted(zip(table.column("bucket").to_pylist(), table.column("a").to_pylist()))
+        return np.concatenate([np.zeros(0, np.uint64), *(summed(x, "<u4").astype(np.uint64) + (np.uint64(b) << np.uint64(32)) for b, x in parts)])
+
+    def send_targets(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, doc = Chunk(left, target).survivors(kept_halves(right), buckets)
+        return by_bucket(keyed(a, buckets) >> np.uint64(32), left.column("chunk")[0].as_py(), [a, b, doc], [steps, folded, folded])
+
+    def answer_targets(table: pa.Table) -> pa.Table:
+        a, b, doc = ([f(x, kind) for x in table.column(c).to_pylist()] for c, kind, f in (("a", "<u8", summed), ("b", "<u4", unfolded), ("c", "<i8", unfolded)))
+        row = np.repeat(np.arange(len(a)), [len(x) for x in a])
+        a, b, doc = np.concatenate(a), np.concatenate(b), np.concatenate(doc)
+        order = np.lexsort((doc, b, a))
+        x, y = a[order], b[order]
+        begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        lead = np.repeat(doc[order][begin], np.diff(np.append(begin, len(x))))
+        later = np.zeros(len(a), dtype=bool)
+        later[order] = doc[order] > lead
+        found = [a[(row == i) & later] for i in range(table.num_rows)]
+        return pa.table([table.column("chunk"), table.column("bucket"), pa.array([steps(x) for x in found], pa.binary())], ["chunk", "bucket", "a"])
+
+    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = Chunk(left, target)
+        return parts.kept(parts.repeats(np.sort(np.concatenate([np.zeros(0, np.uint64), *(summed(x, "<u8") for x in right.column("a").to_pylist())]))))
+
+    replies = "chunk long, bucket long, a binary"
+    halves = dealt.applyInArrow(send_halves, "bucket long, chunk long, a binary").groupBy("bucket").applyInArrow(answer_halves, replies)
+    targets = dealt.cogroup(halves.groupBy("chunk")).applyInArrow(send_targets, "bucket long, chunk long, a binary, b binary, c binary").groupBy("bucket").applyInArrow(answer_targets, replies)
+    return dealt.cogroup(targets.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string" + (f", rest {rows.schema['rest'].dataType.simpleString()}" if rest else ""))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
