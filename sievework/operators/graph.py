@@ -1,0 +1,225 @@
+"""The property graph as DataFrames: a node table for each label, an edge table (src, dst, properties) for each type."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sievework.functions.text import matching, occurrences
+from sievework.schemas import EDGE_TYPES, NODES
+
+
+@dataclass
+class Graph:
+    nodes: dict[str, DataFrame]
+    edges: dict[str, DataFrame] = field(default_factory=dict)
+
+    def chunks_in_order(self) -> DataFrame:
+        """Document, section and chunk of the chain, one row for each chunk."""
+        s = self.nodes["Section"].select("section_id", "document_id", F.col("title").alias("section_title"), "section_index")
+        held = self.edges["HAS_CHUNK"].select(F.col("src").alias("section_id"), F.col("dst").alias("chunk_id"))
+        return self.nodes["Chunk"].drop("document_id").join(held, "chunk_id").join(s, "section_id")
+
+
+def empty(spark) -> Graph:
+    nodes = {label: spark.createDataFrame([], schema) for label, (_, schema) in NODES.items()}
+    return Graph(nodes, {t: spark.createDataFrame([], "src string, dst string") for t in EDGE_TYPES})
+
+
+# ---- writes -------------------------------------------------------------------------------------------------------
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """MERGE on key: later values win where they are not null; columns in keep are set only on creation."""
+    columns = old.columns
+    rows = old.withColumn("_seq", F.lit(0)).unionByName(new.select(*[c for c in columns if c in new.columns]).withColumn("_seq", F.lit(1)), allowMissingColumns=True)
+    pick = [(F.min_by if c in keep else F.max_by)(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in columns if c != key]
+    return rows.groupBy(key).agg(*pick).select(*columns)
+
+
+def upsert_edges(old: DataFrame, new: DataFrame, sources: DataFrame, targets: DataFrame, source_key: str, target_key: str) -> DataFrame:
+    """MERGE on (src, dst): an edge without both ends is not written; later properties win."""
+    ends = new.join(sources.select(F.col(source_key).alias("src")).distinct(), "src", "left_semi").join(targets.select(F.col(target_key).alias("dst")).distinct(), "dst", "left_semi")
+    rows = old.withColumn("_seq", F.lit(0)).unionByName(ends.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
+    properties = [c for c in rows.columns if c not in ("src", "dst", "_seq")]
+    pick = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in properties]
+    return rows.groupBy("src", "dst").agg(*pick) if pick else rows.select("src", "dst").distinct()
+
+
+def census(graph: Graph) -> DataFrame:
+    """Nodes of each label and edges of each type."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n") for kind, tables in (("node", graph.nodes), ("edge", graph.edges)) for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sections_to_rows(nested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nested documents (document_id, sections: array of section_id, title, section_index, chunks) as section and chunk
+    nodes with HAS_SECTION and HAS_CHUNK edges. Chunks default to index 0, type text and no content."""
+    s = nested.select("document_id", F.posexplode("sections").alias("order", "s"))
+    sections = s.select("s.section_id", "document_id", "s.title", "s.section_index")
+    c = s.select("document_id", "s.section_id", F.posexplode("s.chunks").alias("order", "c"))
+    index = F.coalesce("c.chunk_index", F.lit(0))
+    chunks = c.select("c.chunk_id", "document_id", F.left(F.coalesce("c.content", F.lit("")), F.lit(50_000)).alias("content"), index.alias("chunk_index"), F.coalesce("c.chunk_type", F.lit("text")).alias("chunk_type"))
+    return sections, chunks, s.select(F.col("document_id").alias("src"), F.col("s.section_id").alias("dst"), "order"), c.select(F.col("section_id").alias("src"), F.col("c.chunk_id").alias("dst"), "order", index.alias("chunk_index"))
+
+
+# ---- reads: each takes queries (query_id, keywords) or seeds and returns query_id, chunk_id, graph_score, ... ---------
+
+
+def _lower(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.transform("keywords", lambda w: F.lower(w)).alias("keywords"))
+
+
+def limited(hits: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def by_section_title(chunks: DataFrame, queries: DataFrame, score: float = 0.9) -> DataFrame:
+    """Chunks of sections whose title contains any keyword. chunks: chunk_id, document_id, section_title,
+    section_index, chunk_index, content."""
+    words = _lower(queries).select("query_id", F.explode("keywords").alias("w"))
+    titles = chunks.select("section_title").distinct()
+    found = titles.join(words, F.lower("section_title").contains(F.col("w"))).select("query_id", "section_title").distinct()
+    return chunks.join(found, "section_title").withColumn("graph_score", F.lit(score))
+
+
+def by_content(chunks: DataFrame, queries: DataFrame, content: str = "content") -> DataFrame:
+    """Chunks that contain any keyword: (matches + a tenth of all occurrences) / number of keywords; may exceed 1.
+    Keywords of the whole batch are tested in one scan."""
+    rows = chunks.join(_lower(queries), F.exists("keywords", lambda w: F.lower(F.col(content)).contains(w)))
+    hit = matching(F.col(content), F.col("keywords"))
+    total = F.aggregate(F.transform("keywords", lambda w: occurrences(F.lower(F.col(content)), w)), F.lit(0), lambda a, x: a + x)
+    return rows.withColumn("match_count", F.size(hit)).withColumn("graph_score", (F.col("match_count") + 0.1 * total) / F.greatest(F.size("keywords"), F.lit(1))).drop("keywords")
+
+
+def by_entity_mention(mention: DataFrame, entities: DataFrame, queries: DataFrame, score: float = 0.7) -> DataFrame:
+    """query_id, chunk_id, match_count (distinct entities) of chunks that mention an entity whose name contains a keyword."""
+    words = _lower(queries).select("query_id", F.explode("keywords").alias("w"))
+    named = entities.select("normalized_name").distinct().join(words, F.col("normalized_name").contains(F.col("w"))).select("query_id", F.col("normalized_name").alias("dst")).distinct()
+    return mention.join(named, "dst").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.count_distinct("dst").alias("match_count")).withColumn("graph_score", F.lit(score))
+
+
+def by_entity(mention: DataFrame, entities: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, chunk_id, importance of chunks that mention the entity of an exact name (case matters)."""
+    named = entities.select(F.col("normalized_name").alias("dst"), "entity_name").join(names, "entity_name")
+    return mention.join(named, "dst").select("query_id", F.col("src").alias("chunk_id"), "importance")
+
+
+def by_entities_across(mention: DataFrame, names: DataFrame, score: float = 0.85) -> DataFrame:
+    """query_id, chunk_id, entity_matches: chunks of any document that mention the named entities (normalised)."""
+    named = names.select("query_id", F.lower(F.trim("entity_name")).alias("dst")).distinct()
+    return mention.join(named, "dst").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.count_distinct("dst").alias("entity_matches")).withColumn("graph_score", F.lit(score))
+
+
+def by_topic(topics: DataFrame, has_topic: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, topic, graph_score 0.75 + 0.15 * relevance, for topics whose name or keywords contain a keyword."""
+    words = _lower(queries).select("query_id", F.explode("keywords").alias("w"))
+    match = F.lower("topic_name").contains(F.col("w")) | F.exists("keywords", lambda k: F.lower(k).contains(F.col("w")))
+    found = topics.join(words, match).select("query_id", F.col("normalized_name").alias("dst")).distinct()
+    relevance = F.coalesce("relevance", F.lit(0.5))
+    return has_topic.join(found, "dst").select("query_id", F.col("src").alias("chunk_id"), F.col("dst").alias("topic"), (0.75 + 0.15 * relevance).alias("graph_score"))
+
+
+def shared_entities(mention: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
+    """query_id, chunk_id, shared_entities, hop: chunks that share entities with the seeds (query_id, chunk_id), which
+    are left out; each further hop starts from what the last one found."""
+    edges = mention.select("src", "dst").distinct()
+    seen = seeds.select("query_id", "chunk_id").distinct()
+    frontier, out = seen, None
+    for hop in range(1, hops + 1):
+        entities = edges.join(frontier, edges["src"] == frontier["chunk_id"]).select("query_id", "dst").distinct()
+        found = edges.join(entities, "dst").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.count_distinct("dst").alias("shared_entities"))
+        found = found.join(seen, ["query_id", "chunk_id"], "left_anti").withColumn("hop", F.lit(hop))
+        out = found if out is None else out.unionByName(found)
+        frontier = found.select("query_id", "chunk_id")
+        seen = seen.unionByName(frontier)
+    return out
+
+
+def related_chunks(mention: DataFrame, seeds: DataFrame) -> DataFrame:
+    """query_id, chunk_id, shared_count: other chunks of a seed's entities, counting every path."""
+    mine = mention.join(seeds, mention["src"] == seeds["chunk_id"]).select("query_id", F.col("chunk_id").alias("seed"), "dst")
+    return mention.select("src", "dst").join(mine, "dst").where("src <> seed").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.count("*").alias("shared_count"))
+
+
+def entity_hops(related: DataFrame, starts: DataFrame, most: int = 2) -> DataFrame:
+    """query_id, start, name, hops: entities within `most` RELATED_TO steps, in either direction, by their least number
+    of hops. The frontier of each hop is only what no hop before reached."""
+    both = related.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(related.select("dst", "src")).distinct()
+    key = ["query_id", "start"]
+    seen = starts.select("query_id", F.col("name").alias("start"), "name").distinct().withColumn("hops", F.lit(0))
+    frontier = seen
+    for hop in range(1, most + 1):
+        near = frontier.join(both, frontier["name"] == both["a"]).select(*key, F.col("b").alias("name")).distinct()
+        frontier = near.join(seen, [*key, "name"], "left_anti").withColumn("hops", F.lit(hop))
+        seen = seen.unionByName(frontier)
+    return seen.where("hops > 0")
+
+
+def hop_score(hops: Column) -> Column:
+    return F.greatest(F.lit(0.6), 0.8 - 0.1 * hops)
+
+
+def by_relationship(related: DataFrame, mention: DataFrame, entities: DataFrame, queries: DataFrame, most: int = 2) -> DataFrame:
+    """query_id, chunk_id, hops, graph_score of chunks that mention entities near those that keywords name."""
+    words = _lower(queries).select("query_id", F.explode("keywords").alias("name"))
+    starts = words.join(entities.select(F.col("normalized_name").alias("name")).distinct(), "name", "left_semi")
+    reached = entity_hops(related, starts, most).groupBy("query_id", F.col("name").alias("dst")).agg(F.min("hops").alias("hops"))
+    return mention.join(reached, "dst").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.min("hops").alias("hops")).withColumn("graph_score", hop_score(F.col("hops")))
+
+
+def round_robin(hits: DataFrame, k: int, by: str = "document_id", *order: Column | str) -> DataFrame:
+    """k hits of each query, taking a document's next best in turn; documents in the order of their best hit."""
+    best = Window.partitionBy("query_id").orderBy(*order)
+    own = Window.partitionBy("query_id", by).orderBy("_at")
+    rows = hits.withColumn("_at", F.row_number().over(best)).withColumn("turn", F.row_number().over(own))
+    rows = rows.withColumn("_first", F.min("_at").over(Window.partitionBy("query_id", by)))
+    return limited(rows, k, "turn", "_first").drop("_at", "_first")
+
+
+def cascade(chunks: DataFrame, graph: Graph, queries: DataFrame, k: int, by_document: bool = False) -> DataFrame:
+    """Keyword retrieval over the graph: section titles; then, as far as there is room, entity mentions (dealt over
+    documents), topics and relationships; content always. The first strategy that finds a chunk names it; ties of the
+    final score go to the smaller chunk_index."""
+    mention, entities = graph.edges["MENTIONS"], graph.nodes["Entity"]
+    info = chunks.select("chunk_id", "document_id", "section_index", "chunk_index")
+    title = limited(by_section_title(chunks, queries).select("query_id", "chunk_id", "document_id", "section_index", "chunk_index", "graph_score"), k, "section_index", "chunk_index", "chunk_id")
+    entity = by_entity_mention(mention, entities, queries).join(info, "chunk_id")
+    order = (F.desc("match_count"), "section_index", "chunk_index", "chunk_id")
+    entity = limited(entity, k, *order) if by_document else round_robin(limited(entity, 2 * k, *order).drop("rank"), k, "document_id", *order)
+    topic = by_topic(graph.nodes["Topic"], graph.edges["HAS_TOPIC"], queries).groupBy("query_id", "chunk_id").agg(F.max("graph_score").alias("graph_score")).join(info, "chunk_id")
+    topic = limited(topic, k, F.desc("graph_score"), "section_index", "chunk_index", "chunk_id")
+    relation = limited(by_relationship(graph.edges["RELATED_TO"], mention, entities, queries).join(info, "chunk_id"), k, "hops", "document_id", "chunk_index", "chunk_id")
+    content = limited(limited(by_content(chunks, queries), 4 * k, F.desc("match_count"), "section_index", "chunk_index", "chunk_id").drop("rank"), k, F.desc("graph_score"), "chunk_index", "chunk_id")
+    names = ("section_title_match", "entity_mention", "topic", "entity_relationship", "content")
+    parts = [p.select("query_id", "chunk_id", "document_id", "section_index", "chunk_index", "graph_score", "rank").withColumn("strategy", F.lit(i)).withColumn("retrieval_method", F.lit(n)) for i, (p, n) in enumerate(zip((title, entity, topic, relation, content), names))]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    first = Window.partitionBy("query_id", "chunk_id").orderBy("strategy", "rank")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    # Strategies before content only fill what is left of k; content is always there.
+    filled = Window.partitionBy("query_id").orderBy("strategy", "rank")
+    rows = rows.withColumn("_at", F.row_number().over(filled)).where((F.col("_at") <= k) | (F.col("strategy") == 4))
+    return limited(rows.drop("_at", "rank"), k, F.desc("graph_score"), "chunk_index", "chunk_id")
+
+
+def attach_media(hits: DataFrame, has_media: DataFrame, media: DataFrame) -> DataFrame:
+    """hits with the media of image chunks as an array."""
+    wanted = hits.where("chunk_type = 'image'").select("chunk_id").distinct()
+    held = has_media.join(wanted, has_media["src"] == wanted["chunk_id"], "left_semi").join(media.withColumnRenamed("media_id", "dst"), "dst")
+    found = held.groupBy(F.col("src").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("dst").alias("media_id"), "media_url", "caption"))).alias("media"))
+    return hits.join(found, "chunk_id", "left")
+
+
+def diagnostics(graph: Graph, sections: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Counts of chunks with and without content, and the first sections of each document."""
+    counts = graph.nodes["Chunk"].agg(F.count("*").alias("chunks"), F.count_if(F.coalesce("content", F.lit("")) != "").alias("with_content"), F.count_if(F.coalesce("content", F.lit("")) == "").alias("without_content"))
+    w = Window.partitionBy("document_id").orderBy("section_index")
+    return counts, graph.nodes["Section"].withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sections).drop("_n")
