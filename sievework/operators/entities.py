@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from sievework.functions.text import occurrences
 from sievework.schemas import ENTITY_TYPES, deterministic_id
 
-#: Patterns of named phrases and of amounts, with ASCII word edges.
-PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
-AMOUNT = r"(?i)\b(\d+\.?\d*)\s*([%$€£¥]|million|billion|thousand|M|B|K)\b"
-TOPIC_PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b"
+#: Patterns of named phrases and of amounts, with Unicode word edges.
+PHRASE = r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
+AMOUNT = r"(?iU)\b(\d+\.?\d*)\s*([%$€£¥]|million|billion|thousand|M|B|K)\b"
+TOPIC_PHRASE = r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b"
 #: The topic that entities of a kind stand for.
 TOPIC_OF_TYPE = {
     "ORG": "Organizations and Companies",
@@ -70,11 +70,11 @@ def related(mention: DataFrame) -> DataFrame:
     return counted.select(both.alias("p"), "n_chunks").select("p.src", "p.dst", "n_chunks", F.least(F.lit(1.0), F.col("n_chunks") / 3).alias("confidence"))
 
 
-def topics_of_titles(sections: DataFrame) -> DataFrame:
-    """topic_name, normalized_name, keywords from section titles without their numbering."""
+def topics_of_titles(sections: DataFrame, by: str | None = None) -> DataFrame:
+    """topic_name, normalized_name, keywords from section titles without their numbering; of each `by`, if it is given."""
     plain = F.regexp_replace(F.regexp_replace(F.trim("title"), r"^\d+(\.\d+)*\s+", ""), r"(?i)^(Chapter|Section|Part)\s+[IVX\d]+:?\s*", "")
-    rows = sections.where(~F.trim("title").isin("", "Document Content", "Tables")).select(plain.alias("topic_name")).where(F.length("topic_name") > 3)
-    return rows.groupBy(F.lower(F.trim("topic_name")).alias("normalized_name")).agg(F.min("topic_name").alias("topic_name")).withColumn("keywords", F.filter(F.split(F.lower("topic_name"), r"\s+"), lambda w: F.length(w) > 3))
+    rows = sections.where(~F.trim("title").isin("", "Document Content", "Tables")).select(*([by] if by else []), plain.alias("topic_name")).where(F.length("topic_name") > 3)
+    return rows.groupBy(*([by] if by else []), F.lower(F.trim("topic_name")).alias("normalized_name")).agg(F.min("topic_name").alias("topic_name")).withColumn("keywords", F.filter(F.split(F.lower("topic_name"), r"\s+"), lambda w: F.length(w) > 3))
 
 
 def topics_of_types(entities: DataFrame, least: int = 3) -> DataFrame:
@@ -93,11 +93,12 @@ def topics_of_phrases(chunks: DataFrame, by: str, order: str, text: str = "chunk
     return found.withColumn("_r", rank).where((F.col("_r") <= most) & (F.col("n") >= least) & (F.length("topic_name") > 8)).select(by, F.lower("topic_name").alias("normalized_name"), "topic_name", "n")
 
 
-def topic_links(sections: DataFrame, topics: DataFrame, chunk_sections: DataFrame) -> DataFrame:
-    """Edges src (chunk), dst (topic), relevance 0.8: chunks of sections whose title contains a keyword of the topic."""
-    words = topics.select(F.col("normalized_name").alias("dst"), F.explode("keywords").alias("w"))
-    titles = sections.select("section_id", F.lower("title").alias("_t")).where("_t <> ''")
-    found = titles.join(words, F.col("_t").contains(F.col("w"))).select("section_id", "dst").distinct()
+def topic_links(sections: DataFrame, topics: DataFrame, chunk_sections: DataFrame, by: str = "document_id") -> DataFrame:
+    """Edges src (chunk), dst (topic), relevance 0.8: chunks of sections whose title contains a keyword of a topic of
+    their document. The join is on the document, so that titles meet no keywords of others."""
+    words = topics.select(by, F.col("normalized_name").alias("dst"), F.explode("keywords").alias("w"))
+    titles = sections.select(by, "section_id", F.lower("title").alias("_t")).where("_t <> ''")
+    found = titles.join(words, by).where(F.col("_t").contains(F.col("w"))).select("section_id", "dst").distinct()
     return chunk_sections.join(found, "section_id").select(F.col("chunk_id").alias("src"), "dst", F.lit(0.8).alias("relevance"))
 
 

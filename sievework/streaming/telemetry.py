@@ -27,10 +27,10 @@ def over_time(events: DataFrame, width: str, *aggregates: Column, slide: str | N
     return _bounds(watched(events, ts).groupBy(w.alias("window"), *by).agg(*aggregates))
 
 
-def counter_rate(samples: DataFrame, width: str = "5 minutes", slide: str = "1 minute", by: tuple[str, ...] = (), seconds: int = 300, ts: str = "ts", value: str = "value") -> DataFrame:
+def counter_rate(samples: DataFrame, width: str = "5 minutes", slide: str = "1 minute", by: tuple[str, ...] = (), seconds: int = 300, ts: str = "ts", value: str = "value", order: tuple[str, ...] = ()) -> DataFrame:
     """Increase of a counter a second: sums of positive steps (a reset starts from zero) over sliding windows. Steps need
     the sample before, so this is for batches; a stream of steps goes through over_time()."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts)) if by else F.lag(value).over(Window.partitionBy(F.lit(0)).orderBy(ts))
+    before = F.lag(value).over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(ts, *order))
     step = F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
     return over_time(samples.withColumn("step", step), width, (F.sum("step") / seconds).alias("rate"), slide=slide, by=by, ts=ts)
 
