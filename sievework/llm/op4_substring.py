@@ -1,4 +1,4 @@
-"""Substring dedup by level-wise doubling.
+r"""Substring dedup by level-wise doubling.
 
 A level has a length in words. Windows of the first level (half of the target, rounded up) that start in more than one
 document are found; only pairs of them at the right distance are extended to a window of twice that length, at most
@@ -14,79 +14,34 @@ the size of the corpus, and a window that very many documents share is one name
 
 Cases: null and empty texts have no words and are returned. A document without an id is returned whole and repeats
 nothing. Rows that share a doc_id are one document: none is a repeat of another. Long texts are handled whole. Words
-are runs without the white space named below, as they are. Other columns of the input are not read.
+are runs without blanks and the characters \x09 to \x0D, as they are. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.common import read
+from sievework.llm.words import doubled, half_of, joined, names, split, windows
 
 #: Words of a window; bytes of text in a chunk and window names in a bucket, roughly.
 WINDOW, CHUNK, BUCKET = 13, 6 << 20, 4_000_000
-#: White space between words: blank, and \x09 to \x0D.
-WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-ODD = re.compile(r"[\x09\x0B-\x0D]|  |\n\n|\A[ \n]|[ \n]\Z|\n | \n").search
-
-
-def words_of(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ") if text and not ODD(text) else WORDS(text)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def word_names(batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names for each word, from its digest."""
-    from xxhash import xxh3_128_digest
-
-    known: dict[str, int] = {}
-    at = np.array([known.setdefault(w, len(known)) for ws in batch for w in ws], dtype=np.int64)
-    raw = np.frombuffer(b"".join([xxh3_128_digest(w) for w in known]), dtype=np.uint64).reshape(-1, 2)
-    return (raw[at, 0], raw[at, 1]) if len(known) else (np.zeros(0, np.uint64),) * 2
-
-
-def doubled(names: np.ndarray, have: int, want: int) -> np.ndarray:
-    """Names of windows of `want` words from those of `have` words: two of them, laid so that they cover the window."""
-    step = want - have
-    if len(names) <= step:
-        return names[:0]
-    return mix(names[:-step] * np.uint64(3) + mix(names[step:]) + np.uint64(want))
-
-
-def half_of(length: int) -> int:
-    return -(-length // 2)
-
-
-def windows(names: np.ndarray, length: int) -> np.ndarray:
-    """Names of all windows of `length` words, by doubling from single words."""
-    if length == 1:
-        return names
-    return doubled(windows(names, half_of(length)), half_of(length), length)
 
 
-def within(names: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Which of names occur in kept (sorted)."""
+def within(values: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which of values occur in kept (sorted)."""
     if not len(kept):
-        return np.zeros(len(names), dtype=bool)
-    at = np.minimum(np.searchsorted(kept, names), len(kept) - 1)
-    return kept[at] == names
+        return np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(kept, values), len(kept) - 1)
+    return kept[at] == values
 
 
-def keyed(names: np.ndarray, buckets: int) -> np.ndarray:
+def keyed(window: np.ndarray, buckets: int) -> np.ndarray:
     """bucket << 32 | 32 bits of the name, in the order of names."""
-    return ((names >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(16)
+    return ((window >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(16)
 
 
 def folded(values: np.ndarray) -> bytes:
@@ -113,33 +68,31 @@ class Chunk:
 
     def __init__(self, table: pa.Table, target: int):
         ids = table.column("doc_id").to_pylist()
-        texts = table.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
         self.ids = [ids[i] for i in order]
         self.rest = table.column("rest").take(pa.array(order, pa.int64())) if "rest" in table.column_names else None
-        self.words = [words_of(texts[i] or "") for i in order]
-        self.edges = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        self.edges, self.codes, self.dictionary = split(table.column("text").take(pa.array(order, pa.int64())))
         self.target, self.half = target, half_of(target)
         self.doc = np.repeat(np.arange(len(ids)), np.diff(self.edges))
         known = np.array([i is not None for i in self.ids], dtype=bool)
         self.key = np.array([i or 0 for i in self.ids], dtype=np.int64)[self.doc]
         # Words from each on to the end of its document; none where the document has no id.
         self.room = np.where(known[self.doc], self.edges[self.doc + 1] - np.arange(len(self.doc)), 0)
-        self.first, self.second = word_names(self.words)
+        self.first, self.second = np.ascontiguousarray(names(self.dictionary)[self.codes].T)
         self.halves = windows(self.first, self.half)
 
     def halves_sent(self) -> np.ndarray:
         """Sorted names of the first level; one that several documents have is there twice."""
         at = np.flatnonzero(self.room[: len(self.halves)] >= self.half)
-        names, doc = self.halves[at], self.key[at]
-        order = np.argsort(names, kind="stable")  # documents stay in their order
-        names, doc = names[order], doc[order]
-        new = np.ones(len(names), dtype=bool)
-        new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
-        names = names[new]
-        third = np.zeros(len(names), dtype=bool)
-        third[2:] = names[2:] == names[:-2]
-        return names[~third]
+        found, doc = self.halves[at], self.key[at]
+        order = np.argsort(found, kind="stable")  # documents stay in their order
+        found, doc = found[order], doc[order]
+        new = np.ones(len(found), dtype=bool)
+        new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+        found = found[new]
+        third = np.zeros(len(found), dtype=bool)
+        third[2:] = found[2:] == found[:-2]
+        return found[~third]
 
     def targets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where windows of the target begin, and their two names."""
@@ -175,12 +128,11 @@ class Chunk:
         np.add.at(cover, starts, 1)
         np.add.at(cover, starts + self.target, -1)
         gone = np.cumsum(cover)[:-1] > 0
-        texts = []
-        n_removed = np.zeros(len(self.ids), dtype=np.int64)
-        for i, (w, a, b) in enumerate(zip(self.words, self.edges, self.edges[1:])):
-            n_removed[i] = gone[a:b].sum()
-            texts.append(" ".join(w if not n_removed[i] else [x for x, g in zip(w, gone[a:b].tolist()) if not g]))
-        out = {"doc_id": pa.array(self.ids, pa.int64()), "n_words": pa.array(np.diff(self.edges)), "n_removed": pa.array(n_removed), "kept": pa.array(texts, pa.string())}
+        left = np.concatenate([[0], np.cumsum(~gone)])[self.edges]
+        texts = joined(left, self.codes[~gone], self.dictionary)
+        n_words = np.diff(self.edges)
+        n_removed = n_words - np.diff(left)
+        out = {"doc_id": pa.array(self.ids, pa.int64()), "n_words": pa.array(n_words), "n_removed": pa.array(n_removed), "kept": texts}
         return pa.table(out | ({} if self.rest is None else {"rest": self.rest}))
 
 
@@ -207,10 +159,10 @@ def dedup(docs: DataFrame, target: int = WINDOW, key: str = "doc_id", text: str
         return by_bucket(sent >> np.uint64(32), table.column("chunk")[0].as_py(), [sent.astype(np.uint32)], [steps])
 
     def answer_halves(table: pa.Table) -> pa.Table:
-        names = [summed(x, "<u4") for x in table.column("a").to_pylist()]
-        every = np.sort(np.concatenate(names))
+        sent = [summed(x, "<u4") for x in table.column("a").to_pylist()]
+        every = np.sort(np.concatenate(sent))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        found = [np.unique(x[within(x, twice)]) for x in names]
+        found = [np.unique(x[within(x, twice)]) for x in sent]
         return pa.table([table.column("chunk"), table.column("bucket"), pa.array([steps(x) for x in found], pa.binary())], ["chunk", "bucket", "a"])
 
     def kept_halves(table: pa.Table) -> np.ndarray:
