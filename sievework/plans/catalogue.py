@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sievework.plans import retrieval
+from sievework.plans import graphs, retrieval, telemetry, texts
 
-_PARTS = (retrieval,)
+_PARTS = (retrieval, texts, graphs, telemetry)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -14,7 +14,9 @@ LATE = "10 minutes"
 
 def watched(events: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:
     """A stream drops what is later than the watermark; a batch is left as it is."""
-    return events.withWatermark(ts, late) if events.isStreaming else events
+    if not events.isStreaming:
+        return events
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)  # watermarks need a zone
 
 
 def _bounds(df: DataFrame) -> DataFrame:
