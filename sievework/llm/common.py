@@ -32,12 +32,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker, across tasks. Functions are sent by value, so their own
-    globals last one task only."""
+def worker_store(operator: str) -> dict:
+    """A dict that lives as long as the Python worker, across tasks of one operator. Functions are sent by value, so
+    their own globals last one task only. What another operator has left goes, and freed memory back to the system."""
     import pyspark
 
-    return pyspark.__dict__.setdefault("_worker_store", {})
+    kept = pyspark.__dict__.setdefault("_worker_store", {})
+    if operator not in kept:
+        kept.clear()
+        kept[operator] = {}
+        trim()
+    return kept[operator]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where it knows how."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+#: Rows and bytes of an Arrow batch at most, where the session has Spark's defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python batches of a few megabytes, since texts are long and workers are small."""
+    conf = df.sparkSession.conf
+    for key, (default, own) in BATCH.items():
+        if conf.get(key, None) == default:
+            conf.set(key, own)
+    return df
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -56,7 +87,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iter
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns, a null text as an empty one."""
-    return df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return small_batches(df).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def lists(parts: Iterable[bytes], kind: pa.DataType) -> pa.Array:

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialize, read, slices, texts
+from sievework.llm.common import materialize, read, slices, texts, worker_store
 from sievework.llm.components import components
-from sievework.llm.op4_substring import mix, windows, word_names, words_of
+from sievework.llm.words import mix, names, split, windows
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
@@ -39,19 +39,18 @@ STEPS, BLOCK = (8, 16, 32, 64, 128), 512
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(words: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray]:
-    """Distinct shingle names of each document, sorted. words: names of all words; edges: where documents begin."""
-    return [np.unique(windows(w, n) if len(w) >= n else windows(w, len(w)) if len(w) else w) for w in (words[a:b] for a, b in zip(edges, edges[1:]))]
-
-
-def digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
-
-
-def sets_of(batch: list[str], n: int) -> tuple[list[list[str]], list[np.ndarray]]:
-    split = [words_of(t) for t in batch]
-    edges = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    return split, shingles(word_names(split)[0], edges, n)
+def sets_of(column: pa.Array, n: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """The digest of each text's words and its distinct shingle names, sorted."""
+    worker_store("jaccard")
+    edges, codes, dictionary = split(column)
+    both = names(dictionary)[codes]
+    first = np.ascontiguousarray(both[:, 0])
+    words = [(a, b) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+    digests = [hashlib.blake2b(both[a:b].tobytes(), digest_size=16).digest() for a, b in words]
+    # Windows of the whole column at once; those that would cross from one text into the next are left out.
+    every = windows(first, n)
+    sets = [np.unique(every[a : b - n + 1]) if b - a >= n else windows(first[a:b], b - a) if b > a else first[:0] for a, b in words]
+    return digests, sets
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -159,9 +158,9 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                split, sets = sets_of(part.column("text").to_pylist(), n)
+                digests, sets = sets_of(part.column("text"), n)
                 sig = signatures(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(digest, split), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "digest", "size", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "digest", "size", "signature"])
 
     return docs.mapInArrow(run, "doc_id long, digest binary, size int, signature binary")
 
@@ -316,8 +315,8 @@ def with_sets(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                split, sets = sets_of(part.column("text").to_pylist(), n)
-                same = pa.array([digest(w) == d for w, d in zip(split, part.column("digest").to_pylist())])
+                digests, sets = sets_of(part.column("text"), n)
+                same = pa.array([a == b for a, b in zip(digests, part.column("digest").to_pylist())])
                 cols = [part.column(c) for c in ("node", "cluster", "copies", "sketch")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "cluster", "copies", "sketch", "set"]).filter(same)
 
