@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import read, slices, texts, worker_store
+from sievework.llm.common import read, slices, small_batches, texts, worker_store
+from sievework.llm.words import split
 
 #: Labelled documents of each label that the model is fitted on, dimensions of the space, neighbours that vote.
 SAMPLE, RANK, NEIGHBOURS = 1500, 48, 15
 #: Hash buckets of words and of shapes; weight of words beside shapes; votes are similarity to this power.
 WORDS, SHAPES, WORD_WEIGHT, SHARPNESS = 4096, 1024, 0.25, 8
-CACHE = 400_000
+CACHE = 300_000
 FOLD = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "B"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 DIM = WORDS + SHAPES + 2
 
@@ -42,27 +43,26 @@ def terms_of(word: str) -> tuple[int, int]:
     return zlib.crc32(word.lower().strip(".,").encode()) % WORDS, WORDS + zlib.crc32(shape.encode()) % SHAPES
 
 
-def weights(batch: list[str]) -> np.ndarray:
+def weights(column: pa.Array) -> np.ndarray:
     """Term counts of whole texts, damped: (documents, DIM)."""
-    store = worker_store().setdefault("quality_terms", {})
+    edges, codes, dictionary = split(column)
+    words = dictionary.to_pylist()
+    store = worker_store("quality")
     if len(store) > CACHE:
         store.clear()
-    out = np.zeros((len(batch), DIM), dtype=np.float32)
-    numbers: dict[str, int] = {}
-    rows = [[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in batch]
-    for w in numbers:
+    for w in words:
         if w not in store:
-            store[w] = terms_of(w)
-    terms = np.array([store[w] for w in numbers], dtype=np.int64).reshape(-1, 2)
-    for i, row in enumerate(rows):
-        if not row:
-            continue
-        at = np.array(row)
-        found = terms[at]
-        out[i] += np.bincount(found.ravel(), minlength=DIM)
-        same = int((at[1:] == at[:-1]).sum())
-        out[i, DIM - 2] = same
-        out[i, DIM - 1] = len(at) - same
+            a, b = terms_of(w)
+            store[w] = a * DIM + b
+    pair = np.fromiter((store[w] for w in words), dtype=np.int64, count=len(words))[codes]
+    n = len(edges) - 1
+    doc = np.repeat(np.arange(n), np.diff(edges)) * DIM
+    out = np.bincount(doc + pair // DIM, minlength=n * DIM) + np.bincount(doc + pair % DIM, minlength=n * DIM)
+    out = out.reshape(n, DIM).astype(np.float32)
+    same = np.flatnonzero((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) + 1
+    repeats = np.bincount(doc[same] // DIM, minlength=n)
+    out[:, DIM - 2] = repeats
+    out[:, DIM - 1] = np.maximum(np.diff(edges) - repeats, 0)
     return np.sqrt(out)
 
 
@@ -71,7 +71,7 @@ class Space:
 
     def __init__(self, sample: list[str], labels: np.ndarray, share: float):
         self.share = share
-        x = weights(sample)
+        x = np.vstack([np.zeros((0, DIM), np.float32), *(weights(pa.array(sample[a : a + 500], pa.string())) for a in range(0, len(sample), 500))])
         n = max(1, len(x))
         self.idf = np.log((n + 1) / ((x > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
         self.idf[:WORDS] *= WORD_WEIGHT
@@ -91,7 +91,7 @@ class Space:
         ones = float(labels.mean()) if len(labels) else 0.5
         self.vote = np.where(labels == 1, share / max(ones, 1e-9), (1 - share) / max(1 - ones, 1e-9)).astype(np.float32)
 
-    def score(self, batch: list[str]) -> np.ndarray:
+    def score(self, batch: pa.Array) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(batch), 0.5)
         z = (weights(batch) * self.idf) @ self.axes
@@ -126,14 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
 
 def scored(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(space)  # fixed by SAMPLE, RANK and DIM
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(space)  # fixed by SAMPLE, RANK and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 for a in range(0, part.num_rows, 500):
                     some = part.slice(a, 500)
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sent.value.score(some.column("text").to_pylist()).astype(np.float64))], ["doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sent.value.score(some.column("text")).astype(np.float64))], ["doc_id", "score"])
 
     rows = texts(docs, key, text)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -141,14 +141,14 @@ def scored(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text
 
 def good(docs: DataFrame, space: Space, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score is at least `least`."""
-    sent = docs.sparkSession.sparkContext.broadcast(space)  # fixed by SAMPLE, RANK and DIM
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(space)  # fixed by SAMPLE, RANK and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, 2 << 20):
                 for a in range(0, part.num_rows, 500):
                     some = part.slice(a, 500)
-                    scores = sent.value.score([t or "" for t in some.column(text).to_pylist()])
+                    scores = sent.value.score(some.column(text))
                     yield some.filter(pa.array(scores >= least))
 
     return docs.mapInArrow(run, docs.schema)
