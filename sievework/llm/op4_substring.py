@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import read
+from sievework.llm.common import read, small_batches, worker_store
 from sievework.llm.words import doubled, half_of, joined, names, split, windows
 
 #: Words of a window; bytes of text in a chunk and window names in a bucket, roughly.
@@ -67,6 +67,7 @@ class Chunk:
     """The words of a chunk's documents in one array, documents by id."""
 
     def __init__(self, table: pa.Table, target: int):
+        worker_store("substring")
         ids = table.column("doc_id").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
         self.ids = [ids[i] for i in order]
@@ -149,7 +150,7 @@ def dedup(docs: DataFrame, target: int = WINDOW, key: str = "doc_id", text: str
     With carry, the other columns come along in the struct `rest`."""
     others = [c for c in docs.columns if c not in (key, text)] if carry else []
     rest = [F.struct(*others).alias("rest")] if others else []
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
     chunks, buckets = 1 + size // chunk, min(65_000, 1 + size // 6 // bucket)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).groupBy("chunk")

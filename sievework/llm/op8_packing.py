@@ -87,7 +87,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        store = worker_store()
+        store = worker_store("packing")
         if store.get("word_spec") != spec.value:
             store.update(word_spec=spec.value, word_ids=WordIds(spec.value))
         end, width = np.array([END], dtype="<u4").tobytes(), 4 * capacity

@@ -165,7 +165,7 @@ class PairIndex:
 
 
 def _index(spec: str) -> PairIndex:
-    kept = worker_store().setdefault("pair_index", {})
+    kept = worker_store("bpe")
     if spec not in kept:
         kept.clear()
         kept[spec] = PairIndex(spec)
