@@ -52,7 +52,7 @@ def doubled(window: np.ndarray, have: int, want: int) -> np.ndarray:
     step = want - have
     if len(window) <= step:
         return window[:0]
-    return mix(window[:-step] * np.uint64(3) + mix(window[step:]) + np.uint64(want))
+    return mix(window[: len(window) - step] * np.uint64(3) + mix(window[step:]) + np.uint64(want))
 
 
 def half_of(length: int) -> int:
