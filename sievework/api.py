@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import keywords
 from sievework.operators import bm25, chunking, dense, entities, fusion, graph, lifecycle, sections
 from sievework.schemas import deterministic_id
-from sievework.sources import files
+from sievework.sources import files, stores
 
 
 @dataclass
@@ -56,6 +56,29 @@ class Engine:
         }
         return Engine(self.documents, told, self.vectors, g, self.weights)
 
+    def save(self, path: str) -> Engine:
+        """The engine over stored tables: what ingest() has planned is computed once, and queries read it."""
+        for name, table in self._tables().items():
+            stores.overwrite(table, f"{path}/{name}")
+        return Engine.load(self.documents.sparkSession, path, self.weights)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, weights: dict[str, float] | None = None) -> Engine:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [s.getPath().getName() for s in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)]
+        have = {n: spark.read.parquet(f"{path}/{n}") for n in names}
+        of = lambda kind: {n[len(kind) :]: t for n, t in have.items() if n.startswith(kind)}
+        g = graph.empty(spark)
+        g.nodes |= of("node-")
+        g.edges |= of("edge-")
+        return Engine(have["documents"], have.get("chunks"), have.get("vectors"), g if of("node-") else None, weights or dict(fusion.WEIGHTS))
+
+    def _tables(self) -> dict[str, DataFrame]:
+        out = {"documents": self.documents} | ({"chunks": self.chunks} if self.chunks is not None else {}) | ({"vectors": self.vectors} if self.vectors is not None else {})
+        if self.graph is not None:
+            out |= {f"node-{n}": t for n, t in self.graph.nodes.items()} | {f"edge-{n}": t for n, t in self.graph.edges.items()}
+        return out
+
     def query(self, questions: DataFrame, k: int = 10, filters: dict[str, str] | None = None, sparse: bool = True, dense_text: bool = True, dense_table: bool = True, dense_image: bool = True, by_graph: bool = True, normalized: bool = True, strict: bool = True) -> DataFrame:
         """Fused hits for questions (query_id, query, and vector where there are vectors). Blank questions have none.
         With strict, a filter on a field that a store lacks matches nothing there."""
@@ -80,13 +103,19 @@ class Engine:
         if by_graph and self.graph is not None:
             words = questions.select("query_id", keywords(F.col("query")).alias("keywords")).where(F.size("keywords") > 0)
             told = chunks.select("chunk_id", "document_id", "section_title", "section_index", "chunk_index", F.col("chunk_text").alias("content"))
-            found = graph.cascade(told, self.graph, words, 2 * k)
-            parts.append(found.select("query_id", F.lit("graph").alias("source"), "rank", "chunk_id", F.col("graph_score").alias("score")))
+            found = graph.retrieve(told, self.graph, words, k)
+            parts.append(found.select("query_id", F.lit("graph").alias("source"), "rank", "chunk_id", "score"))
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)
         return fusion.fuse(hits, k, self.weights, normalized).join(chunks.select("chunk_id", "document_id", "chunk_index", "chunk_text", "chunk_type"), "chunk_id", "left")
 
+    def query_document(self, questions: DataFrame, document_id: str, k: int = 10) -> DataFrame:
+        return self.query(questions, k, {"document_id": document_id})
+
+    def query_type(self, questions: DataFrame, document_type: str, k: int = 10) -> DataFrame:
+        return self.query(questions, k, {"document_type": document_type})
+
     def list_documents(self, source: str | None = None, document_type: str | None = None, limit: int | None = None) -> DataFrame:
         return files.listing(self.documents.withColumnRenamed("source_path", "key"), source, document_type, limit)
 

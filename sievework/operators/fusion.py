@@ -60,6 +60,11 @@ def top(merged: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return merged.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k)
 
 
+def type_counts(hits: DataFrame, by: str = "query_id") -> DataFrame:
+    """Text, table and image hits of each query."""
+    return hits.groupBy(by).agg(*(F.count_if(F.col("chunk_type") == t).alias(t) for t in ("text", "table", "image")), F.count("*").alias("n"))
+
+
 def fuse(hits: DataFrame, k: int = 10, weights: dict[str, float] | None = None, normalized: bool = True, by: str = "query_id") -> DataFrame:
     """merge, normalise, combine, cut. All steps after the merge share one partitioning by query."""
     merged = merge(hits, by)

@@ -210,6 +210,34 @@ def cascade(chunks: DataFrame, graph: Graph, queries: DataFrame, k: int, by_docu
     return limited(rows.drop("_at", "rank"), k, F.desc("graph_score"), "chunk_index", "chunk_id")
 
 
+def retrieve(chunks: DataFrame, graph: Graph, queries: DataFrame, k: int, seeds: int = 10) -> DataFrame:
+    """The graph's hits for keywords: the cascade with twice the limit, then chunks that share entities with its first
+    hits, half the limit, which it has not found. Title matches score at least 0.9, entity mentions 0.7, traversal 0.8;
+    hits without text are left out."""
+    found = cascade(chunks, graph, queries, 2 * k)
+    base = F.when(F.col("retrieval_method") == "section_title_match", F.greatest("graph_score", F.lit(0.9))).when(F.col("retrieval_method") == "entity_mention", F.greatest("graph_score", F.lit(0.7))).otherwise(F.coalesce("graph_score", F.lit(0.8)))
+    direct = found.select("query_id", "chunk_id", "rank", base.alias("score"), "retrieval_method")
+    near = shared_entities(graph.edges["MENTIONS"], direct.where(F.col("rank") <= seeds).select("query_id", "chunk_id"))
+    near = near.join(direct.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(chunks.select("chunk_id", "section_index", "chunk_index"), "chunk_id")
+    near = limited(near, max(1, k // 2), F.desc("shared_entities"), "section_index", "chunk_index", "chunk_id")
+    near = near.select("query_id", "chunk_id", (F.col("rank") + 2 * k).alias("rank"), F.lit(0.8).alias("score"), F.lit("graph_traversal").alias("retrieval_method"))
+    every = direct.unionByName(near).join(chunks.where(F.trim("content") != "").select("chunk_id"), "chunk_id", "left_semi")
+    return limited(every.drop("rank").withColumn("_at", F.when(F.col("retrieval_method") == "graph_traversal", 1).otherwise(0)), 3 * k, F.desc("score"), "_at", "chunk_id").drop("_at")
+
+
+def of_document(chunks: DataFrame, document_id: str, limit: int = 50) -> DataFrame:
+    return chunks.where(F.col("document_id") == document_id).orderBy("section_index", "chunk_index").limit(limit)
+
+
+def of_section(chunks: DataFrame, section_id: str, limit: int = 50) -> DataFrame:
+    return chunks.where(F.col("section_id") == section_id).orderBy("chunk_index").limit(limit)
+
+
+def method_counts(hits: DataFrame) -> DataFrame:
+    """Hits of each query by how they were found."""
+    return hits.groupBy("query_id", "retrieval_method").agg(F.count("*").alias("n"))
+
+
 def attach_media(hits: DataFrame, has_media: DataFrame, media: DataFrame) -> DataFrame:
     """hits with the media of image chunks as an array."""
     wanted = hits.where("chunk_type = 'image'").select("chunk_id").distinct()

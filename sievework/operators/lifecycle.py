@@ -99,6 +99,19 @@ def clean_orphans(graph: Graph) -> Graph:
     return Graph(graph.nodes | {"Entity": graph.nodes["Entity"].join(used, "normalized_name", "left_semi")}, e)
 
 
+def verify(tables: dict[str, DataFrame], schemas: dict[str, str]) -> list[str]:
+    """What stored tables lack against their schemas: missing tables, missing columns, other types."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    wrong = [f"{n}: no table" for n in schemas if n not in tables]
+    for name, table in tables.items():
+        have = {f.name: f.dataType.simpleString() for f in table.schema}
+        for f in _parse_datatype_string(schemas[name]) if name in schemas else ():
+            if have.get(f.name) != f.dataType.simpleString():
+                wrong.append(f"{name}.{f.name}: {have.get(f.name, 'missing')}, not {f.dataType.simpleString()}")
+    return wrong
+
+
 def delete_all(store: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {n: t.limit(0) for n, t in store.items()}
 

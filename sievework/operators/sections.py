@@ -60,6 +60,16 @@ def expand(chunks: DataFrame, seeds: DataFrame, before: int, after: int, by: str
     return wanted.join(numbered, [by, "_pos"]).drop("_pos", "_at")
 
 
+def stride(chunks: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """About `most` chunks of each `by`, evenly spaced: every nth, at most that many."""
+    w = Window.partitionBy(by)
+    n = F.count("*").over(w)
+    at = F.row_number().over(w.orderBy(order)) - 1
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
+    rows = chunks.withColumns({"_n": n, "_at": at})
+    return rows.where((F.pmod("_at", step) == 0) & (F.floor(F.col("_at") / step) < most)).drop("_n", "_at")
+
+
 def batches(chunks: DataFrame, by: str, order: str, size: int = 500) -> DataFrame:
     """Long sections in parts: section_id gains _n and the title (cont.) from the second part on."""
     part = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("int")

@@ -91,6 +91,19 @@ def section_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("section_id", "section_title").agg(F.count("*").alias("n"))
 
 
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven documents of each source and language, evenly spaced."""
+    rows = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("part"), "doc_id")
+    return sections.stride(rows, "part", "doc_id", 7)
+
+
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.operators.fusion import type_counts as counts
+
+    kind = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit("image"), F.lit("mixed")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    return counts(read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), kind.alias("chunk_type")))
+
+
 def table_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of an order: small lines are text, others tables or images."""
     kind = F.when(F.col("l_quantity") < 20, "text").when(F.col("l_quantity") < 45, "table").otherwise("image")
@@ -215,7 +228,7 @@ def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.groundedness(a, c).select("query_id", F.round("score", 6).alias("score"), "grounded")
 
 
-QUERIES = {f.__name__: f for f in (clean_text, normalize_text, token_stats, chunk_recursive, chunk_stats, chunk_short, previews, truth_values, substring_count, section_islands, section_titles, headings, next_chunk, context_expand, section_batches, table_placement, entity_regex, entity_link, entity_cooccur, topic_types, topic_link, topic_phrases, section_title_search, table_render, image_type_classify, url_path_parse, doc_listing, context_budget, citation_extract, citation_sources, groundedness)}
+QUERIES = {f.__name__: f for f in (clean_text, normalize_text, token_stats, chunk_recursive, chunk_stats, chunk_short, previews, truth_values, substring_count, section_islands, section_titles, headings, next_chunk, context_expand, section_batches, stride_sample, type_counts, table_placement, entity_regex, entity_link, entity_cooccur, topic_types, topic_link, topic_phrases, section_title_search, table_render, image_type_classify, url_path_parse, doc_listing, context_budget, citation_extract, citation_sources, groundedness)}
 
 _STRIP = "regexp_replace(%s, '^\\s+|\\s+$', '', 'g')"
 _UNIX = "regexp_replace(text, '\\r\\n?', E'\\n', 'g')"
@@ -259,6 +272,8 @@ UNION ALL SELECT page_id, 1, 'Chapter 7' FROM p UNION ALL SELECT page_id, 2, NUL
     "context_expand": f"""WITH {_TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM t)
 SELECT a.chunk_id AS seed, CAST(b.pos - a.pos AS INTEGER) AS "offset", b.chunk_id FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.pos - a.pos BETWEEN -1 AND 2 AND b.pos <> a.pos WHERE a.role = 'assistant'""",
     "section_batches": "SELECT source || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS section_id, lang || CASE WHEN k > 0 THEN ' (cont.)' ELSE '' END AS section_title, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS k FROM documents) GROUP BY ALL",
+    "stride_sample": "WITH n AS (SELECT source || '/' || lang AS part, doc_id, count(*) OVER (PARTITION BY source, lang) AS n, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS pos FROM documents) SELECT part, doc_id FROM n WHERE pos % greatest(1, n // 7) = 0 AND pos // greatest(1, n // 7) < 7",
+    "type_counts": "SELECT source AS query_id, count(*) FILTER (doc_id % 4 = 0) AS text, count(*) FILTER (doc_id % 4 = 1) AS \"table\", count(*) FILTER (doc_id % 4 = 2) AS image, count(*) AS n FROM documents GROUP BY source",
     "table_placement": """WITH k AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 20 THEN 'text' WHEN l_quantity < 45 THEN 'table' ELSE 'image' END AS kind, l_linenumber // 2 AS s FROM lineitem),
 c AS (SELECT *, sum(CASE WHEN kind = 'table' THEN 1 ELSE 0 END) OVER o AS tables, coalesce(max(CASE WHEN kind = 'text' THEN s END) OVER o, 0) AS last FROM k WINDOW o AS (PARTITION BY l_orderkey))
 SELECT l_orderkey, l_linenumber, CAST(CASE WHEN kind = 'text' THEN s WHEN kind = 'table' AND tables > 3 THEN last + 1 ELSE last END AS INTEGER) AS section_index, CASE WHEN kind = 'table' AND tables > 3 THEN 'Tables' ELSE 'S' END AS section_title FROM c""",

@@ -223,6 +223,35 @@ def test_cascade(spark):
     assert [(r["chunk_id"], r["retrieval_method"]) for r in got] == [("c1", "section_title_match"), ("c2", "entity_mention")]
 
 
+def test_graph_retrieval(spark):
+    g = small_graph(spark)
+    q = spark.createDataFrame([("q", ["alpha"])], "query_id string, keywords array<string>")
+    got = graph.retrieve(g.chunks_in_order(), g, q, 4).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["retrieval_method"], r["score"]) for r in got] == [("c1", "section_title_match", 0.9), ("c2", "graph_traversal", 0.8)]
+
+
+def test_verify(spark):
+    t = spark.createDataFrame([(1, "a")], "id long, name string")
+    assert lifecycle.verify({"t": t}, {"t": "id long, name string", "u": "x int"}) == ["u: no table"]
+    assert lifecycle.verify({"t": t}, {"t": "id string, more int"}) == ["t.id: bigint, not string", "t.more: missing, not int"]
+
+
+def test_pictures_and_status(spark, tmp_path):
+    import struct
+
+    from sievework.sources import rich
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 1000, 400)
+    data = io.BytesIO(docx(["One"], [["h", "k"], ["1", "2"], ["3", "4"]]))
+    with zipfile.ZipFile(data, "a") as z:
+        z.writestr("word/media/image1.png", png)
+    (tmp_path / "a.docx").write_bytes(data.getvalue())
+    (tmp_path / "b.docx").write_bytes(b"no")
+    found = files.scan(spark, str(tmp_path))
+    assert [(r["image_index"], r["width"], r["image_type"]) for r in rich.images(found).collect()] == [(1, 1000, "diagram")]
+    assert {r["path"][-6:]: (r["status"], r["n_tables"], r["n_images"]) for r in rich.extract_all(found).collect()} == {"a.docx": ("ok", 1, 1), "b.docx": ("failed", 0, 0)}
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("a", "1", "x")], "normalized_name string, entity_id string, entity_name string")
     new = spark.createDataFrame([("a", "2", "y"), ("b", "3", "z")], old.schema)
@@ -301,11 +330,11 @@ def test_stream_closes_windows(spark, tmp_path):
     assert got == [(0, 2), (5, 1)]  # the last window is still open
 
 
-def test_engine_end_to_end(spark):
+def test_engine_end_to_end(spark, tmp_path):
     from sievework.api import Engine
 
     docs = spark.createDataFrame([("d1", "a.txt", "txt", "web/a", "1 Alpha Topic\nBig Blue Sky is here. Big Blue Sky."), ("d2", "b.txt", "txt", "web/b", "Some other text of Big Blue Sky and Red Old Barn.")], "document_id string, filename string, document_type string, source_path string, text string")
-    e = Engine(docs).ingest()
+    e = Engine(docs).ingest().save(str(tmp_path / "store"))
     q = spark.createDataFrame([("q", "blue sky"), ("blank", "  ")], "query_id string, query string")
     got = e.query(q, 5).collect()
     assert {r["query_id"] for r in got} == {"q"}
