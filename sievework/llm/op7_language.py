@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import materialize, read, slices, worker_store
-from sievework.llm.op10_html import extract
+from sievework.llm.common import materialize, read, slices, small_batches, worker_store
+from sievework.llm.op10_html import main_text
+from sievework.llm.words import split
 
 #: Labelled documents of each language, and languages at most.
 SAMPLE, LANGUAGES = 300, 64
@@ -37,7 +38,7 @@ SAMPLE, LANGUAGES = 300, 64
 TEMPER, LONGEST = 0.3, 2000
 #: Smoothing of counts, strength of a prior's parent, and least posterior of an accepted language.
 ALPHA, STRENGTH, CERTAIN = 0.5, 5.0, 0.6
-CACHE = 400_000
+CACHE = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Endings of hosts in a country with one main language.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "ru": "ru", "se": "sv", "dk": "da", "jp": "ja", "cn": "zh", "kr": "ko"}
@@ -65,34 +66,32 @@ class Trigrams:
         w = f" {word} "
         return [w[i : i + 3] for i in range(len(w) - 2)]
 
-    def likelihoods(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) of mean log likelihood times the tempered number of trigrams, and letters of each text."""
-        store = worker_store().setdefault("trigrams", {})
-        if store.get("of") != self.name:
-            store.update(of=self.name, words={})
-        words = store["words"]
-        if len(words) > CACHE:
-            words.clear()
-        numbers: dict[str, int] = {}
-        rows = [[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in batch]
-        missing = [w for w in numbers if w not in words]
-        parts = [[p for p in LETTERS.findall(w.lower())] for w in missing]
-        grams = [[self.at.get(g, -1) for p in ps for g in self.of(p)] for ps in parts]
-        flat = np.array([g for gs in grams for g in gs], dtype=np.int64)
-        edges = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int64)
-        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.table[flat], axis=0)])
-        values = sums[edges[1:]] - sums[edges[:-1]]
-        words.update((w, (v, len(g), sum(map(len, ps)))) for w, v, g, ps in zip(missing, values, grams, parts))
-        table = np.array([words[w][0] for w in numbers]).reshape(-1, len(self.languages))
-        sizes = np.array([words[w][1:] for w in numbers], dtype=np.int64).reshape(-1, 2)
-        out = np.zeros((len(batch), len(self.languages)))
-        letters = np.zeros(len(batch), dtype=np.int64)
-        for i, row in enumerate(rows):
-            if row:
-                n, letters[i] = sizes[row].sum(axis=0)
-                if n:
-                    out[i] = table[row].sum(axis=0) / n * min(n, LONGEST) * TEMPER
-        return out, letters
+        edges, codes, dictionary = split(column)
+        words = dictionary.to_pylist()
+        n = len(self.languages)
+        store = worker_store("language")
+        if store.get("of") != self.name or len(store["at"]) + len(words) > len(store["facts"]):
+            store.update(of=self.name, at={}, facts=np.zeros((max(CACHE, len(words)), n + 2)))
+        at, facts = store["at"], store["facts"]
+        missing = [w for w in words if w not in at]
+        if missing:
+            parts = [LETTERS.findall(w.lower()) for w in missing]
+            get = self.at.get
+            grams = [[get(g, -1) for p in ps for g in self.of(p)] for ps in parts]
+            ends = np.cumsum([len(g) for g in grams])
+            sums = np.concatenate([np.zeros((1, n)), np.cumsum(self.table[np.array([g for gs in grams for g in gs], dtype=np.int64)], axis=0)])
+            new = slice(len(at), len(at) + len(missing))
+            facts[new, :n] = np.diff(sums[np.concatenate([[0], ends]).astype(np.int64)], axis=0)
+            facts[new, n] = [len(g) for g in grams]
+            facts[new, n + 1] = [sum(map(len, ps)) for ps in parts]
+            at.update(zip(missing, range(new.start, new.stop)))
+        place = np.fromiter((at[w] for w in words), dtype=np.int64, count=len(words))
+        whole = np.concatenate([np.zeros((1, n + 2)), np.cumsum(facts[place][codes], axis=0)])
+        total = whole[edges[1:]] - whole[edges[:-1]]
+        size = total[:, n : n + 1]
+        return total[:, :n] / np.maximum(size, 1) * np.minimum(size, LONGEST) * TEMPER, np.rint(total[:, n + 1]).astype(np.int64)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Trigrams:
@@ -123,22 +122,26 @@ def address(url: Column) -> tuple[Column, Column]:
 
 
 def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
-    """rows: id, text, declared, host, code and any others, which are kept. Adds lang, score, text_lang, accepted."""
-    spark = rows.sparkSession
+    """rows: text, markup (whether the text is a page whose main text counts), declared, host, code and any others,
+    which are kept. Adds lang, score, text_lang, accepted."""
+    spark = small_batches(rows).sparkSession
     languages = model.languages
     sent = spark.sparkContext.broadcast(model)  # bounded by SAMPLE and LANGUAGES
-    kept = [f for f in rows.schema if f.name not in ("text", "likelihood", "letters")]
+    kept = [f for f in rows.schema if f.name not in ("text", "markup", "likelihood", "letters")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                found, letters = sent.value.likelihoods(part.column("text").to_pylist())
+                said = part.column("text")
+                if (pages := part.column("markup").to_pylist()).count(True):
+                    said = pa.array([main_text(t) if page else t for t, page in zip(said.to_pylist(), pages)], pa.string())
+                found, letters = sent.value.likelihoods(said)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(list(found), pa.list_(pa.float64())), pa.array(letters)], [*(f.name for f in kept), "likelihood", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, letters long"
-    read_ = rows.select(*(f.name for f in kept), F.coalesce("text", F.lit("")).alias("text"))
+    read_ = rows.select(*(f.name for f in kept), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("markup", F.lit(False)).alias("markup"))
     if not languages:
-        return read_.drop("text").select("*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
+        return read_.drop("text", "markup").select("*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
     told = materialize(read_.mapInArrow(run, schema))
 
     # What each row's text says alone, as shares of the languages; texts without letters say nothing.
@@ -198,18 +201,14 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
 
 def evidence_of_documents(docs: DataFrame) -> DataFrame:
     """Documents: the language column is what is declared, the source stands for the host, there is no address."""
-    return docs.select(F.col("doc_id"), "text", primary(F.col("lang")).alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("code"))
+    return docs.select(F.col("doc_id"), "text", F.lit(False).alias("markup"), primary(F.col("lang")).alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("code"))
 
 
 def evidence_of_pages(pages: DataFrame) -> DataFrame:
     """Pages: main text, declared language of the markup, host and code of the address."""
     declared = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z_-]+)", 1)
     host, code = address(F.col("url"))
-    facts = pages.select("page_id", F.struct(primary(declared).alias("declared"), host.alias("host"), code.alias("code")).alias("facts"), "html")
-    # The facts ride along as the url of the extraction.
-    told = extract(facts.withColumn("url", F.to_json("facts")), "page_id", "url", "html")
-    known = F.from_json("url", "declared string, host string, code string")
-    return told.withColumn("facts", known).select("page_id", "text", "facts.declared", "facts.host", "facts.code")
+    return pages.select("page_id", F.col("html").alias("text"), F.lit(True).alias("markup"), primary(declared).alias("declared"), host.alias("host"), code.alias("code"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
