@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sievework.functions.text import preview
 
 CITATION = r"(?i)\[Document:\s*([^,]+),\s*Chunk:\s*(\d+)\]"
-NO_CHUNKS = "I couldn't find any relevant information to answer your question."
+#: Fixed value: the answer where nothing was found.
+NO_CONTEXT = "I don't have enough information to answer this question. No relevant context was found."
 
 
 def formatted(hits: DataFrame) -> DataFrame:

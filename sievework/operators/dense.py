@@ -59,7 +59,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
 
 
 def against(vectors: DataFrame, query: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score of all vectors against one query or few (query_id, vector), without Python: for filters and
-    fusions that need every score."""
-    few = F.broadcast(query.limit(1000))
-    return vectors.crossJoin(few).select("query_id", F.col(key).alias("id"), cosine(F.col(vector), F.col("vector")).alias("score"))
+    """query_id, id, score of all vectors against a stated set of queries (query_id, vector), without Python: for filters
+    and fusions that need every score. Up to SENT bytes of queries are broadcast."""
+    size = query.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
+    return vectors.crossJoin(F.broadcast(query) if size <= SENT else query).select("query_id", F.col(key).alias("id"), cosine(F.col(vector), F.col("vector")).alias("score"))

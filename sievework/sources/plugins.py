@@ -25,6 +25,28 @@ class Captioner(Protocol):
     def describe(self, images: Sequence[bytes]) -> Sequence[str | None]: ...
 
 
+class Answerer(Protocol):
+    def answer(self, questions: Sequence[str], contexts: Sequence[str]) -> Sequence[str]: ...
+
+
+def answers(questions: DataFrame, contexts: DataFrame, make: Callable[[], Answerer], key: str = "query_id") -> DataFrame:
+    """key, query, answer by a model from assembled contexts; a question without context gets a fixed sentence and does
+    not reach the model."""
+    from sievework.operators.context import NO_CONTEXT
+
+    rows = questions.join(contexts, key, "left").select(key, "query", F.coalesce("context", F.lit("")).alias("context"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for frame in frames:
+            frame["answer"] = list(model.answer(frame["query"].tolist(), frame["context"].tolist()))
+            yield frame[[key, "query", "answer"]]
+
+    known = rows.where(F.trim("context") != "").mapInPandas(run, f"`{key}` {kind}, query string, answer string")
+    return known.unionByName(rows.where(F.trim("context") == "").select(key, "query", F.lit(NO_CONTEXT).alias("answer")))
+
+
 def embed(rows: DataFrame, make: Callable[[], Embedder], text: str = "chunk_text", prefix: str = "", batch: int = 32, out: str = "vector") -> DataFrame:
     """rows with unit vectors of a text column; a blank text has the zero vector. make() runs once for each task."""
     columns = [c for c in rows.columns if c != out]

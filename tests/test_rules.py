@@ -309,6 +309,32 @@ def test_embedding_plugin(spark):
     assert got == {"a": [1.0, 0.0], "b": [0.0, 0.0], "c": [0.0, 0.0]}
 
 
+def test_answer_plugin(spark):
+    from sievework.operators.context import NO_CONTEXT
+
+    class Echo:
+        def answer(self, questions, contexts):
+            return [f"{q}: {c}" for q, c in zip(questions, contexts)]
+
+    q = spark.createDataFrame([("a", "why"), ("b", "who")], "query_id string, query string")
+    c = spark.createDataFrame([("a", "so")], "query_id string, context string")
+    assert {r["query_id"]: r["answer"] for r in plugins.answers(q, c, Echo).collect()} == {"a": "why: so", "b": NO_CONTEXT}
+
+
+def test_captions_and_entities(spark):
+    class Eye:
+        def describe(self, images):
+            return [None if i is None else f"{len(i)} bytes" for i in images]
+
+    class Names:
+        def extract(self, texts):
+            return [[("Ann", "PERSON"), ("5", "MONEY")] if t else [] for t in texts]
+
+    df = spark.createDataFrame([("x", bytearray(b"abc"), "t"), ("y", None, None)], "chunk_id string, content binary, chunk_text string")
+    assert {r["chunk_id"]: r["caption"] for r in plugins.captions(df, Eye).collect()} == {"x": "3 bytes", "y": None}
+    assert {(r["entity_name"], r["entity_value"]) for r in plugins.entities(df, Names).collect()} == {("Ann", None), ("5", "5")}
+
+
 def test_overwrite_of_what_is_read(spark, tmp_path):
     path = str(tmp_path / "t")
     stores.append(spark.range(5), path)
