@@ -50,6 +50,8 @@ NAMES = frozenset(
 )
 #: These name the page's head outside an article; inside it they hold its title.
 HEADERS = frozenset("header topbar".split())
+#: Classes that say what an element has or is filed under, not what it is.
+STATES = re.compile(r"(?:has|with|without|no|is|category|tag|type|status|format|lang)[-_]|.*[-_](?:open|closed|enabled|disabled|on|off)\Z", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟¡¿]")
@@ -67,16 +69,20 @@ def named_outside(attributes: str, inside: bool) -> bool:
             if "display:none" in value.replace(" ", "").lower():
                 return True
             continue
-        words = {w.lower() for w in WORD.findall(value)}
+        words = {w.lower() for part in value.split() if not STATES.match(part) for w in WORD.findall(part)}
         if words & NAMES or not inside and words & HEADERS:
             return True
     return False
 
 
+#: Outside by name only.
+NAMED = "named"
+
+
 def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
     """Blocks [text, element, is outside, characters in links], and elements (parent, name)."""
     elements: list[tuple[int, str]] = [(-1, "#")]
-    stack: list[tuple[str, int, bool, bool]] = [("#", 0, False, False)]  # name, element, outside, in an article
+    stack: list[tuple[str, int, bool | str, bool]] = [("#", 0, False, False)]  # name, element, outside, in an article
     blocks: list[list] = []
     parts: list[str] = []
     linked = links = 0
@@ -137,7 +143,10 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
             inside = inside or name in ("article", "main")
             elements.append((parent, name))
             attributes = m[4]
-            out = out or name in OUTSIDE or name == "header" and not inside or len(attributes) > 5 and name not in ("html", "body") and named_outside(attributes, inside)
+            if name in OUTSIDE or name == "header" and not inside:
+                out = True
+            elif not out and len(attributes) > 5 and name not in ("html", "body") and named_outside(attributes, inside):
+                out = NAMED
             if not attributes.endswith("/>"):
                 stack.append((name, len(elements) - 1, out, inside))
         _, owner, outside, _ = stack[-1]
@@ -164,7 +173,9 @@ def main_text(page: str | None) -> str:
         paths.append(ids.setdefault((paths[parent] if parent >= 0 else -1, name), len(ids)))
     inside = [b for b in blocks if not b[2]]
     if not inside:
-        return ""
+        inside = [b for b in blocks if b[2] == NAMED]  # the names must be wrong
+        if not inside:
+            return ""
 
     # Ratios of each path, over all blocks of the page.
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
