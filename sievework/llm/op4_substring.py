@@ -28,7 +28,7 @@ from sievework.llm.common import read, small_batches, worker_store
 from sievework.llm.words import doubled, half_of, joined, names, split, windows
 
 #: Words of a window; bytes of text in a chunk and window names in a bucket, roughly.
-WINDOW, CHUNK, BUCKET = 13, 6 << 20, 4_000_000
+WINDOW, CHUNK, BUCKET = 13, 4 << 20, 3_000_000
 
 
 def within(values: np.ndarray, kept: np.ndarray) -> np.ndarray:
