@@ -165,7 +165,7 @@ class PairIndex:
 
 
 def _index(spec: str) -> PairIndex:
-    kept = worker_store("bpe")
+    kept = worker_store("bpe", arrays=False)
     if spec not in kept:
         kept.clear()
         kept[spec] = PairIndex(spec)
@@ -212,9 +212,24 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: the ids do not leave the worker in between."""
+    spec = _spec(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(spec.value)
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                ids = lists(index.encode(part.column("text").to_pylist()), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(index.decode_lists(ids), pa.string())], ["doc_id", "ids", "decoded"])
+
+    rows = texts(docs, key, text)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents there and back, with digests of ids and text."""
-    both = decode(encode(read(spark, sf_dir, "documents")))
+    both = round_trip(read(spark, sf_dir, "documents"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
