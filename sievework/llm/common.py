@@ -32,28 +32,37 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_store(operator: str) -> dict:
+def worker_store(operator: str, arrays: bool = True) -> dict:
     """A dict that lives as long as the Python worker, across tasks of one operator. Functions are sent by value, so
-    their own globals last one task only. What another operator has left goes, and freed memory back to the system."""
+    their own globals last one task only. What another operator has left goes, and freed memory back to the system; an
+    operator that works on large arrays also has them mapped alone."""
     import pyspark
 
     kept = pyspark.__dict__.setdefault("_worker_store", {})
     if operator not in kept:
         kept.clear()
         kept[operator] = {}
-        trim()
+        trim(arrays)
     return kept[operator]
 
 
-def trim() -> None:
-    """Give freed memory back to the system, where it knows how."""
+def trim(arrays: bool) -> None:
+    """Give freed memory back to the system and, with arrays, large blocks from now on as soon as they are freed, where
+    the C library knows how: a worker runs beside a heap that does not shrink."""
     import ctypes
     import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if arrays:
+        pa.set_memory_pool(pa.system_memory_pool())
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        libc = ctypes.CDLL(None)
+        # Fixed values of the C library: -3 sets the size from which blocks are mapped alone, -1 the free top it keeps.
+        if arrays:
+            libc.mallopt(-3, 1 << 20)
+            libc.mallopt(-1, 8 << 20)
+        libc.malloc_trim(0)
     except (AttributeError, OSError):
         pass
 

@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import byte_chars, joined, materialize, read, slices, texts, worker_store
+from sievework.llm.common import byte_chars, materialize, read, slices, texts, worker_store
+from sievework.llm.words import split
 
 CAPACITY = 2048
 END = 0
-#: Groups of large lengths, and the smallest large length as a share of the capacity.
-GROUPS, LARGE = 32, 0.4
-#: Share of the capacity that patterns leave free, so that the room beside large pieces is one that small ones can fill.
-SPARE = 1 / 8
+#: Settings that the plan is tried with; the one with the fewest sequences is taken. Groups of large lengths; smallest
+#: large length; share of the capacity that patterns leave free, so that the room beside large pieces is one that small
+#: ones can fill: it pays where there are many small pieces.
+SETTINGS = ((32, 0.4, 1 / 8), (32, 0.4, 1 / 4), (96, 0.4, 0.0))
 #: Words that a worker remembers, and marks that may follow a plain word.
 CACHE, MARKS = 400_000, ".,;:!?#$%&*|)"
 #: Pieces that get their ranks in one bucket, roughly.
@@ -54,11 +55,16 @@ class WordIds:
         self.symbols = {c: "".join(map(byte_chars().__getitem__, chr(c).encode())) for c in range(128, 0x3000)}
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, batch: list[str]) -> list[bytes]:
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text. Words end at white space for this kind of tokenizer, wherever else they end."""
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        # Words end at blanks and line ends for this kind of tokenizer, wherever else they end.
-        return joined(self.known, [t.replace("\n", " ").split(" ") for t in batch], self.learn)
+        edges, codes, dictionary = split(column)
+        words = dictionary.to_pylist()
+        self.learn({w for w in words if w not in self.known})
+        ids = list(map(self.known.__getitem__, words)).__getitem__
+        said = codes.tolist()
+        return [b"".join(map(ids, said[a:b])) for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
     def learn(self, words: set[str]) -> None:
         """A plain word needs no rules for parting: it is lower-cased and given to the model, and marks after it are a
@@ -66,8 +72,8 @@ class WordIds:
         known, plain = self.known, {}
         for w in words:
             core = w.rstrip(MARKS)
-            if core.isalpha() and max(core) < "\u0250" and (low := core.lower()).isalpha():
-                plain[w] = (low, w[len(core) :])
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and core.lower().isalpha()):
+                plain[w] = (core.lower(), w[len(core) :])
         other = list(words.difference(plain).union(end for _, end in plain.values()).difference(known))
         known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
         of, symbols = self.tokenizer.model.tokenize, self.symbols
@@ -87,14 +93,14 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        store = worker_store("packing")
+        store = worker_store("packing", arrays=False)
         if store.get("word_spec") != spec.value:
             store.update(word_spec=spec.value, word_ids=WordIds(spec.value))
         end, width = np.array([END], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 rows, cuts = [], []
-                for r, ids in enumerate(store["word_ids"].encode(part.column("text").to_pylist())):
+                for r, ids in enumerate(store["word_ids"].encode(part.column("text"))):
                     ids += end
                     for a in range(0, len(ids), width):
                         rows.append((r, a))
@@ -158,7 +164,12 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.n
     return columns, x
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE, spare: float = SPARE) -> tuple[np.ndarray, int]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, settings: tuple[tuple[int, float, float], ...] = SETTINGS) -> tuple[np.ndarray, int]:
+    """The plan of the best setting."""
+    return min((grouped(counts, capacity, *x) for x in settings), key=lambda found: found[1])
+
+
+def grouped(counts: dict[int, int], capacity: int, groups: int, large: float, spare: float) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, pieces, first sequence, offset) that place every piece, and the number of sequences."""
     runs: list[tuple[int, int, int, int, int]] = []
     used: dict[int, int] = defaultdict(int)
@@ -248,14 +259,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces with doc_id, piece and length (from 1 to the capacity)."""
     total = pieces.count()
     buckets = max(64, total // BUCKET)
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("_bucket", "length").agg(F.count("*").alias("_n"))
     by_length = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    runs, _ = plan(by_length, capacity, groups)
+    runs, _ = plan(by_length, capacity)
     sent = pieces.sparkSession.sparkContext.broadcast(runs)  # bounded by the capacity
 
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
