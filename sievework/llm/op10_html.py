@@ -56,6 +56,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟¡¿]")
 DISCUSSION = re.compile(r"\W*(?:\d+\s+)?(?:reader |user )?(?:comments?|kommentare?|commentaires?|comentarios?|leserkommentare|responses?|leave a (?:comment|reply))\W*(?:\(?\d+\)?)?\W*\Z", re.I)
+#: Levels of headings.
+LEVELS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "header": 6, "hgroup": 6}
 #: Share of the selected text that the article's container holds, share of links above which an unselected block is dropped, and threshold in standard deviations.
 SHARE, LINKS, SPREAD = 0.95, 0.66, 0.5
 
@@ -86,15 +88,15 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
     blocks: list[list] = []
     parts: list[str] = []
     linked = links = 0
-    skipped: set[int] = set()
+    discussions: list[int] = []  # blocks
 
     def flush() -> None:
         nonlocal links
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
                 blocks.append([text, owner, outside, links])
-                if len(text) < 60 and elements[owner][1][:1] == "h" and DISCUSSION.match(text):
-                    skipped.add(elements[owner][0])
+                if len(text) < 60 and elements[owner][1] in LEVELS and DISCUSSION.match(text):
+                    discussions.append(len(blocks) - 1)
             parts.clear()
         links = 0
 
@@ -153,12 +155,20 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
     if at < len(page):
         parts.append(page[at:])
     flush()
-    if skipped:
-        for b in blocks:
-            e = b[1]
-            while e > 0 and not b[2]:
-                b[2] = e in skipped and elements[e][1] not in ("body", "html", "article", "main")
+    # A discussion goes on to the end of its heading's parent or to the next heading of its level or a higher one.
+    for first in discussions:
+        parent, name = elements[blocks[first][1]]
+        if elements[parent][1] in ("#", "body", "html", "article", "main"):
+            continue
+        for i in range(first, len(blocks)):
+            e = blocks[i][1]
+            if i > first and LEVELS.get(elements[e][1], 7) <= LEVELS[name]:
+                break
+            while e > parent:
                 e = elements[e][0]
+            if e != parent:
+                break
+            blocks[i][2] = True
     return blocks, elements
 
 

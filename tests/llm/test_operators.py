@@ -414,6 +414,17 @@ def test_main_text(body, want):
     assert op10_html.main_text(f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}") == want
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div class=post><h1>Head</h1>{ARTICLE}<h3>3 Comments</h3><p>Nice, post. Really.</p></div>", f"Head {PLAIN}"),
+        (f"<div><section><h1>Head</h1>{ARTICLE}<h2>Responses</h2><p>Many, they say. So it is.</p><h3>More</h3><p>And, more. Yes.</p><h2>Outlook</h2>{ARTICLE}</section></div>", f"Head {PLAIN} Outlook {PLAIN}"),
+    ],
+)
+def test_discussion_takes_nothing_before_its_heading(body, want):
+    assert op10_html.main_text(f"<html><body>{body}") == want
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "a, b. " * 20_000), (3, "u", "plain"), (None, "u", "<")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((r["page_id"] or 0, len(r["text"])) for r in op10_html.extract(df).collect())
