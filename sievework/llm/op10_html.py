@@ -2,8 +2,8 @@
 
 A page is read as a list of blocks, each with the path of elements from the root to it. Text length (without links)
 and punctuation are summed by path and divided by the path's blocks; the two ratios are smoothed along the page, fused
-into one score, and paths over a threshold are content. The smallest container that holds nearly all the selected
-text is the article: its blocks are kept in page order, headings and short ones too, as far as neither their element
+into one score, and paths over a threshold are content. The article or main element that holds most of the selected text,
+or else the smallest container of all of it, is the article: its blocks are kept in page order, headings and short ones too, as far as neither their element
 (menus, headers and footers, asides, forms) nor its class, id or role names it as something else.
 
 Cases: null or empty html, or html without text, gives ''. Unclosed and misnested tags, comments, scripts and
@@ -58,8 +58,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟¡¿]")
 DISCUSSION = re.compile(r"\W*(?:\d+\s+)?(?:reader |user )?(?:comments?|kommentare?|commentaires?|comentarios?|leserkommentare|responses?|leave a (?:comment|reply))\W*(?:\(?\d+\)?)?\W*\Z", re.I)
 #: Levels of headings.
 LEVELS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "header": 6, "hgroup": 6}
-#: Share of the selected text that the article's container holds, share of links above which an unselected block is dropped, and threshold in standard deviations.
-SHARE, LINKS, SPREAD = 0.95, 0.66, 0.5
+#: Share of links above which an unselected block is dropped, and threshold in standard deviations.
+LINKS, SPREAD = 0.66, 0.5
 
 
 def named_outside(attributes: str, inside: bool) -> bool:
@@ -215,7 +215,8 @@ def main_text(page: str | None) -> str:
             yield e
             e = elements[e][0]
 
-    # The article: the deepest container with nearly all selected text; an article element wins over its surroundings.
+    # The article: an element that says so and holds most of the selected text, if no other one beside it holds much of
+    # it; else the deepest container with all of it.
     held: dict[int, int] = defaultdict(int)
     marked: dict[int, int] = defaultdict(int)
     for text, e, _, links in inside:
@@ -226,13 +227,12 @@ def main_text(page: str | None) -> str:
                     held[k] += size
                 if elements[k][1] in ("article", "main"):
                     marked[k] += size
-    pool = held
-    if marked and (top := max(marked, key=lambda k: (marked[k], -k))) is not None and marked[top] * 2 > max(marked.values()):
-        near = [k for k in marked if marked[k] * 3 >= marked[top]]
-        if len({next(iter(ancestors(k))) for k in near}) == 1 or len(near) == 1:
-            pool = {k: v for k, v in held.items() if top in ancestors(k)}
-    most = max(pool.values())
-    root = max(k for k, v in pool.items() if v >= SHARE * most)
+    root = max(k for k, v in held.items() if v == held[0])
+    if marked:
+        top = max(marked, key=lambda k: (marked[k], -k))
+        beside = any(marked[k] * 3 >= marked[top] and top not in ancestors(k) for k in marked)
+        if marked[top] * 2 > held[0] and not beside:
+            root = top
     return " ".join(text for text, e, _, links in inside if root in ancestors(e) and (paths[e] in content or links <= LINKS * len(text)))
 
 

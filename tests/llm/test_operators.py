@@ -425,6 +425,20 @@ def test_discussion_takes_nothing_before_its_heading(body, want):
     assert op10_html.main_text(f"<html><body>{body}") == want
 
 
+@pytest.mark.parametrize("times", [1, 40])
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><h1>Head</h1><p>Lead, in short. Yes.</p><div>{}</div></article>", "Head Lead, in short. Yes. {}"),
+        ("<main><section><p>First, a short one. Of two parts.</p></section><section>{}</section></main>", "First, a short one. Of two parts. {}"),
+        ("<div><section><p>First, a short part of two, with words. Another one.</p></section><section>{}</section></div>", "First, a short part of two, with words. Another one. {}"),
+        ("<div>{}</div><article><p>Teaser, here.</p></article>", "{}"),
+    ],
+)
+def test_length_takes_nothing_from_an_article(body, want, times):
+    assert op10_html.main_text("<html><body>" + body.format(ARTICLE * times)) == want.format(" ".join([PLAIN] * times))
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "a, b. " * 20_000), (3, "u", "plain"), (None, "u", "<")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((r["page_id"] or 0, len(r["text"])) for r in op10_html.extract(df).collect())
