@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Every vector is scaled into the unit ball and lifted by one coordinate onto the sphere, which turns the largest inner
-product into the smallest distance. A table cuts K random projections into cells of width W; the cells of a vector
+product into the smallest distance. Lengths fall into bands, each half as long as the one above and scaled by its own
+upper end, so that a few long vectors do not press the others together. A table cuts K random projections into cells of width W; the cells of a vector
 name its bucket. A query visits its own bucket and those with a few cells moved by one or two, in the order of their
 estimated chance to hold a neighbour (least squared distance from the query to the moved cells), PROBES in each table.
-Everything found in a bucket is scored exactly on the original vectors, and the best of all tables are merged.
+Everything found in a bucket is scored exactly on the original vectors, and the best of all tables are merged. A query
+that has found fewer than k, and fewer than there are, is compared with all vectors in blocks.
 
 Every vector is indexed; nothing is fitted but the greatest length of a vector. Buckets of any size are handled: rows
 and queries of a bucket are dealt into blocks of about BLOCK by their number, and each block of rows meets each block
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import materialize, read
-from sievework.llm.vectors import clean, matrix
+from sievework.llm.vectors import QUERIES, ROWS, blocks, clean, matrix, meet
 
 TABLES, K, W, PROBES, SEED = 4, 5, 2.0, 36, 7
 #: Rows of a bucket that are scored together, roughly.
@@ -85,7 +87,8 @@ def hashed(vectors: DataFrame, longest: float, query: bool, k: int, w: float, ta
                     if query:
                         lifted = np.column_stack([x / norm[:, None], np.zeros(len(x))])
                     else:
-                        y = x / longest
+                        bands = 2.0 ** np.floor(np.log2(np.maximum(longest / norm, 1)))
+                        y = x * (bands / longest)[:, None]
                         lifted = np.column_stack([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1)))])
                     place = ((lifted @ a + b) / w).reshape(len(x), tables, k)
                     cells = probes(place, k, n_probes) if query else np.floor(place)[:, :, None, :]
@@ -109,6 +112,21 @@ def grouped(rows: DataFrame, name: str, block: int) -> DataFrame:
     return dealt.groupBy(*key, "deal").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("deal")
 
 
+def leading(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """query_id, vec_id, score: each query's k best of a block of candidates."""
+    order = np.argsort(c_ids, kind="stable")
+    c_ids, c = c_ids[order], c[order]
+    for a in range(0, len(q), 512):
+        own, some = q_ids[a : a + 512], q[a : a + 512]
+        s = some @ c.T
+        s[own[:, None] == c_ids[None, :]] = -np.inf
+        least = np.partition(s, -k, axis=1)[:, -k][:, None] if len(c) > k else np.full((len(s), 1), -np.inf)
+        equal = (s == least) & (s > -np.inf)
+        r, at = np.nonzero((s > least) | (equal & (np.cumsum(equal, axis=1) <= k)))
+        exact = (some[r] * c[at]).sum(axis=1)  # one order of summation, whatever the block
+        yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(c_ids[at]), pa.array(exact)], ["query_id", "vec_id", "score"])
+
+
 def best_of(pairs: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score: each query's k best of each pair of blocks."""
 
@@ -116,21 +134,32 @@ def best_of(pairs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 (c_ids, c), (q_ids, q) = ((s.field("id").to_numpy(zero_copy_only=False), matrix(s.field("v"))) for s in (batch.column(n)[i].values for n in ("rows", "asked")))
-                order = np.argsort(c_ids, kind="stable")
-                c_ids, c = c_ids[order], c[order]
-                for a in range(0, len(q), 512):
-                    own, some = q_ids[a : a + 512], q[a : a + 512]
-                    s = some @ c.T
-                    s[own[:, None] == c_ids[None, :]] = -np.inf
-                    least = np.partition(s, -k, axis=1)[:, -k][:, None] if len(c) > k else np.full((len(s), 1), -np.inf)
-                    equal = (s == least) & (s > -np.inf)
-                    r, at = np.nonzero((s > least) | (equal & (np.cumsum(equal, axis=1) <= k)))
-                    exact = (some[r] * c[at]).sum(axis=1)  # one order of summation, whatever the block
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(c_ids[at]), pa.array(exact)], ["query_id", "vec_id", "score"])
+                yield from leading(q_ids, q, c_ids, c, k)
 
     return pairs.select("rows", "asked").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def best_of_all(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k best of each block of all rows."""
+    spark = rows.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (c_ids, c), (q_ids, q) = ((np.frombuffer(row[f"{n}ids"], dtype=np.int64), np.frombuffer(row[f"{n}data"]).reshape(-1, row["dim"])) for n in ("", "q_"))
+                yield from leading(q_ids, q, c_ids, c, k)
+
+    pairs = meet(blocks(queries, QUERIES), blocks(rows, ROWS), parts)
+    return pairs.select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, width: int = K, w: float = W, n_probes: int = PROBES, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query (a condition on `id`), its own row left out."""
     rows = clean(vectors, key, vector).where(F.exists("v", lambda x: x != 0))
@@ -138,10 +167,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     longest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0  # one number
     index = grouped(hashed(rows, longest, False, width, w, tables, n_probes, seed), "rows", BLOCK)
     asked = grouped(hashed(rows.where(is_query), longest, True, width, w, tables, n_probes, seed), "asked", BLOCK)
-    found = best_of(index.join(asked, ["dim", "tab", "bucket"]), k)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = materialize(ranked(best_of(index.join(asked, ["dim", "tab", "bucket"]), k), k))
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
+    have = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("have"))
+    few = rows.where(is_query).withColumn("dim", F.size("v")).join(F.broadcast(sizes), "dim").join(have, "id", "left")
+    few = materialize(few.where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("id", "v"))
+    if few.isEmpty():
+        return found
+    rest = found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*found.columns)
+    return rest.unionByName(ranked(best_of_all(few, rows, k), k))
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

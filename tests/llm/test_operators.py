@@ -115,6 +115,40 @@ def test_neighbours_recall_on_test_table(spark):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize(("n", "dim", "k"), [(10, 64, 20), (300, 64, 1000), (2, 3, 5), (1, 3, 5)])
+def test_neighbours_of_small_tables_are_complete(spark, n, dim, k):
+    x = dict(enumerate(np.random.default_rng(4).normal(size=(n, dim))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in op2_ann.neighbours(df, F.lit(True), k).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = exact(x, lambda a, b: float((a * b).sum()), x, k)
+    assert all(got[q] == [c for c, _ in want[q]] for q in x)
+
+
+@pytest.mark.parametrize("norms", ["one long", "skewed"])
+def test_neighbours_recall_with_uneven_lengths(spark, norms):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "one long":
+        x[5] *= 100
+    else:
+        x *= rng.lognormal(0, 1, 2000)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in op2_ann.neighbours(df, F.col("id") % 10 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, 2000, 10):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == 20
+        recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    print(norms, np.mean(recall))
+    assert np.mean(recall) >= 0.93
+
+
 # ---- 3 ------------------------------------------------------------------------------------------------------------
 
 
