@@ -9,7 +9,13 @@ address ending over the whole corpus, each level smoothed towards the one above
 The text model is fitted on a bounded sample: SAMPLE documents, in hash order, of each of the LANGUAGES most frequent
 languages that the labels name. All sums of the corpus cover every row.
 
-A document is rejected if no language reaches CERTAIN or if its text has no letters. Cases: a null or empty text has
+Beside the languages stands an unknown one, whose trigrams are each as likely as the middle (of logarithms) between a
+typical trigram of the text's best language and one that no sample has; the latter is charged alike in all languages.
+It takes its share of every posterior, so that texts in languages that the labels do not name, and gibberish, neither
+count as evidence nor reach CERTAIN.
+
+A document is rejected if no language reaches CERTAIN or if its text has no letters. lang is the likeliest of the
+languages even then; text_lang is null if the text alone is likelier unknown. Cases: a null or empty text has
 no text evidence, is decided by the rest, and is rejected for want of letters; a null declared language, url or host
 is no evidence. Without labels no language is known and everything is rejected. Repeated rows are decided alike. Other
 columns of the input are not read.
@@ -38,6 +44,8 @@ SAMPLE, LANGUAGES = 300, 64
 TEMPER, LONGEST = 0.3, 2000
 #: Smoothing of counts, strength of a prior's parent, and least posterior of an accepted language.
 ALPHA, STRENGTH, CERTAIN = 0.5, 5.0, 0.6
+#: Prior of the unknown language.
+STRANGE = 0.01
 CACHE = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Endings of hosts in a country with one main language.
@@ -54,20 +62,25 @@ class Trigrams:
         grams = sorted(set().union(*counts)) if counts else []
         self.at = {g: i for i, g in enumerate(grams)}
         n = len(grams) + 1
-        self.table = np.zeros((n, len(self.languages)))
-        for j, c in enumerate(counts):
-            total = sum(c.values()) + ALPHA * n
-            self.table[:, j] = math.log(ALPHA / total)
+        totals = [sum(c.values()) + ALPHA * n for c in counts]
+        floor = math.log(ALPHA / max(totals, default=1.0))
+        self.table = np.full((n, len(self.languages)), floor)
+        self.unknown = np.full(len(self.languages), floor)  # of a trigram, by the text's best language
+        for j, (c, total) in enumerate(zip(counts, totals)):
             for g, k in c.items():
                 self.table[self.at[g], j] = math.log((k + ALPHA) / total)
+            if c:
+                typical = sum(k * self.table[self.at[g], j] for g, k in c.items()) / sum(c.values())
+                self.unknown[j] = (typical + floor) / 2
 
     @staticmethod
     def of(word: str) -> list[str]:
         w = f" {word} "
         return [w[i : i + 3] for i in range(len(w) - 2)]
 
-    def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) of mean log likelihood times the tempered number of trigrams, and letters of each text."""
+    def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, languages) of mean log likelihood times the tempered number of trigrams, the same of the unknown
+        language, and letters of each text."""
         edges, codes, dictionary = split(column)
         words = dictionary.to_pylist()
         n = len(self.languages)
@@ -91,7 +104,9 @@ class Trigrams:
         whole = np.concatenate([np.zeros((1, n + 2)), np.cumsum(facts[place][codes], axis=0)])
         total = whole[edges[1:]] - whole[edges[:-1]]
         size = total[:, n : n + 1]
-        return total[:, :n] / np.maximum(size, 1) * np.minimum(size, LONGEST) * TEMPER, np.rint(total[:, n + 1]).astype(np.int64)
+        known = total[:, :n] / np.maximum(size, 1) * np.minimum(size, LONGEST) * TEMPER
+        unknown = self.unknown[known.argmax(axis=1)] * np.minimum(size[:, 0], LONGEST) * TEMPER
+        return known, unknown, np.rint(total[:, n + 1]).astype(np.int64)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Trigrams:
@@ -127,7 +142,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     spark = small_batches(rows).sparkSession
     languages = model.languages
     sent = spark.sparkContext.broadcast(model)  # bounded by SAMPLE and LANGUAGES
-    kept = [f for f in rows.schema if f.name not in ("text", "markup", "likelihood", "letters")]
+    kept = [f for f in rows.schema if f.name not in ("text", "markup", "likelihood", "unknown", "letters")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,19 +150,20 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
                 said = part.column("text")
                 if (pages := part.column("markup").to_pylist()).count(True):
                     said = pa.array([main_text(t) if page else t for t, page in zip(said.to_pylist(), pages)], pa.string())
-                found, letters = sent.value.likelihoods(said)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(list(found), pa.list_(pa.float64())), pa.array(letters)], [*(f.name for f in kept), "likelihood", "letters"])
+                found, unknown, letters = sent.value.likelihoods(said)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(list(found), pa.list_(pa.float64())), pa.array(unknown), pa.array(letters)], [*(f.name for f in kept), "likelihood", "unknown", "letters"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, letters long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, unknown double, letters long"
     read_ = rows.select(*(f.name for f in kept), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("markup", F.lit(False)).alias("markup"))
     if not languages:
         return read_.drop("text", "markup").select("*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
     told = materialize(read_.mapInArrow(run, schema))
 
-    # What each row's text says alone, as shares of the languages; texts without letters say nothing.
+    # What each row's text says alone, as shares of the languages and the unknown one; texts without letters say nothing.
     peak = F.array_max("likelihood")
     raised = F.transform("likelihood", lambda x: F.exp(x - F.array_max("likelihood")))
-    share = F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    strange = F.exp(F.col("unknown") - peak)
+    share = F.transform(raised, lambda x: x / (F.aggregate(raised, F.lit(0.0), lambda a, y: a + y) + strange))
     sums = [F.sum(F.when(F.col("letters") > 0, share[i]).otherwise(0.0)).alias(f"n{i}") for i in range(len(languages))]
     site = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     placed = told.withColumn("site", F.when(site != "", site).otherwise(F.col("host"))).withColumn("ending", F.regexp_extract("site", r"([^.]*)$", 1))
@@ -193,8 +209,12 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     fused = joined.withColumn("_logs", logs)
     best = F.call_function("array_position", F.col("_logs"), F.array_max("_logs")).cast("int") - 1
     names = F.array(*(F.lit(x) for x in languages))
-    score = 1 / F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("_logs")))
-    text_lang = F.when(F.col("letters") > 0, F.get(names, F.call_function("array_position", F.col("likelihood"), peak).cast("int") - 1))
+    # The unknown language has a fixed prior and declares anything alike.
+    anything = math.log(1 / (len(languages) + 1))
+    told_any = sum((F.when(F.col(c).isNotNull(), anything).otherwise(0.0) for c in ("declared", "code")), F.lit(math.log(STRANGE)))
+    strange = F.when(F.col("letters") > 0, F.exp(F.col("unknown") + told_any - F.array_max("_logs"))).otherwise(0.0)
+    score = 1 / (F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("_logs"))) + strange)
+    text_lang = F.when((F.col("letters") > 0) & (F.col("unknown") < peak), F.get(names, F.call_function("array_position", F.col("likelihood"), peak).cast("int") - 1))
     out = fused.select(*(f.name for f in kept), F.get(names, best).alias("lang"), score.alias("score"), text_lang.alias("text_lang"), "letters")
     return out.withColumn("accepted", (F.col("score") >= CERTAIN) & (F.col("letters") > 0)).drop("letters")
 

@@ -341,6 +341,35 @@ def test_language_edge_cases(spark):
     assert op7_language.identify(op7_language.evidence_of_documents(empty(df)), model).count() == 0
 
 
+STRANGE = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "consonants": " ".join("".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=7)) for i in range(40)),
+    "letters": " ".join("".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for i in range(40)),
+}
+MODELLED = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
+}
+
+
+@pytest.mark.parametrize("declared", [None, "en", "xx"])
+def test_unmodelled_languages_and_gibberish_are_rejected(spark, declared):
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet")
+    model = op7_language.fit(docs)
+    some = docs.where("doc_id % 5 = 0")
+    host = some.first()["source"]
+    rows = [(10_000_000 + i, t, declared, host, len(t)) for i, t in enumerate(STRANGE.values())]
+    rows += [(20_000_000 + i, t, x, host, len(t)) for i, (x, t) in enumerate(MODELLED.items())]
+    both = some.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = op7_language.identify(op7_language.evidence_of_documents(both), model).toPandas().set_index("doc_id")
+    assert {x: got.accepted[10_000_000 + i] for i, x in enumerate(STRANGE)} == dict.fromkeys(STRANGE, False)
+    assert all(got.accepted[20_000_000 + i] and got.lang[20_000_000 + i] == x for i, x in enumerate(MODELLED))
+    assert got.accepted[got.index < 10_000_000].mean() > 0.98
+
+
 def test_language_evidence_adds_up(spark):
     """Without text, the declared language, the address and the host decide."""
     rows = [("the and of that " * 9, "en", "a.example.com", "en"), ("der die und das " * 9, "de", "b.example.de", "de")] * 30
