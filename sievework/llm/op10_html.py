@@ -7,7 +7,8 @@ or else the smallest container of all of it, is the article: its blocks are kept
 (menus, headers and footers, asides, forms) nor its class, id or role names it as something else.
 
 Cases: null or empty html, or html without text, gives ''. Unclosed and misnested tags, comments, scripts and
-character references are handled; nothing is cut from a long page. Rows are independent, so repeated rows give
+character references are handled; nothing is cut from a long page. Frames, drawings, objects, templates and what stands for
+scripts are left out with their content if they end; without an end tag only the tag itself is. A head needs no end. Rows are independent, so repeated rows give
 repeated results; only three columns of the input are read.
 """
 
@@ -27,11 +28,20 @@ from sievework.llm.common import read, slices, small_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|object|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements that are left out with all they hold, once they end, and what may hide their tags.
+WHOLE = frozenset("noscript template iframe svg object".split())
+ENDED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)(noscript|template|iframe|svg|object)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)",
+    re.S | re.I,
+)
+#: Elements that a drawing can't hold outside a foreignObject: one of them means that its end tag is missing.
+BREAKOUT = re.compile(r"</?(?:p|div|h[1-6]|ul|ol|li|dl|table|body|article|main|section|blockquote|pre)\b|(<foreignobject\b)", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article's text.
@@ -81,6 +91,27 @@ def named_outside(attributes: str, inside: bool) -> bool:
 NAMED = "named"
 
 
+def ends_of(page: str) -> dict[int, int]:
+    """Where elements of WHOLE that end begin and end. An end tag belongs to the latest open tag of its name."""
+    found: dict[int, int] = {}
+    open_: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for m in ENDED.finditer(page):
+        if m[3] is None:
+            continue
+        name = m[3].lower()
+        if m[2]:
+            if open_[name]:
+                start, inner = open_[name].pop()
+                out = BREAKOUT.search(page, inner, m.start()) if name == "svg" else None
+                if out is None or out[1]:
+                    found[start] = m.end()
+        elif name in ("svg", "object") and m[4].endswith("/>"):
+            found[m.start()] = m.end()
+        else:
+            open_[name].append((m.start(), m.end()))
+    return found
+
+
 def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
     """Blocks [text, element, is outside, characters in links], and elements (parent, name)."""
     elements: list[tuple[int, str]] = [(-1, "#")]
@@ -93,15 +124,17 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
     def flush() -> None:
         nonlocal links
         if parts:
-            if text := " ".join(entities.unescape("".join(parts)).split()):
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if text and elements[owner][1] != "title":
                 blocks.append([text, owner, outside, links])
                 if len(text) < 60 and elements[owner][1] in LEVELS and DISCUSSION.match(text):
                     discussions.append(len(blocks) - 1)
             parts.clear()
         links = 0
 
+    ends_at = ends_of(page)
     owner, outside, at = 0, False, 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -112,6 +145,9 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
         if name is None:
             continue
         name = name.lower()
+        if name in WHOLE and m.start() in ends_at:
+            at = ends_at[m.start()]
+            continue
         if m[2]:
             if name in INLINE:
                 linked = max(0, linked - (name == "a"))
@@ -131,7 +167,10 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
         else:
             flush()
             linked = 0
-            if name in VOID:
+            if stack[-1][0] == "title":
+                stack.pop()
+                _, owner, outside, _ = stack[-1]
+            if name in VOID or name == "head":
                 continue
             ends = ENDS.get(name, ()) if name not in CLOSES_P else ("p",)
             if ends:

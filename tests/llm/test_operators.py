@@ -502,6 +502,30 @@ def test_length_takes_nothing_from_an_article(body, want, times):
     assert op10_html.main_text("<html><body>" + body.format(ARTICLE * times)) == want.format(" ".join([PLAIN] * times))
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><script>x</script><body><article>{}</article>", "{}"),
+        ("<html><head><title>t</title><style>p{{}}</style><noscript><p>No, not this.</p></noscript></head><body>{}</body>", "{}"),
+        ("<head><title>t<body>{}", "{}"),
+        ("<head><meta name=a><title>t</title>{}", "{}"),
+        ('<body><svg class="x" />{}<svg><text>no</text></svg>', "{}"),
+        ("<body><svg/>{}", "{}"),
+        ("<body><svg><path d='M0 0'>{}<svg><title>no</title></svg>", "{}"),
+        ("<body><svg><path d='M0 0'>{}</svg>", "{}"),
+        ("<body><svg><foreignObject><p>No, not this.</p></foreignObject></svg>{}", "{}"),
+        ('<body><object data="a>b" />{}<object><p>No, not this.</p></object>', "{}"),
+        ("<body><object data=a><object data=b><p>No, not this.</p></object><p>Nor, this. No.</p></object>{}", "{}"),
+        ("<body><object data=a>{}", "{}"),
+        ("<body><iframe src=a>{}<iframe src=b></iframe>", "{}"),
+        ("<body><noscript><img src=a>{}", "{}"),
+        ("<body><template><p>No, not this.</p></template>{}<script>var x = '<svg>'", "{}"),
+    ],
+)
+def test_missing_end_tags_take_no_text(page, want):
+    assert op10_html.main_text(page.format(ARTICLE)) == want.format(PLAIN)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "a, b. " * 20_000), (3, "u", "plain"), (None, "u", "<")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((r["page_id"] or 0, len(r["text"])) for r in op10_html.extract(df).collect())
