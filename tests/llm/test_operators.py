@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR, rows_of
 from pyspark.sql import functions as F
@@ -171,6 +172,22 @@ def test_quality_learns_nothing_from_held_out_labels(spark, docs):
     assert len(one) == docs.count()
 
 
+def test_quality_reads_whole_texts_without_blanks():
+    rng = random.Random(2)
+    kinds = ("的一是在不了有和人这中大为上个国我以要他", "買銷售廣告優惠免費點擊註冊特價限時抽獎")
+    head = "文" * 64
+    texts = [head + "".join(rng.choice(kinds[i % 2]) for _ in range(400)) for i in range(120)]
+    y = np.arange(120) % 2
+    space = op3_quality.Space(texts[:80], y[:80], 0.5)
+    got = space.score(pa.array(texts[80:]))
+    assert ((got >= 0.5) == y[80:]).mean() >= 0.95
+    a, b = op3_quality.weights(pa.array(["x" * 100 + "1" * 100, "x" * 100 + "!?" * 50]))
+    assert (a != b).sum() > 4
+    one, two, both = op3_quality.weights(pa.array([texts[0], "a b c", f"{texts[0]} a b c"])) ** 2
+    terms = slice(0, op3_quality.DIM - 2)
+    assert np.allclose(one[terms] + two[terms], both[terms], atol=1e-3)
+
+
 def test_quality_without_labels_or_rows(spark, docs):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     space = op3_quality.fit(docs, none)
