@@ -4,7 +4,8 @@ A page is read as a list of blocks, each with the path of elements from the root
 and punctuation are summed by path and divided by the path's blocks; the two ratios are smoothed along the page, fused
 into one score, and paths over a threshold are content. The article or main element that holds most of the selected text,
 or else the smallest container of all of it, is the article: its blocks are kept in page order, headings and short ones too, as far as neither their element
-(menus, headers and footers, asides, forms) nor its class, id or role names it as something else.
+(menus, headers and footers, asides, forms) nor its class, id or role names it as something else. Inside an article most
+names only ask for more: what is named is left out if its own ratios are low too or it is mostly links.
 
 Cases: null or empty html, or html without text, gives ''. Unclosed and misnested tags, comments, scripts and
 character references are handled; nothing is cut from a long page. Frames, drawings, objects, templates and what stands for
@@ -58,6 +59,12 @@ NAMES = frozenset(
     " newsletter subscribe subscription signup login comment comments commentlist commentary reply replies respond disqus discussion"
     " share sharing social related recommended recommendations trending toolbar pagination pager search skip copyright legal disclaimer complementary contentinfo".split()
 )
+#: Classes and roles that, as a whole, leave no doubt even inside an article.
+CERTAIN = frozenset(
+    "comments comments-area comment-list comment-body commentlist commentary-list disqus_thread disqus-thread sidebar breadcrumb breadcrumbs navbar pagination"
+    " cookie-notice cookie-banner cookie-consent share-buttons social-share sharedaddy adsbygoogle advertisement newsletter-signup navigation".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: These name the page's head outside an article; inside it they hold its title.
 HEADERS = frozenset("header topbar".split())
 #: Classes that say what an element has or is filed under, not what it is.
@@ -72,23 +79,34 @@ LEVELS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "header": 6, "hg
 LINKS, SPREAD = 0.66, 0.5
 
 
-def named_outside(attributes: str, inside: bool) -> bool:
+def named_outside(attributes: str, inside: bool, element: str) -> str:
+    """NAMED, DOUBTED or nothing. An id of a heading, a paragraph or a section is often made of its title."""
+    doubted = ""
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return NAMED
         if key == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
+                return NAMED
+            continue
+        titled = element == "p" or element in HEADINGS
+        if key == "id" and titled:
             continue
         words = {w.lower() for part in value.split() if not STATES.match(part) for w in WORD.findall(part)}
-        if words & NAMES or not inside and words & HEADERS:
-            return True
-    return False
+        if words & NAMES:
+            if not inside and not (key == "id" and element == "section"):
+                return NAMED
+            if key != "id" and not titled and element != "section" and not CERTAIN.isdisjoint(value.lower().split()):
+                return NAMED
+            doubted = DOUBTED
+        elif not inside and words & HEADERS:
+            return NAMED
+    return doubted
 
 
-#: Outside by name only.
-NAMED = "named"
+#: Outside by name only, and maybe so.
+NAMED, DOUBTED = "named", "doubted"
 
 
 def ends_of(page: str) -> dict[int, int]:
@@ -113,9 +131,9 @@ def ends_of(page: str) -> dict[int, int]:
 
 
 def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
-    """Blocks [text, element, is outside, characters in links], and elements (parent, name)."""
+    """Blocks [text, element, is outside, characters in links, doubted element], and elements (parent, name)."""
     elements: list[tuple[int, str]] = [(-1, "#")]
-    stack: list[tuple[str, int, bool | str, bool]] = [("#", 0, False, False)]  # name, element, outside, in an article
+    stack: list[tuple[str, int, bool | str, bool, int]] = [("#", 0, False, False, 0)]  # name, element, outside, in an article, doubted element
     blocks: list[list] = []
     parts: list[str] = []
     linked = links = 0
@@ -126,14 +144,14 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text and elements[owner][1] != "title":
-                blocks.append([text, owner, outside, links])
+                blocks.append([text, owner, outside, links, doubt])
                 if len(text) < 60 and elements[owner][1] in LEVELS and DISCUSSION.match(text):
                     discussions.append(len(blocks) - 1)
             parts.clear()
         links = 0
 
     ends_at = ends_of(page)
-    owner, outside, at = 0, False, 0
+    owner, outside, doubt, at = 0, False, 0, 0
     while m := TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -169,7 +187,7 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
             linked = 0
             if stack[-1][0] == "title":
                 stack.pop()
-                _, owner, outside, _ = stack[-1]
+                _, owner, outside, _, doubt = stack[-1]
             if name in VOID or name == "head":
                 continue
             ends = ENDS.get(name, ()) if name not in CLOSES_P else ("p",)
@@ -180,17 +198,20 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
                         break
                     if stack[k][0] in LIMITS:
                         break
-            _, parent, out, inside = stack[-1]
+            _, parent, out, inside, doubt = stack[-1]
             inside = inside or name in ("article", "main")
             elements.append((parent, name))
             attributes = m[4]
             if name in OUTSIDE or name == "header" and not inside:
                 out = True
-            elif not out and len(attributes) > 5 and name not in ("html", "body") and named_outside(attributes, inside):
-                out = NAMED
+            elif not out and len(attributes) > 5 and name not in ("html", "body") and (named := named_outside(attributes, inside, name)):
+                if named == NAMED:
+                    out = NAMED
+                else:
+                    doubt = doubt or len(elements) - 1
             if not attributes.endswith("/>"):
-                stack.append((name, len(elements) - 1, out, inside))
-        _, owner, outside, _ = stack[-1]
+                stack.append((name, len(elements) - 1, out, inside, doubt))
+        _, owner, outside, _, doubt = stack[-1]
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -228,14 +249,14 @@ def main_text(page: str | None) -> str:
 
     # Ratios of each path, over all blocks of the page.
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for text, e, _, links in blocks:
+    for text, e, _, links, _ in blocks:
         p = paths[e]
         length[p] += max(0, len(text) - links)
         marks[p] += len(PUNCTUATION.findall(text))
         count[p] += 1
-    series = [(length[paths[e]] / count[paths[e]], marks[paths[e]] / count[paths[e]]) for _, e, _, _ in blocks]
+    series = [(length[paths[e]] / count[paths[e]], marks[paths[e]] / count[paths[e]]) for _, e, *_ in blocks]
     total, seen = defaultdict(float), defaultdict(int)
-    for i, (_, e, _, _) in enumerate(blocks):
+    for i, (_, e, *_) in enumerate(blocks):
         score = 0.0
         for k, w in ((i - 1, 0.25), (i, 0.5), (i + 1, 0.25)):
             if 0 <= k < len(series):
@@ -245,6 +266,21 @@ def main_text(page: str | None) -> str:
     fused = {p: total[p] / seen[p] for p in total}
     mean = sum(total.values()) / len(blocks)
     spread = math.sqrt(sum(seen[p] * (fused[p] - mean) ** 2 for p in fused) / len(blocks))
+
+    # What is named inside an article has to reach the threshold by itself, or half the mean where all are alike.
+    doubts: dict[int, list[list]] = defaultdict(list)
+    for b in inside:
+        if b[4]:
+            doubts[b[4]].append(b)
+    low: set[int] = set()
+    for e, named in doubts.items():
+        named = [b for b in named if elements[b[1]][1] not in HEADINGS] or named
+        chars, linked = sum(len(b[0]) for b in named), sum(b[3] for b in named)
+        points = sum(len(PUNCTUATION.findall(b[0])) for b in named)
+        ratio = math.log1p(max(0, chars - linked) / len(named)) * math.log1p(1 + points / len(named))
+        if ratio < min(mean - SPREAD * spread, mean / 2) or linked > LINKS * chars:
+            low.add(e)
+    inside = [b for b in inside if b[4] not in low] or inside
     own = {paths[b[1]] for b in inside}
     least = min(mean - SPREAD * spread, max(fused[p] for p in own))
     content = {p for p in own if fused[p] >= least}
@@ -258,7 +294,7 @@ def main_text(page: str | None) -> str:
     # it; else the deepest container with all of it.
     held: dict[int, int] = defaultdict(int)
     marked: dict[int, int] = defaultdict(int)
-    for text, e, _, links in inside:
+    for text, e, _, links, _ in inside:
         if paths[e] in content:
             size = max(1, len(text) - links)
             for k in ancestors(e):
@@ -272,7 +308,7 @@ def main_text(page: str | None) -> str:
         beside = any(marked[k] * 3 >= marked[top] and top not in ancestors(k) for k in marked)
         if marked[top] * 2 > held[0] and not beside:
             root = top
-    return " ".join(text for text, e, _, links in inside if root in ancestors(e) and (paths[e] in content or links <= LINKS * len(text)))
+    return " ".join(text for text, e, _, links, _ in inside if root in ancestors(e) and (paths[e] in content or links <= LINKS * len(text)))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

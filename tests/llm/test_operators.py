@@ -543,6 +543,26 @@ def test_missing_end_tags_take_no_text(page, want):
     assert op10_html.main_text(page.format(ARTICLE)) == want.format(PLAIN)
 
 
+LEGAL = "<p>The court, in the end, said that the law holds. It was so decided, and it stands.</p>"
+COURT = "The court, in the end, said that the law holds. It was so decided, and it stands."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article>{0}<section id=discussion><h2 id=related-work>Related work</h2>{1}</section></article>", "{0} Related work {1}"),
+        ("<article>{0}<div class=legal-analysis>{1}</div><p id=social-impact>It is felt, they say, by all. And so on.</p></article>", "{0} {1} It is felt, they say, by all. And so on."),
+        ("<main>{0}<div class='search notice'>{1}{1}</div></main>", "{0} {1} {1}"),
+        ("<main>{0}<div class=legal><p>So it was, then.</p><p>It holds, they say.</p></div></main>", "{0} So it was, then. It holds, they say."),
+        ("<div id=content>{0}<section id=discussion><h2 id=comment>On it</h2>{1}</section></div>", "{0} On it {1}"),
+        ("<article>{0}<div class=share><span>Share</span></div><ul class=related><li><a href=a>One, more. Title of it</a><li><a href=b>Two</a></ul></article>", "{0}"),
+        ("<article>{0}<div class='comments' id=c>{1}</div><div class=promo style='display: none'>{1}</div></article>", "{0}"),
+    ],
+)
+def test_names_alone_take_no_text_of_an_article(body, want):
+    assert op10_html.main_text("<html><body>" + body.format(ARTICLE, LEGAL)) == want.format(PLAIN, COURT)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "a, b. " * 20_000), (3, "u", "plain"), (None, "u", "<")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((r["page_id"] or 0, len(r["text"])) for r in op10_html.extract(df).collect())
