@@ -6,8 +6,8 @@ a country ending of the host), and a prior of its host. What a declared value or
 is learned from the corpus by grouped sums of the text's posteriors, and so are the priors: host over site over
 address ending over the whole corpus, each level smoothed towards the one above it.
 
-The text model is fitted on a bounded sample: SAMPLE documents, in hash order, of each of the LANGUAGES most frequent
-languages that the labels name. All sums of the corpus cover every row.
+The text model is fitted on a bounded sample: up to SAMPLE documents, in hash order, of every language that the labels
+name, fewer of each where many languages would make it more than ROWS in all. Sums of the corpus cover every row.
 
 Beside the languages stands an unknown one, whose trigrams are each as likely as the middle (of logarithms) between a
 typical trigram of the text's best language and one that no sample has; the latter is charged alike in all languages.
@@ -38,15 +38,16 @@ from sievework.llm.common import materialize, read, slices, small_batches, worke
 from sievework.llm.op10_html import main_text
 from sievework.llm.words import split
 
-#: Labelled documents of each language, and languages at most.
-SAMPLE, LANGUAGES = 300, 64
+#: Labelled documents of each language at most, and of all, but at least one of each.
+SAMPLE, ROWS = 300, 19_200
 #: Weight of trigrams, which are not independent; trigrams that count at most for the certainty of a text.
 TEMPER, LONGEST = 0.3, 2000
 #: Smoothing of counts, strength of a prior's parent, and least posterior of an accepted language.
 ALPHA, STRENGTH, CERTAIN = 0.5, 5.0, 0.6
 #: Prior of the unknown language.
 STRANGE = 0.01
-CACHE = 250_000
+#: Numbers that a worker keeps about words, and that it adds up at a time.
+CACHE, CELLS = 1_500_000, 8_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Endings of hosts in a country with one main language.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "ru": "ru", "se": "sv", "dk": "da", "jp": "ja", "cn": "zh", "kr": "ko"}
@@ -63,15 +64,31 @@ class Trigrams:
         self.at = {g: i for i, g in enumerate(grams)}
         n = len(grams) + 1
         totals = [sum(c.values()) + ALPHA * n for c in counts]
-        floor = math.log(ALPHA / max(totals, default=1.0))
-        self.table = np.full((n, len(self.languages)), floor)
-        self.unknown = np.full(len(self.languages), floor)  # of a trigram, by the text's best language
+        self.floor = math.log(ALPHA / max(totals, default=1.0))
+        self.unknown = np.full(len(self.languages), self.floor)  # of a trigram, by the text's best language
+        # Only trigrams that a language has: for each trigram, its languages and how far they are above the floor.
+        of, language, above = [], [], []
         for j, (c, total) in enumerate(zip(counts, totals)):
-            for g, k in c.items():
-                self.table[self.at[g], j] = math.log((k + ALPHA) / total)
+            values = np.array([math.log((k + ALPHA) / total) for k in c.values()])
+            of.append(np.array([self.at[g] for g in c], dtype=np.int64))
+            language.append(np.full(len(c), j))
+            above.append(values - self.floor)
             if c:
-                typical = sum(k * self.table[self.at[g], j] for g, k in c.items()) / sum(c.values())
-                self.unknown[j] = (typical + floor) / 2
+                self.unknown[j] = (np.average(values, weights=list(c.values())) + self.floor) / 2
+        of = np.concatenate([np.zeros(0, np.int64), *of])
+        order = np.argsort(of, kind="stable")
+        self.start = np.searchsorted(of[order], np.arange(n + 1))
+        self.language = np.concatenate([np.zeros(0, np.int64), *language])[order]
+        self.above = np.concatenate([np.zeros(0), *above])[order]
+
+    def sums(self, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(words, languages) of the log likelihoods of each word's trigrams; the last number stands for unseen ones."""
+        n, sizes = len(self.languages), np.diff(ends, prepend=0)
+        many = self.start[grams + 1] - self.start[grams]
+        word = np.repeat(np.repeat(np.arange(len(sizes)), sizes), many)
+        at = np.repeat(self.start[grams] - np.cumsum(many) + many, many) + np.arange(len(word))
+        above = np.bincount(word * n + self.language[at], weights=self.above[at], minlength=len(sizes) * n)
+        return above.reshape(len(sizes), n) + sizes[:, None] * self.floor
 
     @staticmethod
     def of(word: str) -> list[str]:
@@ -86,23 +103,25 @@ class Trigrams:
         n = len(self.languages)
         store = worker_store("language")
         if store.get("of") != self.name or len(store["at"]) + len(words) > len(store["facts"]):
-            store.update(of=self.name, at={}, facts=np.zeros((max(CACHE, len(words)), n + 2)))
+            store.update(of=self.name, at={}, facts=np.zeros((max(CACHE // (n + 2), len(words)), n + 2)))
         at, facts = store["at"], store["facts"]
         missing = [w for w in words if w not in at]
         if missing:
             parts = [LETTERS.findall(w.lower()) for w in missing]
             get = self.at.get
-            grams = [[get(g, -1) for p in ps for g in self.of(p)] for ps in parts]
+            grams = [[get(g, len(self.at)) for p in ps for g in self.of(p)] for ps in parts]
             ends = np.cumsum([len(g) for g in grams])
-            sums = np.concatenate([np.zeros((1, n)), np.cumsum(self.table[np.array([g for gs in grams for g in gs], dtype=np.int64)], axis=0)])
             new = slice(len(at), len(at) + len(missing))
-            facts[new, :n] = np.diff(sums[np.concatenate([[0], ends]).astype(np.int64)], axis=0)
+            facts[new, :n] = self.sums(np.array([g for gs in grams for g in gs], dtype=np.int64), ends)
             facts[new, n] = [len(g) for g in grams]
             facts[new, n + 1] = [sum(map(len, ps)) for ps in parts]
             at.update(zip(missing, range(new.start, new.stop)))
         place = np.fromiter((at[w] for w in words), dtype=np.int64, count=len(words))
-        whole = np.concatenate([np.zeros((1, n + 2)), np.cumsum(facts[place][codes], axis=0)])
-        total = whole[edges[1:]] - whole[edges[:-1]]
+        total, step = np.zeros((len(edges) - 1, n + 2)), max(1, CELLS // (n + 2))
+        for a in range(0, len(codes), step):
+            whole = np.concatenate([np.zeros((1, n + 2)), np.cumsum(facts[place[codes[a : a + step]]], axis=0)])
+            cut = np.clip(edges - a, 0, len(whole) - 1)
+            total += whole[cut[1:]] - whole[cut[:-1]]
         size = total[:, n : n + 1]
         known = total[:, :n] / np.maximum(size, 1) * np.minimum(size, LONGEST) * TEMPER
         unknown = self.unknown[known.argmax(axis=1)] * np.minimum(size[:, 0], LONGEST) * TEMPER
@@ -112,11 +131,11 @@ class Trigrams:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Trigrams:
     """The text model from documents whose language a column names."""
     rows = docs.select(F.col(key).alias("id"), primary(F.col(label)).alias("y")).where("y IS NOT NULL AND id IS NOT NULL")
-    common = [r["y"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES).collect()]
+    each = min(SAMPLE, max(1, ROWS // max(1, rows.select("y").distinct().count())))
     first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(F.col("y").isin(common)).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE).drop("n")
+    chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n")
     samples: dict[str, list[str]] = {}
-    for r in docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").orderBy("id", "t").collect():  # at most SAMPLE * LANGUAGES rows
+    for r in docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").orderBy("id", "t").collect():  # at most ROWS rows, or one of each language
         samples.setdefault(r["y"], []).append(r["t"] or "")
     return Trigrams(samples)
 
@@ -141,30 +160,31 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     which are kept. Adds lang, score, text_lang, accepted."""
     spark = small_batches(rows).sparkSession
     languages = model.languages
-    sent = spark.sparkContext.broadcast(model)  # bounded by SAMPLE and LANGUAGES
-    kept = [f for f in rows.schema if f.name not in ("text", "markup", "likelihood", "unknown", "letters")]
+    sent = spark.sparkContext.broadcast(model)  # bounded by SAMPLE and ROWS
+    kept = [f for f in rows.schema if f.name not in ("text", "markup", "likelihood", "share", "unknown", "letters")]
+    room = max(1 << 16, (6 << 21) // (len(languages) + 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", room):
                 said = part.column("text")
                 if (pages := part.column("markup").to_pylist()).count(True):
                     said = pa.array([main_text(t) if page else t for t, page in zip(said.to_pylist(), pages)], pa.string())
                 found, unknown, letters = sent.value.likelihoods(said)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(list(found), pa.list_(pa.float64())), pa.array(unknown), pa.array(letters)], [*(f.name for f in kept), "likelihood", "unknown", "letters"])
+                # What each row's text says alone, as shares of the languages and the unknown one; texts without letters say nothing.
+                top = np.maximum(found.max(axis=1), unknown)[:, None]
+                share = np.exp(found - top)
+                share = share / (share.sum(axis=1, keepdims=True) + np.exp(unknown[:, None] - top)) * (letters > 0)[:, None]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(list(found), pa.list_(pa.float64())), pa.array(list(share), pa.list_(pa.float64())), pa.array(unknown), pa.array(letters)], [*(f.name for f in kept), "likelihood", "share", "unknown", "letters"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, unknown double, letters long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, share array<double>, unknown double, letters long"
     read_ = rows.select(*(f.name for f in kept), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("markup", F.lit(False)).alias("markup"))
     if not languages:
         return read_.drop("text", "markup").select("*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
     told = materialize(read_.mapInArrow(run, schema))
 
-    # What each row's text says alone, as shares of the languages and the unknown one; texts without letters say nothing.
     peak = F.array_max("likelihood")
-    raised = F.transform("likelihood", lambda x: F.exp(x - F.array_max("likelihood")))
-    strange = F.exp(F.col("unknown") - peak)
-    share = F.transform(raised, lambda x: x / (F.aggregate(raised, F.lit(0.0), lambda a, y: a + y) + strange))
-    sums = [F.sum(F.when(F.col("letters") > 0, share[i]).otherwise(0.0)).alias(f"n{i}") for i in range(len(languages))]
+    sums = [F.sum(F.get("share", F.lit(i))).alias(f"n{i}") for i in range(len(languages))]
     site = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     placed = told.withColumn("site", F.when(site != "", site).otherwise(F.col("host"))).withColumn("ending", F.regexp_extract("site", r"([^.]*)$", 1))
     by_host = materialize(placed.groupBy("host", "site", "ending").agg(*sums))
@@ -178,7 +198,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     whole = [(c + 1) / (sum(counts) + len(counts)) for c in counts]
 
     def smooth(parents: list[Column]) -> list[Column]:
-        size = sum((F.col(c) for c in n), F.lit(0.0))
+        size = F.aggregate(F.array(*n), F.lit(0.0), lambda a, x: a + x)
         return [(F.col(c) + STRENGTH * p) / (size + STRENGTH) for c, p in zip(n, parents)]
 
     p = [f"p{i}" for i in range(len(languages))]
@@ -191,7 +211,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     def reliability(column: str) -> DataFrame:
         value = F.when(F.col(column).isin(languages), F.col(column)).otherwise("other")
         seen = told.where(F.col(column).isNotNull()).groupBy(value.alias(column)).agg(*sums)
-        rows_ = {r[column]: [float(r[c]) for c in n] for r in seen.collect()}  # at most LANGUAGES + 1 rows
+        rows_ = {r[column]: [float(r[c]) for c in n] for r in seen.collect()}  # one row for each language and one
         table, values = [], [*languages, "other"]
         sizes = [sum(r[i] for r in rows_.values()) for i in range(len(n))]
         for v in values:
@@ -206,14 +226,14 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     zero = F.array(*(F.lit(0.0) for _ in languages))
     prior = F.coalesce("prior", F.array(*(F.lit(w) for w in whole)))
     logs = F.zip_with(F.zip_with("likelihood", F.transform(prior, lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(F.coalesce("declared_log", zero), F.coalesce("code_log", zero), lambda a, b: a + b), lambda a, b: a + b)
-    fused = joined.withColumn("_logs", logs)
-    best = F.call_function("array_position", F.col("_logs"), F.array_max("_logs")).cast("int") - 1
+    fused = joined.withColumn("_logs", logs).withColumn("_top", F.array_max("_logs"))
+    best = F.call_function("array_position", F.col("_logs"), F.col("_top")).cast("int") - 1
     names = F.array(*(F.lit(x) for x in languages))
     # The unknown language has a fixed prior and declares anything alike.
     anything = math.log(1 / (len(languages) + 1))
     told_any = sum((F.when(F.col(c).isNotNull(), anything).otherwise(0.0) for c in ("declared", "code")), F.lit(math.log(STRANGE)))
-    strange = F.when(F.col("letters") > 0, F.exp(F.col("unknown") + told_any - F.array_max("_logs"))).otherwise(0.0)
-    score = 1 / (F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("_logs"))) + strange)
+    strange = F.when(F.col("letters") > 0, F.exp(F.col("unknown") + told_any - F.col("_top"))).otherwise(0.0)
+    score = 1 / (F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))) + strange)
     text_lang = F.when((F.col("letters") > 0) & (F.col("unknown") < peak), F.get(names, F.call_function("array_position", F.col("likelihood"), peak).cast("int") - 1))
     out = fused.select(*(f.name for f in kept), F.get(names, best).alias("lang"), score.alias("score"), text_lang.alias("text_lang"), "letters")
     return out.withColumn("accepted", (F.col("score") >= CERTAIN) & (F.col("letters") > 0)).drop("letters")

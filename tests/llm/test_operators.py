@@ -387,6 +387,18 @@ def test_unmodelled_languages_and_gibberish_are_rejected(spark, declared):
     assert got.accepted[got.index < 10_000_000].mean() > 0.98
 
 
+def test_every_declared_language_is_modelled(spark):
+    codes = [f"{a}{b}" for a in "abcdefgh" for b in "jklmnopqr"]  # 72
+    rng = random.Random(3)
+    say = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)] for x in codes}
+    rows = [(x, " ".join(rng.choice(say[x]) for _ in range(40))) for n, x in enumerate(codes) for _ in range(2 + (n < 60))]
+    df = spark.createDataFrame([(i, t, x, "h") for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    model = op7_language.fit(df)
+    assert model.languages == sorted(codes)
+    got = op7_language.identify(op7_language.evidence_of_documents(df), model).toPandas().set_index("doc_id")
+    assert all(got.lang[i] == x and got.accepted[i] for i, (x, _) in enumerate(rows))
+
+
 def test_language_evidence_adds_up(spark):
     """Without text, the declared language, the address and the host decide."""
     rows = [("the and of that " * 9, "en", "a.example.com", "en"), ("der die und das " * 9, "de", "b.example.de", "de")] * 30
