@@ -9,24 +9,26 @@ many pieces from a rank on go into consecutive sequences at one offset. Its size
 is sent to every task, where a piece finds its place by its length and rank.
 
 Cases: a null or empty text is one piece of the end token. Only texts longer than the capacity are cut. Repeated rows
-are packed one by one. An empty table gives no rows; other columns of the input are not read.
+are packed one by one; their pieces are ordered by id, number and checksum, so that a task that runs again gives the
+same places. An empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import byte_chars, materialize, read, slices, texts, worker_store
-from sievework.llm.words import split
+from sievework.llm.words import MARKS, bytes_of, gather, plain, split
 
 CAPACITY = 2048
 END = 0
@@ -34,8 +36,8 @@ END = 0
 #: large length; share of the capacity that patterns leave free, so that the room beside large pieces is one that small
 #: ones can fill: it pays where there are many small pieces.
 SETTINGS = ((32, 0.4, 1 / 8), (32, 0.4, 1 / 4), (96, 0.4, 0.0))
-#: Words that a worker remembers, and marks that may follow a plain word.
-CACHE, MARKS = 400_000, ".,;:!?#$%&*|)"
+#: Bytes of text whose words are encoded together.
+SLICE = 4 << 20
 #: Pieces that get their ranks in one bucket, roughly.
 BUCKET = 100_000
 
@@ -43,8 +45,98 @@ BUCKET = 100_000
 # ---- pieces -------------------------------------------------------------------------------------------------------
 
 
+class Merges:
+    """The merges of a tokenizer file, applied to many words at once, round by round: in each, every word merges the pair
+    of its least rank wherever it stands."""
+
+    def __init__(self, spec: dict):
+        vocab, rules = spec["model"]["vocab"], spec["model"]["merges"]
+        self.vocab, suffix = vocab, spec["model"].get("end_of_word_suffix") or ""
+        parts = [tuple(r) if isinstance(r, list) else tuple(r.split(" ")) for r in rules]
+        left, right, new = (np.array(x, dtype=np.int64) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in parts)))
+        self.width = max(vocab.values()) + 1
+        self.keys, self.new, self.none = left * self.width + right, new.astype(np.int32), len(rules)
+        # A hash table of ranks: a pair stands in its slot or in the next free one.
+        self.bits = max(4, len(rules).bit_length() + 3)
+        self.table = np.full(1 << self.bits, -1, dtype=np.int32)
+        slot, rest = self.slot(self.keys), np.arange(len(rules))
+        while len(rest):
+            free = rest[self.table[slot[rest]] < 0]
+            self.table[slot[free]] = free  # the last one of a slot gets it
+            rest = rest[self.table[slot[rest]] != rest]
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+        #: Whether rounds are right: a merge may only make pairs of later ranks.
+        made = np.full(self.width, -1)
+        np.maximum.at(made, new, np.arange(len(new)))
+        self.sound = bool((np.maximum(made[left], made[right]) < np.arange(len(new))).all())
+        self.of_byte, self.of_last = (np.array([vocab.get(c + end, -1) for c in byte_chars()], dtype=np.int32) for end in ("", suffix))
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or `none`."""
+        key = left.astype(np.int64) * self.width + right
+        slot = self.slot(key)
+        found = self.table[slot]
+        wrong = np.flatnonzero((found >= 0) & (self.keys[found] != key))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
+            found[wrong] = self.table[slot[wrong]]
+            wrong = wrong[(found[wrong] >= 0) & (self.keys[found[wrong]] != key[wrong])]
+        return np.where(found >= 0, found, np.int32(self.none))
+
+    def apply(self, symbols: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (none of them empty), and their edges."""
+        n = len(edges) - 1
+        word = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges))
+        rank = np.full(len(symbols), self.none, dtype=np.int32)
+        rank[:-1] = np.where(word[1:] == word[:-1], self.rank(symbols[:-1], symbols[1:]), self.none)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(word))))
+            ready = least == self.none
+            if ready.any():
+                done.append((word[ready], symbols[ready]))
+                word, symbols, rank, least = (x[~ready] for x in (word, symbols, rank, least))
+            at = np.flatnonzero(rank == least)
+            if not len(at):
+                break
+            # Of overlapping pairs, which are of one symbol, every other one counts.
+            first = np.concatenate([[True], np.diff(at) != 1])
+            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            symbols[at] = self.new[rank[at]]
+            stay = np.ones(len(word), dtype=bool)
+            stay[at + 1] = False
+            place = (np.cumsum(stay) - 1)[at]
+            word, symbols, rank = word[stay], symbols[stay], rank[stay]
+            for left in (place, place[place > 0] - 1):
+                right = np.minimum(left + 1, len(word) - 1)
+                rank[left] = np.where((word[left] == word[right]) & (right > left), self.rank(symbols[left], symbols[right]), self.none)
+        word, ids = (np.concatenate(x) for x in zip((np.zeros(0, np.int32),) * 2, *done))
+        return ids[np.argsort(word, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space: words are encoded once and remembered."""
+    """Ids of texts by a tokenizer that drops white space: each distinct word of a slice of texts is encoded once.
+
+    Plain words (letters, perhaps with marks after them) need no rules for parting: they are lower-cased and merged, all
+    at once, and the marks are a piece of their own. Other words go through the tokenizers library. So do whole texts
+    when the file's rules are not those that this relies on."""
+
+    #: The rules of the tokenizer that words are read by.
+    RULES = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -52,34 +144,61 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.symbols = {c: "".join(map(byte_chars().__getitem__, chr(c).encode())) for c in range(128, 0x3000)}
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, column: pa.Array) -> list[bytes]:
-        """Ids of each text. Words end at white space for this kind of tokenizer, wherever else they end."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
+        rules = json.loads(spec)
+        model = rules["model"]
+        known = all(rules.get(k) == v for k, v in self.RULES.items()) and model["type"] == "BPE"
+        known = known and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        # No added token may be part of a plain word.
+        known = known and all(not t["content"].isalpha() and not set(t["content"]) <= set(MARKS.decode()) for t in rules["added_tokens"])
+        self.merges = Merges(rules) if known else None
+        if self.merges is not None and (not self.merges.sound or min(self.merges.of_byte.min(), self.merges.of_last.min()) < 0):
+            self.merges = None
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the library, and their edges."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], dtype=np.int64), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end token after each, and the edges of texts."""
+        if self.merges is None:
+            found = [self.whole([t]) for t in column.to_pylist()]
+            ids = [x for i, _ in found for x in (i, [END])]
+            return np.concatenate([np.zeros(0, np.int64), *ids]).astype("<u4"), np.concatenate([[0], np.cumsum([len(i) + 1 for i, _ in found])])
         edges, codes, dictionary = split(column)
-        words = dictionary.to_pylist()
-        self.learn({w for w in words if w not in self.known})
-        ids = list(map(self.known.__getitem__, words)).__getitem__
-        said = codes.tolist()
-        return [b"".join(map(ids, said[a:b])) for a, b in zip(edges.tolist(), edges[1:].tolist())]
-
-    def learn(self, words: set[str]) -> None:
-        """A plain word needs no rules for parting: it is lower-cased and given to the model, and marks after it are a
-        piece of their own. Other words go through the whole tokenizer."""
-        known, plain = self.known, {}
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and core.lower().isalpha()):
-                plain[w] = (core.lower(), w[len(core) :])
-        other = list(words.difference(plain).union(end for _, end in plain.values()).difference(known))
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
-        of, symbols = self.tokenizer.model.tokenize, self.symbols
-        for core in {core for core, _ in plain.values()}.difference(known):
-            known[core] = array("I", [t.id for t in of(core if core.isascii() else core.translate(symbols))]).tobytes()
-        known.update((w, known[core] + known[end]) for w, (core, end) in plain.items() if w not in known)
+        ids, at = self.of_words(dictionary)
+        ids, at = np.append(ids, END), np.append(at, at[-1] + 1)  # the end token is one more word
+        codes = np.insert(codes, edges[1:], len(dictionary))
+        out, ends = gather(ids.astype("<u4"), at, codes)
+        return out, ends[edges + np.arange(len(edges))]
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, and their edges."""
+        flat, edges = bytes_of(words)
+        easy, core = plain(flat, edges)
+        at = np.flatnonzero(easy)
+        lower, low = bytes_of(pc.utf8_lower(words.take(pa.array(at))))  # as long as it was
+        size = core[at] - edges[at]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        inside = np.repeat(low[:-1] - cut[:-1], size) + np.arange(cut[-1])
+        symbols = self.merges.of_byte[lower[inside]]
+        symbols[cut[1:] - 1] = self.merges.of_last[lower[inside][cut[1:] - 1]]
+        ids, parts = self.merges.apply(symbols, cut)
+        # Marks and other words through the library; word -> pieces -> ids.
+        data = flat.tobytes()
+        tails = [data[a:b] for a, b in zip(core[at].tolist(), edges[at + 1].tolist())]
+        other = words.filter(pa.array(~easy)).to_pylist()
+        ends = sorted(set(tails))
+        more, more_edges = self.whole([*other, *(t.decode() for t in ends)])
+        ids, parts = np.concatenate([ids, more]), np.concatenate([parts, parts[-1] + more_edges[1:]])
+        end_of = {t: len(at) + len(other) + i for i, t in enumerate(ends)}
+        pieces = np.empty(len(words) + len(at), dtype=np.int64)
+        word_edges = np.concatenate([[0], np.cumsum(1 + easy)])
+        pieces[word_edges[:-1][easy]] = np.arange(len(at))
+        pieces[word_edges[:-1][easy] + 1] = [end_of[t] for t in tails]
+        pieces[word_edges[:-1][~easy]] = len(at) + np.arange(len(other))
+        values, piece_edges = gather(ids, parts, pieces)
+        return values, piece_edges[word_edges]
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -93,22 +212,21 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        store = worker_store("packing", arrays=False)
+        store = worker_store("packing")
         if store.get("word_spec") != spec.value:
             store.update(word_spec=spec.value, word_ids=WordIds(spec.value))
-        end, width = np.array([END], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                rows, cuts = [], []
-                for r, ids in enumerate(store["word_ids"].encode(part.column("text"))):
-                    ids += end
-                    for a in range(0, len(ids), width):
-                        rows.append((r, a))
-                        cuts.append(ids[a : a + width])
-                at = pa.array([r for r, _ in rows], pa.int64())
-                start = np.array([a // 4 for _, a in rows], dtype=np.int64)
-                size = np.array([len(c) // 4 for c in cuts], dtype=np.int64)
-                out = [part.column("doc_id").take(at), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(size), pa.array(map(zlib.crc32, cuts), pa.int64())]
+            for part in slices(batch, "text", SLICE):
+                ids, edges = store["word_ids"].encode(part.column("text"))
+                pieces = -(-np.diff(edges) // capacity)
+                row = np.repeat(np.arange(len(pieces)), pieces)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = number * capacity
+                size = np.minimum(np.diff(edges)[row] - start, capacity)
+                begin = edges[row] + start
+                data = memoryview(ids.tobytes())
+                cuts = [data[a:b] for a, b in zip((4 * begin).tolist(), (4 * (begin + size)).tolist())]
+                out = [part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(size), pa.array(list(map(zlib.crc32, cuts)), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*out, *[pa.array(cuts, pa.binary())] * with_ids], names)
 
     rows = texts(docs, key, text)
@@ -271,7 +389,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("_bucket", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece")
+    within = Window.partitionBy("_bucket", "length").orderBy("doc_id", "piece", *(c for c in ("ids_crc32", "start") if c in pieces.columns))
     ranked = dealt.withColumn("_at", F.row_number().over(within)).join(firsts, ["_bucket", "length"]).withColumn("_rank", F.col("_first") + F.col("_at") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
