@@ -473,6 +473,48 @@ def test_bpe_equals_library(spark, docs, texts):
     assert op9_bpe.decode(op9_bpe.encode(empty(docs))).count() == 0
 
 
+def noise(n, seed):
+    rng = random.Random(seed)
+    chars = "aAbcéÉßİıŸÿſ'’.,;:!?#$%&*|)( \t\n ́日本1²×÷Ωк🙂_-\0 \x85"
+    return ["".join(rng.choice(chars) for _ in range(rng.randint(0, 40))) for _ in range(n)] + ["a" * 20_000, "abc " * 3000 + "x", "", "\nabc\nd"]
+
+
+def test_many_words_at_once_equal_the_library():
+    """Random texts, and long runs of one letter, in one slice: rounds and ranks with many positions."""
+    import public_tokenizers
+
+    said = noise(3000, 1) + [words(random.Random(i), 200) for i in range(50)]
+    for name, encode in (("word_bpe_49k.json", lambda x, c: op8_packing.WordIds(x).encode(c)), ("byte_bpe_50k.json", lambda x, c: op9_bpe.PairIndex(x).encode(c))):
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            ids, edges = encode(f.read(), pa.array(said, pa.string()))
+        t = tokenizer(name)
+        end = [0] if name.startswith("word") else []
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [e.ids + end for e in t.encode_batch(said, add_special_tokens=False)]
+
+
+def test_packing_reads_other_tokenizers_by_the_library(spark):
+    """A file with rules that plain words do not follow: whole texts go through the library."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    said = ["Hello  World", "", "it's", " x\n"]
+    got = op8_packing.tokenize(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    t = tokenizer("byte_bpe_50k.json")
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [t.encode(x, add_special_tokens=False).ids + [0] for x in said]
+
+
+def test_decoding_bytes_that_are_no_text():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        index = op9_bpe.PairIndex(f.read())
+    t = tokenizer("byte_bpe_50k.json")
+    lists = [t.encode("日é", add_special_tokens=False).ids[:-1], [], t.encode("ok", add_special_tokens=False).ids]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    got = index.decode(np.array([i for x in lists for i in x]), edges).to_pylist()
+    assert got == [t.decode(x, skip_special_tokens=False) for x in lists]
+
+
 def test_bpe_digests(spark):
     got = {r["doc_id"]: r for r in QUERIES["op9_bpe"](spark, SF_DIR).collect()}
     t = tokenizer("byte_bpe_50k.json")
