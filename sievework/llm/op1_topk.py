@@ -8,8 +8,10 @@ score, since lower ones can't hold the query's kth.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part. Rows that share an id count
 once, with the greatest vector. Scores equal ones tie to the smaller id. Only vectors of one dimension meet. Products
-are exact while every score is below 2^53; beyond that they are 64-bit integers that wrap. Without candidates a query
-has no rows. Other columns of the input are not read.
+are exact: in double precision where no sum can reach 2^53, else in 64-bit integers. If a sum could leave 64 bits (the
+greatest sum of absolute components of a query times the greatest component of all is 2^62 or more), its score has no
+value in the result's type: that is an error, which names the two numbers. Without candidates a query has no rows. Other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +27,18 @@ from sievework.llm.common import materialize, read
 from sievework.llm.vectors import QUERIES, ROWS, blocks, clean, meet
 
 BINS = 256
+#: Scores stay below this, so that the range of a query's scores fits 64 bits.
+LIMIT = 2.0**62
 
 
 def whole(vectors: DataFrame, scale: int) -> DataFrame:
-    """floor(scale * x) of each component, in the range of 64-bit integers."""
-    return vectors.withColumn("v", F.transform("v", lambda x: F.floor(F.least(F.greatest(x * scale, F.lit(-9.2e18)), F.lit(9.2e18)))).cast("array<double>"))
+    """floor(scale * x) of each component, as a double, which holds it exactly."""
+
+    def floor(x: Column) -> Column:
+        y = x * scale
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # beyond 2^53 every double is whole
+
+    return vectors.withColumn("v", F.transform("v", floor))
 
 
 def scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +103,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     candidates = materialize(blocks(rows, ROWS))
     queries = rows.where(is_query)
-    most = rows.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()["most"]  # one number
     # No score of a query lies outside +- (its sum of absolute components) * (greatest component of any candidate).
-    bound = F.least(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)) * F.lit(float(most or 0)), F.lit(4.6e18)).cast("long")
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
+    facts = rows.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("most"), F.max(F.when(is_query, total)).alias("total")).first()  # one row
+    most, sums = float(facts["most"] or 0), float(facts["total"] or 0)
+    if most * sums >= LIMIT:
+        raise ValueError(f"scores may leave 64 bits: a query's absolute components sum up to {sums:.6g}, and the greatest component is {most:.6g}")
+    bound = (total * F.lit(most)).cast("long")
     # The open range of a query: it starts at lo and has span scores, in BINS bins of equal width.
     open_ = queries.select("id", (-bound).alias("lo"), (2 * bound + 1).alias("span"), F.lit(k).cast("long").alias("need"))
     open_ = materialize(open_)

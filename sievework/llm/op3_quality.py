@@ -9,7 +9,7 @@ size is fixed by SAMPLE and RANK); every document is folded into the space, its
 computed in blocks, and its nearest neighbours vote with their similarity. Votes are weighted back to the labels'
 shares among all labelled documents, since the sample holds both labels alike.
 
-Cases: a null, empty or blank text has no vector and scores the share of label 1; so does a text without any similar
+Cases: a document without an id is not held out, and none of its labels is known. A null, empty or blank text has no vector and scores the share of label 1; so does a text without any similar
 neighbour. Null labels are not used; of labels for one document the greatest counts. Repeated rows are scored alike.
 Without usable labels every score is 0.5. Other columns of the input are not read.
 """
@@ -97,9 +97,9 @@ def weights(column: pa.Array) -> np.ndarray:
 class Space:
     """The fitted model: term weights, projection, labelled vectors."""
 
-    def __init__(self, sample: list[str], labels: np.ndarray, share: float):
+    def __init__(self, x: np.ndarray, labels: np.ndarray, share: float):
+        """x: weights() of the sample."""
         self.share = share
-        x = np.vstack([np.zeros((0, DIM), np.float32), *(weights(pa.array(sample[a : a + 500], pa.string())) for a in range(0, len(sample), 500))])
         n = max(1, len(x))
         self.idf = np.log((n + 1) / ((x > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
         self.idf[:WORDS] *= WORD_WEIGHT
@@ -135,7 +135,7 @@ class Space:
 
 def held_out(key: Column) -> Column:
     """Documents whose labels are never learned."""
-    return F.crc32(key.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> Space:
@@ -145,11 +145,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     known = known.join(docs.select(F.col(key).alias("doc_id")), "doc_id", "left_semi")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Space([], np.zeros(0), 0.5)
+        return Space(np.zeros((0, DIM), np.float32), np.zeros(0), 0.5)
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = some[0].unionByName(some[1])
-    rows = texts(docs, key, text).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id").collect()  # at most 2 * sample rows
-    return Space([r["text"] for r in rows], np.array([r["y"] for r in rows]), counts.get(1, 0) / sum(counts.values()))
+    found = texts(docs, key, text).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                for a in range(0, part.num_rows, 500):
+                    some = part.slice(a, 500)
+                    x = [(np.flatnonzero(w), w) for w in weights(some.column("text"))]
+                    at, value = (pa.array(v, pa.binary()) for v in ([i.astype("<u2").tobytes() for i, _ in x], [w[i].tobytes() for i, w in x]))
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("y"), at, value], ["doc_id", "y", "at", "value"])
+
+    # At most 2 * sample rows, each of at most DIM numbers however long its text is.
+    rows = found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, y int, at binary, value binary").orderBy("doc_id").collect()
+    x = np.zeros((len(rows), DIM), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], np.float32)
+    return Space(x, np.array([r["y"] for r in rows]), counts.get(1, 0) / sum(counts.values()))
 
 
 def scored(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text") -> DataFrame:

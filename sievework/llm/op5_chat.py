@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import materialize, read
 
 #: A line that announces a quote, if one follows.
-ANNOUNCES = r"(?i)(wrote|writes|said|schrieb|a écrit|escribió)[^:]{0,80}:[ \t]*$"
+ANNOUNCES = r"(?i)(wrote|writes|said|schrieb|a écrit|escribió)[^:]*:[ \t]*$"
 BREAK = r"\r\n|\n|\r"
 
 
@@ -120,7 +120,7 @@ WITH RECURSIVE one AS (
   FROM lines
 ), own AS (
   SELECT conv_id, turn, pos, line FROM bodies
-  WHERE level = 0 AND NOT (next_level > 0 AND regexp_matches(line, '(?i)(wrote|writes|said|schrieb|a écrit|escribió)[^:]{0,80}:[ \t]*$'))
+  WHERE level = 0 AND NOT (next_level > 0 AND regexp_matches(line, '(?i)(wrote|writes|said|schrieb|a écrit|escribió)[^:]*:[ \t]*$'))
 ), body AS (
   SELECT c.conv_id, c.turn, c.role,
     regexp_replace(regexp_replace(coalesce(o.t, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '\n[ \t]*\n[ \t\n]*\n', E'\n\n', 'g') AS body

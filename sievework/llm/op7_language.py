@@ -2,12 +2,13 @@
 
 Four kinds of evidence are turned into log likelihoods of each language and added: the text (character trigrams of its
 words), the language that the markup or metadata declares, the code in its address (a language segment in the path, or
-a country ending of the host), and a prior of its host. What a declared value or an address code says about a language
-is learned from the corpus by grouped sums of the text's posteriors, and so are the priors: host over site over
+else the two-letter ending of the host), and a prior of its host. What a declared value, a segment or an ending says about
+a language is learned from the corpus by grouped sums of the text's posteriors, and so are the priors: host over site over
 address ending over the whole corpus, each level smoothed towards the one above it.
 
 The text model is fitted on a bounded sample: up to SAMPLE documents, in hash order, of every language that the labels
-name, fewer of each where many languages would make it more than ROWS in all. Sums of the corpus cover every row.
+name, fewer of each where many languages would make it more than ROWS in all. Trigrams are counted where the texts are;
+only their counts come to the driver. Sums of the corpus cover every row, and every trigram of a whole text counts.
 
 Beside the languages stands an unknown one, whose trigrams are each as likely as the middle (of logarithms) between a
 typical trigram of the text's best language and one that no sample has; the latter is charged alike in all languages.
@@ -18,7 +19,7 @@ A document is rejected if no language reaches CERTAIN or if its text has no lett
 languages even then; text_lang is null if the text alone is likelier unknown. Cases: a null or empty text has
 no text evidence, is decided by the rest, and is rejected for want of letters; a null declared language, url or host
 is no evidence. Without labels no language is known and everything is rejected. Repeated rows are decided alike. Other
-columns of the input are not read.
+columns are kept, but for those named as results (lang, score, text_lang, accepted), which the results replace.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,26 +41,27 @@ from sievework.llm.words import split
 
 #: Labelled documents of each language at most, and of all, but at least one of each.
 SAMPLE, ROWS = 300, 19_200
-#: Weight of trigrams, which are not independent; trigrams that count at most for the certainty of a text.
-TEMPER, LONGEST = 0.3, 2000
+#: Weight of trigrams, which are not independent.
+TEMPER = 0.3
 #: Smoothing of counts, strength of a prior's parent, and least posterior of an accepted language.
 ALPHA, STRENGTH, CERTAIN = 0.5, 5.0, 0.6
 #: Prior of the unknown language.
 STRANGE = 0.01
 #: Numbers that a worker keeps about words, and that it adds up at a time.
 CACHE, CELLS = 1_500_000, 8_000_000
+#: Columns that identify() adds.
+RESULTS = ("lang", "score", "text_lang", "accepted")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Endings of hosts in a country with one main language.
-COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl", "ru": "ru", "se": "sv", "dk": "da", "jp": "ja", "cn": "zh", "kr": "ko"}
 
 
 class Trigrams:
     """Log likelihood of a word's trigrams in each language."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, counted: dict[str, dict[str, int]]):
+        """counted: how often each trigram occurs in the sample of each language."""
         self.name = uuid.uuid4().hex
-        self.languages = sorted(samples)
-        counts = [Counter(g for t in samples[x] for w, n in Counter(LETTERS.findall(t.lower())).items() for g in self.of(w) for _ in range(min(n, 50))) for x in self.languages]
+        self.languages = sorted(counted)
+        counts = [counted[x] for x in self.languages]
         grams = sorted(set().union(*counts)) if counts else []
         self.at = {g: i for i, g in enumerate(grams)}
         n = len(grams) + 1
@@ -96,8 +98,7 @@ class Trigrams:
         return [w[i : i + 3] for i in range(len(w) - 2)]
 
     def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(texts, languages) of mean log likelihood times the tempered number of trigrams, the same of the unknown
-        language, and letters of each text."""
+        """(texts, languages) of tempered log likelihoods, the same of the unknown language, and letters of each text."""
         edges, codes, dictionary = split(column)
         words = dictionary.to_pylist()
         n = len(self.languages)
@@ -122,9 +123,8 @@ class Trigrams:
             whole = np.concatenate([np.zeros((1, n + 2)), np.cumsum(facts[place[codes[a : a + step]]], axis=0)])
             cut = np.clip(edges - a, 0, len(whole) - 1)
             total += whole[cut[1:]] - whole[cut[:-1]]
-        size = total[:, n : n + 1]
-        known = total[:, :n] / np.maximum(size, 1) * np.minimum(size, LONGEST) * TEMPER
-        unknown = self.unknown[known.argmax(axis=1)] * np.minimum(size[:, 0], LONGEST) * TEMPER
+        known = total[:, :n] * TEMPER
+        unknown = self.unknown[known.argmax(axis=1)] * total[:, n] * TEMPER
         return known, unknown, np.rint(total[:, n + 1]).astype(np.int64)
 
 
@@ -134,10 +134,24 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     each = min(SAMPLE, max(1, ROWS // max(1, rows.select("y").distinct().count())))
     first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
     chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n")
-    samples: dict[str, list[str]] = {}
-    for r in docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").orderBy("id", "t").collect():  # at most ROWS rows, or one of each language
-        samples.setdefault(r["y"], []).append(r["t"] or "")
-    return Trigrams(samples)
+    some = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")  # at most ROWS rows, or one of each language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, Counter] = defaultdict(Counter)
+            for y, said in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+                for word, n in Counter(LETTERS.findall(said.lower())).items():
+                    for gram in Trigrams.of(word):
+                        counts[y][gram] += n
+            rows = [(y, g, n) for y, c in counts.items() for g, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.int64()))], ["y", "gram", "n"])
+
+    found = small_batches(some).mapInArrow(run, "y string, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n"))
+    per_language = found.groupBy("y").agg(F.collect_list(F.struct("gram", "n")).alias("grams"))
+    counted = {r["y"]: {g["gram"]: g["n"] for g in r["grams"]} for r in per_language.collect()}  # distinct trigrams of the sample
+    for r in chosen.select("y").distinct().collect():  # languages whose sample has no letters
+        counted.setdefault(r["y"], {})
+    return Trigrams(counted)
 
 
 def primary(code: Column) -> Column:
@@ -147,12 +161,12 @@ def primary(code: Column) -> Column:
 
 
 def address(url: Column) -> tuple[Column, Column]:
-    """The host and the code of an address: a language as a segment of the path, or that of the host's country."""
+    """The host and the code of an address: a language as a segment of the path, or the two-letter ending of the host
+    with its dot."""
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
     segment = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[-_][a-z]{2})?(?:[/?#]|$)", 1)
-    country = F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))
-    ending = F.try_element_at(country, F.regexp_extract(host, r"\.([a-z]{2})$", 1))
-    return F.when(host != "", host), F.coalesce(F.when(segment != "", segment), ending)
+    ending = F.regexp_extract(host, r"(\.[a-z]{2})$", 1)
+    return F.when(host != "", host), F.coalesce(F.when(segment != "", segment), F.when(ending != "", ending))
 
 
 def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
@@ -161,7 +175,9 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     spark = small_batches(rows).sparkSession
     languages = model.languages
     sent = spark.sparkContext.broadcast(model)  # bounded by SAMPLE and ROWS
-    kept = [f for f in rows.schema if f.name not in ("text", "markup", "likelihood", "share", "unknown", "letters")]
+    others = [c for c in rows.columns if c not in ("text", "markup", *RESULTS)]
+    rows = rows.select("text", "markup", "declared", "host", "code", F.struct(*others).alias("rest"))
+    kept = [f for f in rows.schema if f.name not in ("text", "markup")]
     room = max(1 << 16, (6 << 21) // (len(languages) + 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +196,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, share array<double>, unknown double, letters long"
     read_ = rows.select(*(f.name for f in kept), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("markup", F.lit(False)).alias("markup"))
     if not languages:
-        return read_.drop("text", "markup").select("*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
+        return read_.select("rest.*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("accepted"))
     told = materialize(read_.mapInArrow(run, schema))
 
     peak = F.array_max("likelihood")
@@ -207,12 +223,18 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     sites = up(known, "ending", "site").join(endings, "ending").select("site", *(x.alias(c) for x, c in zip(smooth([F.col(c) for c in p]), p)))
     hosts = known.drop("ending").join(sites, "site").select("host", F.array(*smooth([F.col(c) for c in p])).alias("prior"))
 
-    # What declared values and address codes say: a row for each of the known languages and one for any other value.
+    # What declared values and address codes say: a row for each of the known languages, for each two-letter segment or
+    # ending, and one for any other value.
+    short = F.col("code").rlike(r"^\.?[a-z]{2}$")
+    said = {
+        "declared": F.when(F.col("declared").isin(languages), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("other")),
+        "code": F.when(F.col("code").isin(languages) | short, F.col("code")).when(F.col("code").isNotNull(), F.lit("other")),
+    }
+
     def reliability(column: str) -> DataFrame:
-        value = F.when(F.col(column).isin(languages), F.col(column)).otherwise("other")
-        seen = told.where(F.col(column).isNotNull()).groupBy(value.alias(column)).agg(*sums)
-        rows_ = {r[column]: [float(r[c]) for c in n] for r in seen.collect()}  # one row for each language and one
-        table, values = [], [*languages, "other"]
+        seen = told.where(F.col(column).isNotNull()).groupBy(said[column].alias(column)).agg(*sums)
+        rows_ = {r[column]: [float(r[c]) for c in n] for r in seen.collect()}  # two alphabets' pairs of letters, or languages, at most
+        table, values = [], sorted({*languages, "other", *rows_})
         sizes = [sum(r[i] for r in rows_.values()) for i in range(len(n))]
         for v in values:
             logs = [math.log((rows_.get(v, [0.0] * len(n))[i] + ALPHA + (4.0 if v == x else 0.0)) / (sizes[i] + ALPHA * len(values) + 4.0)) for i, x in enumerate(languages)]
@@ -221,8 +243,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
 
     joined = told.join(hosts, "host", "left")
     for column in ("declared", "code"):
-        value = F.when(F.col(column).isin(languages), F.col(column)).when(F.col(column).isNotNull(), F.lit("other"))
-        joined = joined.join(reliability(column), value == F.col(f"_{column}"), "left").drop(f"_{column}")
+        joined = joined.join(reliability(column), said[column] == F.col(f"_{column}"), "left").drop(f"_{column}")
     zero = F.array(*(F.lit(0.0) for _ in languages))
     prior = F.coalesce("prior", F.array(*(F.lit(w) for w in whole)))
     logs = F.zip_with(F.zip_with("likelihood", F.transform(prior, lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(F.coalesce("declared_log", zero), F.coalesce("code_log", zero), lambda a, b: a + b), lambda a, b: a + b)
@@ -235,8 +256,8 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     strange = F.when(F.col("letters") > 0, F.exp(F.col("unknown") + told_any - F.col("_top"))).otherwise(0.0)
     score = 1 / (F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))) + strange)
     text_lang = F.when((F.col("letters") > 0) & (F.col("unknown") < peak), F.get(names, F.call_function("array_position", F.col("likelihood"), peak).cast("int") - 1))
-    out = fused.select(*(f.name for f in kept), F.get(names, best).alias("lang"), score.alias("score"), text_lang.alias("text_lang"), "letters")
-    return out.withColumn("accepted", (F.col("score") >= CERTAIN) & (F.col("letters") > 0)).drop("letters")
+    out = fused.select("rest", F.get(names, best).alias("lang"), score.alias("score"), text_lang.alias("text_lang"), "letters")
+    return out.select("rest.*", "lang", "score", "text_lang", ((F.col("score") >= CERTAIN) & (F.col("letters") > 0)).alias("accepted"))
 
 
 def evidence_of_documents(docs: DataFrame) -> DataFrame:

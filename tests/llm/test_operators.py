@@ -178,7 +178,7 @@ def test_quality_reads_whole_texts_without_blanks():
     head = "文" * 64
     texts = [head + "".join(rng.choice(kinds[i % 2]) for _ in range(400)) for i in range(120)]
     y = np.arange(120) % 2
-    space = op3_quality.Space(texts[:80], y[:80], 0.5)
+    space = op3_quality.Space(op3_quality.weights(pa.array(texts[:80])), y[:80], 0.5)
     got = space.score(pa.array(texts[80:]))
     assert ((got >= 0.5) == y[80:]).mean() >= 0.95
     a, b = op3_quality.weights(pa.array(["x" * 100 + "1" * 100, "x" * 100 + "!?" * 50]))
