@@ -1,11 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a list of blocks, each with the path of elements from the root to it. Text length (without links)
-and punctuation are summed by path and divided by the path's blocks; the two ratios are smoothed along the page, fused
-into one score, and paths over a threshold are content. The article or main element that holds most of the selected text,
-or else the smallest container of all of it, is the article: its blocks are kept in page order, headings and short ones too, as far as neither their element
-(menus, headers and footers, asides, forms) nor its class, id or role names it as something else. Inside an article most
-names only ask for more: what is named is left out if its own ratios are low too or it is mostly links.
+and punctuation are summed by path and divided by the path's blocks; the two ratios are fused into one score, which is
+smoothed along the page and averaged over a path's blocks. A threshold parts the paths into two classes, the one that
+separates their scores best; paths over it are content. The article or main element that holds most of the content, or
+else the smallest container of all of it, is the article. Inside it, blocks of other paths (headings, short paragraphs,
+lists) are kept in page order where they stand in a part of the page that holds content; a part without content, such as
+a box of links or of short phrases, is left out, within an article that says so only if its score is less than half the
+threshold. Elements that HTML has for something else (menus, headers and footers, asides, forms) never count, and class,
+id or role names take out what stands outside an article; inside one they only ask for half the content's score.
+
+The time is in proportion to the length of a page, however deep or broken it is.
 
 Cases: null or empty html, or html without text, gives ''. Unclosed and misnested tags, comments, scripts and
 character references are handled; nothing is cut from a long page. Frames, drawings, objects, templates and what stands for
@@ -15,6 +20,7 @@ repeated results; only three columns of the input are read.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -34,6 +40,8 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: A comment, script or style without its end, which goes on to the end of the page.
+UNENDED = re.compile(r"<!--(?!.*-->\Z)|<!\[CDATA\[(?!.*\]\]>\Z)|<(script|style)\b(?!.*</\1\s*>\Z)", re.S | re.I)
 #: Elements that are left out with all they hold, once they end, and what may hide their tags.
 WHOLE = frozenset("noscript template iframe svg object".split())
 ENDED = re.compile(
@@ -70,13 +78,18 @@ HEADERS = frozenset("header topbar".split())
 #: Classes that say what an element has or is filed under, not what it is.
 STATES = re.compile(r"(?:has|with|without|no|is|category|tag|type|status|format|lang)[-_]|.*[-_](?:open|closed|enabled|disabled|on|off)\Z", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+LABEL = re.compile(r"\b(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟¡¿]")
 DISCUSSION = re.compile(r"\W*(?:\d+\s+)?(?:reader |user )?(?:comments?|kommentare?|commentaires?|comentarios?|leserkommentare|responses?|leave a (?:comment|reply))\W*(?:\(?\d+\)?)?\W*\Z", re.I)
 #: Levels of headings.
 LEVELS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "header": 6, "hgroup": 6}
-#: Share of links above which an unselected block is dropped, and threshold in standard deviations.
-LINKS, SPREAD = 0.66, 0.5
+#: Elements that part a page: one without content is left out with all that it holds.
+PARTS = frozenset("div section center".split())
+#: Share of links above which an unselected block is dropped, and least quotient of the two classes' mean scores.
+LINKS, CONTRAST = 0.66, 1.5
+#: Weights of the block before, a block itself and the one behind it.
+SMOOTH = (0.15, 0.7, 0.15)
 
 
 def named_outside(attributes: str, inside: bool, element: str) -> str:
@@ -113,15 +126,17 @@ def ends_of(page: str) -> dict[int, int]:
     """Where elements of WHOLE that end begin and end. An end tag belongs to the latest open tag of its name."""
     found: dict[int, int] = {}
     open_: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for m in ENDED.finditer(page):
+    breaks = [(m.start(), bool(m[1])) for m in BREAKOUT.finditer(page)] if "<svg" in page or "<SVG" in page.upper() else []
+    starts = [a for a, _ in breaks]
+    for m in ENDED.finditer(page, 0, page.rfind(">") + 1):
         if m[3] is None:
             continue
         name = m[3].lower()
         if m[2]:
             if open_[name]:
                 start, inner = open_[name].pop()
-                out = BREAKOUT.search(page, inner, m.start()) if name == "svg" else None
-                if out is None or out[1]:
+                k = bisect.bisect_left(starts, inner)
+                if name != "svg" or k == len(starts) or starts[k] >= m.start() or breaks[k][1]:
                     found[start] = m.end()
         elif name in ("svg", "object") and m[4].endswith("/>"):
             found[m.start()] = m.end()
@@ -130,10 +145,15 @@ def ends_of(page: str) -> dict[int, int]:
     return found
 
 
-def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
-    """Blocks [text, element, is outside, characters in links, doubted element], and elements (parent, name)."""
+def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]], list[int], list[int]]:
+    """Blocks [text, element, is outside, characters in links, doubted element]; elements (parent, name) in page order;
+    the last element inside each; and the tag path of each, where a part of the page is told by its class or id too. Every step looks at the open elements through an index by name, so that the time
+    is in proportion to the page, however deep it nests."""
     elements: list[tuple[int, str]] = [(-1, "#")]
+    paths, known = [0], {}  # (path, name, class or id) -> path
     stack: list[tuple[str, int, bool | str, bool, int]] = [("#", 0, False, False, 0)]  # name, element, outside, in an article, doubted element
+    open_: dict[str, list[int]] = defaultdict(list)  # name -> places in the stack
+    limits: list[int] = [0]  # places of LIMITS
     blocks: list[list] = []
     parts: list[str] = []
     linked = links = 0
@@ -150,9 +170,18 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
             parts.clear()
         links = 0
 
+    def close(place: int) -> None:
+        """Close the open element at a place and all inside it."""
+        while len(stack) > place:
+            gone = stack.pop()[0]
+            open_[gone].pop()
+            if limits[-1] == len(stack):
+                limits.pop()
+
     ends_at = ends_of(page)
+    stop = page.rfind(">") + 1  # no tag begins behind it
     owner, outside, doubt, at = 0, False, 0, 0
-    while m := TOKEN.search(page, at):
+    while m := TOKEN.search(page, at, stop):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -161,6 +190,8 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
         at = m.end()
         name = m[3]
         if name is None:
+            if at == stop and UNENDED.match(m[0]):
+                at = len(page)
             continue
         name = name.lower()
         if name in WHOLE and m.start() in ends_at:
@@ -171,11 +202,9 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
                 linked = max(0, linked - (name == "a"))
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    linked = 0
-                    break
+            if open_[name]:
+                close(open_[name][-1])
+                linked = 0
         elif name in INLINE:
             linked += name == "a"
             continue
@@ -186,22 +215,21 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
             flush()
             linked = 0
             if stack[-1][0] == "title":
-                stack.pop()
+                close(len(stack) - 1)
                 _, owner, outside, _, doubt = stack[-1]
             if name in VOID or name == "head":
                 continue
             ends = ENDS.get(name, ()) if name not in CLOSES_P else ("p",)
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in LIMITS:
-                        break
+            if place := max((open_[x][-1] for x in ends if open_[x]), default=0):
+                # An element of a kind that ends others and is a limit itself, as td, ends its like.
+                if place >= limits[-1]:
+                    close(place)
             _, parent, out, inside, doubt = stack[-1]
             inside = inside or name in ("article", "main")
             elements.append((parent, name))
             attributes = m[4]
+            label = LABEL.search(attributes) if name in PARTS else None
+            paths.append(known.setdefault((paths[parent], name, label and label[1].strip("\"'")), len(known) + 1))
             if name in OUTSIDE or name == "header" and not inside:
                 out = True
             elif not out and len(attributes) > 5 and name not in ("html", "body") and (named := named_outside(attributes, inside, name)):
@@ -210,64 +238,86 @@ def blocks_of(page: str) -> tuple[list[list], list[tuple[int, str]]]:
                 else:
                     doubt = doubt or len(elements) - 1
             if not attributes.endswith("/>"):
+                if name in LIMITS:
+                    limits.append(len(stack))
+                open_[name].append(len(stack))
                 stack.append((name, len(elements) - 1, out, inside, doubt))
         _, owner, outside, _, doubt = stack[-1]
     if at < len(page):
-        parts.append(page[at:])
+        parts.append(page[at:].partition("<!--")[0])
     flush()
+    last = list(range(len(elements)))
+    for e in range(len(elements) - 1, 0, -1):
+        parent = elements[e][0]
+        last[parent] = max(last[parent], last[e])
     # A discussion goes on to the end of its heading's parent or to the next heading of its level or a higher one.
+    done = -1
     for first in discussions:
         parent, name = elements[blocks[first][1]]
-        if elements[parent][1] in ("#", "body", "html", "article", "main"):
+        if first <= done or elements[parent][1] in ("#", "body", "html", "article", "main"):
             continue
         for i in range(first, len(blocks)):
             e = blocks[i][1]
-            if i > first and LEVELS.get(elements[e][1], 7) <= LEVELS[name]:
-                break
-            while e > parent:
-                e = elements[e][0]
-            if e != parent:
+            if i > first and LEVELS.get(elements[e][1], 7) <= LEVELS[name] or not parent <= e <= last[parent]:
                 break
             blocks[i][2] = True
-    return blocks, elements
+            done = i
+    return blocks, elements, last, paths
+
+
+def split_scores(scores: dict[int, float], chars: dict[int, int]) -> tuple[float, float]:
+    """The threshold between two classes of paths, and the mean of the upper class: of all cuts of the ordered scores, the
+    one with the greatest variance between the classes, each path counting by its characters. If the upper mean is not
+    CONTRAST times the lower one, all paths are of one class."""
+    order = sorted((scores[p], n) for p, n in chars.items())
+    total, weight = sum(x * n for x, n in order), sum(n for _, n in order)
+    best, cut, upper = 0.0, order[0][0], total / weight
+    low = below = 0.0
+    for i in range(1, len(order)):
+        x, n = order[i - 1]
+        low, below = low + x * n, below + n
+        if order[i][0] == x:
+            continue
+        m0, m1 = low / below, (total - low) / (weight - below)
+        between = below * (weight - below) * (m1 - m0) ** 2
+        if between > best and m1 >= CONTRAST * m0:
+            best, cut, upper = between, order[i][0], m1
+    return cut, upper
 
 
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, joined by one space."""
     if not page:
         return ""
-    blocks, elements = blocks_of(page)
-    paths: list[int] = []
-    ids: dict[tuple[int, str], int] = {}
-    for parent, name in elements:
-        paths.append(ids.setdefault((paths[parent] if parent >= 0 else -1, name), len(ids)))
+    blocks, elements, last, paths = blocks_of(page)
     inside = [b for b in blocks if not b[2]]
     if not inside:
         inside = [b for b in blocks if b[2] == NAMED]  # the names must be wrong
         if not inside:
             return ""
 
-    # Ratios of each path, over all blocks of the page.
+    # Ratios of each path, over all blocks of the page; smoothed along the page, and fused.
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for text, e, _, links, _ in blocks:
         p = paths[e]
         length[p] += max(0, len(text) - links)
         marks[p] += len(PUNCTUATION.findall(text))
         count[p] += 1
-    series = [(length[paths[e]] / count[paths[e]], marks[paths[e]] / count[paths[e]]) for _, e, *_ in blocks]
-    total, seen = defaultdict(float), defaultdict(int)
-    for i, (_, e, *_) in enumerate(blocks):
-        score = 0.0
-        for k, w in ((i - 1, 0.25), (i, 0.5), (i + 1, 0.25)):
-            if 0 <= k < len(series):
-                score += w * math.log1p(series[k][0]) * math.log1p(1 + series[k][1])
-        total[paths[e]] += score
-        seen[paths[e]] += 1
-    fused = {p: total[p] / seen[p] for p in total}
-    mean = sum(total.values()) / len(blocks)
-    spread = math.sqrt(sum(seen[p] * (fused[p] - mean) ** 2 for p in fused) / len(blocks))
-
-    # What is named inside an article has to reach the threshold by itself, or half the mean where all are alike.
+    series = [math.log1p(length[p] / count[p]) * math.log1p(1 + marks[p] / count[p]) for p in (paths[b[1]] for b in blocks)]
+    total = defaultdict(float)
+    for i, b in enumerate(blocks):
+        near = [(series[k], SMOOTH[k - i + 1]) for k in (i - 1, i, i + 1) if 0 <= k < len(series)]
+        total[paths[b[1]]] += sum(x * w for x, w in near) / sum(w for _, w in near)
+    fused = {p: total[p] / count[p] for p in total}
+
+    def select(some: list[list]) -> tuple[float, float]:
+        chars: dict[int, int] = defaultdict(int)
+        for text, e, *_ in some:
+            chars[paths[e]] += len(text)
+        return split_scores(fused, chars)
+
+    # What is named inside an article has to reach half the content's score by itself.
+    cut, upper = select(inside)
     doubts: dict[int, list[list]] = defaultdict(list)
     for b in inside:
         if b[4]:
@@ -278,37 +328,42 @@ def main_text(page: str | None) -> str:
         chars, linked = sum(len(b[0]) for b in named), sum(b[3] for b in named)
         points = sum(len(PUNCTUATION.findall(b[0])) for b in named)
         ratio = math.log1p(max(0, chars - linked) / len(named)) * math.log1p(1 + points / len(named))
-        if ratio < min(mean - SPREAD * spread, mean / 2) or linked > LINKS * chars:
+        if ratio < upper / 2 or linked > LINKS * chars:
             low.add(e)
-    inside = [b for b in inside if b[4] not in low] or inside
-    own = {paths[b[1]] for b in inside}
-    least = min(mean - SPREAD * spread, max(fused[p] for p in own))
-    content = {p for p in own if fused[p] >= least}
-
-    def ancestors(e: int) -> Iterator[int]:
-        while e >= 0:
-            yield e
-            e = elements[e][0]
+    if low:
+        inside = [b for b in inside if b[4] not in low] or inside
+        cut, upper = select(inside)
 
     # The article: an element that says so and holds most of the selected text, if no other one beside it holds much of
     # it; else the deepest container with all of it.
-    held: dict[int, int] = defaultdict(int)
-    marked: dict[int, int] = defaultdict(int)
+    held = [0] * len(elements)
+    for text, e, _, links, _ in inside:
+        if fused[paths[e]] >= cut:
+            held[e] += max(1, len(text) - links)
+    for e in range(len(elements) - 1, 0, -1):
+        held[elements[e][0]] += held[e]
+    root = max(e for e in range(len(elements)) if held[e] == held[0] and (e == 0 or elements[e][1] in CONTAINERS))
+    said = [e for e, (_, name) in enumerate(elements) if name in ("article", "main") and held[e]]
+    marked = False
+    if said:
+        top = max(said, key=lambda e: (held[e], -e))
+        beside = any(held[e] * 3 >= held[top] for e in said if not top <= e <= last[top])
+        if held[top] * 2 > held[0] and not beside:
+            root, marked = top, True
+
+    # A path over the threshold is content. A block of another path is too where it stands in a part that holds content:
+    # a heading, a short paragraph, a list. A part without any is left out, within an article that says so only if its
+    # score is less than half the threshold.
+    part = [0] * len(elements)
+    for e, (parent, name) in enumerate(elements):
+        part[e] = e if e == root or name in PARTS else part[parent] if parent >= 0 else 0
+    out = []
     for text, e, _, links, _ in inside:
-        if paths[e] in content:
-            size = max(1, len(text) - links)
-            for k in ancestors(e):
-                if elements[k][1] in CONTAINERS or k == 0:
-                    held[k] += size
-                if elements[k][1] in ("article", "main"):
-                    marked[k] += size
-    root = max(k for k, v in held.items() if v == held[0])
-    if marked:
-        top = max(marked, key=lambda k: (marked[k], -k))
-        beside = any(marked[k] * 3 >= marked[top] and top not in ancestors(k) for k in marked)
-        if marked[top] * 2 > held[0] and not beside:
-            root = top
-    return " ".join(text for text, e, _, links, _ in inside if root in ancestors(e) and (paths[e] in content or links <= LINKS * len(text)))
+        if root <= e <= last[root]:
+            score = fused[paths[e]]
+            if score >= cut or links <= LINKS * len(text) and (held[part[e]] or marked and score >= cut / 2):
+                out.append(text)
+    return " ".join(out)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -617,6 +617,49 @@ def test_names_alone_take_no_text_of_an_article(body, want):
     assert op10_html.main_text("<html><body>" + body.format(ARTICLE, LEGAL)) == want.format(PLAIN, COURT)
 
 
+#: No element and no name here tells an article from what stands beside it.
+NEUTRAL = "<div class=a1><div class=a2>{menu}</div><div class=a3><h2>Title of it</h2>{article}<ul><li>One item</li><li>Another</li></ul><p>Short.</p></div><div class=a4><p>Call us today</p><p>Or write</p></div><div class=a5>{small}</div></div>"
+MENU = "".join(f"<span><a href={i}>Page {i}</a></span> <div><a href=x{i}>Topic {i}</a></div>" for i in range(8))
+
+
+def test_paths_alone_find_an_article(monkeypatch):
+    page = "<html><body>" + NEUTRAL.format(menu=MENU, article=ARTICLE, small="<p>Copyright by us</p>")
+    want = f"Title of it {PLAIN} One item Another Short."
+    assert op10_html.main_text(page) == want
+    inner = page.replace("<div class=a1>", "<main>")
+    assert op10_html.main_text(inner) == want
+    # Without the threshold the boxes beside the article are taken for parts of it.
+    monkeypatch.setattr(op10_html, "split_scores", lambda scores, chars: (0.0, 0.0))
+    assert "Call us today" in op10_html.main_text(page) and op10_html.main_text(page) != want
+
+
+def test_threshold_parts_two_classes():
+    """Against all cuts, tried one by one."""
+    rng = random.Random(4)
+    for _ in range(50):
+        scores = {i: rng.choice([1.0, 1.5, 2.0, 5.0, 8.0, 9.0]) for i in range(rng.randint(1, 8))}
+        chars = {i: rng.randint(1, 500) for i in scores}
+        mean = lambda ps: sum(scores[p] * chars[p] for p in ps) / sum(chars[p] for p in ps)
+        best = (0.0, min(scores.values()), mean(scores))
+        for cut in sorted(set(scores.values()))[1:]:
+            up, down = [p for p in scores if scores[p] >= cut], [p for p in scores if scores[p] < cut]
+            if mean(up) >= op10_html.CONTRAST * mean(down):
+                best = max(best, (sum(chars[p] for p in up) * sum(chars[p] for p in down) * (mean(up) - mean(down)) ** 2, cut, mean(up)), key=lambda x: x[0])
+        assert op10_html.split_scores(scores, chars) == (best[1], pytest.approx(best[2]))
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 16_000 + "text, here.", "<div class='" * 16_001, "<div class='" * 16_001 + ">", "<div>" * 8000 + "</x>" * 8000 + "x", "<ul>" + "<blockquote>" * 8000 + "<li>a</li>" * 8000, "<svg><p>" * 8000 + "</svg>" * 8000 + "<p>x", "<div>" * 3000 + "<h3>Comments</h3><p>a b</p>" * 3000, "<table><tr><td>" * 5000 + "x", "<" * 50_000],
+)
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    op10_html.main_text(page)
+    assert time.process_time() - began < 1.0
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "a, b. " * 20_000), (3, "u", "plain"), (None, "u", "<")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((r["page_id"] or 0, len(r["text"])) for r in op10_html.extract(df).collect())
