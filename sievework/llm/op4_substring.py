@@ -8,27 +8,30 @@ smallest document it starts in; it is a repeat in every other one, and the words
 Documents are dealt into chunks by a hash of their id, and data moves as buffers between chunks and buckets of window
 names, not as rows: a chunk sends a bucket its sorted names in one buffer, and the bucket answers with those that
 repeat. The first level is a filter: its names have 32 bits beside the bucket's, and two windows that share one are only
-let through to the next level. The target's names have 96 bits and a bucket. Texts cross the network once: all three
+let through to the next level. The target's names have 96 bits. Texts cross the network once: all three
 uses of a chunk read the same exchange. A chunk and a bucket hold about CHUNK bytes of text and BUCKET names, whatever
 the size of the corpus, and a window that very many documents share is one name in each chunk.
 
 Cases: null and empty texts have no words and are returned. A document without an id is returned whole and repeats
-nothing. Rows that share a doc_id are one document: none is a repeat of another. Long texts are handled whole. Words
+nothing; such rows stay where they are and meet no others. Rows that share a doc_id are one document: none is a repeat of another. Long texts are handled whole. Words
 are runs without blanks and the characters \x09 to \x0D, as they are. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import read, small_batches, worker_store
+from sievework.llm.common import read, slices, small_batches, worker_store
 from sievework.llm.words import doubled, half_of, joined, names, split, windows
 
-#: Words of a window; bytes of text in a chunk and window names in a bucket, roughly.
-WINDOW, CHUNK, BUCKET = 13, 4 << 20, 3_000_000
+#: Words of a window; bytes of text in a chunk and window names in a bucket, roughly, up to START bytes of text in all;
+#: how many times larger both may get beyond.
+WINDOW, CHUNK, BUCKET, START, WIDE = 13, 4 << 20, 3_000_000, 8 << 30, 4
 
 
 def within(values: np.ndarray, kept: np.ndarray) -> np.ndarray:
@@ -39,9 +42,28 @@ def within(values: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return kept[at] == values
 
 
+def paired(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the names (a, b) occur among (x, y)."""
+    out = np.zeros(len(a), dtype=bool)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    at = np.searchsorted(x, a)
+    todo = np.flatnonzero(at < len(x))
+    while len(todo):  # once, but for names that share their 64 bits
+        todo = todo[x[at[todo]] == a[todo]]
+        same = y[at[todo]] == b[todo]
+        out[todo[same]] = True
+        todo = todo[~same]
+        at[todo] += 1
+        todo = todo[at[todo] < len(x)]
+    return out
+
+
 def keyed(window: np.ndarray, buckets: int) -> np.ndarray:
-    """bucket << 32 | 32 bits of the name, in the order of names."""
-    return ((window >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(16)
+    """bucket << 32 | 32 bits of the name, in the order of names: the upper 64 bits of name * buckets, cut to the left of
+    the 32 bits that follow the point, for any number of buckets below 2^32."""
+    n, low = np.uint64(buckets), np.uint64(0xFFFFFFFF)
+    return (window >> np.uint64(32)) * n + (((window & low) * n) >> np.uint64(32))
 
 
 def folded(values: np.ndarray) -> bytes:
@@ -113,16 +135,18 @@ class Chunk:
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         return a[new], b[new], doc[new]
 
-    def repeats(self, elsewhere: np.ndarray) -> np.ndarray:
-        """Where windows begin that also start in a smaller document: of this chunk, or elsewhere (their names)."""
+    def repeats(self, a_else: np.ndarray, b_else: np.ndarray) -> np.ndarray:
+        """Where windows begin that also start in a smaller document: of this chunk, or elsewhere (their two names)."""
         at, a, b = self.targets()
-        order = np.argsort(a, kind="stable")
+        b = (b >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((b, a))  # documents stay in their order
         x, y, key = a[order], b[order], self.key[at[order]]
-        begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
         lead = np.repeat(begin, np.diff(np.append(begin, len(x))))
         gone = np.zeros(len(a), dtype=bool)
-        gone[order] = (key > key[lead]) & (y == y[lead])
-        return at[gone | within(a, elsewhere)]
+        gone[order] = key > key[lead]
+        gone |= paired(a, b, a_else, b_else)
+        return at[gone]
 
     def kept(self, starts: np.ndarray) -> pa.Table:
         cover = np.zeros(len(self.doc) + 1, dtype=np.int64)
@@ -152,8 +176,12 @@ def dedup(docs: DataFrame, target: int = WINDOW, key: str = "doc_id", text: str
     rest = [F.struct(*others).alias("rest")] if others else []
     rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    chunks, buckets = 1 + size // chunk, min(65_000, 1 + size // 6 // bucket)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).groupBy("chunk")
+    # A chunk sends each bucket one row. Both grow with the square root of the text, up to WIDE times, which keeps the
+    # number of rows in proportion to the text until then.
+    wide = max(1.0, min(float(WIDE), (size / START) ** 0.5))
+    chunks, buckets = 1 + int(size / (chunk * wide)), 1 + int(size / 6 / (bucket * wide))
+    named = rows.where("doc_id IS NOT NULL")
+    dealt = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).groupBy("chunk")
 
     def send_halves(table: pa.Table) -> pa.Table:
         sent = keyed(Chunk(table, target).halves_sent(), buckets)
@@ -176,7 +204,7 @@ def dedup(docs: DataFrame, target: int = WINDOW, key: str = "doc_id", text: str
 
     def answer_targets(table: pa.Table) -> pa.Table:
         a, b, doc = ([f(x, kind) for x in table.column(c).to_pylist()] for c, kind, f in (("a", "<u8", summed), ("b", "<u4", unfolded), ("c", "<i8", unfolded)))
-        row = np.repeat(np.arange(len(a)), [len(x) for x in a])
+        edges = np.cumsum([len(x) for x in a])[:-1]
         a, b, doc = np.concatenate(a), np.concatenate(b), np.concatenate(doc)
         order = np.lexsort((doc, b, a))
         x, y = a[order], b[order]
@@ -184,17 +212,27 @@ def dedup(docs: DataFrame, target: int = WINDOW, key: str = "doc_id", text: str
         lead = np.repeat(doc[order][begin], np.diff(np.append(begin, len(x))))
         later = np.zeros(len(a), dtype=bool)
         later[order] = doc[order] > lead
-        found = [a[(row == i) & later] for i in range(table.num_rows)]
-        return pa.table([table.column("chunk"), table.column("bucket"), pa.array([steps(x) for x in found], pa.binary())], ["chunk", "bucket", "a"])
+        found = [(x[z], y[z]) for x, y, z in zip(np.split(a, edges), np.split(b, edges), np.split(later, edges))]
+        return pa.table([table.column("chunk"), table.column("bucket"), *(pa.array(x, pa.binary()) for x in ([steps(x) for x, _ in found], [folded(y) for _, y in found]))], ["chunk", "bucket", "a", "b"])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = Chunk(left, target)
-        return parts.kept(parts.repeats(np.sort(np.concatenate([np.zeros(0, np.uint64), *(summed(x, "<u8") for x in right.column("a").to_pylist())]))))
+        a = np.concatenate([np.zeros(0, np.uint64), *(summed(x, "<u8") for x in right.column("a").to_pylist())])
+        b = np.concatenate([np.zeros(0, np.uint32), *(unfolded(x, "<u4") for x in right.column("b").to_pylist())])
+        return parts.kept(parts.repeats(a, b))
 
     replies = "chunk long, bucket long, a binary"
     halves = dealt.applyInArrow(send_halves, "bucket long, chunk long, a binary").groupBy("bucket").applyInArrow(answer_halves, replies)
-    targets = dealt.cogroup(halves.groupBy("chunk")).applyInArrow(send_targets, "bucket long, chunk long, a binary, b binary, c binary").groupBy("bucket").applyInArrow(answer_targets, replies)
-    return dealt.cogroup(targets.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string" + (f", rest {rows.schema['rest'].dataType.simpleString()}" if rest else ""))
+    targets = dealt.cogroup(halves.groupBy("chunk")).applyInArrow(send_targets, "bucket long, chunk long, a binary, b binary, c binary").groupBy("bucket").applyInArrow(answer_targets, f"{replies}, b binary")
+    schema = "doc_id long, n_words long, n_removed long, kept string" + (f", rest {rows.schema['rest'].dataType.simpleString()}" if rest else "")
+    done = dealt.cogroup(targets.groupBy("chunk")).applyInArrow(remove, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield from Chunk(pa.Table.from_batches([part]), target).kept(np.zeros(0, np.int64)).to_batches()
+
+    return done.unionByName(rows.where("doc_id IS NULL").mapInArrow(whole, schema))  # they meet no other document
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
