@@ -8,8 +8,8 @@ how likely it still reaches the threshold, and the pair is dropped when that is
 connects classes to clusters, and inside a cluster all pairs go through the same pruning and are then verified exactly
 on their shingle sets.
 
-Buckets and clusters of any size are handled: one of more than BLOCK members is dealt into blocks, and each pair of
-blocks is a group of its own, which bounds what a task holds. Pairs stay inside a task; it passes on one row for each
+Buckets and clusters of any size are handled: one of more than BLOCK members, or of more than BYTES of shingle sets, is
+dealt into blocks, and each pair of blocks is a group of its own, which bounds what a task holds. Pairs stay inside a task; it passes on one row for each
 linked class of a group, with its number of links and the least class that it is connected to.
 
 Cases: words are runs without white space. A text of fewer words than a shingle has one shingle, all its words; a null
@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Values compared before each look at the posterior, and members of a bucket or cluster that are compared together.
 STEPS, BLOCK = (8, 16, 32, 64, 128), 512
+#: Bytes of shingle sets in a block of a cluster, roughly.
+BYTES = 8 << 20
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -180,10 +182,15 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.where("size > 0").select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def dealt(members: DataFrame, key: str) -> DataFrame:
+def dealt(members: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
     """members (key, node, ...) of groups of two or more, with i, j, first: a group of more than BLOCK is dealt into
-    blocks, and each pair of blocks i <= j is a group; first tells members of block i."""
-    counts = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    blocks, and each pair of blocks i <= j is a group; first tells members of block i. With sizes (key, size of each
+    member's set), a block has about BYTES of sets at most as well."""
+    rows = members if sizes is None else sizes
+    blocks = F.ceil(F.count("*") / BLOCK)
+    if sizes is not None:
+        blocks = F.greatest(blocks, F.least(F.count("*"), F.ceil(F.sum("size") * 8 / BYTES)))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"), blocks.cast("int").alias("_blocks")).where("_n > 1").select(key, "_blocks")
     at = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     rows = members.join(counts, key).withColumn("_at", at).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return rows.select(*members.columns, F.least("_at", "_to").alias("i"), F.greatest("_at", "_to").alias("j"), (F.col("_at") <= F.col("_to")).alias("first"))
@@ -245,7 +252,7 @@ def connected(members: DataFrame, least: np.ndarray) -> DataFrame:
     return together(dealt(members, "key"), "key").select("key", "i", "j", "first", "node", "sketch").mapInArrow(run, "a long, b long")
 
 
-def verified(members: DataFrame, threshold: float, least: np.ndarray) -> DataFrame:
+def verified(members: DataFrame, sizes: DataFrame, threshold: float, least: np.ndarray) -> DataFrame:
     """node, links, documents, root: of every linked class in a pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +274,7 @@ def verified(members: DataFrame, threshold: float, least: np.ndarray) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["node", "links", "documents", "root"])
 
-    return together(dealt(members, "cluster"), "cluster").select("cluster", "i", "j", "first", "node", "copies", "sketch", "set").mapInArrow(run, "node long, links long, documents long, root long")
+    return together(dealt(members, "cluster", sizes), "cluster").select("cluster", "i", "j", "first", "node", "copies", "sketch", "set").mapInArrow(run, "node long, links long, documents long, root long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, tolerance: float = TOLERANCE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +296,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
 
     chosen = clusters.join(classes.select("node", "copies", "digest"), "node").join(sketches, "node")
     members = with_sets(rows, chosen, shingle)
-    found = materialize(verified(members, threshold, least))
+    sizes = clusters.join(classes.select("node", "size"), "node").select("cluster", "size")
+    found = materialize(verified(members, sizes, threshold, least))
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("documents").alias("linked"))
     linked_groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     facts = links.join(linked_groups, "node", "left")

@@ -169,6 +169,11 @@ def address(url: Column) -> tuple[Column, Column]:
     return F.when(host != "", host), F.coalesce(F.when(segment != "", segment), F.when(ending != "", ending))
 
 
+def rows_of(values: np.ndarray) -> pa.Array:
+    """A list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
 def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
     """rows: text, markup (whether the text is a page whose main text counts), declared, host, code and any others,
     which are kept. Adds lang, score, text_lang, accepted."""
@@ -191,7 +196,7 @@ def identify(rows: DataFrame, model: Trigrams) -> DataFrame:
                 top = np.maximum(found.max(axis=1), unknown)[:, None]
                 share = np.exp(found - top)
                 share = share / (share.sum(axis=1, keepdims=True) + np.exp(unknown[:, None] - top)) * (letters > 0)[:, None]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(list(found), pa.list_(pa.float64())), pa.array(list(share), pa.list_(pa.float64())), pa.array(unknown), pa.array(letters)], [*(f.name for f in kept), "likelihood", "share", "unknown", "letters"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), rows_of(found), rows_of(share), pa.array(unknown), pa.array(letters)], [*(f.name for f in kept), "likelihood", "share", "unknown", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, share array<double>, unknown double, letters long"
     read_ = rows.select(*(f.name for f in kept), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("markup", F.lit(False)).alias("markup"))
