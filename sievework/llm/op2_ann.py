@@ -195,7 +195,8 @@ def best_of(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         wanted = [np.frombuffer(w, dtype=np.uint64) for w in b.column("buckets").to_pylist()]
         begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         end, have = np.append(begin[1:], len(bucket)), bucket[begin]
-        by_id = np.argsort(ids, kind="stable")  # a vector may be there by several tables
+        by_id = np.argsort(ids, kind="stable")
+        once = np.flatnonzero(np.diff(ids[by_id], prepend=ids.min() - 1))  # a vector may be there by several tables
 
         def visited(first: int, last: int) -> np.ndarray:
             some = wanted[first:last]
@@ -211,9 +212,9 @@ def best_of(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             for u, v in zip(edges.tolist(), edges[1:].tolist()):
                 g = place[u]
                 out[who[u:v], begin[g] : end[g]] = q[first + who[u:v]] @ x[begin[g] : end[g]].T
-            return out[:, by_id]
+            return np.maximum.reduceat(out[:, by_id], once, axis=1)
 
-        return pa.Table.from_batches(list(leading(q_ids, q, ids[by_id], x[by_id], k, visited)))
+        return pa.Table.from_batches(list(leading(q_ids, q, ids[by_id][once], x[by_id][once], k, visited)))
 
     return left.groupBy(group).cogroup(right.groupBy(group)).applyInArrow(score, "query_id long, vec_id long, score double")
 

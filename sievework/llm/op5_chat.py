@@ -10,7 +10,8 @@ are taken out.
 
 Cases: rows without conv_id or turn are left out; of rows that share both, the least by role and text counts. A null
 text is empty, a null role is 'unknown'. A quote without a source is taken out like any other. A message of quotes
-alone is kept with an empty body. Other columns of the input are not read.
+alone is kept with an empty body. Long conversations are numbered in parts; a chain of n answers stores n * n / 2 turn
+numbers, since an order of replies is an order of paths. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from sievework.llm.common import materialize, read
 #: A line that announces a quote, if one follows.
 ANNOUNCES = r"(?i)(wrote|writes|said|schrieb|a écrit|escribió)[^:]*:[ \t]*$"
 BREAK = r"\r\n|\n|\r"
+#: Turns of first messages that are numbered together.
+TURNS = 4096
 
 
 def normal(text: Column) -> Column:
@@ -69,10 +72,10 @@ def linked(rows: DataFrame) -> DataFrame:
     both = origins.withColumn("kind", F.lit(1)).unionByName(quotes.withColumn("size", F.length("unit")).drop("unit").withColumn("kind", F.lit(0)), allowMissingColumns=True)
     so_far = Window.partitionBy("conv_id", "hash").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("source", F.last(F.when(F.col("kind") == 1, F.col("turn")), ignorenulls=True).over(so_far)).where("kind = 0 AND source IS NOT NULL")
-    lines = found.groupBy("conv_id", "turn").agg(F.count_distinct(F.when(~F.col("whole"), F.col("at"))).alias("n_linked"))
-    weighed = found.where("level = 1").groupBy("conv_id", "turn", "source").agg(F.sum("size").alias("size"))
-    best = weighed.groupBy("conv_id", "turn").agg(F.max(F.struct("size", "source")).alias("b")).select("conv_id", "turn", F.col("b.source").alias("reply_to"))
-    return lines.join(best, ["conv_id", "turn"], "left")
+    # A quoted line has one source, so that lines add up over sources: one pass, without a join of found with itself.
+    by_source = found.groupBy("conv_id", "turn", "source").agg(F.sum(F.when(F.col("level") == 1, F.col("size"))).alias("size"), F.count_if(~F.col("whole")).alias("lines"))
+    best = F.max(F.when(F.col("size").isNotNull(), F.struct("size", "source")))
+    return by_source.groupBy("conv_id", "turn").agg(F.sum("lines").alias("n_linked"), best.alias("b")).select("conv_id", "turn", "n_linked", F.col("b.source").alias("reply_to"))
 
 
 def paths(links: DataFrame) -> DataFrame:
@@ -94,9 +97,13 @@ def formatted(turns: DataFrame) -> DataFrame:
     rows = messages(turns)
     links = materialize(linked(rows))
     order = rows.join(links, ["conv_id", "turn"], "left").join(paths(links), ["conv_id", "turn"], "left")
-    path = F.coalesce("path", F.array("turn"))
-    position = F.row_number().over(Window.partitionBy("conv_id").orderBy("_path"))
-    return order.withColumn("_path", path).select("conv_id", position.alias("position"), "turn", "role", "reply_to", (F.size("_path") - 1).alias("depth"), F.col("quotes").alias("n_quoted"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "body", F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("body"), F.lit("<|im_end|>\n")).alias("chat"))
+    order = order.withColumn("_path", F.coalesce("path", F.array("turn"))).withColumn("_part", F.floor(F.get("_path", F.lit(0)) / TURNS))
+    # A long conversation is numbered in parts, by the turns of its threads' first messages.
+    before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = order.groupBy("conv_id", "_part").agg(F.count("*").alias("_n")).select("conv_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "_part").orderBy("_path"))
+    numbered = order.withColumn("_at", within).join(firsts, ["conv_id", "_part"])
+    return numbered.select("conv_id", (F.col("_first") + F.col("_at")).cast("int").alias("position"), "turn", "role", "reply_to", (F.size("_path") - 1).alias("depth"), F.col("quotes").alias("n_quoted"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "body", F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("body"), F.lit("<|im_end|>\n")).alias("chat"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +111,18 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(read(spark, sf_dir, "conversations"))
 
 
+def chat_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations made to quote: two turns of three cite the one before, one of them with the one before that nested
+    in it, and all end with the same line."""
+    by_turn = Window.partitionBy("conv_id").orderBy("turn")
+    marked = lambda marks, text: F.concat(F.lit(marks), F.regexp_replace(text, "\n", f"\n{marks}"), F.lit("\n"))
+    rows = read(spark, sf_dir, "conversations").withColumns({"_a": F.lag("text").over(by_turn), "_b": F.lag("text", 2).over(by_turn)})
+    third = F.pmod("turn", F.lit(3))
+    quote = F.when((third == 1) & F.col("_a").isNotNull(), F.concat(F.lit("In their last message the user wrote this, which I cite in full so that nothing of it is lost:\n"), marked("> ", F.col("_a"))))
+    quote = quote.when((third == 2) & F.col("_b").isNotNull(), F.concat(marked("> > ", F.col("_b")), marked("> ", F.col("_a"))))
+    return formatted(rows.select("conv_id", "turn", "role", F.concat(F.coalesce(quote, F.lit("")), "text", F.lit("\nThanks")).alias("text")))
+
+
 ORACLE = r"""
 WITH RECURSIVE one AS (
   SELECT conv_id, turn, min({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}) AS m
@@ -156,3 +175,15 @@ SELECT b.conv_id, CAST(row_number() OVER (PARTITION BY b.conv_id ORDER BY w.path
   coalesce(l.n_linked, 0) AS n_linked, b.body, '<|im_start|>' || b.role || E'\n' || b.body || E'<|im_end|>\n' AS chat
 FROM body b JOIN walk w USING (conv_id, turn) LEFT JOIN linked l USING (conv_id, turn) LEFT JOIN best USING (conv_id, turn)
 """
+
+QUOTED_ORACLE = ORACLE.replace("FROM conversations WHERE", "FROM talk WHERE").replace(
+    "WITH RECURSIVE one AS (",
+    """WITH RECURSIVE near AS (SELECT *, lag(text) OVER w AS a, lag(text, 2) OVER w AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+talk AS (
+  SELECT conv_id, turn, role, CASE
+    WHEN turn % 3 = 1 AND a IS NOT NULL THEN E'In their last message the user wrote this, which I cite in full so that nothing of it is lost:\n> ' || replace(a, E'\n', E'\n> ') || E'\n'
+    WHEN turn % 3 = 2 AND b IS NOT NULL THEN '> > ' || replace(b, E'\n', E'\n> > ') || E'\n> ' || replace(a, E'\n', E'\n> ') || E'\n'
+    ELSE '' END || text || E'\nThanks' AS text
+  FROM near
+), one AS (""",
+)

@@ -93,8 +93,8 @@ def prune(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, least: np.nda
 
 
 def pairs_of(size: int, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a group; of one made of two blocks, only pairs across (first marks the first block)."""
-    if first is None or first.all():
+    """All pairs of a group; of one made of two blocks, only pairs across (first marks the first block, None one block)."""
+    if first is None:
         return np.triu_indices(size, 1)
     a, b = np.flatnonzero(first), np.flatnonzero(~first)
     return np.repeat(a, len(b)), np.tile(b, len(a))
@@ -227,7 +227,7 @@ def connected(members: DataFrame, least: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, "key"):
-            node, first = t.column("node").to_numpy(), t.column("first").to_numpy(zero_copy_only=False)
+            node, first, i, j = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "first", "i", "j"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
             size, left, right = np.diff(at), [], []
             for s in np.unique(size[(size > 1) & (size <= 16)]).tolist():  # all groups of one size at once
@@ -240,7 +240,7 @@ def connected(members: DataFrame, least: np.ndarray) -> DataFrame:
             found = [(x[keep], y[keep])]
             for g in np.flatnonzero(size > 16).tolist():
                 span = slice(at[g], at[g + 1])
-                a, b = survivors(sketch[span], first[span], least)
+                a, b = survivors(sketch[span], None if i[at[g]] == j[at[g]] else first[span], least)
                 r = roots(node[span], a, b)
                 where = np.flatnonzero(r != node[span])
                 yield pa.RecordBatch.from_arrays([pa.array(node[span][where]), pa.array(r[where])], ["a", "b"])
@@ -257,12 +257,12 @@ def verified(members: DataFrame, sizes: DataFrame, threshold: float, least: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, "cluster"):
-            node, first, copies = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "first", "copies"))
+            node, first, copies, i, j = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "first", "copies", "i", "j"))
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
             sets = [np.frombuffer(b, np.uint64) for b in t.column("set").to_pylist()]
             out = []
             for a, b in zip(at, at[1:]):
-                x, y = survivors(sketch[a:b], first[a:b], least)
+                x, y = survivors(sketch[a:b], None if i[a] == j[a] else first[a:b], least)
                 ok = linked(sets[a:b], x, y, threshold)
                 x, y = x[ok], y[ok]
                 if len(x):

@@ -24,8 +24,10 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
+    "chat_quoted": op5.chat_quoted,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": op1.ORACLE,
     "op5_chat": op5.ORACLE,
+    "chat_quoted": op5.QUOTED_ORACLE,
 }
