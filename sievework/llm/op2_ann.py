@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from sievework.llm.common import materialize, read
 from sievework.llm.vectors import QUERIES, ROWS, blocks, clean, matrix, meet
 
-TABLES, W, SEED = 4, 2.0, 7
+TABLES, W, SEED = 2, 2.0, 7
 #: What calibration aims at; queries and neighbours, and rows, that it looks at; numbers of probes that it tries.
-RECALL, CALIBRATED, PAIRS, REFERENCE, PROBES = 0.93, 128, 4096, 2000, (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+RECALL, CALIBRATED, PAIRS, REFERENCE, PROBES = 0.93, 128, 4096, 2000, (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 320, 384, 448, 512)
+#: Numbers of projections that it tries.
+WIDTHS = (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16)
 #: Rows, and queries, of a part that meet in one group, roughly.
 PART, ASKED = 16_384, 4096
 #: What visiting a bucket costs, in inner products.
@@ -102,7 +104,7 @@ def setting(asked: np.ndarray, pairs: np.ndarray, near: np.ndarray, others: np.n
     """K and probes: the fewest vectors to look at among those with the recall; pairs are the rows of asked that the
     neighbours (near) belong to."""
     tried = []
-    for k in range(3, max(3, min(16, int(np.ceil(np.log2(max(2, n)))))) + 1):
+    for k in [k for k in WIDTHS if k <= max(WIDTHS[0], np.ceil(np.log2(max(2, n))))]:
         place = places(asked, k, longest, True)
         limit = np.stack([probes(place[:, t], PROBES[-1])[1] for t in range(TABLES)], axis=1)  # (queries, TABLES, probes)
         own, every = (np.floor(places(x, k, longest, False)) for x in (near, others))
@@ -161,9 +163,9 @@ def hashed(vectors: DataFrame, longest: float, k: int, n_probes: int, parts: int
 def leading(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, visited=None) -> Iterator[pa.RecordBatch]:
     """query_id, vec_id, score: each query's k best of a block of candidates (ids ascending), or of those that it visits:
     visited(a, b) is True where queries a to b look at a candidate."""
-    for a in range(0, len(q), 256):
-        own, some = q_ids[a : a + 256], q[a : a + 256]
-        s = some @ c.T if visited is None else visited(a, a + 256)
+    for a in range(0, len(q), 512):
+        own, some = q_ids[a : a + 512], q[a : a + 512]
+        s = some @ c.T if visited is None else visited(a, a + 512)
         s[own[:, None] == c_ids[None, :]] = -np.inf
         least = np.partition(s, -k, axis=1)[:, -k][:, None] if len(c) > k else np.full((len(s), 1), -np.inf)
         equal = (s == least) & (s > -np.inf)
