@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,44 +17,47 @@ SENT = 64 << 20
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", batch: int = 256) -> DataFrame:
-    """query_id, id, score of each query's k nearest; queries: query_id, vector. Ties go to the smaller id.
+    """query_id, id, score of each query's k nearest; queries: query_id, vector. Ties go to the smaller id. Vectors and
+    queries that are null, empty or hold nulls take no part; only those of one dimension meet.
 
-    Queries are dealt into groups by number (an exact count, no cap), and every group meets all vectors: a group is
-    broadcast, each task keeps its own k best, and only those are shuffled."""
+    Each group of queries of one dimension and at most SENT bytes (an exact count, no cap) is broadcast and meets all
+    vectors in one pass: each task keeps its own k best, and only those are shuffled."""
+    spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
-    total = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    parts = -(-(total["n"] or 0) * 8 * (total["d"] or 1) // SENT) or 1
-    found = None
-    for part in range(parts):  # one pass for each SENT bytes of queries
-        group = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else queries
-        rows = group.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()
-        sent = vectors.sparkSession.sparkContext.broadcast((rows.column("query_id").to_pylist(), np.array(rows.column("vector").to_pylist(), dtype=float).reshape(rows.num_rows, -1)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            if not len(ids):
-                return
+    sound = lambda c: c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda v: v.isNotNull())
+    asked = queries.where(sound(F.col("vector"))).select("query_id", F.col("vector").cast("array<double>").alias("vector")).withColumn("_d", F.size("vector"))
+    sizes = sorted((r["_d"], r["n"]) for r in asked.groupBy("_d").agg(F.count("*").alias("n")).collect())  # a row for each dimension
+    rows = vectors.where(sound(F.col(vector))).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    found = spark.createDataFrame([], f"query_id {qkind}, id {kind}, score double")
+    for dim, n in sizes:
+        parts = -(-n * 8 * dim // SENT)
+        for part in range(parts):
+            group = asked.where((F.col("_d") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)).select("query_id", "vector").toArrow()
+            q = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             length = np.linalg.norm(q, axis=1, keepdims=True)
-            q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-                own = b.column("id").to_pylist()
-                order = sorted(range(len(own)), key=own.__getitem__)
-                for a in range(0, len(q), batch):
-                    s = np.round(q[a : a + batch] @ x[order].T, 12)
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    r = np.repeat(np.arange(len(s)), best.shape[1])
-                    c = best.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in r]), pa.array([own[order[j]] for j in c]), pa.array(s[r, c])], ["query_id", "id", "score"])
+            sent = spark.sparkContext.broadcast((group.column("query_id").combine_chunks(), np.divide(q, length, out=np.zeros_like(q), where=length > 0)))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, dim=dim) -> Iterator[pa.RecordBatch]:
+                ids, q = sent.value
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    b = b.take(pc.array_sort_indices(b.column("id")))
+                    x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+                    size = np.linalg.norm(x, axis=1, keepdims=True)
+                    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+                    for a in range(0, len(q), batch):
+                        s = np.round(q[a : a + batch] @ x.T, 12)
+                        least = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else s.min(axis=1, keepdims=True)
+                        equal = s == least
+                        above = s > least
+                        # Of those at the kth score, the smallest ids fill what is left.
+                        r, c = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + r)), b.column("id").take(pa.array(c)), pa.array(s[r, c])], ["query_id", "id", "score"])
 
-        sound = vectors.where(F.col(vector).isNotNull() & (F.size(vector) == total["d"]) & F.forall(vector, lambda v: v.isNotNull()))
-        here = sound.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"query_id {qkind}, id {kind}, score double")
-        found = here if found is None else found.unionByName(here)
+            here = rows.where(F.size("v") == dim).mapInArrow(run, f"query_id {qkind}, id {kind}, score double")
+            found = found.unionByName(here)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -45,13 +45,13 @@ def normalize(merged: DataFrame, by: str = "query_id") -> DataFrame:
 
 
 def combine(merged: DataFrame, weights: dict[str, float] | None = None, normalized: bool = True) -> DataFrame:
-    """Adds score: the weighted mean. Normalised scores are never absent, so absence counts as 0; without normalisation
+    """Adds score: the weighted mean, rounded to 9 digits, so that ties are ties whatever the order of sums. Normalised scores are never absent, so absence counts as 0; without normalisation
     absent sources leave the divisor."""
     weights = WEIGHTS | (weights or {})
     kind = "normalized" if normalized else "score"
     top = sum((F.coalesce(F.col(f"{s}_{kind}"), F.lit(0.0)) * weights[s] for s in SOURCES), F.lit(0.0))
     under = sum((F.when(F.col(f"{s}_{kind}").isNotNull(), F.lit(weights[s])).otherwise(0.0) for s in SOURCES), F.lit(0.0))
-    return merged.withColumn("score", F.when(under > 0, top / F.when(under > 0, under)).otherwise(0.0))
+    return merged.withColumn("score", F.when(under > 0, F.round(top / F.when(under > 0, under), 9)).otherwise(0.0))
 
 
 def top(merged: DataFrame, k: int, by: str = "query_id") -> DataFrame:

@@ -48,6 +48,29 @@ def upsert_edges(old: DataFrame, new: DataFrame, sources: DataFrame, targets: Da
     return rows.groupBy("src", "dst").agg(*pick) if pick else rows.select("src", "dst").distinct()
 
 
+#: What an edge's properties are where none is given.
+EDGE_DEFAULTS = {"RELATED_TO": {"context": "", "confidence": 0.5}, "MENTIONS": {"frequency": 1, "importance": 0.5}, "ABOUT": {"frequency": 1, "importance": 0.5}}
+
+
+def with_defaults(edges: DataFrame, kind: str) -> DataFrame:
+    """edges (src, dst, ...) with the properties of their type, filled where they are missing."""
+    for name, value in EDGE_DEFAULTS.get(kind, {}).items():
+        edges = edges.withColumn(name, F.coalesce(name, F.lit(value)) if name in edges.columns else F.lit(value))
+    return edges
+
+
+def document_nodes(documents: DataFrame, key: str = "document_id") -> DataFrame:
+    """Document nodes; a document without chunks has one too. The title is the file name."""
+    text = lambda c: F.col(c).cast("string") if c in documents.columns else F.lit(None).cast("string")
+    return documents.select(F.col(key).cast("string").alias("document_id"), F.coalesce(text("filename"), F.lit("unknown")).alias("title"), text("source_path").alias("source_path"), text("document_type").alias("document_type")).dropDuplicates(["document_id"])
+
+
+def samples(graph: Graph, chunks: int = 5, characters: int = 100) -> DataFrame:
+    """Some chunks with content, in the order of their ids: the short id and the beginning of the content."""
+    rows = graph.nodes["Chunk"].where(F.coalesce("content", F.lit("")) != "").orderBy("chunk_id").limit(chunks)
+    return rows.select(F.left(F.col("chunk_id").cast("string"), F.lit(8)).alias("short_id"), F.left("content", F.lit(characters)).alias("preview"))
+
+
 def census(graph: Graph) -> DataFrame:
     """Nodes of each label and edges of each type."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n") for kind, tables in (("node", graph.nodes), ("edge", graph.edges)) for name, df in tables.items()]
@@ -183,31 +206,47 @@ def round_robin(hits: DataFrame, k: int, by: str = "document_id", *order: Column
     return limited(rows, k, "turn", "_first").drop("_at", "_first")
 
 
+#: How a hit was found, in the order in which the cascade tries.
+METHODS = ("section_title_match", "entity_mention", "topic", "entity_relationship", "content")
+
+
 def cascade(chunks: DataFrame, graph: Graph, queries: DataFrame, k: int, by_document: bool = False) -> DataFrame:
-    """Keyword retrieval over the graph: section titles; then, as far as there is room, entity mentions (dealt over
-    documents), topics and relationships; content always. The first strategy that finds a chunk names it; ties of the
-    final score go to the smaller chunk_index."""
+    """Keyword retrieval over the graph: section titles; then, as far as there is room, entity mentions (twice the room,
+    dealt over documents), topics and relationships; content always. A chunk counts for the first strategy that finds it;
+    entity mentions that the dealing leaves out are not brought back by a later one. Ties of the final score go to the
+    smaller chunk_index.
+
+    Each strategy gives a bounded number of hits for a query, so that the steps that depend on what the others have found
+    are taken on arrays, one row for each query."""
     mention, entities = graph.edges["MENTIONS"], graph.nodes["Entity"]
     info = chunks.select("chunk_id", "document_id", "section_index", "chunk_index")
     title = limited(by_section_title(chunks, queries).select("query_id", "chunk_id", "document_id", "section_index", "chunk_index", "graph_score"), k, "section_index", "chunk_index", "chunk_id")
-    entity = by_entity_mention(mention, entities, queries).join(info, "chunk_id")
-    order = (F.desc("match_count"), "section_index", "chunk_index", "chunk_id")
-    entity = limited(entity, k, *order) if by_document else round_robin(limited(entity, 2 * k, *order).drop("rank"), k, "document_id", *order)
+    entity = limited(by_entity_mention(mention, entities, queries).join(info, "chunk_id"), 3 * k, F.desc("match_count"), "section_index", "chunk_index", "chunk_id")
     topic = by_topic(graph.nodes["Topic"], graph.edges["HAS_TOPIC"], queries).groupBy("query_id", "chunk_id").agg(F.max("graph_score").alias("graph_score")).join(info, "chunk_id")
     topic = limited(topic, k, F.desc("graph_score"), "section_index", "chunk_index", "chunk_id")
     relation = limited(by_relationship(graph.edges["RELATED_TO"], mention, entities, queries).join(info, "chunk_id"), k, "hops", "document_id", "chunk_index", "chunk_id")
     content = limited(limited(by_content(chunks, queries), 4 * k, F.desc("match_count"), "section_index", "chunk_index", "chunk_id").drop("rank"), k, F.desc("graph_score"), "chunk_index", "chunk_id")
-    names = ("section_title_match", "entity_mention", "topic", "entity_relationship", "content")
-    parts = [p.select("query_id", "chunk_id", "document_id", "section_index", "chunk_index", "graph_score", "rank").withColumn("strategy", F.lit(i)).withColumn("retrieval_method", F.lit(n)) for i, (p, n) in enumerate(zip((title, entity, topic, relation, content), names))]
+    fields = ("rank", "chunk_id", "document_id", "section_index", "chunk_index", "graph_score")
+    parts = [p.select("query_id", *fields).withColumn("_s", F.lit(i)) for i, p in enumerate((title, entity, topic, relation, content))]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    first = Window.partitionBy("query_id", "chunk_id").orderBy("strategy", "rank")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    # Strategies before content only fill what is left of k; content is always there.
-    filled = Window.partitionBy("query_id").orderBy("strategy", "rank")
-    rows = rows.withColumn("_at", F.row_number().over(filled)).where((F.col("_at") <= k) | (F.col("strategy") == 4))
-    return limited(rows.drop("_at", "rank"), k, F.desc("graph_score"), "chunk_index", "chunk_id")
+    told = rows.groupBy("query_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("_s") == i, F.struct(*fields)))).alias(f"s{i}") for i in range(len(METHODS))))
+    ids = lambda hits: F.transform(hits, lambda x: x["chunk_id"])
+    fresh = lambda hits: F.filter(hits, lambda x: ~F.array_contains("seen", x["chunk_id"]))
+    room = F.greatest(F.lit(k) - F.col("n"), F.lit(0))
+    told = told.withColumn("kept", F.transform("s0", lambda x: F.struct(F.lit(0).alias("s"), x.alias("x")))).withColumns({"seen": ids("s0"), "n": F.size("s0")})
+    told = told.withColumn("e", F.slice(fresh("s1"), F.lit(1), room * (1 if by_document else 2)))
+    # A document's next best in turn; documents in the order of their best hit.
+    turn = lambda x, i: F.size(F.filter(F.slice("e", F.lit(1), i), lambda y: y["document_id"] == x["document_id"]))
+    first = lambda x: F.call_function("array_position", F.transform("e", lambda y: y["document_id"]), x["document_id"])
+    dealt = F.col("e") if by_document else F.transform(F.array_sort(F.transform("e", lambda x, i: F.struct(turn(x, i).alias("t"), first(x).alias("f"), x.alias("x")))), lambda y: y["x"])
+    told = told.withColumn("d", F.slice(dealt, F.lit(1), room)).withColumns({"kept": F.concat("kept", F.transform("d", lambda x: F.struct(F.lit(1).alias("s"), x.alias("x")))), "seen": F.concat("seen", ids("e")), "n": F.col("n") + F.size("d")})
+    for i in range(2, len(METHODS)):
+        found = fresh(F.slice(f"s{i}", F.lit(1), room) if i < 4 else F.col(f"s{i}"))
+        told = told.withColumn("d", found).withColumns({"kept": F.concat("kept", F.transform("d", lambda x, i=i: F.struct(F.lit(i).alias("s"), x.alias("x")))), "seen": F.concat("seen", ids("d")), "n": F.col("n") + F.size("d")})
+    hits = told.select("query_id", F.explode("kept").alias("h")).select("query_id", "h.x.*", F.col("h.s").alias("strategy"), F.element_at(F.array(*(F.lit(m) for m in METHODS)), F.col("h.s") + 1).alias("retrieval_method"))
+    return limited(hits.drop("rank"), k, F.desc("graph_score"), "chunk_index", "chunk_id")
 
 
 def retrieve(chunks: DataFrame, graph: Graph, queries: DataFrame, k: int, seeds: int = 10) -> DataFrame:
@@ -238,6 +277,16 @@ def method_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "retrieval_method").agg(F.count("*").alias("n"))
 
 
+def places_found(hits: DataFrame, by: str = "query_id") -> DataFrame:
+    """Distinct sections and documents that the hits of each query come from."""
+    return hits.groupBy(by).agg(F.count_distinct("section_id").alias("sections"), F.count_distinct("document_id").alias("documents"), F.count("*").alias("n"))
+
+
+def topics_found(hits: DataFrame, by: str = "query_id") -> DataFrame:
+    """Distinct topics of the hits of each query (query_id, chunk_id, topic)."""
+    return hits.groupBy(by).agg(F.count_distinct("topic").alias("topics"), F.count_distinct("chunk_id").alias("n"))
+
+
 def attach_media(hits: DataFrame, has_media: DataFrame, media: DataFrame) -> DataFrame:
     """hits with the media of image chunks as an array."""
     wanted = hits.where("chunk_type = 'image'").select("chunk_id").distinct()

@@ -17,7 +17,7 @@ asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(r
 post AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (
-  SELECT a.query_id, p.id, sum(a.qtf * ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / st.avgdl))) AS score
+  SELECT a.query_id, p.id, round(sum(a.qtf * ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / st.avgdl))), 9) AS score
   FROM post p JOIN asked a USING (term) JOIN df USING (term), st GROUP BY ALL)
 """
 
@@ -113,7 +113,7 @@ de AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDE
 m AS (SELECT query_id, id, sp.score AS s, de.score AS d, sp.r AS sr, de.r AS dr FROM sp FULL OUTER JOIN de USING (query_id, id)),
 w AS (SELECT *, min(s) OVER q AS s0, max(s) OVER q AS s1, min(d) OVER q AS d0, max(d) OVER q AS d1 FROM m WINDOW q AS (PARTITION BY query_id)),
 n AS (SELECT *, CASE WHEN s IS NULL THEN 0 ELSE (s - s0) / CASE WHEN s1 > s0 THEN s1 - s0 ELSE 1 END END AS sn, CASE WHEN d IS NULL THEN 0 ELSE (d - d0) / CASE WHEN d1 > d0 THEN d1 - d0 ELSE 1 END END AS dn FROM w),
-f AS (SELECT *, {score} AS score FROM n),
+f AS (SELECT *, round({score}, 9) AS score FROM n),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN sr IS NULL THEN 1 ELSE 0 END, coalesce(sr, dr), id) AS INTEGER) AS final_rank FROM f)
 SELECT query_id, final_rank, id AS chunk_id, round(s, 6) AS sparse_score, round(d, 6) AS dense_score, round(score, 6) AS score FROM r WHERE final_rank <= 10
 """
