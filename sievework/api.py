@@ -7,71 +7,110 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions import images as image_functions
+from sievework.functions import tables as table_functions
 from sievework.functions.text import keywords
 from sievework.operators import bm25, chunking, dense, entities, fusion, graph, lifecycle, sections
 from sievework.schemas import deterministic_id
-from sievework.sources import files, stores
+from sievework.sources import files, plugins, stores
 
 
 @dataclass
 class Engine:
     """documents (document_id, filename, document_type, source_path, text, ...), chunks (chunk_id, document_id,
-    chunk_index, chunk_text, chunk_type), vectors (collection, chunk_id, document_id, vector), and a graph. Tables are
-    immutable DataFrames; each change returns a new engine."""
+    chunk_index, chunk_text, chunk_type), vectors (collection, chunk_id, document_id, vector), a graph and an inverted
+    index of the chunks. Tables are immutable DataFrames; each change returns a new engine."""
 
     documents: DataFrame
     chunks: DataFrame | None = None
     vectors: DataFrame | None = None
     graph: graph.Graph | None = None
     weights: dict[str, float] = field(default_factory=lambda: dict(fusion.WEIGHTS))
+    index: bm25.Index | None = None
 
     @staticmethod
     def extract(found: DataFrame) -> DataFrame:
         """Text and tables of files, without indexing them."""
         return files.extract(found)
 
-    def ingest(self) -> Engine:
-        """Chunks, sections, entities and edges of all documents."""
-        cut = chunking.chunk(self.documents, "document_id", "text").withColumns({"chunk_id": deterministic_id(F.col("document_id"), F.lit("text"), F.col("chunk_index")), "chunk_type": F.lit("text")})
-        told = sections.titled(cut, sections.heading(F.col("chunk_text")), "document_id", "chunk_index")
+    def ingest(self, tables: DataFrame | None = None, images: DataFrame | None = None, embedder=None) -> Engine:
+        """Chunks, sections, entities, topics, media and edges of all documents, and the inverted index.
+
+        tables: document_id, table_index, data (rows of cells, header first). images: document_id, image_index, image_path,
+        image_type, extracted_text, caption and, if known, width, height and page. Tables go on after a document's text
+        chunks, images after both. An embedder (see sources.plugins) gives vectors, a collection for each kind of chunk."""
+        docs = self.documents
+        text = chunking.chunk(docs, "document_id", "text").withColumn("chunk_type", F.lit("text"))
+        text = sections.titled(text, sections.heading(F.col("chunk_text")), "document_id", "chunk_index")
+        every = text.select("document_id", "chunk_index", "chunk_text", "chunk_type", "section_index", "section_title", "start_char_index", "end_char_index", "token_count")
+        if tables is not None:
+            t = tables.where(table_functions.is_valid(F.col("data"))).withColumn("_t", table_functions.split_header(F.col("data")))
+            t = t.select("document_id", "table_index", table_functions.flat_text(F.col("_t.headers"), F.col("_t.rows")).alias("chunk_text"), table_functions.markdown(F.col("_t.headers"), F.col("_t.rows")).alias("table_markdown"), F.lit("table").alias("chunk_type"))
+            every = every.unionByName(stores.continued(t, every, "document_id", "table_index").drop("table_index"), allowMissingColumns=True)
+        if images is not None:
+            told = image_functions.with_caption(F.col("extracted_text"), F.col("caption"))
+            i = images.withColumns({"chunk_text": image_functions.chunk_text(told, F.col("image_type")), "chunk_type": F.lit("image")})
+            i = stores.continued(i, every, "document_id", "image_index")
+            every = every.unionByName(i.select("document_id", "chunk_index", "chunk_text", "chunk_type", "image_path", "caption"), allowMissingColumns=True)
+        for name in ("table_markdown", "image_path", "caption"):
+            if name not in every.columns:
+                every = every.withColumn(name, F.lit(None).cast("string"))
+        told = sections.place_tables(every, "document_id").withColumn("section_title", F.coalesce("section_title", F.lit(sections.UNTITLED)))
+        told = told.withColumn("chunk_id", deterministic_id(F.col("document_id"), F.col("chunk_type"), F.col("chunk_index")))
         told = told.withColumn("section_id", deterministic_id(F.col("document_id"), F.lit("section"), F.col("section_index")))
-        g = graph.empty(self.documents.sparkSession)
-        section = told.groupBy("section_id").agg(F.first("document_id").cast("string").alias("document_id"), F.first("section_title").alias("title"), F.first("section_index").alias("section_index"))
+        g = graph.empty(docs.sparkSession)
+        first = F.min_by("section_title", F.struct(F.col("section_title") == sections.UNTITLED, "chunk_index"))
+        section = told.groupBy("section_id").agg(F.first("document_id").cast("string").alias("document_id"), first.alias("title"), F.first("section_index").alias("section_index"))
         found = entities.dedupe(entities.usable(entities.by_pattern(told.select("document_id", "chunk_id", "chunk_index", "chunk_text"), order="document_id")), "entity_name", by="document_id")
         mention = entities.mentions(told, found, "document_id")
-        topics = entities.topics_of_titles(section, "document_id")
+        topics = entities.topics(section, found, told.where("chunk_type = 'text'"))
+        entity = entities.dedupe(found, "entity_name")
+        topic = topics.groupBy("normalized_name").agg(F.min("topic_name").alias("topic_name"), F.min_by("keywords", "document_id").alias("keywords"))
         g.nodes |= {
+            "Document": graph.document_nodes(docs),
             "Section": section,
             "Chunk": told.select("chunk_id", F.col("document_id").cast("string").alias("document_id"), F.left("chunk_text", F.lit(50_000)).alias("content"), "chunk_index", "chunk_type"),
-            "Entity": entities.dedupe(found, "entity_name"),
-            "Topic": topics.groupBy("normalized_name").agg(F.min("topic_name").alias("topic_name"), F.first("keywords").alias("keywords")),
+            "Entity": entity,
+            "Topic": topic,
         }
         g.edges |= {
             "HAS_SECTION": section.select(F.col("document_id").alias("src"), F.col("section_id").alias("dst"), F.col("section_index").alias("order")),
             "HAS_CHUNK": told.select(F.col("section_id").alias("src"), F.col("chunk_id").alias("dst"), "chunk_index"),
             "NEXT_CHUNK": sections.next_chunks(told, ["document_id", "section_index"], "chunk_index"),
             "MENTIONS": mention,
-            "RELATED_TO": entities.related(mention),
+            "RELATED_TO": graph.with_defaults(entities.related(mention), "RELATED_TO"),
             "HAS_TOPIC": entities.topic_links(section, topics, told.select("chunk_id", "section_id")),
+            "ASSOCIATED_WITH": entities.type_links(entity, topic),
         }
-        return Engine(self.documents, told, self.vectors, g, self.weights)
+        if images is not None:
+            held = images.join(told.where("chunk_type = 'image'").select("document_id", "image_path", "chunk_id"), ["document_id", "image_path"], "left")
+            held = held.withColumn("id", deterministic_id(F.col("document_id"), F.lit("media"), F.col("image_index")))
+            g.nodes["Media"], g.edges["HAS_MEDIA"], g.edges["DESCRIBES"] = entities.media_of(held, found)
+        vectors = self.vectors
+        if embedder is not None:
+            collection = F.concat(F.col("chunk_type"), F.lit("_chunks"))
+            vectors = plugins.embed(told.select("chunk_id", "document_id", "chunk_text", collection.alias("collection")), embedder).select("collection", "chunk_id", "document_id", "vector")
+        index = bm25.build(told.where("chunk_type <> 'image'").withColumn("_t", F.coalesce("table_markdown", "chunk_text")), "chunk_id", "_t")
+        return Engine(docs, told, vectors, g, self.weights, index)
 
     def save(self, path: str) -> Engine:
         """The engine over stored tables: what ingest() has planned is computed once, and queries read it."""
         for name, table in self._tables().items():
             stores.overwrite(table, f"{path}/{name}")
+        if self.index is not None:
+            bm25.store(self.index, f"{path}/index")
         return Engine.load(self.documents.sparkSession, path, self.weights)
 
     @staticmethod
     def load(spark: SparkSession, path: str, weights: dict[str, float] | None = None) -> Engine:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         names = [s.getPath().getName() for s in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)]
-        have = {n: spark.read.parquet(f"{path}/{n}") for n in names}
+        have = {n: spark.read.parquet(f"{path}/{n}") for n in names if n != "index"}
         of = lambda kind: {n[len(kind) :]: t for n, t in have.items() if n.startswith(kind)}
         g = graph.empty(spark)
         g.nodes |= of("node-")
         g.edges |= of("edge-")
-        return Engine(have["documents"], have.get("chunks"), have.get("vectors"), g if of("node-") else None, weights or dict(fusion.WEIGHTS))
+        return Engine(have["documents"], have.get("chunks"), have.get("vectors"), g if of("node-") else None, weights or dict(fusion.WEIGHTS), bm25.load(spark, f"{path}/index") if "index" in names else None)
 
     def _tables(self) -> dict[str, DataFrame]:
         out = {"documents": self.documents} | ({"chunks": self.chunks} if self.chunks is not None else {}) | ({"vectors": self.vectors} if self.vectors is not None else {})
@@ -91,7 +130,7 @@ class Engine:
         parts = []
         if sparse:
             # The filter takes hits away; it does not change what terms weigh.
-            found = bm25.search_texts(every.where("chunk_type <> 'image'"), questions, "chunk_id", "chunk_text")
+            found = bm25.search(self.index, questions) if self.index is not None else bm25.search_texts(every.where("chunk_type <> 'image'"), questions, "chunk_id", "chunk_text")
             found = found.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi") if filters else found
             parts.append(bm25.top(found, 2 * k).select("query_id", F.lit("sparse").alias("source"), "rank", F.col("id").alias("chunk_id"), "score"))
         if self.vectors is not None and "vector" in questions.columns:
@@ -126,4 +165,7 @@ class Engine:
         """Without the documents in ids (document_id), in every store."""
         store = {"documents": self.documents} | ({"chunks": self.chunks} if self.chunks is not None else {}) | ({"vectors": self.vectors} if self.vectors is not None else {})
         left = {n: lifecycle.delete_by_keys(t, ids, "document_id") for n, t in store.items()}
-        return Engine(left["documents"], left.get("chunks"), left.get("vectors"), lifecycle.delete_from_graph(self.graph, ids) if self.graph else None, self.weights)
+        index = self.index
+        if index is not None and self.chunks is not None:
+            index = bm25.delete(index, self.chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi").select(F.col("chunk_id").alias("id")))
+        return Engine(left["documents"], left.get("chunks"), left.get("vectors"), lifecycle.delete_from_graph(self.graph, ids) if self.graph else None, self.weights, index)

@@ -77,3 +77,16 @@ def matching(content: Column, words: Column) -> Column:
 def despaced(line: Column) -> Column:
     """'L I N K' as 'LINK'."""
     return F.when(line.rlike(r"^([A-Z]\s){2,}[A-Z]$"), F.regexp_replace(line, r"\s", "")).otherwise(line)
+
+
+def spread(payload: Column, known: tuple[str, ...]) -> Column:
+    """The entries of a map whose keys are not fields of their own: what a hit carries as metadata."""
+    return F.map_filter(payload, lambda k, _: ~k.isin(*known))
+
+
+def merged(*maps: Column) -> Column:
+    """Maps as one; later ones win, and a null map adds nothing."""
+    none = F.create_map().cast("map<string,string>")
+    entries = F.concat(*(F.map_entries(F.coalesce(m, none)) for m in maps))
+    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)

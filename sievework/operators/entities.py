@@ -93,6 +93,21 @@ def topics_of_phrases(chunks: DataFrame, by: str, order: str, text: str = "chunk
     return found.withColumn("_r", rank).where((F.col("_r") <= most) & (F.col("n") >= least) & (F.length("topic_name") > 8)).select(by, F.lower("topic_name").alias("normalized_name"), "topic_name", "n")
 
 
+def topics(sections: DataFrame, entities: DataFrame, chunks: DataFrame, by: str = "document_id", order: str = "chunk_index", text: str = "chunk_text", enough: int = 3) -> DataFrame:
+    """by, normalized_name, topic_name, keywords of each document: of section titles and of kinds of entities, and of
+    phrases that recur only where these are fewer than `enough`. The first that names a topic gives its spelling."""
+    titles = topics_of_titles(sections, by).select(by, "normalized_name", "topic_name", "keywords").withColumn("_tier", F.lit(0))
+    name = F.create_map(*(F.lit(x) for pair in TOPIC_OF_TYPE.items() for x in pair))
+    kinds = entities.groupBy(by, "entity_type").agg(F.count("*").alias("n")).where("n >= 3").withColumn("topic_name", F.try_element_at(name, F.col("entity_type"))).where("topic_name IS NOT NULL")
+    kinds = kinds.select(by, F.lower("topic_name").alias("normalized_name"), "topic_name", F.split(F.lower("topic_name"), r"\s+").alias("keywords"), F.lit(1).alias("_tier"))
+    sure = titles.unionByName(kinds)
+    many = sure.groupBy(by).agg(F.count_distinct("normalized_name").alias("_n")).where(F.col("_n") >= enough).select(by)
+    phrases = topics_of_phrases(chunks.join(many, by, "left_anti"), by, order, text)
+    phrases = phrases.select(by, "normalized_name", "topic_name", F.split("normalized_name", r"\s+").alias("keywords"), F.lit(2).alias("_tier"))
+    place = F.struct("_tier", "topic_name")
+    return sure.unionByName(phrases).groupBy(by, "normalized_name").agg(F.min_by("topic_name", place).alias("topic_name"), F.min_by("keywords", place).alias("keywords"))
+
+
 def topic_links(sections: DataFrame, topics: DataFrame, chunk_sections: DataFrame, by: str = "document_id") -> DataFrame:
     """Edges src (chunk), dst (topic), relevance 0.8: chunks of sections whose title contains a keyword of a topic of
     their document. The join is on the document, so that titles meet no keywords of others."""
@@ -111,6 +126,10 @@ def type_links(entities: DataFrame, topics: DataFrame) -> DataFrame:
 
 def media_of(images: DataFrame, entities: DataFrame, by: str = "document_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Media nodes, HAS_MEDIA edges from their chunks and DESCRIBES edges to entities that captions name."""
+    # Width, height and page are kept where they are known.
+    sized = [c for c in ("width", "height", "page") if c in images.columns]
+    known = F.map_filter(F.create_map(*(x for c in sized for x in (F.lit(c), F.col(c).cast("string")))), lambda _, v: v.isNotNull()) if sized else F.create_map().cast("map<string,string>")
+    images = images.withColumn("metadata", F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")) if "metadata" in images.columns else F.create_map().cast("map<string,string>"), known))
     media = images.select(F.col("id").alias("media_id"), F.coalesce(F.upper("image_type"), F.lit("IMAGE")).alias("media_type"), F.col("image_path").alias("media_url"), F.coalesce("caption", F.lit("")).alias("caption"), F.left(F.coalesce("extracted_text", "caption", F.lit("")), F.lit(200)).alias("alt_text"), F.to_json("metadata").alias("metadata"), by, "chunk_id")
     held = media.where("chunk_id IS NOT NULL").select(F.col("chunk_id").alias("src"), F.col("media_id").alias("dst"), "media_type", F.lit(0.85).alias("relevance"), F.lit("inline").alias("position"))
     named = media.join(entities.select(by, "normalized_name").distinct(), by).where(F.lower("caption").contains(F.col("normalized_name")))

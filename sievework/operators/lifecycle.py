@@ -92,11 +92,50 @@ def delete_from_graph(graph: Graph, ids: DataFrame) -> Graph:
     return Graph(nodes, edges)
 
 
-def clean_orphans(graph: Graph) -> Graph:
-    """Entities without any edge, then those that nothing mentions."""
-    e = graph.edges
-    used = e["MENTIONS"].select(F.col("dst").alias("normalized_name")).union(e["ABOUT"].select("dst")).distinct()
-    return Graph(graph.nodes | {"Entity": graph.nodes["Entity"].join(used, "normalized_name", "left_semi")}, e)
+def clean_orphans(graph: Graph) -> tuple[Graph, DataFrame]:
+    """The graph without entities that no edge touches, then without those that nothing mentions and no section is about;
+    and how many each step took (step, deleted)."""
+    e, nodes, edges = graph.nodes["Entity"], graph.edges, lambda t, c: graph.edges[t].select(F.col(c).alias("normalized_name"))
+    touched = edges("MENTIONS", "dst").union(edges("ABOUT", "dst")).union(edges("RELATED_TO", "src")).union(edges("RELATED_TO", "dst")).union(edges("DESCRIBES", "dst")).union(edges("ASSOCIATED_WITH", "src")).distinct()
+    some = e.join(touched, "normalized_name", "left_semi")
+    used = edges("MENTIONS", "dst").union(edges("ABOUT", "dst")).distinct()
+    left = some.join(used, "normalized_name", "left_semi")
+    count = lambda df, name: df.agg(F.count("*").alias("deleted")).select(F.lit(name).alias("step"), "deleted")
+    gone = count(e.join(touched, "normalized_name", "left_anti"), "without edges").unionByName(count(some.join(used, "normalized_name", "left_anti"), "not mentioned"))
+    return Graph(graph.nodes | {"Entity": left}, nodes), gone
+
+
+def blobs_of(ids: DataFrame, *tables: tuple[DataFrame, str]) -> DataFrame:
+    """document_id, path of the stored objects (table, path column) that documents in ids leave behind, each once."""
+    gone = ids.select("document_id").distinct()
+    parts = [t.join(gone, "document_id", "left_semi").select("document_id", F.col(c).alias("path")).where("path IS NOT NULL AND path <> ''") for t, c in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def delete_blobs(paths: DataFrame) -> DataFrame:
+    """path, deleted: objects are deleted where the rows are; one that is missing or cannot be deleted does not end the
+    others. Paths are those of a mounted store."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        for frame in frames:
+            done = []
+            for path in frame["path"]:
+                try:
+                    os.remove(path.removeprefix("file:"))
+                    done.append(True)
+                except OSError:
+                    done.append(False)
+            yield pd.DataFrame({"path": frame["path"], "deleted": done})
+
+    return paths.select("path").mapInPandas(run, "path string, deleted boolean")
 
 
 def verify(tables: dict[str, DataFrame], schemas: dict[str, str]) -> list[str]:
@@ -112,6 +151,13 @@ def verify(tables: dict[str, DataFrame], schemas: dict[str, str]) -> list[str]:
     return wrong
 
 
+def rebuild(spark, schemas: dict[str, str], path: str) -> dict[str, DataFrame]:
+    """Empty tables of the schemas under a path, in place of what is there."""
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
+    return {n: spark.read.parquet(f"{path}/{n}") for n in schemas}
+
+
 def delete_all(store: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {n: t.limit(0) for n, t in store.items()}
 

@@ -96,17 +96,33 @@ def correlation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """count_over_time as a stream of files: windows that the watermark has closed, then the rest from the state."""
-    name = f"counts_{uuid.uuid4().hex}"
-    events = telemetry.stream(spark, f"{sf_dir}/events*.parquet", _events(spark, sf_dir).schema)
-    out = telemetry.over_time(events, "5 minutes", F.count("*").alias("n"), by=("event_type",))
-    query = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = spark.table(name)
-    return done.select(_start(done), "event_type", "n")
+    """count_over_time as a stream of files into a table: windows that the watermark has closed are appended and leave
+    the state; those still open at the end are counted from the events behind the last closed one."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams/{uuid.uuid4().hex}"
+    schema = _events(spark, sf_dir).schema
+    counts = lambda events: telemetry.over_time(events, "5 minutes", F.count("*").alias("n"), by=("event_type",))
+    telemetry.to_table(counts(telemetry.stream(spark, f"{sf_dir}/events*.parquet", schema)), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    closed = spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n long").parquet(f"{folder}/table")
+    last = closed.agg(F.max("window_end").alias("last"))
+    rest = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).crossJoin(F.broadcast(last)).where("last IS NULL OR ts >= last").drop("last")
+    every = closed.unionByName(counts(rest))
+    return every.groupBy(_start(every), "event_type").agg(F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (rate_5m, window_mean, bucket_quantile, error_ratio, group_sum, grouped_ratio, lifetime_rate, label_regex, count_over_time, log_rate_1m, log_json_filter, relabel, session_trace, correlation_trace, stream_counts)}
+def metric_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: types are endpoints, odd users get errors, values are seconds."""
+    e = _events(spark, sf_dir).select(F.lit("GET").alias("method"), F.col("event_type").alias("endpoint"), F.when(F.pmod("user_id", F.lit(2)) == 1, "500").otherwise("200").alias("status"), F.col("value").alias("seconds"))
+    out = telemetry.emitted(e, [10.0, 100.0])
+    return out.select("name", F.element_at("labels", "endpoint").alias("endpoint"), F.element_at("labels", "status").alias("status"), "le", F.round("value", 4).alias("value"))
+
+
+def rate_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one counter that resets."""
+    out = telemetry.counter_rate(_events(spark, sf_dir), order=("event_id",))
+    return out.select(_start(out), F.round("rate", 6).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (rate_5m, window_mean, bucket_quantile, error_ratio, group_sum, grouped_ratio, lifetime_rate, label_regex, count_over_time, log_rate_1m, log_json_filter, relabel, session_trace, correlation_trace, stream_counts, metric_emission, rate_of_all)}
 
 _COUNTS = "SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 
@@ -124,6 +140,16 @@ ORACLES = {
 d AS (SELECT event_type, epoch(ts) AS t, CASE WHEN b IS NULL THEN 0 WHEN value >= b THEN value - b ELSE value END AS step FROM s),
 w AS (SELECT event_type, step, CAST(floor(t / 60) * 60 AS BIGINT) - 60 * k AS window_start FROM d, range(0, 5) AS r(k))
 SELECT window_start, event_type, round(sum(step) / 300, 6) AS rate FROM w GROUP BY ALL""",
+    "rate_of_all": """WITH s AS (SELECT *, lag(value) OVER (ORDER BY ts, event_id) AS b FROM events),
+d AS (SELECT epoch(ts) AS t, CASE WHEN b IS NULL THEN 0 WHEN value >= b THEN value - b ELSE value END AS step FROM s),
+w AS (SELECT step, CAST(floor(t / 60) * 60 AS BIGINT) - 60 * k AS window_start FROM d, range(0, 5) AS r(k))
+SELECT window_start, round(sum(step) / 300, 6) AS rate FROM w GROUP BY ALL""",
+    "metric_emission": """WITH r AS (SELECT event_type AS endpoint, CASE WHEN user_id % 2 = 1 THEN '500' ELSE '200' END AS status, value FROM events),
+g AS (SELECT endpoint, status, CAST(count(*) AS DOUBLE) AS n, round(sum(value), 4) AS s, CAST(count(*) FILTER (value <= 10) AS DOUBLE) AS b0, CAST(count(*) FILTER (value <= 100) AS DOUBLE) AS b1 FROM r GROUP BY ALL)
+SELECT 'http_requests_total' AS name, endpoint, status, NULL::VARCHAR AS le, n AS value FROM g
+UNION ALL SELECT 'http_request_duration_seconds_bucket', endpoint, status, '10.0', b0 FROM g UNION ALL SELECT 'http_request_duration_seconds_bucket', endpoint, status, '100.0', b1 FROM g
+UNION ALL SELECT 'http_request_duration_seconds_bucket', endpoint, status, '+Inf', n FROM g
+UNION ALL SELECT 'http_request_duration_seconds_sum', endpoint, status, NULL, s FROM g UNION ALL SELECT 'http_request_duration_seconds_count', endpoint, status, NULL, n FROM g""",
     "window_mean": "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL",
     "bucket_quantile": f"SELECT event_type, CAST({_quantile(0.95)} AS DOUBLE) AS p95, count(value) AS n, CAST({_quantile(0.5)} AS DOUBLE) AS p50 FROM events GROUP BY event_type",
     "error_ratio": "SELECT user_id, CAST(round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 6) AS DOUBLE) AS error_percent, count(*) AS n FROM events GROUP BY user_id",

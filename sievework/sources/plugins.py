@@ -25,6 +25,11 @@ class Captioner(Protocol):
     def describe(self, images: Sequence[bytes]) -> Sequence[str | None]: ...
 
 
+class Reader(Protocol):
+    def read(self, images: Sequence[bytes]) -> Sequence[Sequence[str]]:
+        """The strings found in each picture."""
+
+
 class Answerer(Protocol):
     def answer(self, questions: Sequence[str], contexts: Sequence[str]) -> Sequence[str]: ...
 
@@ -95,3 +100,25 @@ def captions(rows: DataFrame, make: Callable[[], Captioner], image: str = "conte
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != out) + f", `{out}` string"
     return rows.drop(out).mapInPandas(run, schema)
+
+
+def recognized(rows: DataFrame, make: Callable[[], Reader], image: str = "content", out: str = "extracted_text") -> DataFrame:
+    """rows with the text that a model reads in an image column: the strings that are not blank, with a blank between;
+    null where there are none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for frame in frames:
+            found = model.read(frame[image].tolist())
+            frame[out] = [" ".join(s.strip() for s in strings if s and s.strip()) or None for strings in found]
+            yield frame
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != out) + f", `{out}` string"
+    return rows.drop(out).mapInPandas(run, schema)
+
+
+def distinct_entities(found: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """A model's entities, each normalised name once for each key: the first by spelling."""
+    rows = found.withColumn("normalized_name", F.lower(F.trim("entity_name")))
+    order = F.struct("entity_name", "entity_type")
+    return rows.groupBy(key, "normalized_name").agg(*(F.min_by(c, order).alias(c) for c in ("entity_name", "entity_type", "entity_value", "confidence")))

@@ -32,9 +32,19 @@ def over_time(events: DataFrame, width: str, *aggregates: Column, slide: str | N
 def counter_rate(samples: DataFrame, width: str = "5 minutes", slide: str = "1 minute", by: tuple[str, ...] = (), seconds: int = 300, ts: str = "ts", value: str = "value", order: tuple[str, ...] = ()) -> DataFrame:
     """Increase of a counter a second: sums of positive steps (a reset starts from zero) over sliding windows. Steps need
     the sample before, so this is for batches; a stream of steps goes through over_time()."""
-    before = F.lag(value).over(Window.partitionBy(*(by or (F.lit(0),))).orderBy(ts, *order))
+    if by:
+        before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts, *order))
+    else:
+        # One counter for all: its samples are numbered by hour, and an hour's first one follows the last of the hour
+        # before that has any.
+        hour = F.date_trunc("hour", F.col(ts))
+        samples = samples.withColumn("_hour", hour)
+        last = samples.groupBy("_hour").agg(F.max_by(value, F.struct(ts, *order)).alias("_last"))
+        last = last.select("_hour", F.lag("_last").over(Window.orderBy("_hour")).alias("_last"))  # a row for each hour
+        samples = samples.join(F.broadcast(last), "_hour")
+        before = F.coalesce(F.lag(value).over(Window.partitionBy("_hour").orderBy(ts, *order)), F.col("_last"))
     step = F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
-    return over_time(samples.withColumn("step", step), width, (F.sum("step") / seconds).alias("rate"), slide=slide, by=by, ts=ts)
+    return over_time(samples.withColumn("step", step).drop("_hour", "_last"), width, (F.sum("step") / seconds).alias("rate"), slide=slide, by=by, ts=ts)
 
 
 def bucket_quantile(events: DataFrame, bounds: list[float], q: float, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
@@ -105,3 +115,14 @@ def to_table(df: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFra
     """Finished windows to Parquet, or to merge(batch, number), which must be idempotent for a batch's number."""
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return writer.foreachBatch(merge).start() if merge else writer.format("parquet").option("path", path).start()
+
+
+def emitted(requests: DataFrame, bounds: list[float], by: tuple[str, ...] = ("method", "endpoint", "status"), seconds: str = "seconds") -> DataFrame:
+    """What a service would export of its requests: name, labels, le, value: a counter, and a histogram of durations with
+    cumulative buckets (le is null but in buckets), its sum and count."""
+    groups = requests.groupBy(*by).agg(F.count("*").cast("double").alias("_n"), F.sum(seconds).alias("_s"), *(F.count_if(F.col(seconds) <= b).cast("double").alias(f"_b{i}") for i, b in enumerate(bounds)))
+    labels = F.create_map(*(x for c in by for x in (F.lit(c), F.col(c).cast("string"))))
+    sample = lambda name, le, value: F.struct(F.lit(name).alias("name"), F.lit(le).cast("string").alias("le"), value.alias("value"))
+    buckets = [sample("http_request_duration_seconds_bucket", str(b), F.col(f"_b{i}")) for i, b in enumerate(bounds)]
+    every = [sample("http_requests_total", None, F.col("_n")), *buckets, sample("http_request_duration_seconds_bucket", "+Inf", F.col("_n")), sample("http_request_duration_seconds_sum", None, F.col("_s")), sample("http_request_duration_seconds_count", None, F.col("_n"))]
+    return groups.select(labels.alias("labels"), F.explode(F.array(*every)).alias("m")).select("m.name", "labels", "m.le", "m.value")
