@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,6 +92,23 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return short.unionByName(long).select(key, "c.*")
 
 
+def register(spark, name: str = "text_chunks") -> None:
+    """The chunker as a table function of SQL: SELECT c.* FROM t, LATERAL text_chunks(t.text) AS c."""
+    from pyspark.sql.functions import udtf
+
+    class Chunks:
+        def eval(self, text: str):
+            for c in chunks_of(plain(text or "")):
+                yield tuple(c[f] for f in ("chunk_index", "chunk_text", "start_char_index", "end_char_index", "true_start", "token_count"))
+
+    spark.udtf.register(name, udtf(Chunks, returnType="chunk_index int, chunk_text string, start_char_index int, end_char_index int, true_start int, token_count int"))
+
+
+def plain(text: str) -> str:
+    """What functions.text.normalize() gives, for the table function."""
+    return re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text)).strip(" \t\n\x0b\x0c\r")
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """Counts and sizes over all chunks, in tokens and characters; zeros without any."""
     n, t = F.count("*"), F.coalesce(F.sum("token_count"), F.lit(0))

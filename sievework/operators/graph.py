@@ -242,9 +242,10 @@ def cascade(chunks: DataFrame, graph: Graph, queries: DataFrame, k: int, by_docu
     first = lambda x: F.call_function("array_position", F.transform("e", lambda y: y["document_id"]), x["document_id"])
     dealt = F.col("e") if by_document else F.transform(F.array_sort(F.transform("e", lambda x, i: F.struct(turn(x, i).alias("t"), first(x).alias("f"), x.alias("x")))), lambda y: y["x"])
     told = told.withColumn("d", F.slice(dealt, F.lit(1), room)).withColumns({"kept": F.concat("kept", F.transform("d", lambda x: F.struct(F.lit(1).alias("s"), x.alias("x")))), "seen": F.concat("seen", ids("e")), "n": F.col("n") + F.size("d")})
+    marked = lambda i: lambda x: F.struct(F.lit(i).alias("s"), x.alias("x"))
     for i in range(2, len(METHODS)):
         found = fresh(F.slice(f"s{i}", F.lit(1), room) if i < 4 else F.col(f"s{i}"))
-        told = told.withColumn("d", found).withColumns({"kept": F.concat("kept", F.transform("d", lambda x, i=i: F.struct(F.lit(i).alias("s"), x.alias("x")))), "seen": F.concat("seen", ids("d")), "n": F.col("n") + F.size("d")})
+        told = told.withColumn("d", found).withColumns({"kept": F.concat("kept", F.transform("d", marked(i))), "seen": F.concat("seen", ids("d")), "n": F.col("n") + F.size("d")})
     hits = told.select("query_id", F.explode("kept").alias("h")).select("query_id", "h.x.*", F.col("h.s").alias("strategy"), F.element_at(F.array(*(F.lit(m) for m in METHODS)), F.col("h.s") + 1).alias("retrieval_method"))
     return limited(hits.drop("rank"), k, F.desc("graph_score"), "chunk_index", "chunk_id")
 

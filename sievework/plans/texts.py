@@ -286,6 +286,9 @@ SELECT lower(topic) AS normalized_name, topic AS topic_name, (SELECT count(*) FR
     "topic_link": rf"""WITH {_PAGES}, c AS (SELECT *, regexp_replace(regexp_replace(trim(title), '^\d+(\.\d+)*\s+', ''), '(?i)^(Chapter|Section|Part)\s+[IVX\d]+:?\s*', '') AS n FROM p WHERE trim(title) NOT IN ('', 'Document Content', 'Tables')),
 k AS (SELECT DISTINCT host, lower(trim(n)) AS topic, unnest(list_filter(string_split_regex(lower(n), '\s+'), lambda w: length(w) > 3)) AS w FROM c WHERE length(n) > 3)
 SELECT page_id AS src, count(DISTINCT topic) AS topics, 0.8::DOUBLE AS relevance FROM p JOIN k USING (host) WHERE contains(lower(title), w) GROUP BY page_id""",
+    "topic_phrases": f"""WITH h AS (SELECT source, left(array_to_string(list_transform(string_split(text, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' '), 500) AS x FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50),
+n AS (SELECT source, name, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(regexp_replace(x, '[À-ÿ]', '0', 'g'), '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{1,3}})\\b', 1)) AS name FROM h) GROUP BY ALL)
+SELECT source, lower(name) AS normalized_name, name AS topic_name, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, name) AS r FROM n) WHERE r <= 10 AND n >= 2 AND length(name) > 8""",
     "section_title_search": f"""WITH {_PAGES}, q AS (SELECT * FROM (VALUES ('q1', ['the', 'that']), ('q2', ['das', 'ein']), ('q3', ['zzz'])) AS q(query_id, kw))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS INTEGER) AS rank, page_id AS chunk_id, 0.9::DOUBLE AS graph_score FROM p, q WHERE len(list_filter(kw, lambda w: contains(lower(title), w))) > 0 QUALIFY rank <= 25""",
     "table_render": r"""WITH c AS (SELECT n_regionkey, n_nationkey, CAST(n_nationkey AS VARCHAR) AS k, CASE WHEN n_nationkey % 4 = 0 THEN ' ' ELSE n_name END AS v FROM nation)

@@ -62,6 +62,11 @@ def object_key(source: Column, kind: Column, filename: Column, at: Column) -> Co
     return F.concat(F.lit("raw_documents/"), source, F.lit("/"), kind, F.lit("/"), stem, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.regexp_extract(filename, r"(\.[^.]*)$", 1))
 
 
+def store_raw(files: DataFrame, root: str) -> None:
+    """Files (source, document_type, key, content) into a store, a folder for each source and type."""
+    files.select("source", "document_type", "key", "content").write.mode("append").partitionBy("source", "document_type").parquet(root)
+
+
 def image_key(document: Column, index: Column, at: Column, content: Column, extension: Column) -> Column:
     return F.concat(document, F.lit("/image_"), index.cast("string"), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), F.left(F.md5(content), F.lit(8)), F.lit("."), extension)
 
