@@ -105,7 +105,10 @@ class Engine:
     def load(spark: SparkSession, path: str, weights: dict[str, float] | None = None) -> Engine:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         names = [s.getPath().getName() for s in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)]
-        have = {n: spark.read.parquet(f"{path}/{n}") for n in names if n != "index"}
+        for n in {n.removesuffix(".old") for n in names if n.endswith(".old")}:
+            stores.recover(spark, f"{path}/{n}")  # a save that was cut off
+            names.append(n)
+        have = {n: spark.read.parquet(f"{path}/{n}") for n in names if n != "index" and not n.endswith((".new", ".old"))}
         of = lambda kind: {n[len(kind) :]: t for n, t in have.items() if n.startswith(kind)}
         g = graph.empty(spark)
         g.nodes |= of("node-")

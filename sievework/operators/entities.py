@@ -61,10 +61,10 @@ def mentions(chunks: DataFrame, entities: DataFrame, by: str = "document_id", ke
 
 def related(mention: DataFrame) -> DataFrame:
     """Edges src, dst, n_chunks, confidence both ways between entities that share chunks; confidence is a third of the
-    chunks, at most 1. A chunk with m entities gives m * (m - 1) / 2 pairs, which are counted before they are doubled."""
-    per_chunk = mention.select("src", "dst").distinct().groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("e")).where(F.size("e") > 1)
-    left = per_chunk.select("e", F.posexplode("e").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"))
+    chunks, at most 1. A chunk with m entities gives m * (m - 1) / 2 pairs, which are counted before they are doubled; they
+    come of a join on the chunk, which adaptive execution splits where a chunk has very many."""
+    rows = mention.select("src", "dst").distinct()
+    pairs = rows.select("src", F.col("dst").alias("a")).join(rows.select("src", F.col("dst").alias("b")), "src").where("a < b").select("a", "b")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n_chunks"))
     both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
     return counted.select(both.alias("p"), "n_chunks").select("p.src", "p.dst", "n_chunks", F.least(F.lit(1.0), F.col("n_chunks") / 3).alias("confidence"))

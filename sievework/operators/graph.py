@@ -103,19 +103,35 @@ def limited(hits: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows of questions' words that are sent to every task at once; more go in groups.
+SENT = 20_000
+
+
+def meeting(rows: DataFrame, words: DataFrame, condition: Column) -> DataFrame:
+    """rows with each of words that a condition, which no key can serve, allows. words are counted and sent in groups of
+    about SENT rows, each of which meets rows in one scan."""
+    parts = max(1, -(-words.count() // SENT))
+    out = None
+    for i in range(parts):
+        group = words.where(F.pmod(F.xxhash64(*words.columns), F.lit(parts)) == i) if parts > 1 else words
+        found = rows.join(F.broadcast(group), condition)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def by_section_title(chunks: DataFrame, queries: DataFrame, score: float = 0.9) -> DataFrame:
     """Chunks of sections whose title contains any keyword. chunks: chunk_id, document_id, section_title,
     section_index, chunk_index, content."""
     words = _lower(queries).select("query_id", F.explode("keywords").alias("w"))
     titles = chunks.select("section_title").distinct()
-    found = titles.join(words, F.lower("section_title").contains(F.col("w"))).select("query_id", "section_title").distinct()
+    found = meeting(titles, words, F.lower("section_title").contains(F.col("w"))).select("query_id", "section_title").distinct()
     return chunks.join(found, "section_title").withColumn("graph_score", F.lit(score))
 
 
 def by_content(chunks: DataFrame, queries: DataFrame, content: str = "content") -> DataFrame:
     """Chunks that contain any keyword: (matches + a tenth of all occurrences) / number of keywords; may exceed 1.
     Keywords of the whole batch are tested in one scan."""
-    rows = chunks.join(_lower(queries), F.exists("keywords", lambda w: F.lower(F.col(content)).contains(w)))
+    rows = meeting(chunks, _lower(queries), F.exists("keywords", lambda w: F.lower(F.col(content)).contains(w)))
     hit = matching(F.col(content), F.col("keywords"))
     total = F.aggregate(F.transform("keywords", lambda w: occurrences(F.lower(F.col(content)), w)), F.lit(0), lambda a, x: a + x)
     return rows.withColumn("match_count", F.size(hit)).withColumn("graph_score", (F.col("match_count") + 0.1 * total) / F.greatest(F.size("keywords"), F.lit(1))).drop("keywords")
@@ -124,7 +140,7 @@ def by_content(chunks: DataFrame, queries: DataFrame, content: str = "content")
 def by_entity_mention(mention: DataFrame, entities: DataFrame, queries: DataFrame, score: float = 0.7) -> DataFrame:
     """query_id, chunk_id, match_count (distinct entities) of chunks that mention an entity whose name contains a keyword."""
     words = _lower(queries).select("query_id", F.explode("keywords").alias("w"))
-    named = entities.select("normalized_name").distinct().join(words, F.col("normalized_name").contains(F.col("w"))).select("query_id", F.col("normalized_name").alias("dst")).distinct()
+    named = meeting(entities.select("normalized_name").distinct(), words, F.col("normalized_name").contains(F.col("w"))).select("query_id", F.col("normalized_name").alias("dst")).distinct()
     return mention.join(named, "dst").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.count_distinct("dst").alias("match_count")).withColumn("graph_score", F.lit(score))
 
 
@@ -144,7 +160,7 @@ def by_topic(topics: DataFrame, has_topic: DataFrame, queries: DataFrame) -> Dat
     """query_id, chunk_id, topic, graph_score 0.75 + 0.15 * relevance, for topics whose name or keywords contain a keyword."""
     words = _lower(queries).select("query_id", F.explode("keywords").alias("w"))
     match = F.lower("topic_name").contains(F.col("w")) | F.exists("keywords", lambda k: F.lower(k).contains(F.col("w")))
-    found = topics.join(words, match).select("query_id", F.col("normalized_name").alias("dst")).distinct()
+    found = meeting(topics, words, match).select("query_id", F.col("normalized_name").alias("dst")).distinct()
     relevance = F.coalesce("relevance", F.lit(0.5))
     return has_topic.join(found, "dst").select("query_id", F.col("src").alias("chunk_id"), F.col("dst").alias("topic"), (0.75 + 0.15 * relevance).alias("graph_score"))
 
@@ -199,11 +215,11 @@ def by_relationship(related: DataFrame, mention: DataFrame, entities: DataFrame,
 
 def round_robin(hits: DataFrame, k: int, by: str = "document_id", *order: Column | str) -> DataFrame:
     """k hits of each query, taking a document's next best in turn; documents in the order of their best hit."""
-    best = Window.partitionBy("query_id").orderBy(*order)
-    own = Window.partitionBy("query_id", by).orderBy("_at")
-    rows = hits.withColumn("_at", F.row_number().over(best)).withColumn("turn", F.row_number().over(own))
-    rows = rows.withColumn("_first", F.min("_at").over(Window.partitionBy("query_id", by)))
-    return limited(rows, k, "turn", "_first").drop("_at", "_first")
+    own = Window.partitionBy("query_id", by).orderBy(*order)
+    rows = hits.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= k)
+    # Only a document's best hit takes part in the order of documents, and no more than k documents can have a turn.
+    first = limited(rows.where("turn = 1"), k, *order).select("query_id", by, F.col("rank").alias("_first"))
+    return limited(rows.join(first, ["query_id", by]), k, "turn", "_first").drop("_first")
 
 
 #: How a hit was found, in the order in which the cascade tries.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.schemas import deterministic_id
@@ -49,12 +49,28 @@ def append(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 def overwrite(df: DataFrame, path: str, *partitions: str) -> None:
-    """Replace a table: written beside it first, since it may be what df is read from."""
+    """Replace a table: written beside it first, since it may be what df is read from. The old one is moved aside and goes
+    last, so that a crash at any point leaves a whole table, which recover() puts in place."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target, fresh = hadoop(path), hadoop(f"{path}.new")
+    target, fresh, old = hadoop(path), hadoop(f"{path}.new"), hadoop(f"{path}.old")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, path)
     fs.delete(fresh, True)
     append(df, f"{path}.new", *partitions)
-    fs.delete(target, True)
+    if fs.exists(target):
+        fs.rename(target, old)
     fs.rename(fresh, target)
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put a table back that overwrite() had moved aside when it was cut off, or take away what it had still to delete."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, old = hadoop(path), hadoop(f"{path}.old")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
