@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,10 +44,16 @@ def worker_store(operator: str, arrays: bool = True) -> dict:
     import pyspark
 
     kept = pyspark.__dict__.setdefault("_worker_store", {})
-    if operator not in kept:
+    fresh = operator not in kept
+    if fresh:
         kept.clear()
         kept[operator] = {}
+    # Functions that came by value are cycles of their own globals, and work on arrays makes too few objects for the
+    # collector to start by itself, so that what tasks leave would pile up.
+    if fresh or time.monotonic() - kept.get("collected", 0.0) > 2:
+        gc.collect()
         trim(arrays)
+        kept["collected"] = time.monotonic()
     return kept[operator]
 
 
@@ -53,9 +61,7 @@ def trim(arrays: bool) -> None:
     """Give freed memory back to the system and, with arrays, large blocks from now on as soon as they are freed, where
     the C library knows how: a worker runs beside a heap that does not shrink."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if arrays:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -63,15 +69,15 @@ def trim(arrays: bool) -> None:
         libc = ctypes.CDLL(None)
         # Fixed values of the C library: -3 sets the size from which blocks are mapped alone, -1 the free top it keeps.
         if arrays:
-            libc.mallopt(-3, 1 << 20)
-            libc.mallopt(-1, 8 << 20)
+            libc.mallopt(-3, 1 << 18)
+            libc.mallopt(-1, 1 << 20)
         libc.malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
 #: Rows and bytes of an Arrow batch at most, where the session has Spark's defaults.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def small_batches(df: DataFrame) -> DataFrame:

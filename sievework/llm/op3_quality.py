@@ -34,6 +34,8 @@ SAMPLE, RANK, NEIGHBOURS = 1500, 48, 15
 #: Hash buckets of words and of shapes; weight of words beside shapes; votes are similarity to this power.
 WORDS, SHAPES, WORD_WEIGHT, SHARPNESS = 4096, 1024, 0.25, 8
 CACHE = 300_000
+#: Documents whose terms are counted together.
+ROWS = 200
 #: Characters of a word above which its pieces count, and of a piece.
 LONG, PIECE = 64, 2
 FOLD = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "B"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
@@ -153,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                for a in range(0, part.num_rows, 500):
-                    some = part.slice(a, 500)
+                for a in range(0, part.num_rows, ROWS):
+                    some = part.slice(a, ROWS)
                     x = [(np.flatnonzero(w), w) for w in weights(some.column("text"))]
                     at, value = (pa.array(v, pa.binary()) for v in ([i.astype("<u2").tobytes() for i, _ in x], [w[i].tobytes() for i, w in x]))
                     yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("y"), at, value], ["doc_id", "y", "at", "value"])
@@ -174,8 +176,8 @@ def scored(docs: DataFrame, space: Space, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                for a in range(0, part.num_rows, 500):
-                    some = part.slice(a, 500)
+                for a in range(0, part.num_rows, ROWS):
+                    some = part.slice(a, ROWS)
                     yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sent.value.score(some.column("text")).astype(np.float64))], ["doc_id", "score"])
 
     rows = texts(docs, key, text)
@@ -189,8 +191,8 @@ def good(docs: DataFrame, space: Space, least: float = 0.5, text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, 2 << 20):
-                for a in range(0, part.num_rows, 500):
-                    some = part.slice(a, 500)
+                for a in range(0, part.num_rows, ROWS):
+                    some = part.slice(a, ROWS)
                     scores = sent.value.score(some.column(text))
                     yield some.filter(pa.array(scores >= least))
 

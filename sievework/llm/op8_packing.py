@@ -37,7 +37,7 @@ END = 0
 #: ones can fill: it pays where there are many small pieces.
 SETTINGS = ((32, 0.4, 1 / 8), (32, 0.4, 1 / 4), (96, 0.4, 0.0))
 #: Bytes of text whose words are encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Pieces that get their ranks in one bucket, roughly.
 BUCKET = 100_000
 
@@ -51,7 +51,7 @@ class Merges:
 
     def __init__(self, spec: dict):
         vocab, rules = spec["model"]["vocab"], spec["model"]["merges"]
-        self.vocab, suffix = vocab, spec["model"].get("end_of_word_suffix") or ""
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         parts = [tuple(r) if isinstance(r, list) else tuple(r.split(" ")) for r in rules]
         left, right, new = (np.array(x, dtype=np.int64) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in parts)))
         self.width = max(vocab.values()) + 1
