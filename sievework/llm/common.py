@@ -37,10 +37,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_store(operator: str, arrays: bool = True) -> dict:
+def worker_store(operator: str, arrays: bool = True, block: int = 1 << 18) -> dict:
     """A dict that lives as long as the Python worker, across tasks of one operator. Functions are sent by value, so
     their own globals last one task only. What another operator has left goes, and freed memory back to the system; an
-    operator that works on large arrays also has them mapped alone."""
+    operator that works on large arrays also has those of a block or more mapped alone."""
     import pyspark
 
     kept = pyspark.__dict__.setdefault("_worker_store", {})
@@ -52,12 +52,12 @@ def worker_store(operator: str, arrays: bool = True) -> dict:
     # collector to start by itself, so that what tasks leave would pile up.
     if fresh or time.monotonic() - kept.get("collected", 0.0) > 2:
         gc.collect()
-        trim(arrays)
+        trim(arrays, block)
         kept["collected"] = time.monotonic()
     return kept[operator]
 
 
-def trim(arrays: bool) -> None:
+def trim(arrays: bool, block: int) -> None:
     """Give freed memory back to the system and, with arrays, large blocks from now on as soon as they are freed, where
     the C library knows how: a worker runs beside a heap that does not shrink."""
     import ctypes
@@ -69,15 +69,15 @@ def trim(arrays: bool) -> None:
         libc = ctypes.CDLL(None)
         # Fixed values of the C library: -3 sets the size from which blocks are mapped alone, -1 the free top it keeps.
         if arrays:
-            libc.mallopt(-3, 1 << 18)
-            libc.mallopt(-1, 1 << 20)
+            libc.mallopt(-3, block)
+            libc.mallopt(-1, 8 * block)
         libc.malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
 #: Rows and bytes of an Arrow batch at most, where the session has Spark's defaults.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def small_batches(df: DataFrame) -> DataFrame:

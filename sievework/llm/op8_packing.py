@@ -37,7 +37,7 @@ END = 0
 #: ones can fill: it pays where there are many small pieces.
 SETTINGS = ((32, 0.4, 1 / 8), (32, 0.4, 1 / 4), (96, 0.4, 0.0))
 #: Bytes of text whose words are encoded together.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Pieces that get their ranks in one bucket, roughly.
 BUCKET = 100_000
 
@@ -212,7 +212,7 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        store = worker_store("packing")
+        store = worker_store("packing", block=1 << 20)
         if store.get("word_spec") != spec.value:
             store.update(word_spec=spec.value, word_ids=WordIds(spec.value))
         for batch in batches:
