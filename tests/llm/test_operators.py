@@ -453,6 +453,19 @@ def test_language_of_test_tables(spark):
     assert got.accepted.mean() > 0.98
 
 
+def test_language_without_what_is_declared(spark):
+    """Text and host alone, and a wrong declaration for one document in ten; columns named like results are replaced."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = op7_language.fit(docs)
+    rows = op7_language.evidence_of_documents(docs).withColumns({"score": F.lit("x"), "site": F.lit("kept"), "likelihood": F.lit(1)})
+    want = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    wrong = F.when(F.col("doc_id") % 10 == 0, F.when(F.col("declared") == "en", "de").otherwise("en"))
+    for asked in (rows.withColumn("declared", F.lit(None).cast("string")), rows.withColumn("declared", F.coalesce(wrong, "declared"))):
+        got = op7_language.identify(asked, model).collect()
+        assert np.mean([r["lang"] == want[r["doc_id"]] for r in got]) > 0.95
+        assert {(r["site"], r["likelihood"]) for r in got} == {("kept", 1)} and all(isinstance(r["score"], float) for r in got)
+
+
 def test_language_edge_cases(spark):
     rng = random.Random(1)
     en, de = "the and of that with for this from have".split(), "der die und das nicht ist ein mit auch".split()
