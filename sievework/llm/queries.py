@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from sievework.llm import op1_topk as op1
 from sievework.llm import op5_chat as op5
+from sievework.llm import op12_ranked as op12
 from sievework.llm.op2_ann import op2_ann
 from sievework.llm.op10_html import op10_html
+from sievework.llm.op11_runs import op11_runs
+from sievework.llm.op13_rules import op13_rules
 from sievework.llm.op3_quality import op3_quality
 from sievework.llm.op4_substring import op4_substring
 from sievework.llm.op6_jaccard import op6_jaccard
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_html": op10_html,
+    "op11_runs": op11_runs,
+    "op12_ranked": op12.op12_ranked,
+    "op13_rules": op13_rules,
     "chat_quoted": op5.chat_quoted,
 }
 ORACLES: dict[str, str] = {
     "op1_topk": op1.ORACLE,
     "op5_chat": op5.ORACLE,
     "chat_quoted": op5.QUOTED_ORACLE,
+    "op12_ranked": op12.ORACLE,
 }
