@@ -11,7 +11,9 @@ from sievework.functions import images as image_functions
 from sievework.functions import tables as table_functions
 from sievework.functions.text import keywords
 from sievework.operators import bm25, chunking, dense, entities, fusion, graph, lifecycle, sections
+from sievework.operators.segments import Segments
 from sievework.schemas import deterministic_id
+from sievework.session import materialize, shared_folder
 from sievework.sources import files, plugins, stores
 
 
@@ -26,7 +28,7 @@ class Engine:
     vectors: DataFrame | None = None
     graph: graph.Graph | None = None
     weights: dict[str, float] = field(default_factory=lambda: dict(fusion.WEIGHTS))
-    index: bm25.Index | None = None
+    index: Segments | None = None
 
     @staticmethod
     def extract(found: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ class Engine:
         tables: document_id, table_index, data (rows of cells, header first). images: document_id, image_index, image_path,
         image_type, extracted_text, caption and, if known, width, height and page. Tables go on after a document's text
         chunks, images after both. An embedder (see sources.plugins) gives vectors, a collection for each kind of chunk."""
-        docs = self.documents
+        docs, spark = self.documents, self.documents.sparkSession
         text = chunking.chunk(docs, "document_id", "text").withColumn("chunk_type", F.lit("text"))
         text = sections.titled(text, sections.heading(F.col("chunk_text")), "document_id", "chunk_index")
         every = text.select("document_id", "chunk_index", "chunk_text", "chunk_type", "section_index", "section_title", "start_char_index", "end_char_index", "token_count")
@@ -57,29 +59,30 @@ class Engine:
                 every = every.withColumn(name, F.lit(None).cast("string"))
         told = sections.place_tables(every, "document_id").withColumn("section_title", F.coalesce("section_title", F.lit(sections.UNTITLED)))
         told = told.withColumn("chunk_id", deterministic_id(F.col("document_id"), F.col("chunk_type"), F.col("chunk_index")))
-        told = told.withColumn("section_id", deterministic_id(F.col("document_id"), F.lit("section"), F.col("section_index")))
-        g = graph.empty(docs.sparkSession)
+        # What all tables below are made of is computed once.
+        told = materialize(told.withColumn("section_id", deterministic_id(F.col("document_id"), F.lit("section"), F.col("section_index"))))
+        g = graph.empty(spark)
         first = F.min_by("section_title", F.struct(F.col("section_title") == sections.UNTITLED, "chunk_index"))
-        section = told.groupBy("section_id").agg(F.first("document_id").cast("string").alias("document_id"), first.alias("title"), F.first("section_index").alias("section_index"))
-        found = entities.dedupe(entities.usable(entities.by_pattern(told.select("document_id", "chunk_id", "chunk_index", "chunk_text"), order="document_id")), "entity_name", by="document_id")
-        mention = entities.mentions(told, found, "document_id")
-        topics = entities.topics(section, found, told.where("chunk_type = 'text'"))
+        section = materialize(told.groupBy("section_id").agg(F.first("document_id").cast("string").alias("document_id"), first.alias("title"), F.first("section_index").alias("section_index")))
+        found = materialize(entities.dedupe(entities.usable(entities.by_pattern(told.select("document_id", "chunk_id", "chunk_index", "chunk_text"), order="document_id")), "entity_name", by="document_id"))
+        mention = materialize(entities.mentions(told, found, "document_id"))
+        topics = materialize(entities.topics(section, found, told.where("chunk_type = 'text'")))
         entity = entities.dedupe(found, "entity_name")
         topic = topics.groupBy("normalized_name").agg(F.min("topic_name").alias("topic_name"), F.min_by("keywords", "document_id").alias("keywords"))
         g.nodes |= {
             "Document": graph.document_nodes(docs),
             "Section": section,
             "Chunk": told.select("chunk_id", F.col("document_id").cast("string").alias("document_id"), F.left("chunk_text", F.lit(50_000)).alias("content"), "chunk_index", "chunk_type"),
-            "Entity": entity,
-            "Topic": topic,
+            "Entity": materialize(entity),
+            "Topic": materialize(topic),
         }
         g.edges |= {
             "HAS_SECTION": section.select(F.col("document_id").alias("src"), F.col("section_id").alias("dst"), F.col("section_index").alias("order")),
             "HAS_CHUNK": told.select(F.col("section_id").alias("src"), F.col("chunk_id").alias("dst"), "chunk_index"),
             "NEXT_CHUNK": sections.next_chunks(told, ["document_id", "section_index"], "chunk_index"),
             "MENTIONS": mention,
-            "RELATED_TO": graph.with_defaults(entities.related(mention), "RELATED_TO"),
-            "HAS_TOPIC": entities.topic_links(section, topics, told.select("chunk_id", "section_id")),
+            "RELATED_TO": materialize(graph.with_defaults(entities.related(mention), "RELATED_TO")),
+            "HAS_TOPIC": materialize(entities.topic_links(section, topics, told.select("chunk_id", "section_id"))),
             "ASSOCIATED_WITH": entities.type_links(entity, topic),
         }
         if images is not None:
@@ -89,8 +92,8 @@ class Engine:
         vectors = self.vectors
         if embedder is not None:
             collection = F.concat(F.col("chunk_type"), F.lit("_chunks"))
-            vectors = plugins.embed(told.select("chunk_id", "document_id", "chunk_text", collection.alias("collection")), embedder).select("collection", "chunk_id", "document_id", "vector")
-        index = bm25.build(told.where("chunk_type <> 'image'").withColumn("_t", F.coalesce("table_markdown", "chunk_text")), "chunk_id", "_t")
+            vectors = materialize(plugins.embed(told.select("chunk_id", "document_id", "chunk_text", collection.alias("collection")), embedder).select("collection", "chunk_id", "document_id", "vector"))
+        index = Segments(spark, shared_folder(spark)).upsert(told.where("chunk_type <> 'image'").withColumn("_t", F.coalesce("table_markdown", "chunk_text")), "chunk_id", "_t")
         return Engine(docs, told, vectors, g, self.weights, index)
 
     def save(self, path: str) -> Engine:
@@ -98,7 +101,7 @@ class Engine:
         for name, table in self._tables().items():
             stores.overwrite(table, f"{path}/{name}")
         if self.index is not None:
-            bm25.store(self.index, f"{path}/index")
+            self.index.copy(f"{path}/index")
         return Engine.load(self.documents.sparkSession, path, self.weights)
 
     @staticmethod
@@ -113,7 +116,7 @@ class Engine:
         g = graph.empty(spark)
         g.nodes |= of("node-")
         g.edges |= of("edge-")
-        return Engine(have["documents"], have.get("chunks"), have.get("vectors"), g if of("node-") else None, weights or dict(fusion.WEIGHTS), bm25.load(spark, f"{path}/index") if "index" in names else None)
+        return Engine(have["documents"], have.get("chunks"), have.get("vectors"), g if of("node-") else None, weights or dict(fusion.WEIGHTS), Segments.open(spark, f"{path}/index") if "index" in names else None)
 
     def _tables(self) -> dict[str, DataFrame]:
         out = {"documents": self.documents} | ({"chunks": self.chunks} if self.chunks is not None else {}) | ({"vectors": self.vectors} if self.vectors is not None else {})
@@ -133,8 +136,12 @@ class Engine:
         parts = []
         if sparse:
             # The filter takes hits away; it does not change what terms weigh.
-            found = bm25.search(self.index, questions) if self.index is not None else bm25.search_texts(every.where("chunk_type <> 'image'"), questions, "chunk_id", "chunk_text")
-            found = found.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi") if filters else found
+            kept = chunks.select(F.col("chunk_id").alias("id")) if filters else None
+            if self.index is not None:
+                found = self.index.search(questions, 2 * k, kept)
+            else:
+                found = bm25.search_texts(every.where("chunk_type <> 'image'"), questions, "chunk_id", "chunk_text")
+                found = found.join(kept, "id", "left_semi") if filters else found
             parts.append(bm25.top(found, 2 * k).select("query_id", F.lit("sparse").alias("source"), "rank", F.col("id").alias("chunk_id"), "score"))
         if self.vectors is not None and "vector" in questions.columns:
             for on, source, collection in ((dense_text, "dense", "text_chunks"), (dense_table, "table", "table_chunks"), (dense_image, "image", "image_chunks")):
@@ -170,5 +177,5 @@ class Engine:
         left = {n: lifecycle.delete_by_keys(t, ids, "document_id") for n, t in store.items()}
         index = self.index
         if index is not None and self.chunks is not None:
-            index = bm25.delete(index, self.chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi").select(F.col("chunk_id").alias("id")))
+            index = index.delete(self.chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi").select(F.col("chunk_id").alias("id")))
         return Engine(left["documents"], left.get("chunks"), left.get("vectors"), lifecycle.delete_from_graph(self.graph, ids) if self.graph else None, self.weights, index)

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import tokens
 
 K1, B = 1.2, 0.75
-#: Parts of stored postings by term, and question terms up to which a search names them to the scan.
-BUCKETS, NAMED = 32, 2000
 
 
 @dataclass
 class Index:
-    """postings (term, id, tf, dl), terms (term, df), lengths (id, dl) and totals (n, avgdl; one row). Stored postings
-    have their bucket, a hash of the term, so that a search reads the parts of its terms only."""
+    """postings (term, id, tf, dl), terms (term, df), lengths (id, dl) and totals (n, avgdl; one row). An index that is
+    stored and changed is one of segments."""
 
     postings: DataFrame
     terms: DataFrame
@@ -38,72 +36,15 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     return Index(postings, terms, lengths, totals)
 
 
-def upsert(index: Index, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """The index with docs in place of what it has under their ids; documents without tokens take theirs out."""
-    new = build(docs, key, text)
-    ids = docs.select(F.col(key).alias("id")).distinct()
-    return delete(index, ids, new)
-
-
-def delete(index: Index, ids: DataFrame, new: Index | None = None) -> Index:
-    """The index without the documents in ids (id), and with those of new."""
-    postings = index.postings.select("term", "id", "dl", "tf").join(ids, "id", "left_anti")
-    lengths = index.lengths.join(ids, "id", "left_anti")
-    if new is not None:
-        postings, lengths = postings.unionByName(new.postings), lengths.unionByName(new.lengths)
-    return Index(postings, *_of(postings, lengths))
-
-
-def _of(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    terms, totals = _terms_and_totals(postings, lengths)
-    return terms, lengths, totals
-
-
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def store(index: Index, path: str) -> Index:
-    """The index as tables, written once: postings in a folder for each bucket, sorted by term. Terms and totals are
-    counted on what is written."""
-    spark = index.postings.sparkSession
-    rows = index.postings.select("term", "id", "dl", "tf", bucket_of(F.col("term")).alias("bucket"))
-    rows.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    stored = spark.read.parquet(f"{path}/postings")
-    terms, totals = _terms_and_totals(stored, spark.read.parquet(f"{path}/lengths"))
-    terms.withColumn("bucket", bucket_of(F.col("term"))).repartition(1).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    totals.write.mode("overwrite").parquet(f"{path}/totals")
-    return load(spark, path)
-
-
-def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "lengths", "totals")))
-
-
-def statistics(index: Index) -> DataFrame:
-    """What the index holds, field by field: name, n (rows) and characters of its terms."""
-    parts = [
-        index.lengths.agg(F.count("*").alias("n")).select(F.lit("documents").alias("name"), "n"),
-        index.lengths.agg(F.sum("dl").cast("long").alias("n")).select(F.lit("tokens").alias("name"), "n"),
-        index.postings.agg(F.count("*").alias("n")).select(F.lit("postings").alias("name"), "n"),
-        index.terms.agg(F.count("*").alias("n")).select(F.lit("terms").alias("name"), "n"),
-        index.terms.agg(F.sum(F.length("term")).cast("long").alias("n")).select(F.lit("term characters").alias("name"), "n"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _asked(queries: DataFrame) -> DataFrame:
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qtf."""
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def search_texts(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, id, score for queries (query_id, query) straight from texts, without an index: only the postings of
     query terms are counted. Repeated query terms count again."""
-    asked = _asked(queries)
+    asked = asked_terms(queries)
     words = docs.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     totals = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     said = words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
@@ -113,20 +54,9 @@ def search_texts(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
 
 
 def search(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, id, score from an index. Up to NAMED terms of the questions are named to the scan, which skips all other
-    parts of stored postings; more are joined."""
-    asked = _asked(queries)
-    postings, terms = index.postings, index.terms
-    wanted = [r["term"] for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
-    if len(wanted) <= NAMED:
-        named = F.col("term").isin(wanted) if wanted else F.lit(False)
-        if "bucket" in postings.columns:
-            buckets = queries.sparkSession.createDataFrame([(w,) for w in wanted], "term string").select(bucket_of(F.col("term")).alias("b")).distinct().collect()
-            postings = postings.where(F.col("bucket").isin([r["b"] for r in buckets]) if buckets else F.lit(False))
-        postings, terms = postings.where(named), terms.where(named)
-    else:
-        postings = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    return _scored(postings.drop("bucket"), terms.drop("bucket"), index.totals, asked)
+    """query_id, id, score from an index."""
+    asked = asked_terms(queries)
+    return _scored(index.postings.join(asked.select("term").distinct(), "term", "left_semi"), index.terms, index.totals, asked)
 
 
 def _scored(postings: DataFrame, terms: DataFrame, totals: DataFrame, asked: DataFrame) -> DataFrame:

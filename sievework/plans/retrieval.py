@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import STOP_WORDS, keywords
 from sievework.operators import bm25, dense, fusion, graph
+from sievework.operators.segments import Segments
 from sievework.plans.common import VALUES, questions, read
+from sievework.session import shared_folder
 
 BM25_SQL = f"""
 q AS (SELECT * FROM {VALUES}),
@@ -37,37 +39,56 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top(_rounded(scored(spark, sf_dir)), 50).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
-def _stored(spark: SparkSession, sf_dir: str, fresh: bool = False) -> bm25.Index:
-    """The index of documents in the warehouse, by the files that it was made of; it is built where there is none."""
+def _stored(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Segments:
+    """The index of documents beside the shared folder, by the files that it was made of: their names, sizes and times, so
+    that files written anew are indexed anew. It is built where there is none."""
     docs = read(spark, sf_dir, "documents")
-    name = hashlib.md5("\n".join(sorted(docs.inputFiles())).encode()).hexdigest()
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_bm25/{name}"
-    if not fresh:
-        try:
-            return bm25.load(spark, path)
-        except AnalysisException:  # it has not been built
-            pass
-    return bm25.store(bm25.build(docs), path)
+    files = spark.read.format("binaryFile").load(docs.inputFiles()).select("path", "length", F.col("modificationTime").cast("string")).collect()  # names only
+    name = hashlib.md5(repr(sorted(map(tuple, files))).encode()).hexdigest()
+    path = f"{shared_folder(spark).rpartition('/')[0]}/_index/{name}"
+    index = Segments.open(spark, path)
+    return index if index.rows and not fresh else Segments.open(spark, f"{path}/{uuid.uuid4().hex}" if fresh else path).upsert(docs)
 
 
 def bm25_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest: the index is built, stored and counted."""
-    return bm25.statistics(_stored(spark, sf_dir, fresh=True))
+    return _stored(spark, sf_dir, fresh=True).statistics()
+
+
+def _ranked(found: DataFrame, k: int = 50) -> DataFrame:
+    return bm25.top(_rounded(found), k).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as bm25_topk from the stored index: only the postings of the questions' terms are read."""
-    return bm25.top(_rounded(bm25.search(_stored(spark, sf_dir), questions(spark))), 50).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+    """The same as bm25_topk from the stored index: of the questions' terms, only blocks that can win are read."""
+    return _ranked(_stored(spark, sf_dir).search(questions(spark), 50))
+
+
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of documents, of which every hundredth gets another text and every 97th is deleted, searched over its
+    segments."""
+    docs = read(spark, sf_dir, "documents")
+    new = docs.where("doc_id % 100 = 3").select("doc_id", F.concat(F.lit("apache license "), "lang", F.lit(" "), "text").alias("text"))
+    index = Segments(spark, shared_folder(spark)).upsert(docs).upsert(new)
+    return _ranked(index.delete(docs.where("doc_id % 97 = 5").select(F.col("doc_id").alias("id"))).search(questions(spark), 50))
+
+
+def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of an index of three segments, with repeated ids and deletes, when they are one."""
+    docs = read(spark, sf_dir, "documents")
+    index = Segments(spark, shared_folder(spark)).upsert(docs.where("doc_id % 3 < 2")).upsert(docs.where("doc_id % 3 > 0"))
+    index = index.delete(docs.where("source = 'src2'").select(F.col("doc_id").alias("id"))).upsert(docs.where("doc_id % 7 = 0").select("doc_id", F.col("lang").alias("text")))
+    return index.merge().statistics()
 
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = bm25.exact_filter(read(spark, sf_dir, "documents"), {"lang": "en", "source": "src0"}).select(F.col("doc_id").alias("id"))
-    return bm25.top(_rounded(scored(spark, sf_dir)).join(kept, "id", "left_semi"), 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+    return _ranked(_stored(spark, sf_dir).search(questions(spark), 10, kept), 10)
 
 
 def bm25_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best document of each source and question."""
-    rows = _rounded(scored(spark, sf_dir)).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    rows = _rounded(_stored(spark, sf_dir).search(questions(spark), None)).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return rows.groupBy("query_id", "source").agg(F.max("score").alias("best"), F.count("*").alias("n"))
 
 
@@ -109,7 +130,7 @@ def dense_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """Sparse and dense hits; for tests, vector i belongs to document i."""
-    sparse = bm25.top(scored(spark, sf_dir), k, F.asc("id")).select("query_id", F.lit("sparse").alias("source"), "rank", F.col("id").alias("chunk_id"), "score")
+    sparse = bm25.top(_stored(spark, sf_dir).search(questions(spark), k), k, F.asc("id")).select("query_id", F.lit("sparse").alias("source"), "rank", F.col("id").alias("chunk_id"), "score")
     near = dense.search(read(spark, sf_dir, "embeddings"), vectors_asked(spark, sf_dir), k).select("query_id", F.lit("dense").alias("source"), "rank", F.col("id").alias("chunk_id"), "score")
     return sparse.unionByName(near)
 
@@ -203,6 +224,8 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_build": bm25_build,
     "bm25_index": bm25_index,
+    "index_upsert": index_upsert,
+    "index_merge": index_merge,
     "bm25_filtered": bm25_filtered,
     "bm25_by_source": bm25_by_source,
     "corpus_stats": corpus_stats,
@@ -220,12 +243,18 @@ QUERIES = {
 
 _TOP = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank, id AS doc_id, round(score, 6) AS score FROM bm"
 _NEAR = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS vec_id, round(score, 6) AS score FROM dn"
+_CHANGED = BM25_SQL.replace("lower(coalesce(text, ''))", "lower(CASE WHEN doc_id % 100 = 3 THEN 'apache license ' || lang || ' ' || text ELSE coalesce(text, '') END)").replace("FROM documents)", "FROM documents WHERE doc_id % 97 <> 5)")
 
 ORACLES = {
     "bm25_topk": f"WITH {BM25_SQL} {_TOP} QUALIFY rank <= 50",
     "bm25_index": f"WITH {BM25_SQL} {_TOP} QUALIFY rank <= 50",
     "bm25_build": f"""WITH {BM25_SQL}, p AS (SELECT DISTINCT id, unnest(t) AS term FROM tok)
 SELECT 'documents' AS name, count(*) AS n FROM tok UNION ALL SELECT 'tokens', CAST(sum(len(t)) AS BIGINT) FROM tok UNION ALL SELECT 'postings', count(*) FROM p UNION ALL SELECT 'terms', count(DISTINCT term) FROM p
+UNION ALL SELECT 'term characters', CAST(sum(length(term)) AS BIGINT) FROM (SELECT DISTINCT term FROM p)""",
+    "index_upsert": f"WITH {_CHANGED} {_TOP} QUALIFY rank <= 50",
+    "index_merge": f"""WITH w AS (SELECT regexp_extract_all(lower(coalesce(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents WHERE doc_id % 7 = 0 OR source <> 'src2'),
+p AS (SELECT DISTINCT row, unnest(t) AS term FROM (SELECT row_number() OVER () AS row, t FROM w))
+SELECT 'documents' AS name, count(*) AS n FROM w UNION ALL SELECT 'tokens', CAST(sum(len(t)) AS BIGINT) FROM w UNION ALL SELECT 'postings', count(*) FROM p UNION ALL SELECT 'terms', count(DISTINCT term) FROM p
 UNION ALL SELECT 'term characters', CAST(sum(length(term)) AS BIGINT) FROM (SELECT DISTINCT term FROM p)""",
     "bm25_filtered": f"WITH {BM25_SQL} {_TOP} WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src0') QUALIFY rank <= 10",
     "bm25_by_source": f"WITH {BM25_SQL} SELECT query_id, source, max(round(score, 6)) AS best, count(*) AS n FROM bm JOIN documents ON id = doc_id GROUP BY ALL",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,16 +12,13 @@ from sievework import schemas
 from sievework.api import Engine
 from sievework.functions import tables, text, vectors
 from sievework.operators import bm25, chunking, context, dense, graph, lifecycle, sections
+from sievework.operators.segments import Segments
 from sievework.plans.common import questions, read
 from sievework.plans.retrieval import BM25_SQL, vectors_asked
+from sievework.session import shared_folder
 from sievework.sources import files, plugins, rich, stores
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the shared warehouse."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_queries/{uuid.uuid4().hex}"
-
-
 # ---- retrieval ----------------------------------------------------------------------------------------------------
 
 
@@ -76,10 +72,8 @@ def engine_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index of the languages, with half the documents replaced by their texts and one source deleted."""
     d = read(spark, sf_dir, "documents")
-    index = bm25.build(d.select("doc_id", F.col("lang").alias("text")))
-    index = bm25.upsert(index, d.where("doc_id % 2 = 0"))
-    index = bm25.delete(index, d.where("source = 'src1'").select(F.col("doc_id").alias("id")))
-    return bm25.statistics(bm25.store(index, folder(spark)))
+    index = Segments(spark, shared_folder(spark)).upsert(d.select("doc_id", F.col("lang").alias("text"))).upsert(d.where("doc_id % 2 = 0"))
+    return index.delete(d.where("source = 'src1'").select(F.col("doc_id").alias("id"))).statistics()
 
 
 # ---- rows ---------------------------------------------------------------------------------------------------------
@@ -112,7 +106,7 @@ def chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all tables appended in two batches and read again."""
     docs, chunks = _rows(spark, sf_dir)
-    path = folder(spark)
+    path = shared_folder(spark)
     data = F.struct(F.array(F.lit("a")).alias("headers"), F.array(F.array("chunk_text")).alias("rows"))
     parts = {
         "documents": docs.select("id", F.col("id").alias("document_id"), "filename"),
@@ -141,7 +135,7 @@ def upload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     name = F.concat(F.lit("order."), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
     rows = o.select(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("document_type"), files.object_key(F.col("o_orderpriority"), F.col("o_orderstatus"), name, F.col("o_orderdate")).alias("key"), F.col("o_orderpriority").cast("binary").alias("content"), files.image_key(F.col("o_orderkey").cast("string"), F.lit(3), F.col("o_orderdate"), F.col("o_orderstatus").cast("binary"), F.lit("png")).alias("image"))
-    path = folder(spark)
+    path = shared_folder(spark)
     files.store_raw(rows, path)
     back = spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("stored"))
     return rows.join(back, "source").select("key", "image", "stored")
@@ -164,7 +158,7 @@ def blob_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores rebuilt, and what another set lacks."""
-    made = lifecycle.rebuild(spark, {"documents": schemas.DOCUMENTS, "vectors": schemas.VECTORS}, folder(spark))
+    made = lifecycle.rebuild(spark, {"documents": schemas.DOCUMENTS, "vectors": schemas.VECTORS}, shared_folder(spark))
     asked = {"documents": schemas.DOCUMENTS.replace("filename string", "filename int"), "vectors": schemas.VECTORS, "chunks": schemas.CHUNKS}
     return spark.createDataFrame([(x,) for x in lifecycle.verify(made, asked)], "problem string").crossJoin(made["documents"].agg(F.count("*").alias("rows")))
 
@@ -382,10 +376,10 @@ def _first(spark: SparkSession, sf_dir: str) -> str:
 def engine_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left in each store when a language goes."""
     e = _engine(spark, sf_dir)
-    e = Engine(e.documents, e.chunks, read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector")), index=bm25.build(e.chunks, "chunk_id", "chunk_text"))
+    e = Engine(e.documents, e.chunks, read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector")), index=Segments(spark, shared_folder(spark)).upsert(e.chunks, "chunk_id", "chunk_text"))
     left = e.delete_documents(e.documents.where("document_type = 'de'").select("document_id"))
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    return count("documents", left.documents).unionByName(count("chunks", left.chunks)).unionByName(count("vectors", left.vectors)).unionByName(count("indexed", left.index.lengths))
+    return count("documents", left.documents).unionByName(count("chunks", left.chunks)).unionByName(count("vectors", left.vectors)).unionByName(count("indexed", left.index.documents()))
 
 
 QUERIES = {
