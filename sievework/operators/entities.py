@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import occurrences
 from sievework.schemas import ENTITY_TYPES, deterministic_id
+from sievework.session import materialize
 
 #: Patterns of named phrases and of amounts, with Unicode word edges.
 PHRASE = r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
@@ -50,21 +51,80 @@ def dedupe(entities: DataFrame, *order: Column | str, by: str | None = None) ->
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("entity_id", deterministic_id(F.col("normalized_name")))
 
 
-def mentions(chunks: DataFrame, entities: DataFrame, by: str = "document_id", key: str = "chunk_id", text: str = "chunk_text", context: str = "text") -> DataFrame:
-    """Edges src (chunk), dst (normalized name), frequency, importance, context: entities of a document whose name its
-    chunks contain. The join is on the document; the substring test is the rest of its condition."""
-    names = entities.select(by, "normalized_name").distinct()
-    low = chunks.select(by, F.col(key).alias("src"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
-    found = low.join(names, by).where(F.col("_low").contains(F.col("normalized_name"))).withColumn("frequency", occurrences(F.col("_low"), F.col("normalized_name")))
-    return found.select("src", F.col("normalized_name").alias("dst"), "frequency", F.least(F.lit(0.9), 0.5 + 0.1 * F.col("frequency")).alias("importance"), F.lit(context).alias("context"))
+#: Chunks that one task looks through for the names of their documents, and chunks of a document that stay together.
+PART, TOGETHER = 2000, 500
 
 
-def related(mention: DataFrame) -> DataFrame:
+def mentions(chunks: DataFrame, entities: DataFrame, by: str = "document_id", key: str = "chunk_id", text: str = "chunk_text", context: str = "text") -> DataFrame:
+    """Edges src (chunk), dst (normalized name), frequency (without overlap), importance, context: entities of a document
+    whose name its chunks contain.
+
+    Each document's names make one automaton (Aho-Corasick), which passes each of its chunks once, however many names
+    there are. Chunks and names meet in parts of some documents; a document of many chunks is dealt to several parts, each
+    of which gets its names."""
+    names = entities.where(F.length("normalized_name") > 0).select(F.col(by).alias("_by"), "normalized_name").distinct()
+    low = chunks.select(F.col(by).alias("_by"), F.col(key).alias("src"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    sizes = low.join(names.select("_by").distinct(), "_by", "left_semi").groupBy("_by").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_k"), F.count("*").alias("_n"))
+    sizes = materialize(sizes)
+    parts = max(1, -(-(sizes.agg(F.sum("_n")).first()[0] or 0) // PART))
+    place = lambda salt: F.pmod(F.xxhash64("_by", salt), F.lit(parts)).alias("_part")
+    texts = low.join(sizes, "_by").select(place(F.pmod(F.xxhash64("src"), F.col("_k")).cast("int")), F.col("_by").cast("string").alias("_doc"), "src", "_low")
+    known = names.join(sizes, "_by").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select(place(F.col("_salt")), F.col("_by").cast("string").alias("_doc"), "normalized_name").distinct()
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        from ahocorasick import Automaton
+
+        of: dict[str, list[str]] = {}
+        for doc, name in zip(right.column("_doc").to_pylist(), right.column("normalized_name").to_pylist()):
+            of.setdefault(doc, []).append(name)
+        by_doc: dict[str, list[int]] = {}
+        for i, doc in enumerate(left.column("_doc").to_pylist()):
+            by_doc.setdefault(doc, []).append(i)
+        rows, found, counts = [], [], []
+        for doc, held in by_doc.items():
+            automaton = Automaton()
+            for name in of.get(doc, ()):
+                automaton.add_word(name, name)
+            if not len(automaton):
+                continue
+            automaton.make_automaton()
+            for i in held:
+                n: dict[str, int] = {}
+                free: dict[str, int] = {}
+                for end, name in automaton.iter(left.column("_low")[i].as_py()):
+                    if end - len(name) >= free.get(name, -1):
+                        free[name] = end
+                        n[name] = n.get(name, 0) + 1
+                rows += [i] * len(n)
+                found += n
+                counts += n.values()
+        return pa.table([left.column("src").take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(counts, pa.int32())], ["src", "dst", "frequency"])
+
+    kind = low.schema["src"].dataType.simpleString()
+    found = texts.groupBy("_part").cogroup(known.groupBy("_part")).applyInArrow(find, f"src {kind}, dst string, frequency int")
+    return found.select("src", "dst", "frequency", F.least(F.lit(0.9), 0.5 + 0.1 * F.col("frequency")).alias("importance"), F.lit(context).alias("context"))
+
+
+#: Entities of a chunk that are paired in one group.
+BLOCK = 256
+
+
+def related(mention: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges src, dst, n_chunks, confidence both ways between entities that share chunks; confidence is a third of the
-    chunks, at most 1. A chunk with m entities gives m * (m - 1) / 2 pairs, which are counted before they are doubled; they
-    come of a join on the chunk, which adaptive execution splits where a chunk has very many."""
+    chunks, at most 1.
+
+    The entities of a chunk are dealt into groups of about `block`, and each two groups, and each group with itself, make
+    a row with two lists, of which the pairs come: a chunk of very many entities is many such rows, dealt by chunk and
+    groups. Pairs are counted before they are doubled."""
     rows = mention.select("src", "dst").distinct()
-    pairs = rows.select("src", F.col("dst").alias("a")).join(rows.select("src", F.col("dst").alias("b")), "src").where("a < b").select("a", "b")
+    many = rows.groupBy("src").agg(F.count("*").alias("_m")).where(F.col("_m") > block).select("src", F.ceil(F.col("_m") / block).cast("int").alias("_g"))
+    dealt = rows.join(many, "src", "left").withColumn("_g", F.coalesce("_g", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("dst"), F.col("_g")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    low, high = F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
+    lists = dealt.groupBy("src", low, high).agg(F.collect_list(F.when(F.col("_own") <= F.col("_other"), F.col("dst"))).alias("_a"), F.collect_list(F.when(F.col("_own") > F.col("_other"), F.col("dst"))).alias("_b"))
+    alone = F.col("_i") == F.col("_j")
+    each = lists.select("_i", "_j", F.explode("_a").alias("x"), F.when(alone, F.col("_a")).otherwise(F.col("_b")).alias("_with"))
+    pairs = each.select("_i", "_j", "x", F.explode("_with").alias("y")).where(~alone | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n_chunks"))
     both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
     return counted.select(both.alias("p"), "n_chunks").select("p.src", "p.dst", "n_chunks", F.least(F.lit(1.0), F.col("n_chunks") / 3).alias("confidence"))

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import matching, occurrences
+from sievework.functions.text import occurrences
+from sievework.operators import grams
 from sievework.schemas import EDGE_TYPES, NODES
 
 
@@ -128,13 +129,20 @@ def by_section_title(chunks: DataFrame, queries: DataFrame, score: float = 0.9)
     return chunks.join(found, "section_title").withColumn("graph_score", F.lit(score))
 
 
-def by_content(chunks: DataFrame, queries: DataFrame, content: str = "content") -> DataFrame:
+def by_content(chunks: DataFrame, queries: DataFrame, content: str = "content", index: grams.Grams | None = None) -> DataFrame:
     """Chunks that contain any keyword: (matches + a tenth of all occurrences) / number of keywords; may exceed 1.
-    Keywords of the whole batch are tested in one scan."""
-    rows = meeting(chunks, _lower(queries), F.exists("keywords", lambda w: F.lower(F.col(content)).contains(w)))
-    hit = matching(F.col(content), F.col("keywords"))
-    total = F.aggregate(F.transform("keywords", lambda w: occurrences(F.lower(F.col(content)), w)), F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("match_count", F.size(hit)).withColumn("graph_score", (F.col("match_count") + 0.1 * total) / F.greatest(F.size("keywords"), F.lit(1))).drop("keywords")
+    With a trigram index of the chunks, only its candidates are read; else keywords of the whole batch are tested in one
+    scan."""
+    low = chunks.withColumn("_low", F.lower(content))
+    asked = _lower(queries)
+    if index is not None:
+        rows = low.join(grams.containing(index, chunks, asked), "chunk_id").join(asked, "query_id")
+    else:
+        rows = meeting(low, asked, F.exists("keywords", lambda w: F.col("_low").contains(w)))
+    rows = rows.withColumn("_hit", F.filter("keywords", lambda w: F.col("_low").contains(w))).where(F.size("_hit") > 0)
+    # Keywords that are not there do not occur.
+    total = F.aggregate(F.transform("_hit", lambda w: occurrences(F.col("_low"), w)), F.lit(0), lambda a, x: a + x)
+    return rows.withColumn("match_count", F.size("_hit")).withColumn("graph_score", (F.col("match_count") + 0.1 * total) / F.greatest(F.size("keywords"), F.lit(1))).drop("keywords", "_low", "_hit")
 
 
 def by_entity_mention(mention: DataFrame, entities: DataFrame, queries: DataFrame, score: float = 0.7) -> DataFrame:

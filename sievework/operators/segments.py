@@ -155,9 +155,12 @@ class Segments:
 
     # ---- what it holds ----------------------------------------------------------------------------------------------
 
-    def _read(self, table: str, names: list[str] | None = None) -> DataFrame:
-        rows = [r for r in self.segments if names is None or r["name"] in names]
-        parts = [self.spark.read.parquet(f"{self.path}/segments/{r['name']}/{table}").withColumn("segment", F.lit(r["name"])) for r in rows if table == "docs" or r["total"]]
+    def _read(self, table: str, names: list[str] | None = None, buckets: dict[str, list[int]] | None = None) -> DataFrame | None:
+        """A table of some segments, with the segment's name; of some buckets of each."""
+        rows = [r for r in self.segments if (names is None or r["name"] in names) and (table == "docs" or r["total"])]
+        parts = [self.spark.read.parquet(f"{self.path}/segments/{r['name']}/{table}").withColumn("segment", F.lit(r["name"])) for r in rows]
+        if buckets is not None:
+            parts = [p.where(F.col("bucket").isin(buckets[r["name"]])) for r, p in zip(rows, parts)]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _docs(self, names: list[str]) -> DataFrame:
@@ -184,9 +187,9 @@ class Segments:
             return self.spark.createDataFrame([], "id long, dl int, terms array<struct<term: string, tf: int>>")
         return self._live(names).select("id", "dl", "terms")
 
-    def terms(self, wanted: list[str] | None = None) -> DataFrame:
+    def terms(self, wanted: list[str] | None = None, buckets: dict[str, list[int]] | None = None) -> DataFrame:
         """term, df over all documents that are there."""
-        parts = self._read("terms")
+        parts = self._read("terms", buckets=buckets)
         if parts is None:
             return self.spark.createDataFrame([], "term string, df long")
         rows, notes = parts.select("term", "df"), self._notes("terms")
@@ -227,23 +230,22 @@ class Segments:
     def blocks(self, queries: DataFrame, k: int | None, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
         """The asked terms' postings, their weights, and query_id, segment, block, bound (what a document of it can score
         at most) and wins (whether that reaches the kth best score among the blocks with the greatest bounds)."""
-        asked = materialize(asked_terms(queries))
-        wanted = [r["term"] for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+        asked = asked_terms(queries).withColumn("hash", F.xxhash64("term"))
         lists = self._read("postings")
-        if not wanted or lists is None:
+        few = asked.limit(NAMED + 1).collect()
+        if not few or lists is None:
             return None
-        if len(wanted) <= NAMED:
-            parts = []
-            for r in (r for r in self.segments if r["total"]):
-                own = self.spark.createDataFrame([(w,) for w in wanted], "term string").select(bucket_of(F.col("term"), r["buckets"]).alias("b")).distinct().collect()
-                part = self.spark.read.parquet(f"{self.path}/segments/{r['name']}/postings").withColumn("segment", F.lit(r["name"]))
-                parts.append(part.where(F.col("bucket").isin([b["b"] for b in own]) & F.col("term").isin(wanted)))
-            lists = reduce(DataFrame.unionByName, parts)
+        idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        if len(few) <= NAMED:  # few questions: their terms are named to the scans, and their weights are sent with the plan
+            wanted = sorted({r["term"] for r in few})
+            buckets = {r["name"]: sorted({a["hash"] % r["buckets"] for a in few}) for r in self.segments}
+            weights = {r["term"]: r["idf"] for r in self.terms(wanted, buckets).select("term", idf.alias("idf")).collect()}
+            weighed = self.spark.createDataFrame([(r["query_id"], r["term"], r["qtf"] * weights[r["term"]]) for r in few if r["term"] in weights], f"query_id {queries.schema['query_id'].dataType.simpleString()}, term string, w double")
+            lists = self._read("postings", buckets=buckets).where(F.col("term").isin(wanted))
         else:
+            asked = materialize(asked)
             lists = lists.join(asked.select("term").distinct(), "term", "left_semi")
-        idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        known = self.terms(wanted if len(wanted) <= NAMED else None)
-        weighed = materialize(asked.join(known, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w")))
+            weighed = materialize(asked.join(self.terms(), "term").select("query_id", "term", (F.col("qtf") * idf).alias("w")))
         avgdl = F.lit(self.total / max(1, self.n))
         bounds = lists.select("segment", "block", "term", "most_tf", "least_dl").join(weighed, "term")
         blocks = bounds.groupBy("query_id", "segment", "block").agg(F.sum(F.col("w") * weight(F.col("most_tf"), F.col("least_dl"), avgdl)).alias("bound"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import STOP_WORDS, keywords
-from sievework.operators import bm25, dense, fusion, graph
+from sievework.operators import bm25, dense, fusion, graph, grams
 from sievework.operators.segments import Segments
 from sievework.plans.common import VALUES, questions, read
 from sievework.session import shared_folder
@@ -39,13 +40,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top(_rounded(scored(spark, sf_dir)), 50).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
+def _place(spark: SparkSession, docs: DataFrame, kind: str) -> str:
+    """Where an index of docs lies beside the shared folder: by the names, sizes and times of its files, so that files
+    written anew are indexed anew."""
+    files = spark.read.format("binaryFile").load(docs.inputFiles()).select("path", "length", F.col("modificationTime").cast("string")).collect()  # names only
+    return f"{shared_folder(spark).rpartition('/')[0]}/_{kind}/{hashlib.md5(repr(sorted(map(tuple, files))).encode()).hexdigest()}"
+
+
 def _stored(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Segments:
-    """The index of documents beside the shared folder, by the files that it was made of: their names, sizes and times, so
-    that files written anew are indexed anew. It is built where there is none."""
+    """The index of documents; it is built where there is none."""
     docs = read(spark, sf_dir, "documents")
-    files = spark.read.format("binaryFile").load(docs.inputFiles()).select("path", "length", F.col("modificationTime").cast("string")).collect()  # names only
-    name = hashlib.md5(repr(sorted(map(tuple, files))).encode()).hexdigest()
-    path = f"{shared_folder(spark).rpartition('/')[0]}/_index/{name}"
+    path = _place(spark, docs, "index")
     index = Segments.open(spark, path)
     return index if index.rows and not fresh else Segments.open(spark, f"{path}/{uuid.uuid4().hex}" if fresh else path).upsert(docs)
 
@@ -183,10 +188,22 @@ FROM h GROUP BY chunk_id
 """
 
 
+def _grams(spark: SparkSession, sf_dir: str) -> grams.Grams:
+    """The trigram index of documents, with the number of its buckets in a row of its own; it is built where there is none."""
+    docs = read(spark, sf_dir, "documents")
+    path = _place(spark, docs, "grams")
+    try:
+        return grams.load(spark, f"{path}/rows", spark.read.schema("buckets int").json(f"{path}/done").first()["buckets"])
+    except (AnalysisException, TypeError):  # not there, or not finished
+        built = grams.build(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), f"{path}/rows")
+        spark.range(1).select(F.lit(built.buckets).alias("buckets")).coalesce(1).write.mode("overwrite").json(f"{path}/done")
+        return built
+
+
 def keyword_content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = questions(spark).select("query_id", keywords(F.col("query")).alias("keywords")).where(F.size("keywords") > 0)
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    found = graph.by_content(docs, words).withColumn("graph_score", F.round("graph_score", 6))
+    found = graph.by_content(docs, words, index=_grams(spark, sf_dir)).withColumn("graph_score", F.round("graph_score", 6))
     return graph.limited(found, 20, F.desc("graph_score"), "chunk_id").select("query_id", "rank", "chunk_id", "match_count", "graph_score")
 
 

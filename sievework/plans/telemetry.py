@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievework.plans.common import read
-from sievework.streaming import telemetry
+from sievework.session import shared_folder
+from sievework.streaming import counters, telemetry
 
 #: Bucket bounds of the quantile query.
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
@@ -95,20 +95,50 @@ def correlation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w
 
 
+def _arriving(spark: SparkSession, sf_dir: str, files: int = 4) -> tuple[str, StructType]:
+    """A folder of events that arrive in falling order of time, in files."""
+    folder = f"{shared_folder(spark)}/arriving"
+    events = _events(spark, sf_dir)
+    first, last = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()
+    part = F.least(F.lit(files - 1), F.floor(files * (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) / F.lit(max(1, last - first))))
+    for i in reversed(range(files)):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder, events.schema
+
+
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """count_over_time as a stream of files into a table: windows that the watermark has closed are appended and leave
-    the state; those still open at the end are counted from the events behind the last closed one."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams/{uuid.uuid4().hex}"
-    schema = _events(spark, sf_dir).schema
+    """count_over_time as a stream of files that arrive in falling order of time: batches are counted by themselves, and
+    their counts add up."""
+    source, schema = _arriving(spark, sf_dir)
+    folder = shared_folder(spark)
     counts = lambda events: telemetry.over_time(events, "5 minutes", F.count("*").alias("n"), by=("event_type",))
-    telemetry.to_table(counts(telemetry.stream(spark, f"{sf_dir}/events*.parquet", schema)), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    closed = spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n long").parquet(f"{folder}/table")
-    last = closed.agg(F.max("window_end").alias("last"))
-    rest = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).crossJoin(F.broadcast(last)).where("last IS NULL OR ts >= last").drop("last")
-    every = closed.unionByName(counts(rest))
+    counters.by_batch(telemetry.stream(spark, source, schema), f"{folder}/table", f"{folder}/checkpoint", counts).awaitTermination()
+    every = spark.read.parquet(f"{folder}/table")
     return every.groupBy(_start(every), "event_type").agg(F.sum("n").alias("n"))
 
 
+def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rate_5m as a stream of files that arrive in falling order of time."""
+    source, schema = _arriving(spark, sf_dir)
+    return streamed_rate(spark, source, schema, shared_folder(spark))
+
+
+def streamed_rate(spark: SparkSession, source: str, schema: StructType, folder: str) -> DataFrame:
+    """The rates of what has arrived in source so far; called again with the same folder, it goes on where it was."""
+    before = {k: spark.conf.get(k, None) for k in counters.ROCKS}
+    for key, value in counters.ROCKS.items():
+        spark.conf.set(key, value)
+    try:
+        deltas = counters.steps(telemetry.stream(spark, source, schema), "event_type", "event_id")
+        rates = lambda rows: telemetry.over_time(rows.withColumn("ts", F.timestamp_micros("at")), "5 minutes", F.sum("delta").alias("increase"), slide="1 minute", by=("series",))
+        counters.by_batch(deltas, f"{folder}/table", f"{folder}/checkpoint", rates).awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    every = spark.read.parquet(f"{folder}/table")
+    return every.groupBy(_start(every), F.col("series").alias("event_type")).agg(F.round(F.sum("increase") / 300, 6).alias("rate"))
+
+
 def metric_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests: types are endpoints, odd users get errors, values are seconds."""
     e = _events(spark, sf_dir).select(F.lit("GET").alias("method"), F.col("event_type").alias("endpoint"), F.when(F.pmod("user_id", F.lit(2)) == 1, "500").otherwise("200").alias("status"), F.col("value").alias("seconds"))
@@ -122,7 +152,7 @@ def rate_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_start(out), F.round("rate", 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (rate_5m, window_mean, bucket_quantile, error_ratio, group_sum, grouped_ratio, lifetime_rate, label_regex, count_over_time, log_rate_1m, log_json_filter, relabel, session_trace, correlation_trace, stream_counts, metric_emission, rate_of_all)}
+QUERIES = {f.__name__: f for f in (rate_5m, window_mean, bucket_quantile, error_ratio, group_sum, grouped_ratio, lifetime_rate, label_regex, count_over_time, log_rate_1m, log_json_filter, relabel, session_trace, correlation_trace, stream_counts, stream_rate, metric_emission, rate_of_all)}
 
 _COUNTS = "SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 
@@ -170,3 +200,4 @@ SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS window_start, count(*)
     "correlation_trace": "SELECT user_id, count(*) AS n, CAST(floor(epoch(min(ts))) AS BIGINT) AS first, CAST(floor(epoch(max(ts))) AS BIGINT) AS last, arg_min(event_type, (ts, event_id)) AS first_type FROM events GROUP BY user_id",
     "stream_counts": _COUNTS,
 }
+ORACLES["stream_rate"] = ORACLES["rate_5m"]
