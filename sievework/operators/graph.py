@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import occurrences
 from sievework.operators import grams
 from sievework.schemas import EDGE_TYPES, NODES
+from sievework.session import materialize, shared_folder
 
 
 @dataclass
@@ -173,20 +175,61 @@ def by_topic(topics: DataFrame, has_topic: DataFrame, queries: DataFrame) -> Dat
     return has_topic.join(found, "dst").select("query_id", F.col("src").alias("chunk_id"), F.col("dst").alias("topic"), (0.75 + 0.15 * relevance).alias("graph_score"))
 
 
+#: Edges of a node from which it is a hub, whose edges are dealt by a salt.
+HUB = 50_000
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Stored neighbours (a, salt, b), each pair once, and hubs (a, salts)."""
+
+    rows: DataFrame
+    hubs: DataFrame
+
+    @staticmethod
+    def of(pairs: DataFrame, hub: int = HUB) -> Adjacency:
+        """Neighbours from pairs (a, b), as they stand."""
+        rows = materialize(pairs.select("a", "b").distinct())
+        hubs = materialize(rows.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("a", F.ceil(F.col("n") / hub).cast("int").alias("salts")))
+        salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int")
+        return Adjacency(materialize(rows.join(hubs, "a", "left").select("a", salt.alias("salt"), "b")), hubs)
+
+    def step(self, frontier: DataFrame, node: str) -> DataFrame:
+        """The columns of frontier but node, with each neighbour b of node. A hub goes once to each of its salts."""
+        rest = [c for c in frontier.columns if c != node]
+        sent = frontier.select(*rest, F.col(node).alias("a")).join(self.hubs, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        return sent.join(self.rows, ["a", "salt"]).select(*rest, "b")
+
+
+def reached(starts: DataFrame, near: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """What starts reach within `most` steps, by hop (the starts are of hop 0). near gives the neighbours of a frontier, in
+    the columns of starts. Each frontier is written, in a folder for its hop, and what has been reached is read from all
+    folders: plans stay as they are from hop to hop, and the search ends with an empty frontier."""
+    spark, folder, keys = starts.sparkSession, shared_folder(starts.sparkSession), starts.columns
+    every = lambda: spark.read.schema(starts.schema).parquet(folder)
+    starts.distinct().write.parquet(f"{folder}/hop=0")
+    for hop in range(1, most + 1):
+        last = spark.read.schema(starts.schema).parquet(f"{folder}/hop={hop - 1}")
+        near(last).distinct().join(every().select(*keys), keys, "left_anti").write.parquet(f"{folder}/hop={hop}")
+        if spark.read.schema(starts.schema).parquet(f"{folder}/hop={hop}").isEmpty():
+            break
+    return spark.read.option("basePath", folder).parquet(folder)
+
+
 def shared_entities(mention: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """query_id, chunk_id, shared_entities, hop: chunks that share entities with the seeds (query_id, chunk_id), which
     are left out; each further hop starts from what the last one found."""
-    edges = mention.select("src", "dst").distinct()
-    seen = seeds.select("query_id", "chunk_id").distinct()
-    frontier, out = seen, None
-    for hop in range(1, hops + 1):
-        entities = edges.join(frontier, edges["src"] == frontier["chunk_id"]).select("query_id", "dst").distinct()
-        found = edges.join(entities, "dst").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.count_distinct("dst").alias("shared_entities"))
-        found = found.join(seen, ["query_id", "chunk_id"], "left_anti").withColumn("hop", F.lit(hop))
-        out = found if out is None else out.unionByName(found)
-        frontier = found.select("query_id", "chunk_id")
-        seen = seen.unionByName(frontier)
-    return out
+    if hops == 1:
+        edges, first = mention.select("src", "dst").distinct(), seeds.select("query_id", "chunk_id").distinct()
+        entities = edges.join(first, edges["src"] == first["chunk_id"]).select("query_id", "dst").distinct()
+        near = edges.join(entities, "dst").groupBy("query_id", F.col("src").alias("chunk_id")).agg(F.count("*").alias("shared_entities"))
+        return near.join(first, ["query_id", "chunk_id"], "left_anti").withColumn("hop", F.lit(1))
+    chunk_of, entity_of = Adjacency.of(mention.select(F.col("dst").alias("a"), F.col("src").alias("b"))), Adjacency.of(mention.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    paths = lambda frontier: chunk_of.step(entity_of.step(frontier, "chunk_id").distinct().withColumnRenamed("b", "entity").withColumn("_e", F.col("entity")), "entity")
+    found = reached(seeds.select("query_id", "chunk_id"), lambda f: paths(f).select("query_id", F.col("b").alias("chunk_id")), hops)
+    # The entities that a chunk shares with the frontier of the hop before.
+    sharing = paths(found.where(F.col("hop") < hops)).groupBy("query_id", (F.col("hop") + 1).alias("hop"), F.col("b").alias("chunk_id")).agg(F.count_distinct("_e").alias("shared_entities"))
+    return found.where("hop > 0").join(sharing, ["query_id", "chunk_id", "hop"]).select("query_id", "chunk_id", "shared_entities", F.col("hop").cast("int").alias("hop"))
 
 
 def related_chunks(mention: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -198,15 +241,9 @@ def related_chunks(mention: DataFrame, seeds: DataFrame) -> DataFrame:
 def entity_hops(related: DataFrame, starts: DataFrame, most: int = 2) -> DataFrame:
     """query_id, start, name, hops: entities within `most` RELATED_TO steps, in either direction, by their least number
     of hops. The frontier of each hop is only what no hop before reached."""
-    both = related.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(related.select("dst", "src")).distinct()
-    key = ["query_id", "start"]
-    seen = starts.select("query_id", F.col("name").alias("start"), "name").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
-    for hop in range(1, most + 1):
-        near = frontier.join(both, frontier["name"] == both["a"]).select(*key, F.col("b").alias("name")).distinct()
-        frontier = near.join(seen, [*key, "name"], "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen.where("hops > 0")
+    both = Adjacency.of(related.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(related.select("dst", "src")))
+    found = reached(starts.select("query_id", F.col("name").alias("start"), "name"), lambda f: both.step(f, "name").withColumnRenamed("b", "name"), most)
+    return found.where("hop > 0").select("query_id", "start", "name", F.col("hop").cast("int").alias("hops"))
 
 
 def hop_score(hops: Column) -> Column:
@@ -280,7 +317,7 @@ def retrieve(chunks: DataFrame, graph: Graph, queries: DataFrame, k: int, seeds:
     hits without text are left out."""
     found = cascade(chunks, graph, queries, 2 * k)
     base = F.when(F.col("retrieval_method") == "section_title_match", F.greatest("graph_score", F.lit(0.9))).when(F.col("retrieval_method") == "entity_mention", F.greatest("graph_score", F.lit(0.7))).otherwise(F.coalesce("graph_score", F.lit(0.8)))
-    direct = found.select("query_id", "chunk_id", "rank", base.alias("score"), "retrieval_method")
+    direct = materialize(found.select("query_id", "chunk_id", "rank", base.alias("score"), "retrieval_method"))
     near = shared_entities(graph.edges["MENTIONS"], direct.where(F.col("rank") <= seeds).select("query_id", "chunk_id"))
     near = near.join(direct.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(chunks.select("chunk_id", "section_index", "chunk_index"), "chunk_id")
     near = limited(near, max(1, k // 2), F.desc("shared_entities"), "section_index", "chunk_index", "chunk_id")

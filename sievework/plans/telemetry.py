@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from sievework.plans.common import read
 from sievework.session import shared_folder
+from sievework.sources import tails
 from sievework.streaming import counters, telemetry
 
 #: Bucket bounds of the quantile query.
@@ -139,6 +140,20 @@ def streamed_rate(spark: SparkSession, source: str, schema: StructType, folder:
     return every.groupBy(_start(every), F.col("series").alias("event_type")).agg(F.round(F.sum("increase") / 300, 6).alias("rate"))
 
 
+def exposed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_sum over events that are written as exposition text and read back as a stream of growing files, in two runs
+    of one query: the second goes on at the offsets of the first."""
+    folder = shared_folder(spark)
+    labels = F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
+    lines = tails.exposed(F.lit("event_value"), labels, F.col("value"), F.col("ts"))
+    sums = lambda rows: tails.samples(rows).groupBy(F.col("labels")["type"].alias("event_type"), F.col("labels")["k"].try_cast("int").alias("k")).agg(F.sum("value").alias("total"))
+    for half in (0, 1):
+        rows = _events(spark, sf_dir).where((F.col("event_id") % 2 == half) & F.col("value").isNotNull())
+        rows.select(lines.alias("value")).write.mode("append").text(f"{folder}/lines")
+        counters.by_batch(tails.lines(spark, f"{folder}/lines", ".txt", stream=True), f"{folder}/table", f"{folder}/checkpoint", sums).awaitTermination()
+    return spark.read.parquet(f"{folder}/table").groupBy("event_type", "k").agg(F.round(F.sum("total"), 4).alias("total"))
+
+
 def metric_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests: types are endpoints, odd users get errors, values are seconds."""
     e = _events(spark, sf_dir).select(F.lit("GET").alias("method"), F.col("event_type").alias("endpoint"), F.when(F.pmod("user_id", F.lit(2)) == 1, "500").otherwise("200").alias("status"), F.col("value").alias("seconds"))
@@ -152,7 +167,7 @@ def rate_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_start(out), F.round("rate", 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (rate_5m, window_mean, bucket_quantile, error_ratio, group_sum, grouped_ratio, lifetime_rate, label_regex, count_over_time, log_rate_1m, log_json_filter, relabel, session_trace, correlation_trace, stream_counts, stream_rate, metric_emission, rate_of_all)}
+QUERIES = {f.__name__: f for f in (rate_5m, window_mean, bucket_quantile, error_ratio, group_sum, grouped_ratio, lifetime_rate, label_regex, count_over_time, log_rate_1m, log_json_filter, relabel, session_trace, correlation_trace, stream_counts, stream_rate, exposed_metrics, metric_emission, rate_of_all)}
 
 _COUNTS = "SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 
@@ -200,4 +215,5 @@ SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS window_start, count(*)
     "correlation_trace": "SELECT user_id, count(*) AS n, CAST(floor(epoch(min(ts))) AS BIGINT) AS first, CAST(floor(epoch(max(ts))) AS BIGINT) AS last, arg_min(event_type, (ts, event_id)) AS first_type FROM events GROUP BY user_id",
     "stream_counts": _COUNTS,
 }
+ORACLES["exposed_metrics"] = ORACLES["group_sum"]
 ORACLES["stream_rate"] = ORACLES["rate_5m"]

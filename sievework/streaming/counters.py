@@ -3,14 +3,19 @@ which they arrive."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
 
+# The processor goes to executors by value, as functions do.
+register_pickle_by_value(sys.modules[__name__])
+
 #: Provider of states that transformWithState needs.
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 HOUR = 3_600_000_000
