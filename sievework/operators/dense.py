@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.vectors import cosine
@@ -16,16 +16,21 @@ from sievework.functions.vectors import cosine
 SENT = 64 << 20
 
 
+def sound(vector: Column) -> Column:
+    """A vector with components, all of them finite."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", batch: int = 256) -> DataFrame:
     """query_id, id, score of each query's k nearest; queries: query_id, vector. Ties go to the smaller id. Vectors and
-    queries that are null, empty or hold nulls take no part; only those of one dimension meet.
+    queries that are null, empty or hold nulls or what is not finite take no part; only those of one dimension meet.
 
     Each group of queries of one dimension and at most SENT bytes (an exact count, no cap) is broadcast and meets all
     vectors in one pass: each task keeps its own k best, and only those are shuffled."""
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
-    sound = lambda c: c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda v: v.isNotNull())
     asked = queries.where(sound(F.col("vector"))).select("query_id", F.col("vector").cast("array<double>").alias("vector")).withColumn("_d", F.size("vector"))
     sizes = sorted((r["_d"], r["n"]) for r in asked.groupBy("_d").agg(F.count("*").alias("n")).collect())  # a row for each dimension
     rows = vectors.where(sound(F.col(vector))).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -64,6 +69,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
 
 def against(vectors: DataFrame, query: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, score of all vectors against a stated set of queries (query_id, vector), without Python: for filters
-    and fusions that need every score. Up to SENT bytes of queries are broadcast."""
+    and fusions that need every score. Queries are broadcast in groups of about SENT bytes, each of which meets all
+    vectors in one scan."""
     size = query.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
-    return vectors.crossJoin(F.broadcast(query) if size <= SENT else query).select("query_id", F.col(key).alias("id"), cosine(F.col(vector), F.col("vector")).alias("score"))
+    parts, out = max(1, -(-size // SENT)), None
+    for i in range(parts):
+        group = query.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else query
+        found = vectors.crossJoin(F.broadcast(group)).select("query_id", F.col(key).alias("id"), cosine(F.col(vector), F.col("vector")).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import STOP_WORDS, keywords
-from sievework.operators import bm25, dense, fusion, graph, grams
+from sievework.operators import bm25, clusters, dense, fusion, graph, grams
 from sievework.operators.segments import Segments
 from sievework.plans.common import VALUES, questions, read
 from sievework.session import shared_folder
@@ -126,6 +126,38 @@ def dense_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> clusters.Lists:
+    """The lists of embeddings; they are built where there are none."""
+    rows = read(spark, sf_dir, "embeddings")
+    path = _place(spark, rows, "lists")
+    try:
+        return clusters.load(spark, path)
+    except AnalysisException:
+        return clusters.build(rows, f"{path}/{uuid.uuid4().hex}" if _there(spark, path) else path)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a build at path was cut off."""
+    try:
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count())
+    except AnalysisException:
+        return False
+
+
+def vector_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_topk from stored lists, all of them: the exact way."""
+    lists = _lists(spark, sf_dir)
+    found = lists.search(vectors_asked(spark, sf_dir), 10, probes=len(lists.centres))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def vector_lists_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_by_label from stored lists: the filter is in the scan."""
+    lists = _lists(spark, sf_dir)
+    found = lists.search(vectors_asked(spark, sf_dir), 5, where=F.col("label") == 3, probes=len(lists.centres))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def dense_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cosines in the JVM: mean, least and greatest by query and label."""
     every = dense.against(read(spark, sf_dir, "embeddings"), vectors_asked(spark, sf_dir))
@@ -248,6 +280,8 @@ QUERIES = {
     "corpus_stats": corpus_stats,
     "dense_topk": dense_topk,
     "dense_by_label": dense_by_label,
+    "vector_lists": vector_lists,
+    "vector_lists_filtered": vector_lists_filtered,
     "dense_scan": dense_scan,
     "hybrid_fusion": hybrid_fusion,
     "hybrid_no_norm": hybrid_no_norm,
@@ -278,6 +312,8 @@ UNION ALL SELECT 'term characters', CAST(sum(length(term)) AS BIGINT) FROM (SELE
     "corpus_stats": f"WITH {BM25_SQL} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM (SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY term ORDER BY df DESC, term LIMIT 100), st",
     "dense_topk": f"WITH {DENSE_SQL} {_NEAR} QUALIFY rank <= 10",
     "dense_by_label": f"WITH {DENSE_SQL} {_NEAR} WHERE label = 3 QUALIFY rank <= 5",
+    "vector_lists": f"WITH {DENSE_SQL} {_NEAR} QUALIFY rank <= 10",
+    "vector_lists_filtered": f"WITH {DENSE_SQL} {_NEAR} WHERE label = 3 QUALIFY rank <= 5",
     "dense_scan": f"WITH {DENSE_SQL} SELECT query_id, label, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most FROM dn GROUP BY ALL",
     "hybrid_fusion": _hybrid_sql("sn", "dn", "0.25 * sn + 0.25 * dn"),
     "hybrid_no_norm": _hybrid_sql("s", "d", "(coalesce(s, 0) * 0.25 + coalesce(d, 0) * 0.25) / (CASE WHEN s IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN d IS NOT NULL THEN 0.25 ELSE 0 END)"),

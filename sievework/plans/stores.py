@@ -60,6 +60,20 @@ def query_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(_engine(spark, sf_dir).query_document(questions(spark), "7", 10))
 
 
+def engine_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over text, table and image vectors beside BM25; vector i belongs to document i, its collection to its
+    label."""
+    e = _engine(spark, sf_dir)
+    vectors_ = _collections(spark, sf_dir).select("collection", F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
+    return _hits(Engine(e.documents, e.chunks, vectors_).query(questions(spark).join(vectors_asked(spark, sf_dir), "query_id"), 10))
+
+
+def engine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine that has just ingested texts, tables and pictures answers from all five sources."""
+    asked = questions(spark).union(spark.createDataFrame([("q5", "Turn Role bars chart")], "query_id string, query string")).withColumn("vector", F.array(*(F.lit(x) for x in (0.5, 0.4, 0.3, 0.2))))
+    return _small(spark, sf_dir).query(asked, 10).select("query_id", "final_rank", "chunk_id", "chunk_type", F.round("score", 6).alias("score"))
+
+
 def engine_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each question with a filter, with one on a field that is not there, strictly and not, and of a blank one."""
     e = _engine(spark, sf_dir)
@@ -225,7 +239,8 @@ def spaced_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A word-processor file for each region: its name, a table of its nations, and two pictures; and a broken one."""
+    """A word-processor file for each region: its name, a table of its nations, and two pictures, the second by name shown
+    first; and a broken one."""
     import io
     import struct
     import zipfile
@@ -237,9 +252,13 @@ def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
             for key, name, data in frame.itertuples(index=False):
                 cell = lambda c: f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>"
                 body = f"<w:p><w:r><w:t>{name}</w:t></w:r></w:p><w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, row))}</w:tr>" for row in data) + "</w:tbl>"
+                body += "".join(f'<w:p><w:r><a:blip r:embed="p{i}"/></w:r></w:p>' for i in (2, 1))
+                kinds = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+                rels = "".join(f'<Relationship Id="p{i}" Type="{kinds}/image" Target="media/image{i}.png"/>' for i in (1, 2))
                 packed = io.BytesIO()
                 with zipfile.ZipFile(packed, "w") as z:
-                    z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="{kinds}"><w:body>{body}</w:body></w:document>')
+                    z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
                     for i in (1, 2):
                         z.writestr(f"word/media/image{i}.png", b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 300 * i * (key + 1), 600) + b"\0" * 8)
                 out.append((f"in/r{key}.docx", packed.getvalue()))
@@ -385,7 +404,7 @@ def engine_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        table_vectors, image_vectors, query_by_type, query_by_document, engine_filters, bm25_upsert, chunk_lookup, document_lookup, chunks_of_document, stored_rows, stored_chunks, upload_keys, vector_delete, blob_paths, schema_check,
+        table_vectors, image_vectors, query_by_type, query_by_document, engine_sources, engine_query, engine_filters, bm25_upsert, chunk_lookup, document_lookup, chunks_of_document, stored_rows, stored_chunks, upload_keys, vector_delete, blob_paths, schema_check,
         chunk_statistics, chunk_function, table_json, chunk_numbering, metadata_spread, content_cut, spaced_headings, file_texts, file_tables, file_images, extraction_status,
         embedded_chunks, model_entities, captioned_images, model_answers, source_rows, engine_ingest, engine_markdown, engine_listing, engine_delete,
     )
@@ -409,6 +428,14 @@ def _letters(t: str) -> str:
 ORACLES = {
     "table_vectors": f"WITH {_ASKED}, dn AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 12) AS score FROM dq, embeddings WHERE label % 3 = 1) {_NEAR}",
     "image_vectors": f"WITH {_ASKED}, dn AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(list_concat(v[1:32], list_transform(range(32), lambda x: CAST(0 AS DOUBLE))), CAST(embedding AS DOUBLE[])), 12) AS score FROM dq, embeddings WHERE label % 3 = 2) {_NEAR}",
+    "engine_sources": f"""
+WITH {BM25_SQL}, dq AS (SELECT 'q' || CAST(vec_id + 1 AS VARCHAR) AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 4),
+dn AS (SELECT dq.query_id, e.vec_id AS id, label % 3 + 1 AS p, round(list_cosine_similarity(dq.v, CAST(e.embedding AS DOUBLE[])), 12) AS score FROM dq, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)),
+h AS (SELECT query_id, 0 AS p, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM bm QUALIFY r <= 20
+  UNION ALL SELECT query_id, p, id, score, row_number() OVER (PARTITION BY query_id, p ORDER BY score DESC, id) AS r FROM dn QUALIFY r <= 20),
+n AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS x FROM h WINDOW w AS (PARTITION BY query_id, p)),
+m AS (SELECT query_id, id, min(p * 1000 + r) AS place, round(coalesce(max(x) FILTER (p = 0), 0) * 0.25 + coalesce(max(x) FILTER (p = 1), 0) * 0.25 + coalesce(max(x) FILTER (p = 2), 0) * 0.15 + coalesce(max(x) FILTER (p = 3), 0) * 0.15, 9) AS score FROM n GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, id) AS INTEGER) AS final_rank, id AS chunk_id, round(score, 6) AS score FROM m QUALIFY final_rank <= 10""",
     "query_by_type": f"WITH {BM25_SQL}, {_FUSED.format(where="lang = 'de'")} SELECT * FROM z",
     "query_by_document": f"WITH {BM25_SQL}, {_FUSED.format(where='doc_id = 7')} SELECT * FROM z",
     "engine_filters": f"""WITH {BM25_SQL} SELECT 'type' AS run, query_id, least(10, count(*)) AS n FROM bm WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'fr') GROUP BY ALL
@@ -448,7 +475,7 @@ SELECT * FROM ab UNION ALL SELECT k.*, CAST(coalesce(s, 0) + row_number() OVER (
     "file_texts": r"""SELECT 'in/r' || n_regionkey || '.docx' AS path, 'docx' AS file_type, r_name || E'\n\nKey | Name\n\n' || string_agg(n_nationkey || ' | ' || n_name, E'\n\n' ORDER BY n_nationkey) AS text, FALSE AS failed, 1 AS n_tables FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey, r_name
 UNION ALL SELECT * FROM (VALUES ('in/broken.docx', 'docx', NULL, TRUE, NULL), ('in/a.txt', 'txt', E'café\n\nx', FALSE, NULL), ('in/b.md', 'md', '# café', FALSE, NULL), ('in/c.gz', NULL, NULL, TRUE, NULL)) AS v(a, b, c, d, e)""",
     "file_tables": "SELECT 'in/r' || n_regionkey || '.docx' AS path, 1 AS table_index, 'docx' AS method, CAST(count(*) + 1 AS INTEGER) AS n_rows, arg_min(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey",
-    "file_images": """SELECT 'in/r' || r_regionkey || '.docx' AS path, k AS image_index, 'png' AS extension, 300 * k * (r_regionkey + 1) AS width, 600 AS height,
+    "file_images": """SELECT 'in/r' || r_regionkey || '.docx' AS path, 3 - k AS image_index, 'png' AS extension, 300 * k * (r_regionkey + 1) AS width, 600 AS height,
 CASE WHEN w / 600 > 2 OR w / 600 < 0.5 THEN 'diagram' WHEN w / 600 BETWEEN 0.8 AND 1.2 AND w < 500 THEN 'screenshot' WHEN w / 600 BETWEEN 0.8 AND 1.2 OR w BETWEEN 500 AND 2000 THEN 'chart' WHEN w > 2000 THEN 'photo' ELSE 'unknown' END AS image_type
 FROM (SELECT *, 300 * k * (r_regionkey + 1) AS w FROM region, (VALUES (1), (2)) AS v(k))""",
     "extraction_status": """SELECT 'in/r' || r_regionkey || '.docx' AS path, 1::BIGINT AS n_tables, 2::BIGINT AS n_images, 'ok' AS status FROM region

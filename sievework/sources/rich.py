@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import struct
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,10 +38,28 @@ def dimensions(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+#: Names of a word-processor file's pictures and of what they refer to.
+BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
+EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
+
+
 def docx_images(data: bytes) -> list[tuple[bytes, str]]:
-    """Bytes and suffix of each picture of a word-processor file, by name."""
+    """Bytes and suffix of each picture of a word-processor file, in the order in which the text shows them, as often as it
+    does; where it shows none, all that the file relates to, and where it relates to none, all that it holds by name."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return [(z.read(n), n.rsplit(".", 1)[-1].lower()) for n in sorted(z.namelist()) if n.startswith("word/media/")]
+        names = set(z.namelist())
+        related = {}
+        if "word/_rels/document.xml.rels" in names:
+            for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")):
+                target = r.get("Target", "")
+                path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"word/{target}")
+                if r.get("Type", "").endswith("/image") and path in names:
+                    related[r.get("Id")] = path
+        shown = []
+        if "word/document.xml" in names:
+            shown = [related[e.get(EMBED)] for e in ElementTree.fromstring(z.read("word/document.xml")).iter(BLIP) if e.get(EMBED) in related]
+        held = sorted(n for n in names if n.startswith("word/media/"))
+        return [(z.read(n), n.rsplit(".", 1)[-1].lower()) for n in shown or list(related.values()) or held]
 
 
 def pdf_images(data: bytes) -> list[tuple[bytes, str]]:

@@ -8,10 +8,11 @@ import re
 from collections import Counter, defaultdict
 from math import log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import bm25, entities, grams, graph
+from sievework.operators import bm25, clusters, dense, entities, grams, graph
 from sievework.operators.segments import BLOCK, Segments
 from sievework.session import shared_folder
 from sievework.sources import tails
@@ -298,3 +299,40 @@ def test_steps_of_samples_in_any_order(spark, tmp_path):
     finally:
         for key in counters.ROCKS:
             spark.conf.unset(key)
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------------
+
+
+def planted(n=4000, groups=40, dim=16, seed=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    return centres[rng.integers(0, groups, n)] + 0.2 * rng.normal(size=(n, dim))
+
+
+def test_lists_of_planted_clusters(spark):
+    x = planted()
+    odd = [(9001, None), (9002, [1.0]), (9003, [float("nan")] * 16), (9004, [float("inf")] + [0.0] * 15), (None, [1.0] * 16)]
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(i, v, 0) for i, v in odd], "vec_id long, embedding array<double>, label int")
+    path = shared_folder(spark)
+    lists = clusters.build(rows, path, lists=40)
+    assert lists.recall >= 0.95 and lists.probes <= 10 and lists.rows.count() == len(x)
+    queries = spark.createDataFrame([(i, x[i * 30].tolist()) for i in range(100)] + [(999, [1.0]), (998, None)], "query_id long, vector array<double>")
+    key = lambda df: {(r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect()}
+    exact = key(dense.search(rows, queries.where("query_id < 998"), 10))
+    assert key(lists.search(queries, 10, probes=40)) == exact and len(exact) == 1000
+    near = key(clusters.load(spark, path).search(queries, 10))
+    assert len({(q, i) for q, _, i, _ in near} & {(q, i) for q, _, i, _ in exact}) >= 900
+    assert key(lists.search(queries, 10, where=F.col("label") == 1, probes=40)) == key(dense.search(rows.where("label = 1"), queries, 10))
+    one = lists.search(queries.where("query_id = 0"), 10, probes=1)
+    files = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "list" in files and len({r["list"] for r in lists.rows.select("list").distinct().collect()}) == 40
+    with pytest.raises(ValueError):
+        clusters.build(rows.where("false"), shared_folder(spark))
+
+
+def test_vectors_that_are_not_finite_take_no_part(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [float("inf"), 1.0]), (4, [float("nan"), 1.0]), (5, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([("a", [1.0, 0.1])], "query_id string, vector array<double>")
+    for k in (2, 10):
+        assert [r["id"] for r in dense.search(rows, queries, k).orderBy("rank").collect()] == [1, 2, 5][:k]
