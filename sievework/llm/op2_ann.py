@@ -100,9 +100,9 @@ def distances(place: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.where((np.abs(cells - own) > 2).any(axis=-1), np.inf, (d * d).sum(axis=-1))
 
 
-def setting(asked: np.ndarray, pairs: np.ndarray, near: np.ndarray, others: np.ndarray, n: int, longest: float) -> tuple[int, int]:
-    """K and probes: the fewest vectors to look at among those with the recall; pairs are the rows of asked that the
-    neighbours (near) belong to."""
+def setting(asked: np.ndarray, pairs: np.ndarray, near: np.ndarray, others: np.ndarray, n: int, longest: float) -> tuple[int, int] | None:
+    """K and probes: the fewest vectors to look at among those with the recall, or None if no setting has it; pairs are
+    the rows of asked that the neighbours (near) belong to."""
     tried = []
     for k in [k for k in WIDTHS if k <= max(WIDTHS[0], np.ceil(np.log2(max(2, n))))]:
         place = places(asked, k, longest, True)
@@ -115,10 +115,10 @@ def setting(asked: np.ndarray, pairs: np.ndarray, near: np.ndarray, others: np.n
             recall = (to_near <= last[pairs]).any(axis=1).mean()
             if recall >= RECALL or p == PROBES[-1]:
                 share = (to_any <= last[:, None]).any(axis=2).mean()
-                tried.append((recall < RECALL, share * n + p * TABLES * VISIT if recall >= RECALL else -recall, p, k))
+                if recall >= RECALL:
+                    tried.append((share * n + p * TABLES * VISIT, p, k))
                 break
-    _, _, p, k = min(tried)
-    return k, p
+    return min(tried)[:0:-1] if tried else None
 
 
 def hashed(vectors: DataFrame, longest: float, k: int, n_probes: int, parts: int, query: bool) -> DataFrame:
@@ -243,8 +243,8 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def calibrated(rows: DataFrame, is_query: Column, k: int, longest: float) -> tuple[int, int]:
-    """K and probes for these rows."""
+def calibrated(rows: DataFrame, is_query: Column, k: int, longest: float) -> tuple[int, int] | None:
+    """K and probes for these rows; None if none has the recall."""
     n_of = {r["dim"]: r["n"] for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()}
     if not n_of:
         return 3, PROBES[0]
@@ -262,13 +262,17 @@ def calibrated(rows: DataFrame, is_query: Column, k: int, longest: float) -> tup
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", width: int | None = None, n_probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query (a condition on `id`), its own row left out.
-    Without width (K) and n_probes, calibration says them."""
+    Without width (K) and n_probes, calibration says them; where no setting reaches RECALL on its queries, all queries
+    meet all vectors, so that recall is never lost without a word."""
     rows = materialize(clean(vectors, key, vector).where(F.exists("v", lambda x: x != 0)))
     spark = rows.sparkSession
     facts = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"), F.count("*").alias("n")).first()  # one row
     longest, parts = facts["longest"] or 1.0, max(2 * spark.sparkContext.defaultParallelism, -(-facts["n"] * TABLES * 2 // PART))
     if width is None or n_probes is None:
-        width, n_probes = calibrated(rows, is_query, k, longest)
+        found = calibrated(rows, is_query, k, longest)
+        if found is None:
+            return ranked(best_of_all(rows.where(is_query), rows, k), k)
+        width, n_probes = found
     index = hashed(rows, longest, width, n_probes, parts, False)
     asked = hashed(rows.where(is_query), longest, width, n_probes, parts, True)
     found = materialize(ranked(best_of(index, asked, k), k))

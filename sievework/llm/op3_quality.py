@@ -2,8 +2,8 @@
 
 A bounded sample of labelled documents (SAMPLE of each label) is turned into hashed term weights: words, and the shapes
 of words, where letters of a kind, digits and repeats are folded, and whether a word repeats the one before it. A run
-of more than LONG characters without blanks, as in scripts that write none, gives terms for each PIECE
-characters in a row, from its beginning to its end, in place of one word. A
+of more than LONG characters without blanks, as in scripts that write none, is a word like any other and gives terms for
+each PIECE characters in a row besides, from its beginning to its end. A
 truncated singular value decomposition of the sample gives the latent space. Its labelled vectors are broadcast (their
 size is fixed by SAMPLE and RANK); every document is folded into the space, its exact cosines with all of them are
 computed in blocks, and its nearest neighbours vote with their similarity. Votes are weighted back to the labels'
@@ -36,7 +36,7 @@ WORDS, SHAPES, WORD_WEIGHT, SHARPNESS = 4096, 1024, 0.25, 8
 CACHE = 300_000
 #: Documents whose terms are counted together.
 ROWS = 200
-#: Characters of a word above which its pieces count, and of a piece.
+#: Characters of a word above which its pieces count besides, and of a piece.
 LONG, PIECE = 64, 2
 FOLD = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "B"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 DIM = WORDS + SHAPES + 2
@@ -66,19 +66,20 @@ def weights(column: pa.Array) -> np.ndarray:
         store.clear()
     long = [i for i, w in enumerate(words) if len(w) > LONG]
     for w in words:
-        if len(w) <= LONG and w not in store:
+        if w not in store:
             a, b = terms_of(w)
             store[w] = a * DIM + b
-    every = np.fromiter((store.get(w, 0) for w in words), dtype=np.int64, count=len(words))
+    every = np.fromiter((store[w] for w in words), dtype=np.int64, count=len(words))
+    for i in long:  # they are not kept
+        store.pop(words[i], None)
     pair = every[codes]
     n = len(edges) - 1
     doc = np.repeat(np.arange(n), np.diff(edges)) * DIM
+    out = np.bincount(doc + pair // DIM, minlength=n * DIM) + np.bincount(doc + pair % DIM, minlength=n * DIM)
     if long:
         runs = np.zeros(len(words), dtype=bool)
         runs[long] = True
         at = np.flatnonzero(runs[codes])
-        short = ~runs[codes]
-        out = np.bincount(doc[short] + pair[short] // DIM, minlength=n * DIM) + np.bincount(doc[short] + pair[short] % DIM, minlength=n * DIM)
         order = at[np.argsort(codes[at], kind="stable")]  # terms of a run that comes again are made once
         last = -1
         for i in order.tolist():
@@ -86,8 +87,6 @@ def weights(column: pa.Array) -> np.ndarray:
                 last = codes[i]
                 terms, times = terms_of_run(words[last])
             np.add.at(out, doc[i] + terms, times)
-    else:
-        out = np.bincount(doc + pair // DIM, minlength=n * DIM) + np.bincount(doc + pair % DIM, minlength=n * DIM)
     out = out.reshape(n, DIM).astype(np.float32)
     same = np.flatnonzero((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1])) + 1
     repeats = np.bincount(doc[same] // DIM, minlength=n)

@@ -298,3 +298,74 @@ def test_op13_query(spark, duck):
         assert not (got[i]["kept"] and got[i]["base_failed"])
         if quality == 1 and not got[i]["base_failed"]:
             assert got[i]["kept"]
+
+
+# ---- earlier operators --------------------------------------------------------------------------------------------
+
+
+def test_every_word_gives_its_term_whatever_its_length():
+    import pyarrow as pa
+
+    from sievework.llm import op3_quality as m
+
+    for n in (3, m.LONG, m.LONG + 1, 3 * m.LONG):
+        word = ("ab" * n)[:n]
+        a, b = m.terms_of(word)
+        x = m.weights(pa.array([f"{word} {word}"]))[0] ** 2
+        assert x[a] > 1.99 and x[b] > 1.99
+        if n > m.LONG:
+            terms, times = m.terms_of_run(word)
+            want = np.zeros(m.DIM)
+            np.add.at(want, terms, 2 * times)
+            want[a] += 2
+            want[b] += 2
+            assert np.allclose(x[: m.DIM - 2], want[: m.DIM - 2])
+
+
+def test_neighbours_are_exact_where_no_setting_has_the_recall(spark, monkeypatch):
+    from sievework.llm import op2_ann as m
+
+    monkeypatch.setattr(m, "RECALL", 1.5)
+    x = np.random.default_rng(9).normal(size=(300, 12))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 12)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in m.neighbours(rows, F.col("id") % 20 == 0, 7).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert found[q] == np.argsort(-s, kind="stable")[:7].tolist()
+    assert len(found) == 15
+
+
+def test_scores_equal_all_cosines_by_hand():
+    """The votes of op3, from its own projection, with every cosine computed and sorted."""
+    import pyarrow as pa
+
+    from sievework.llm import op3_quality as m
+
+    rng = random.Random(4)
+    make = lambda bad: " ".join(rng.choice(["of", "the", "and"]) + ("###" if bad and rng.random() < 0.4 else "") + str(rng.randrange(30) if bad else "") for _ in range(30))
+    y = np.array([i % 2 for i in range(120)])
+    sample = [make(not b) for b in y]
+    space = m.Space(m.weights(pa.array(sample)), y, 0.7)
+    texts = [make(i % 3 == 0) for i in range(60)] + [sample[0], sample[0], "", None, "zzz"]
+    got = space.score(pa.array(texts, pa.string()))
+    fold = lambda t: space_of(m, space, t)
+    known = fold(sample)
+    for i, v in enumerate(fold(texts)):
+        cos = known @ v
+        near = np.argsort(-cos, kind="stable")[: m.NEIGHBOURS]
+        vote = np.maximum(cos[near], 0) ** m.SHARPNESS * space.vote[near]
+        want = (vote * y[near]).sum() / vote.sum() if vote.sum() > 0 else space.share
+        assert abs(got[i] - want) < 2e-3, i
+    assert got[60] == got[61] and got[62] == got[63] == pytest.approx(0.7)
+
+
+def space_of(m, space, texts):
+    import pyarrow as pa
+
+    x = m.weights(pa.array(texts, pa.string())) * space.idf
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    z = x @ space.axes
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
