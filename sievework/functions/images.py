@@ -22,9 +22,14 @@ def image_type(width: Column, height: Column) -> Column:
     )
 
 
+#: Kinds of pictures that show data, and what is said of one without a text.
+DATA_KINDS = ("chart", "graph", "diagram")
+DATA_PHRASE = "Chart or graph showing data visualization"
+
+
 def chunk_text(text: Column, kind: Column) -> Column:
     """Recognised text or caption, else a stock phrase."""
-    stock = F.when(F.lower(kind).isin("chart", "graph", "diagram"), F.lit("Chart or graph showing data visualization")).otherwise(F.concat(F.lit("Image: "), F.coalesce(kind, F.lit("unknown"))))
+    stock = F.when(F.lower(kind).isin(*DATA_KINDS), F.lit(DATA_PHRASE)).otherwise(F.concat(F.lit("Image: "), F.coalesce(kind, F.lit("unknown"))))
     return F.coalesce(F.when(F.trim(text) != "", text), stock)
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: Words that are never keywords.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been have has had do does did will would should could may might must"
-    " can how what when where why which who describe explain tell about me"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of",
+    "with", "by", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do",
+    "does", "did", "will", "would", "should", "could", "may", "might", "must", "can", "how", "what",
+    "when", "where", "why", "which", "who", "describe", "explain", "tell", "about", "me",
+)
 #: Spellings of a form field's truth value.
 TRUE_WORDS = ("true", "1", "yes", "on", "enabled", "enable")
 FALSE_WORDS = ("false", "0", "no", "off", "disabled", "disable", "", "none", "null")

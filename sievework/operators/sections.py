@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from sievework.functions.text import despaced
 
 #: What a heading looks like.
-HEADINGS = (r"^\d+(\.\d+)*\s+[A-Z]", r"^Chapter\s+\d+", r"^Section\s+\d+", r"^Part\s+[IVX\d]+", r"^\d+\.\s+[A-Z][a-z]+", r"^[A-Z][a-z]+\s+\d+:", r"^[A-Z][A-Z\s]{8,}$")
+HEADINGS = (
+    r"^\d+(\.\d+)*\s+[A-Z]",
+    r"^Chapter\s+\d+",
+    r"^Section\s+\d+",
+    r"^Part\s+[IVX\d]+",
+    r"^[A-Z][A-Z\s]{8,}$",
+    r"^\d+\.\s+[A-Z][a-z]+",
+    r"^[A-Z][a-z]+\s+\d+:",
+)
 UNTITLED, TABLES_TITLE = "Document Content", "Tables"
 
 

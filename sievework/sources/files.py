@@ -28,6 +28,7 @@ MIME_TYPES = {
     ".html": "text/html",
     ".htm": "text/html",
 }
+#: Fixed value: what stands between the pages of a PDF.
 PAGE_BREAK = "\n\n--- Page Break ---\n\n"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
