@@ -159,7 +159,8 @@ def best_condition(counts: dict[tuple[str, int], tuple[int, int]], cuts: dict[st
 
 
 def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
-    """The decision list of statistics() and labels (doc_id, quality)."""
+    """The decision list of statistics() and labels (doc_id, quality). Statistics should be written before (materialize):
+    Spark moves filters on them into their expressions, which then are computed again and again."""
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     joined = stats.where(~base_failed()).join(marks, "doc_id")
     growing = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 2

@@ -15,6 +15,7 @@ from conftest import SF_DIR, rows_of
 from pyspark.sql import functions as F
 
 from sievework.llm import op11_runs, op12_ranked, op13_rules
+from sievework.llm.common import materialize
 from sievework.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -278,7 +279,7 @@ def test_learned_list_equals_plain_covering(spark):
 
 
 def test_no_labels_keep_what_passes(spark, docs):
-    stats = op13_rules.statistics(docs)
+    stats = materialize(op13_rules.statistics(docs))
     none = spark.createDataFrame([], "doc_id long, quality int")
     for marks in (none, stats.select("doc_id", F.lit(1).alias("quality")), stats.select("doc_id", F.lit(0).alias("quality"))):
         assert op13_rules.learn(stats, marks) == []
