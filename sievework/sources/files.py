@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import clean
+from sievework.sources import pdf
 
 #: File types by suffix, and MIME types by suffix.
 FILE_TYPES = {".pdf": "pdf", ".docx": "docx", ".txt": "txt", ".md": "md", ".markdown": "md"}
@@ -104,15 +105,18 @@ def docx_parts(data: bytes) -> tuple[str, list[list[list[str]]]]:
     return "\n\n".join([*paragraphs, *(" | ".join(r) for t in tables for r in t)]), tables
 
 
-def pdf_text(data: bytes) -> tuple[str, int]:
-    """Text and pages of a PDF, by an optional library."""
-    from pypdf import PdfReader
+def pdf_text(data: bytes) -> tuple[str, int, dict[str, str]]:
+    """Text, pages, and title, author and the like of a PDF; an optional library reads more kinds of text."""
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        pages = pdf.text_of(data)
+    else:
+        pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+    return PAGE_BREAK.join(p for p in pages if p.strip()), len(pages), pdf.File(data).about()
 
-    pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
-    return PAGE_BREAK.join(p for p in pages if p.strip()), len(pages)
 
-
-EXTRACTED = "path string, file_type string, text string, page_count int, tables array<array<array<string>>>, error string"
+EXTRACTED = "path string, file_type string, text string, page_count int, tables array<array<array<string>>>, error string, metadata map<string,string>"
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -120,8 +124,8 @@ def extract(files: DataFrame) -> DataFrame:
     that cannot be read has its error and no text; the others are unaffected."""
     rows = files.select("path", file_type(F.col("path")).alias("file_type"), "content")
     none = F.lit(None).cast("array<array<array<string>>>")
-    plain = rows.where(F.col("file_type").isin("txt", "md")).select("path", "file_type", decoded(F.col("content")).alias("text"), F.lit(None).cast("int").alias("page_count"), none.alias("tables"), F.lit(None).cast("string").alias("error"))
-    bad = rows.where("file_type IS NULL").select("path", "file_type", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("page_count"), none.alias("tables"), F.lit("unsupported file type").alias("error"))
+    plain = rows.where(F.col("file_type").isin("txt", "md")).select("path", "file_type", decoded(F.col("content")).alias("text"), F.lit(None).cast("int").alias("page_count"), none.alias("tables"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    bad = rows.where("file_type IS NULL").select("path", "file_type", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("page_count"), none.alias("tables"), F.lit("unsupported file type").alias("error"), F.lit(None).cast("map<string,string>").alias("metadata"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -130,13 +134,13 @@ def extract(files: DataFrame) -> DataFrame:
                 try:
                     if kind == "docx":
                         text, tables = docx_parts(content)
-                        out.append((path, kind, text, None, tables, None))
+                        out.append((path, kind, text, None, tables, None, None))
                     else:
-                        text, pages = pdf_text(content)
-                        out.append((path, kind, text, pages, None, None))
+                        text, pages, about = pdf_text(content)
+                        out.append((path, kind, text, pages, None, None, about))
                 except Exception as e:  # noqa: BLE001  one bad file must not end the scan
-                    out.append((path, kind, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(out, columns=["path", "file_type", "text", "page_count", "tables", "error"]).astype({"page_count": "Int32"})
+                    out.append((path, kind, None, None, None, f"{type(e).__name__}: {e}"[:500], None))
+            yield pd.DataFrame(out, columns=["path", "file_type", "text", "page_count", "tables", "error", "metadata"]).astype({"page_count": "Int32"})
 
     rich = rows.where(F.col("file_type").isin("docx", "pdf")).mapInPandas(run, EXTRACTED)
     return plain.unionByName(rich).unionByName(bad).withColumn("text", clean(F.col("text")))

@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.images import image_type
 from sievework.functions.tables import is_valid
-from sievework.sources import files
+from sievework.operators import layout
+from sievework.session import materialize
+from sievework.sources import files, pdf
 
 #: A method takes a file's bytes and returns its tables, rows of cells, header first.
 TableMethod = Callable[[bytes], Sequence[list[list[str]]]]
@@ -62,26 +64,20 @@ def docx_images(data: bytes) -> list[tuple[bytes, str]]:
         return [(z.read(n), n.rsplit(".", 1)[-1].lower()) for n in shown or list(related.values()) or held]
 
 
-def pdf_images(data: bytes) -> list[tuple[bytes, str]]:
-    """Pictures of a PDF, by an optional library."""
-    from pypdf import PdfReader
-
-    return [(i.data, i.name.rsplit(".", 1)[-1].lower()) for p in PdfReader(io.BytesIO(data)).pages for i in p.images]
-
-
 IMAGES = "path string, image_index int, content binary, extension string, width int, height int"
+PLACE = ("x0", "y0", "x1", "y1")
 
 
 def images(found: DataFrame) -> DataFrame:
-    """A row for each picture in files (path, content): running number from 1, size, kind. Files without pictures, or
-    that cannot be read, have none."""
+    """A row for each picture in files (path, content): running number from 1, size, kind and, in PDF files, the page and
+    the first place on it (null if the page does not draw it). Files without pictures, or that cannot be read, have none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for path, content in frame.itertuples(index=False):
                 try:
-                    pictures = docx_images(content) if path.lower().endswith(".docx") else pdf_images(content)
+                    pictures = docx_images(content)
                 except Exception:  # noqa: BLE001  one bad file must not end the scan
                     pictures = []
                 for i, (data, suffix) in enumerate(pictures, 1):
@@ -89,13 +85,15 @@ def images(found: DataFrame) -> DataFrame:
                     out.append((path, i, data, suffix, width, height))
             yield pd.DataFrame(out, columns=["path", "image_index", "content", "extension", "width", "height"]).astype({"width": "Int32", "height": "Int32", "image_index": "int32"})
 
-    rich = found.where(files.file_type(F.col("path")).isin("docx", "pdf")).select("path", "content")
-    return rich.mapInPandas(run, IMAGES).withColumn("image_type", image_type(F.col("width"), F.col("height")))
+    shown = found.where(files.file_type(F.col("path")) == "docx").select("path", "content").mapInPandas(run, IMAGES)
+    order = F.row_number().over(Window.partitionBy("path").orderBy("page", "place")).cast("int")
+    drawn = pdf.marks(found, ("image",)).withColumn("image_index", order).select(*shown.columns, "page", F.when(F.col("x0").isNotNull(), F.struct(*PLACE)).alias("position"))
+    return shown.unionByName(drawn, allowMissingColumns=True).withColumn("image_type", image_type(F.col("width"), F.col("height")))
 
 
 def tables(found: DataFrame, pdf_methods: Sequence[tuple[str, TableMethod]] = ()) -> DataFrame:
-    """A row for each valid table in files: path, table_index from 1, data, method. The first PDF method that finds any
-    table of a file wins."""
+    """A row for each valid table in files: path, table_index from 1, data, method and, in PDF files, the page where it is
+    known. The first PDF method that finds any table of a file wins: those of the caller, then ruled lines, then gaps."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         methods = {"docx": [("docx", lambda d: files.docx_parts(d)[1])], "pdf": list(pdf_methods)}
@@ -112,8 +110,12 @@ def tables(found: DataFrame, pdf_methods: Sequence[tuple[str, TableMethod]] = ()
                         break
             yield pd.DataFrame(out, columns=["path", "table_index", "data", "method"]).astype({"table_index": "int32"})
 
-    rich = found.where(files.file_type(F.col("path")).isin("docx", "pdf")).select("path", "content")
-    return rich.mapInPandas(run, "path string, table_index int, data array<array<string>>, method string").where(is_valid(F.col("data")))
+    rich = found.where(files.file_type(F.col("path")).isin("docx", *(["pdf"] if pdf_methods else []))).select("path", "content")
+    got = rich.mapInPandas(run, "path string, table_index int, data array<array<string>>, method string").where(is_valid(F.col("data")))
+    rest = found.join(got.select("path").distinct(), "path", "left_anti") if pdf_methods else found
+    lying = materialize(pdf.marks(rest, ("word", "rule")))
+    seen = layout.tables(lying.where("kind = 'word'"), lying.where("kind = 'rule'"))
+    return got.unionByName(seen, allowMissingColumns=True)
 
 
 def extract_all(found: DataFrame, pdf_methods: Sequence[tuple[str, TableMethod]] = ()) -> DataFrame:
