@@ -56,19 +56,16 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple
 
 
 def chunks_of(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[dict]:
-    """index, text, start and end, tokens. Blank chunks leave gaps in the index. `start` is searched from the end of the
-    chunk before, so that it drifts with overlap; `true_start` is where the chunk begins."""
+    """index, text, start and end, tokens. White space around a chunk is no part of it, and blank ones are none. `start` is
+    searched from the end of the chunk before, so that it drifts with overlap; `true_start` is where the chunk begins."""
     out, last, near = [], 0, 0
-    for i, raw in enumerate(split(text, size, overlap) if text.strip() else []):
-        chunk = raw.strip()
-        if not chunk:
-            continue
+    for i, chunk in enumerate(filter(None, map(str.strip, split(text, size, overlap) if text.strip() else []))):
         found = text.find(chunk, last)
         start = found if found >= 0 else last
         true = text.find(chunk, near)
         near = true + 1 if true >= 0 else near
         last = start + len(chunk)
-        out.append({"chunk_index": i, "chunk_text": chunk, "start_char_index": start, "end_char_index": last, "true_start": true, "token_count": max(1, len(raw) // 4)})
+        out.append({"chunk_index": i, "chunk_text": chunk, "start_char_index": start, "end_char_index": last, "true_start": true, "token_count": max(1, len(chunk) // 4)})
     return out
 
 

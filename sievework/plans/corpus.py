@@ -176,8 +176,11 @@ def orphan_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges before all of them are deleted, and after."""
     _, g = corpus(spark, sf_dir)
-    return graph.census(graph.Graph(lifecycle.delete_all({n: g.nodes[n] for n in ("Chunk", "Entity")}), lifecycle.delete_all({"MENTIONS": g.edges["MENTIONS"]})))
+    full = graph.Graph({n: g.nodes[n] for n in ("Chunk", "Entity")}, {"MENTIONS": g.edges["MENTIONS"]})
+    bare = graph.Graph(lifecycle.delete_all(full.nodes), lifecycle.delete_all(full.edges))
+    return graph.census(full).join(graph.census(bare).withColumnRenamed("n", "n_left"), ["kind", "name"])
 
 
 def topics_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +282,7 @@ UNION ALL SELECT 'edge', 'HAS_SECTION', count(DISTINCT section_id) FROM k UNION
 UNION ALL SELECT 'edge', 'MENTIONS', count(*) FROM km UNION ALL SELECT 'edge', 'RELATED_TO', count(*) FROM r WHERE src IN (SELECT dst FROM km) AND dst IN (SELECT dst FROM km) UNION ALL SELECT 'edge', 'HAS_TOPIC', count(*) FROM k""",
     "orphan_cleanup": f"""WITH {_C}, {_M}, {_R}, e AS (SELECT DISTINCT dst AS x FROM m), q AS (SELECT * FROM r WHERE src < 'r' AND dst < 'r')
 SELECT 'without edges' AS step, count(*) AS deleted FROM e WHERE x >= 'm' AND x NOT IN (SELECT src FROM q) UNION ALL SELECT 'not mentioned', count(*) FROM e WHERE x >= 'm' AND x IN (SELECT src FROM q) UNION ALL SELECT 'left', count(*) FROM e WHERE x < 'm'""",
-    "delete_everything": "SELECT * FROM (VALUES ('node', 'Chunk', 0::BIGINT), ('node', 'Entity', 0), ('edge', 'MENTIONS', 0)) AS v(kind, name, n)",
+    "delete_everything": f"WITH {_C}, {_M} SELECT 'node' AS kind, 'Chunk' AS name, count(*) AS n, 0::BIGINT AS n_left FROM c UNION ALL SELECT 'node', 'Entity', count(DISTINCT dst), 0 FROM m UNION ALL SELECT 'edge', 'MENTIONS', count(*), 0 FROM m",
     "topics_composed": rf"""WITH {_C}, {_M}, a AS (
   SELECT DISTINCT document_id, regexp_replace(regexp_replace(trim(section_title), '^\d+(\.\d+)*\s+', ''), '(?i)^(Chapter|Section|Part)\s+[IVX\d]+:?\s*', '') AS name FROM c WHERE trim(section_title) NOT IN ('', 'Document Content', 'Tables')),
 t0 AS (SELECT document_id, lower(trim(name)) AS n, min(name) AS name FROM a WHERE length(name) > 3 GROUP BY ALL),

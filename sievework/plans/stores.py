@@ -171,10 +171,23 @@ def blob_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores rebuilt, and what another set lacks."""
-    made = lifecycle.rebuild(spark, {"documents": schemas.DOCUMENTS, "vectors": schemas.VECTORS}, shared_folder(spark))
+    """Documents and vectors stored with their schemas, what another set lacks, and rows of each before and after a rebuild."""
+    folder = shared_folder(spark)
+    none = lambda *columns: [F.lit(None).cast(kind).alias(name) for name, kind in columns]
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), *none(("created_at", "timestamp"), ("updated_at", "timestamp")), F.col("source").alias("source_path"), F.concat("lang", F.lit(".txt")).alias("filename"), F.lit("txt").alias("document_type"), F.col("text").alias("extracted_text"), *none(("metadata", schemas.METADATA)))
+    near = read(spark, sf_dir, "embeddings").select(F.lit("text_chunks").alias("collection"), F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.col("embedding").cast("array<float>").alias("vector"), *none(("payload", schemas.METADATA)))
+    stored = {"documents": docs, "vectors": near}
+    for name, rows in stored.items():
+        rows.write.parquet(f"{folder}/{name}")
+    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in stored}
     asked = {"documents": schemas.DOCUMENTS.replace("filename string", "filename int"), "vectors": schemas.VECTORS, "chunks": schemas.CHUNKS}
-    return spark.createDataFrame([(x,) for x in lifecycle.verify(made, asked)], "problem string").crossJoin(made["documents"].agg(F.count("*").alias("rows")))
+    assert not lifecycle.verify(stored, {"documents": schemas.DOCUMENTS, "vectors": schemas.VECTORS})
+    wrong = spark.createDataFrame([(x, None) for x in lifecycle.verify(stored, asked)], "name string, rows long")
+    counted = lambda tables, when: [t.agg(F.count("*").alias("rows")).select(F.lit(f"{n} {when}").alias("name"), "rows") for n, t in tables.items()]
+    made = lifecycle.rebuild(spark, {"documents": schemas.DOCUMENTS, "vectors": schemas.VECTORS}, shared_folder(spark))
+    for part in counted(stored, "before") + counted(made, "after"):
+        wrong = wrong.unionByName(part)
+    return wrong
 
 
 # ---- texts, tables and files --------------------------------------------------------------------------------------
@@ -459,7 +472,7 @@ SELECT 'raw_documents/' || o_orderpriority || '/' || o_orderstatus || '/order.'
     "vector_delete": "SELECT label, count(*) AS n, 64 AS size FROM embeddings WHERE label NOT IN (1, 4) GROUP BY label",
     "blob_paths": """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'p/' || o_orderkey AS path FROM orders WHERE o_orderstatus = 'F'
 UNION SELECT CAST(l_orderkey AS VARCHAR), 'img/' || l_orderkey || '/' || (l_linenumber % 2) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_linenumber < 3""",
-    "schema_check": "SELECT * FROM (VALUES ('chunks: no table', 0::BIGINT), ('documents.filename: string, not int', 0)) AS v(problem, rows)",
+    "schema_check": "SELECT * FROM (VALUES ('chunks: no table', NULL::BIGINT), ('documents.filename: string, not int', NULL), ('documents after', 0), ('vectors after', 0)) AS v(name, rows) UNION ALL SELECT 'documents before', count(*) FROM documents UNION ALL SELECT 'vectors before', count(*) FROM embeddings",
     "chunk_statistics": """WITH c AS (SELECT text, greatest(1, length(text) // 4) AS t FROM documents)
 SELECT count(*) AS total_chunks, CAST(sum(t) AS BIGINT) AS total_tokens, CAST(sum(t) // count(*) AS BIGINT) AS avg_tokens, CAST(min(t) AS INTEGER) AS min_tokens, CAST(max(t) AS INTEGER) AS max_tokens, CAST(sum(length(text)) AS BIGINT) AS total_characters FROM c""",
     "chunk_function": f"SELECT doc_id, md5({_NORMAL}) AS chunk_md5, CAST(greatest(1, length({_NORMAL}) // 4) AS INTEGER) AS tokens FROM documents WHERE length({_NORMAL}) BETWEEN 1 AND 3199",

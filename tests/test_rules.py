@@ -178,6 +178,54 @@ def test_chunks_cover_text(value, size):
     assert at == len(value)
 
 
+def splitter(text, size, overlap, separators=chunking.SEPARATORS):
+    """The rules of the splitter by places in the text: the strongest separator that occurs cuts, parts that are too long
+    are cut by weaker ones, the others are gathered, and what the overlap leaves of a chunk begins the next."""
+    out, waiting = [], []
+
+    def gather():
+        first = 0
+        for i in range(len(waiting) + 1):
+            if i == len(waiting) or waiting[i][1] - waiting[first][0] > size and i > first:
+                if i > first:
+                    out.append((waiting[first][0], waiting[i - 1][1]))
+                while i < len(waiting) and first < i and (waiting[i - 1][1] - waiting[first][0] > overlap or waiting[i][1] - waiting[first][0] > size):
+                    first += 1
+        waiting.clear()
+
+    def cut(a, b, weight):
+        nonlocal waiting
+        level = next(i for i in range(weight, len(separators)) if separators[i] in text[a:b])
+        mark = separators[level]
+        places, at = [a], text.find(mark, a, b) if mark else a + 1
+        while a <= at < b:
+            if at > a:
+                places.append(at)
+            at = text.find(mark, at + len(mark), b) if mark else at + 1
+        outer, waiting = waiting, []
+        for x, y in zip(places, [*places[1:], b]):
+            if y - x < size:
+                waiting.append((x, y))
+            else:
+                gather()
+                cut(x, y, level + 1)
+        gather()
+        waiting = outer
+
+    cut(0, len(text), 0)
+    return [c for x, y in out if (c := text[x:y].strip())]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab .\n!?;,é", max_size=400), st.integers(20, 60), st.integers(0, 15))
+def test_chunks_equal_the_splitter(value, size, overlap):
+    text = chunking.plain(value)
+    got = chunking.chunks_of(text, size, overlap)
+    assert [c["chunk_text"] for c in got] == (splitter(text, size, overlap) if text else [])
+    assert [c["chunk_index"] for c in got] == list(range(len(got)))
+    assert all(c["token_count"] == max(1, len(c["chunk_text"]) // 4) for c in got)
+
+
 def test_chunking_of_blank_and_null(spark):
     df = spark.createDataFrame([(1, None), (2, "  \n "), (3, "x y")], "doc_id long, text string")
     assert [(r["doc_id"], r["chunk_text"]) for r in chunking.chunk(df).collect()] == [(3, "x y")]
