@@ -155,8 +155,10 @@ def by_entity_mention(mention: DataFrame, entities: DataFrame, queries: DataFram
 
 
 def by_entity(mention: DataFrame, entities: DataFrame, names: DataFrame) -> DataFrame:
-    """query_id, chunk_id, importance of chunks that mention the entity of an exact name (case matters)."""
-    named = entities.select(F.col("normalized_name").alias("dst"), "entity_name").join(names, "entity_name")
+    """query_id, chunk_id, importance of chunks that mention the entity of an exact name (case matters). A name that many
+    entities bear is one: each mention of it is returned once for a query."""
+    asked = names.select("query_id", "entity_name").distinct()
+    named = entities.select(F.col("normalized_name").alias("dst"), "entity_name").join(asked, "entity_name").select("query_id", "dst").distinct()
     return mention.join(named, "dst").select("query_id", F.col("src").alias("chunk_id"), "importance")
 
 
