@@ -14,9 +14,13 @@ last: a write that is cut off changes nothing, and readers of an earlier version
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,12 +39,80 @@ COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, dl, terms (term, tf) of each document, counted within the row; of rows that share an id the greatest text
-    counts, and rows without an id do not."""
+    counts, and rows without an id do not. Words of a batch are numbered in their order and counted as numbers."""
     one = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    rows = one.select("id", F.array_sort(tokens(F.col("text"))).alias("t")).select("id", "t", F.size("t").alias("dl"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    rows = rows.select("id", "dl", "t", F.when(F.col("dl") > 0, starts).otherwise(F.array().cast("array<int>")).alias("s"))
-    return rows.select("id", "dl", F.transform("s", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.col("dl")) - i).alias("tf"))).alias("terms"))
+    rows = one.select("id", tokens(F.col("text")).alias("t"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column("t")
+            words, code = _numbered(t.flatten())
+            row = pc.list_parent_indices(t).to_numpy(zero_copy_only=False)
+            pair, tf = np.unique(row * max(1, len(words)) + code, return_counts=True)
+            row, code = np.divmod(pair, max(1, len(words)))
+            starts = np.searchsorted(row, np.arange(len(t) + 1))
+            terms = pa.StructArray.from_arrays([words.take(pa.array(code)), pa.array(tf, pa.int32())], ["term", "tf"])
+            dl = pc.list_value_length(t).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), dl, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), terms)], ["id", "dl", "terms"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(count, f"id {kind}, dl int, terms array<struct<term: string, tf: int>>")
+
+
+def _numbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words in their order, and the place of each word among them."""
+    held = words.dictionary_encode()
+    order = pc.sort_indices(held.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return held.dictionary.take(pa.array(order)), place[held.indices.to_numpy(zero_copy_only=False)]
+
+
+def block_lists(docs: DataFrame) -> DataFrame:
+    """term, block, ids, tfs, dls (in the order of ids): a term's documents of each block. Documents
+    of a block follow each other, so that lists are made where they are read; a block whose rows two tasks read (a file
+    that is cut) has two lists of a term, which is right for searches and counts."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = batch.column("block")
+            last = pc.index(block, block[-1]).as_py() if len(batch) else 0  # the last block may go on
+            if last or (held and len(batch) and held[-1].column("block")[-1] != block[0]):
+                yield from listed([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        yield from listed(held)
+
+    def listed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if not rows:
+            return
+        terms = rows.column("terms").combine_chunks()
+        flat = terms.flatten()
+        if not len(flat):
+            return
+        row = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)
+        words, code = _numbered(flat.field("term"))
+        block = rows.column("block").to_numpy()
+        rank = np.empty(len(rows), np.int64)
+        rank[pc.sort_indices(rows.column("id")).to_numpy()] = np.arange(len(rows))
+        number = np.unique(block, return_inverse=True)[1]
+        key = number[row] * len(words) + code
+        order = np.lexsort((rank[row], key))
+        key, row = key[order], row[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        tf, dl = flat.field("tf").to_numpy(zero_copy_only=False)[order], rows.column("dl").to_numpy()[row]
+        ends = pa.array(np.r_[starts, len(key)], pa.int32())
+        each = lambda values: pa.ListArray.from_arrays(ends, values)
+        ids = rows.column("id").combine_chunks().take(pa.array(row))
+        yield pa.RecordBatch.from_arrays(
+            [words.take(pa.array(code[order][starts])), pa.array(block[row[starts]]), each(ids), each(pa.array(tf, pa.int32())), each(pa.array(dl, pa.int32()))],
+            ["term", "block", "ids", "tfs", "dls"],
+        )
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "dl", "block", "terms").mapInArrow(lists, f"term string, block long, ids array<{kind}>, tfs array<int>, dls array<int>")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -120,16 +192,16 @@ class Segments:
         base = f"{self.path}/segments/{name}"
         # Blocks are cut within partitions, where documents stand by length; nothing is moved for them.
         placed = counts.sortWithinPartitions("dl", "id").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
-        placed.write.parquet(f"{base}/docs")
+        placed.write.option("compression", "zstd").parquet(f"{base}/docs")
         docs = self.spark.read.parquet(f"{base}/docs")
         n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         buckets, salts = min(BUCKETS, 1 + total // BUCKET), 1 + n // SALTED
-        words = docs.select("id", "dl", "block", F.explode("terms").alias("t")).select("id", "dl", "block", "t.term", "t.tf")
-        words = words.withColumns({"bucket": bucket_of(F.col("term"), buckets), "salt": F.pmod(F.xxhash64("block"), F.lit(salts))})
-        # The exchange by bucket and salt serves the grouping too.
-        held = words.repartition(min(2000, buckets * salts), "bucket", "salt").groupBy("bucket", "salt", "term", "block")
-        lists = held.agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("docs"), F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
-        lists.drop("salt").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{base}/postings")
+        lists = block_lists(docs).withColumns({"bucket": bucket_of(F.col("term"), buckets), "salt": F.pmod(F.xxhash64("block"), F.lit(salts))})
+        # Lists of numbers are moved; they become documents where they are written.
+        moved = lists.repartition(min(2000, buckets * salts), "bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "block")
+        zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")).alias("docs")
+        sums = F.size("ids").cast("long").alias("n"), F.array_max("tfs").alias("most_tf"), F.array_min("dls").alias("least_dl")
+        moved.select("term", "block", zipped, *sums, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
         lists = self.spark.read.parquet(f"{base}/postings") if n and total else self.spark.createDataFrame([], "bucket int, term string, n long")
         lists.groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.parquet(f"{base}/terms")
         return {"kind": "segment", "name": name, "segment": name, "buckets": buckets, "n": n, "total": total}
@@ -140,7 +212,7 @@ class Segments:
             return []
         name = uuid.uuid4().hex
         base = f"{self.path}/gone/{name}"
-        self._live().join(ids, "id", "left_semi").write.parquet(f"{base}/docs")
+        self._live().join(ids, "id", "left_semi").write.option("compression", "zstd").parquet(f"{base}/docs")
         lost = self.spark.read.parquet(f"{base}/docs")
         lost.select("segment", F.explode("terms.term").alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df")).write.parquet(f"{base}/terms")
         sums = lost.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()  # one for each segment
