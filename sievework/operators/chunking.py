@@ -73,6 +73,17 @@ CHUNK = "array<struct<chunk_index:int,chunk_text:string,start_char_index:int,end
 _ARROW = pa.list_(pa.struct([("chunk_index", pa.int32()), ("chunk_text", pa.string()), ("start_char_index", pa.int32()), ("end_char_index", pa.int32()), ("true_start", pa.int32()), ("token_count", pa.int32())]))
 
 
+#: Texts whose chunks a worker holds at a time.
+HELD = 64
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most HELD."""
+    for b in batches:
+        for i in range(0, len(b), HELD):
+            yield b.slice(i, HELD)
+
+
 def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """A row for each chunk of the normalised text: key and the fields of chunks_of(). Texts that fit one chunk never
     leave the JVM."""
@@ -82,7 +93,7 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     short = rows.where((F.length("_t") < size) & (F.col("_t") != "")).select(key, whole.alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([chunks_of(t, size, overlap) for t in b.column("_t").to_pylist()], _ARROW)], [key, "cs"])
 
     long = rows.where(F.length("_t") >= size).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, cs {CHUNK}").select(key, F.explode("cs").alias("c"))
