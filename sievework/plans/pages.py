@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.operators.chunking import sliced
 from sievework.plans.common import read
 from sievework.sources import files, rich
 
@@ -46,21 +47,21 @@ def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for every 40 customers: pages with a table of 20, ruled in every other file, and two pictures, of which the
     one that is listed first is not drawn; and one that is no PDF file."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
             out = []
-            for key, rows in frame.itertuples(index=False):
+            for key, rows in zip(batch.column("key").to_pylist(), batch.column("rows").to_pylist()):
                 cells = [["Key", "Full name", "Owns"], *([r["key"], r["name"], r["owns"]] for r in rows)]
                 pages = [_page(f"Customers of part {key}", [cells[0], *cells[i : i + PAGE]], key % 2 == 0) for i in range(1, len(cells), PAGE)]
                 pages[0] += f"\nq 100 0 0 50.128 {key % 7} 20 cm /Last Do Q q 10 0 0 10 0 0 cm /Last Do Q"
                 out.append((f"in/{key}.pdf", pdf_file(pages, [("First", 300, 300), ("Last", 100 * (key % 30 + 1), 600)], f"part {key}")))
-            yield pd.DataFrame(out, columns=["path", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["path", "content"])
 
     row = F.struct(F.col("c_custkey").cast("string").alias("key"), F.concat("c_name", F.lit(" of "), F.col("c_nationkey").cast("string")).alias("name"), F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal").cast("string")).otherwise("").alias("owns"))
     told = read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / FILE).cast("long").alias("key"))
     rows = told.agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
     broken = spark.createDataFrame([("in/broken.pdf", bytearray(b"no pages"))], "path string, content binary")
-    return rows.mapInPandas(run, "path string, content binary").unionByName(broken)
+    return rows.mapInArrow(run, "path string, content binary").unionByName(broken)
 
 
 def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

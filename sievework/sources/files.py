@@ -119,6 +119,10 @@ def pdf_text(data: bytes) -> tuple[str, int, dict[str, str]]:
 EXTRACTED = "path string, file_type string, text string, page_count int, tables array<array<array<string>>>, error string, metadata map<string,string>"
 
 
+#: Files whose texts a worker holds at a time.
+HELD = 64
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Text and tables of files (path, content): plain text in the JVM, word-processor and PDF files in Python. A file
     that cannot be read has its error and no text; the others are unaffected."""
@@ -128,9 +132,9 @@ def extract(files: DataFrame) -> DataFrame:
     bad = rows.where("file_type IS NULL").select("path", "file_type", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("page_count"), none.alias("tables"), F.lit("unsupported file type").alias("error"), F.lit(None).cast("map<string,string>").alias("metadata"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for part in (frame[i : i + HELD] for frame in frames for i in range(0, len(frame), HELD)):
             out = []
-            for path, kind, content in frame.itertuples(index=False):
+            for path, kind, content in part.itertuples(index=False):
                 try:
                     if kind == "docx":
                         text, tables = docx_parts(content)
