@@ -134,11 +134,13 @@ def by_section_title(chunks: DataFrame, queries: DataFrame, score: float = 0.9)
 def by_content(chunks: DataFrame, queries: DataFrame, content: str = "content", index: grams.Grams | None = None) -> DataFrame:
     """Chunks that contain any keyword: (matches + a tenth of all occurrences) / number of keywords; may exceed 1.
     With a trigram index of the chunks, only its candidates are read; else keywords of the whole batch are tested in one
-    scan."""
+    scan. Candidates get their keywords before texts are joined, so that no text goes by its question."""
     low = chunks.withColumn("_low", F.lower(content))
     asked = _lower(queries)
     if index is not None:
-        rows = low.join(grams.containing(index, chunks, asked), "chunk_id").join(asked, "query_id")
+        few = asked.limit(SENT + 1).count() <= SENT
+        held = grams.containing(index, chunks, asked).join(F.broadcast(asked) if few else asked, "query_id")
+        rows = low.join(held, "chunk_id").select("query_id", *low.columns, "keywords")
     else:
         rows = meeting(low, asked, F.exists("keywords", lambda w: F.col("_low").contains(w)))
     rows = rows.withColumn("_hit", F.filter("keywords", lambda w: F.col("_low").contains(w))).where(F.size("_hit") > 0)
