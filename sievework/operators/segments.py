@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,18 +30,23 @@ from sievework.functions.text import tokens
 from sievework.operators.bm25 import B, K1, asked_terms
 from sievework.session import materialize
 
-#: Documents of a block, tokens of a bucket, most buckets, documents for each salt of a bucket.
-BLOCK, BUCKET, BUCKETS, SALTED = 128, 250_000, 4096, 1_000_000
+#: Documents of a block, tokens of a bucket, most buckets, documents for each salt of a bucket, characters and tokens of a task.
+BLOCK, BUCKET, BUCKETS, SALTED, CHARS, TOKENS = 128, 250_000, 4096, 1_000_000, 8 << 20, 1_500_000
 #: Segments from which an upsert merges the smaller half, question terms that are named to the scan, blocks scored first.
 SEGMENTS, NAMED, FIRST = 10, 2000, 16
+#: Ids of gone documents that are sent to every task at most.
+SENT = 500_000
 MANIFEST = "version long, kind string, name string, segment string, buckets int, n long, total long"
 COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, dl, terms (term, tf) of each document, counted within the row; of rows that share an id the greatest text
-    counts, and rows without an id do not. Words of a batch are numbered in their order and counted as numbers."""
-    one = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    counts, and rows without an id do not. Words of a batch are numbered in their order and counted as numbers. Texts are
+    dealt by id, about CHARS to a task."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    dealt = docs.where(F.col(key).isNotNull()).select(F.col(key), F.col(text)).repartition(1 + size // CHARS, key)
+    one = dealt.groupBy(F.col(key).alias("id")).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     rows = one.select("id", tokens(F.col("text")).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +121,18 @@ def block_lists(docs: DataFrame) -> DataFrame:
     return docs.select("id", "dl", "block", "terms").mapInArrow(lists, f"term string, block long, ids array<{kind}>, tfs array<int>, dls array<int>")
 
 
+@contextmanager
+def _file_by_file(spark: SparkSession) -> Iterator[None]:
+    """Scans that run meanwhile read one file in a task, as it was written, and pack none together."""
+    key, most = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, spark.conf.get(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -178,15 +196,20 @@ class Segments:
         names = names or [r["name"] for r in self.segments]
         if not names:
             return self
-        fresh = self._segment(self.documents(names))
+        fresh = self._segment(self._dealt(names))
         return self._publish([*(r for r in self.rows if r["segment"] not in names and r["name"] not in names), fresh])
 
     def copy(self, path: str) -> Segments:
         """The documents of this version as one segment at another path."""
         other = Segments.open(self.spark, path)
-        fresh = other._segment(self.documents())
+        fresh = other._segment(self._dealt())
         return other._publish([fresh])
 
+    def _dealt(self, names: list[str] | None = None) -> DataFrame:
+        """documents(names), about TOKENS to a task."""
+        total = sum(r["total"] for r in self.segments if names is None or r["name"] in names)
+        return self.documents(names).repartition(1 + total // TOKENS, "id")
+
     def _segment(self, counts: DataFrame) -> dict:
         name = uuid.uuid4().hex
         base = f"{self.path}/segments/{name}"
@@ -201,7 +224,8 @@ class Segments:
         moved = lists.repartition(min(2000, buckets * salts), "bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "block")
         zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")).alias("docs")
         sums = F.size("ids").cast("long").alias("n"), F.array_max("tfs").alias("most_tf"), F.array_min("dls").alias("least_dl")
-        moved.select("term", "block", zipped, *sums, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
+        with _file_by_file(self.spark):  # a task's lists take many times the bytes of its files
+            moved.select("term", "block", zipped, *sums, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
         lists = self.spark.read.parquet(f"{base}/postings") if n and total else self.spark.createDataFrame([], "bucket int, term string, n long")
         lists.groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.parquet(f"{base}/terms")
         return {"kind": "segment", "name": name, "segment": name, "buckets": buckets, "n": n, "total": total}
@@ -212,7 +236,10 @@ class Segments:
             return []
         name = uuid.uuid4().hex
         base = f"{self.path}/gone/{name}"
-        self._live().join(ids, "id", "left_semi").write.option("compression", "zstd").parquet(f"{base}/docs")
+        live, few = self._live(), ids.limit(SENT + 1).count() <= SENT
+        # Rows have all their terms: few ids are sent to them, for more they are dealt like those of a new segment.
+        live = live if few else live.repartition(1 + sum(r["total"] for r in self.segments) // TOKENS, "id")
+        live.join(F.broadcast(ids) if few else ids, "id", "left_semi").write.option("compression", "zstd").parquet(f"{base}/docs")
         lost = self.spark.read.parquet(f"{base}/docs")
         lost.select("segment", F.explode("terms.term").alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df")).write.parquet(f"{base}/terms")
         sums = lost.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()  # one for each segment
