@@ -57,3 +57,18 @@ def test_pipeline_of_nothing_and_odd_rows(spark):
         for _, stage in p.STAGES:
             rows = materialize(stage(spark, rows, SF_DIR))
         rows.count()
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_give_back_memory_first(monkeypatch, at):
+    """The pipeline's heaps grew from stage to stage, beside workers, beyond an executor's memory."""
+
+    class Released(Exception):
+        pass
+
+    def release(spark):
+        raise Released
+
+    monkeypatch.setattr(p, "release", release)
+    with pytest.raises(Released):
+        p.STAGES[at][1](None, None, SF_DIR)
