@@ -13,6 +13,8 @@ from sievework.streaming import counters, telemetry
 
 #: Bucket bounds of the quantile query.
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
+#: Rows of a file of events that arrive.
+ARRIVING = 500_000
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,41 +98,45 @@ def correlation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w
 
 
-def _arriving(spark: SparkSession, sf_dir: str, files: int = 4) -> tuple[str, StructType]:
-    """A folder of events that arrive in falling order of time, in files."""
+def _arriving(spark: SparkSession, sf_dir: str, parts: int = 4) -> tuple[str, StructType, int]:
+    """A folder of events that arrive in falling order of time, in parts of as many files as make about ARRIVING rows each."""
     folder = f"{shared_folder(spark)}/arriving"
     events = _events(spark, sf_dir)
-    first, last = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()
-    part = F.least(F.lit(files - 1), F.floor(files * (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) / F.lit(max(1, last - first))))
-    for i in reversed(range(files)):
-        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return folder, events.schema
+    first, last, n = events.agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))), F.unix_micros(F.max(F.col("ts").cast("timestamp"))), F.count("*")).first()
+    part = F.least(F.lit(parts - 1), F.floor(parts * (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) / F.lit(max(1, last - first))))
+    files = 1 + n // (parts * ARRIVING)
+    for i in reversed(range(parts)):
+        rows = events.where(part == i)
+        # By hour, so that a file has whole hours; one file needs no shuffle.
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files, F.date_trunc("hour", "ts"))
+        rows.write.mode("append").parquet(folder)
+    return folder, events.schema, files
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """count_over_time as a stream of files that arrive in falling order of time: batches are counted by themselves, and
     their counts add up."""
-    source, schema = _arriving(spark, sf_dir)
+    source, schema, files = _arriving(spark, sf_dir)
     folder = shared_folder(spark)
     counts = lambda events: telemetry.over_time(events, "5 minutes", F.count("*").alias("n"), by=("event_type",))
-    counters.by_batch(telemetry.stream(spark, source, schema), f"{folder}/table", f"{folder}/checkpoint", counts).awaitTermination()
+    counters.by_batch(telemetry.stream(spark, source, schema, files), f"{folder}/table", f"{folder}/checkpoint", counts).awaitTermination()
     every = spark.read.parquet(f"{folder}/table")
     return every.groupBy(_start(every), "event_type").agg(F.sum("n").alias("n"))
 
 
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rate_5m as a stream of files that arrive in falling order of time."""
-    source, schema = _arriving(spark, sf_dir)
-    return streamed_rate(spark, source, schema, shared_folder(spark))
+    source, schema, files = _arriving(spark, sf_dir)
+    return streamed_rate(spark, source, schema, shared_folder(spark), files)
 
 
-def streamed_rate(spark: SparkSession, source: str, schema: StructType, folder: str) -> DataFrame:
+def streamed_rate(spark: SparkSession, source: str, schema: StructType, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """The rates of what has arrived in source so far; called again with the same folder, it goes on where it was."""
     before = {k: spark.conf.get(k, None) for k in counters.ROCKS}
     for key, value in counters.ROCKS.items():
         spark.conf.set(key, value)
     try:
-        deltas = counters.steps(telemetry.stream(spark, source, schema), "event_type", "event_id")
+        deltas = counters.steps(telemetry.stream(spark, source, schema, files_per_trigger), "event_type", "event_id")
         rates = lambda rows: telemetry.over_time(rows.withColumn("ts", F.timestamp_micros("at")), "5 minutes", F.sum("delta").alias("increase"), slide="1 minute", by=("series",))
         counters.by_batch(deltas, f"{folder}/table", f"{folder}/checkpoint", rates).awaitTermination()
     finally:
