@@ -1,13 +1,15 @@
 """A stored inverted index in segments, with upserts, deletes, merges and top-k search that skips blocks.
 
-A segment is written once. It has `docs` (id, dl, block, terms with their counts), `postings` (a row for each term and
-block: its documents, the greatest count and the least length among them) and `terms` (df). A block is BLOCK documents of
-like length of one segment, the same for all its terms, so that what a block can score at most is a sum over the asked
-terms, and a frequent term is many rows that lie in many files (bucket by term, and salt by block).
-
-An upsert writes a segment of the new documents alone and notes which ones they replace (`gone`: by segment, with the
-terms that they take along), so that it writes about as much as it is given. A merge rewrites some segments as one without
-what is gone. Which segments and notes hold is said by the rows of the latest version in `manifest`, which are written
+A segment is written once. It has `docs` (id, dl, place, block, terms with their counts), `postings` (a row for each term
+and block: its documents, the greatest count and the least length among them) and `terms` (df, in one or more rows of a
+term, which add up). A block is BLOCK documents of like length of one segment, the same for all its terms, so that what a
+block can score at most is a sum over the asked terms, and a frequent term is many rows that lie in many files (bucket by
+term, and salt by the task that wrote the block).
+
+An upsert writes a segment of the new documents alone and notes which ones they replace (`gone`: segment, place, id and dl
+of them, and the counts of terms that they take along), so that it writes about as much as it is given. A merge rewrites
+some segments as one without what is gone; documents with their terms are read file by file and told apart by their places,
+and are not shuffled. Which segments and notes hold is said by the rows of the latest version in `manifest`, which are written
 last: a write that is cut off changes nothing, and readers of an earlier version stay whole. There is one writer at a time.
 """
 
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,9 +34,11 @@ from sievework.session import materialize
 
 #: Documents of a block, tokens of a bucket, most buckets, documents for each salt of a bucket, characters and tokens of a task.
 BLOCK, BUCKET, BUCKETS, SALTED, CHARS, TOKENS = 128, 250_000, 4096, 1_000_000, 8 << 20, 1_500_000
+#: Tokens of a task that writes lists, documents of a task that looks for ids, bytes of a merged segment's documents in a task.
+LISTED, DEALT, SCANNED = 500_000, 1_000_000, 4 << 20
 #: Segments from which an upsert merges the smaller half, question terms that are named to the scan, blocks scored first.
 SEGMENTS, NAMED, FIRST = 10, 2000, 16
-#: Ids of gone documents that are sent to every task at most.
+#: Ids of gone documents, or words of 64 marks at their places, that are sent to every task at most.
 SENT = 500_000
 MANIFEST = "version long, kind string, name string, segment string, buckets int, n long, total long"
 COLUMNS = [c.split()[0] for c in MANIFEST.split(", ")]
@@ -74,63 +78,163 @@ def _numbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return held.dictionary.take(pa.array(order)), place[held.indices.to_numpy(zero_copy_only=False)]
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of whole blocks, of about TOKENS tokens or a batch. Documents of a block follow each other."""
+    held: list[pa.RecordBatch] = []
+    tokens_held = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        block = batch.column("block")
+        last = pc.index(block, block[-1]).as_py()  # the last block may go on
+        tokens_held += pc.sum(batch.column("dl")).as_py()
+        if tokens_held >= TOKENS and (last or (held and held[-1].column("block")[-1] != block[0])):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held, batch = [], batch.slice(last)
+            tokens_held = pc.sum(batch.column("dl")).as_py()
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+@dataclass(frozen=True)
+class _Lists:
+    """Lists of terms and blocks in the order of salts, buckets, terms and blocks: each one's word (a place in words),
+    salt, block and first posting, and the postings' ids, tfs and dls in the order of ids."""
+
+    words: pa.Array
+    buckets: np.ndarray  # of words
+    word: np.ndarray
+    salt: np.ndarray
+    block: np.ndarray
+    starts: np.ndarray
+    ids: pa.Array
+    tfs: np.ndarray
+    dls: np.ndarray
+
+
+def _listed(rows: pa.Table, salts: int = 1) -> _Lists:
+    """Lists of rows (id, dl, block, terms and, if they count, the buckets of terms)."""
+    terms = rows.column("terms").combine_chunks()
+    flat = terms.flatten()
+    row = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)
+    words, code = _numbered(flat.field("term"))
+    buckets = np.zeros(len(words), np.int32)
+    if "buckets" in rows.column_names:
+        buckets[code] = rows.column("buckets").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(buckets, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    words, buckets, code = words.take(pa.array(order)), buckets[order], place[code]
+    block = rows.column("block").to_numpy()
+    each, number = np.unique(block, return_inverse=True)
+    salt = (block * BLOCK >> 33) % salts  # blocks of a partition go together
+    rank = np.empty(len(rows), np.int64)
+    rank[pc.sort_indices(rows.column("id")).to_numpy()] = np.arange(len(rows))
+    key = (salt[row] * max(1, len(words)) + code) * len(each) + number[row]
+    order = np.lexsort((rank[row], key))
+    key, row = key[order], row[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    ids = rows.column("id").combine_chunks().take(pa.array(row))
+    tfs, dls = flat.field("tf").to_numpy(zero_copy_only=False)[order], rows.column("dl").to_numpy()[row]
+    return _Lists(words, buckets, code[order][starts], salt[row[starts]], block[row[starts]], starts, ids, tfs.astype(np.int32), dls.astype(np.int32))
+
+
 def block_lists(docs: DataFrame) -> DataFrame:
     """term, block, ids, tfs, dls (in the order of ids): a term's documents of each block. Documents
     of a block follow each other, so that lists are made where they are read; a block whose rows two tasks read (a file
     that is cut) has two lists of a term, which is right for searches and counts."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            block = batch.column("block")
-            last = pc.index(block, block[-1]).as_py() if len(batch) else 0  # the last block may go on
-            if last or (held and len(batch) and held[-1].column("block")[-1] != block[0]):
-                yield from listed([*held, batch.slice(0, last)])
-                held = []
-            held.append(batch.slice(last))
-        yield from listed(held)
-
-    def listed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(parts).combine_chunks() if parts else None
-        if not rows:
-            return
-        terms = rows.column("terms").combine_chunks()
-        flat = terms.flatten()
-        if not len(flat):
-            return
-        row = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)
-        words, code = _numbered(flat.field("term"))
-        block = rows.column("block").to_numpy()
-        rank = np.empty(len(rows), np.int64)
-        rank[pc.sort_indices(rows.column("id")).to_numpy()] = np.arange(len(rows))
-        number = np.unique(block, return_inverse=True)[1]
-        key = number[row] * len(words) + code
-        order = np.lexsort((rank[row], key))
-        key, row = key[order], row[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        tf, dl = flat.field("tf").to_numpy(zero_copy_only=False)[order], rows.column("dl").to_numpy()[row]
-        ends = pa.array(np.r_[starts, len(key)], pa.int32())
-        each = lambda values: pa.ListArray.from_arrays(ends, values)
-        ids = rows.column("id").combine_chunks().take(pa.array(row))
-        yield pa.RecordBatch.from_arrays(
-            [words.take(pa.array(code[order][starts])), pa.array(block[row[starts]]), each(ids), each(pa.array(tf, pa.int32())), each(pa.array(dl, pa.int32()))],
-            ["term", "block", "ids", "tfs", "dls"],
-        )
+        for rows in _whole_blocks(batches):
+            told = _listed(rows)
+            ends = pa.array(np.r_[told.starts, len(told.ids)], pa.int32())
+            held = (pa.ListArray.from_arrays(ends, values) for values in (told.ids, pa.array(told.tfs), pa.array(told.dls)))
+            yield pa.RecordBatch.from_arrays([told.words.take(pa.array(told.word)), pa.array(told.block), *held], ["term", "block", "ids", "tfs", "dls"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "dl", "block", "terms").mapInArrow(lists, f"term string, block long, ids array<{kind}>, tfs array<int>, dls array<int>")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on, which are much alike."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def dealt_lists(docs: DataFrame, buckets: int, salts: int, tasks: int) -> DataFrame:
+    """term, block, docs (id, tf, dl in the order of ids), n, most_tf, least_dl, bucket: the lists of blocks, dealt by
+    salt and bucket to about that many tasks. What a task sends to another is one row of bytes."""
+    groups = min(buckets, -(-tasks // salts))  # of buckets that go together
+    kind = docs.select("id").limit(0).toArrow().schema.field("id").type
+    number = kind.to_pandas_dtype() if pa.types.is_integer(kind) else None
+    sent = pa.schema([("term", pa.list_(pa.string())), ("id", pa.binary() if number else pa.list_(kind)), *((c, pa.binary()) for c in ("bucket", "lists", "block", "n", "tf", "dl"))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_blocks(batches):
+            told = _listed(rows, salts)
+            part = told.salt * groups + told.buckets[told.word].astype(np.int64) * groups // buckets
+            ends = np.r_[told.starts, len(told.ids)]
+            cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                first, last = ends[low], ends[high]
+                heads = np.flatnonzero(np.r_[True, told.word[low + 1 : high] != told.word[low : high - 1]])
+                words = told.word[low:high][heads]
+                ids = told.ids.slice(first, last - first)
+                numbers = told.buckets[words], np.diff(np.r_[heads, high - low]).astype(np.int32), told.block[low:high], np.diff(ends[low : high + 1]).astype(np.int32), told.tfs[first:last], told.dls[first:last]
+                columns = [
+                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), told.words.take(pa.array(words))),
+                    pa.array([_planes(ids.to_numpy(zero_copy_only=False))]) if number else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    *(pa.array([_planes(n)]) for n in numbers),
+                ]
+                data = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, sent)], schema=sent).serialize()
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part[low]], pa.int32()), "size": pa.array([data.size]), "packed": [pa.compress(data, codec="zstd", asbytes=True)]})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, packed in zip(batch.column("size").to_pylist(), batch.column("packed").to_pylist()):
+                row = pa.ipc.read_record_batch(pa.decompress(packed, decompressed_size=size, codec="zstd"), sent)
+                of = lambda c, kind=np.int32: _numbers(row.column(c)[0].as_py(), kind)  # noqa: B023, E731
+                n, tf, dl, lists = of("n"), of("tf"), of("dl"), of("lists")
+                starts = np.r_[0, np.cumsum(n)]
+                word = np.repeat(np.arange(len(lists)), lists)
+                ids = pa.array(of("id", number), kind) if number else row.column("id").flatten()
+                held = pa.StructArray.from_arrays([ids, pa.array(tf), pa.array(dl)], ["id", "tf", "dl"])
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("term").flatten().take(pa.array(word)), pa.array(of("block", np.int64)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), held), pa.array(n, pa.int64()), pa.array(np.maximum.reduceat(tf, starts[:-1])), pa.array(np.minimum.reduceat(dl, starts[:-1])), pa.array(of("bucket")[word])],
+                    ["term", "block", "docs", "n", "most_tf", "least_dl", "bucket"],
+                )
+
+    rows = docs.select("id", "dl", "block", "terms", F.transform("terms.term", lambda t: bucket_of(t, buckets)).alias("buckets"))
+    moved = rows.mapInArrow(pack, "part int, size long, packed binary").repartitionById(groups * salts, "part")
+    told = f"array<struct<id: {docs.schema['id'].dataType.simpleString()}, tf: int, dl: int>>"
+    return moved.mapInArrow(unpack, f"term string, block long, docs {told}, n long, most_tf int, least_dl int, bucket int")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """df of the terms of each batch."""
+    for batch in batches:
+        sums = pa.Table.from_batches([batch]).group_by(["bucket", "term"]).aggregate([("n", "sum")])
+        yield from sums.rename_columns({"n_sum": "df"}).select(["bucket", "term", "df"]).combine_chunks().to_batches()
+
+
 @contextmanager
-def _file_by_file(spark: SparkSession) -> Iterator[None]:
-    """Scans that run meanwhile read one file in a task, as it was written, and pack none together."""
-    key, most = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, spark.conf.get(most))
+def _scans(spark: SparkSession, most: int | None = None) -> Iterator[None]:
+    """Scans that run meanwhile read about `most` bytes in a task; without it one file, as it was written, and pack none
+    together."""
+    size, cost, least = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
+    told = {size: str(most), cost: str(most // 64), least: "1"} if most else {cost: spark.conf.get(size)}
+    before = {key: spark.conf.get(key, None) for key in told}
+    for key, value in told.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -196,38 +300,31 @@ class Segments:
         names = names or [r["name"] for r in self.segments]
         if not names:
             return self
-        fresh = self._segment(self._dealt(names))
+        fresh = self._segment(self.documents(names), SCANNED)
         return self._publish([*(r for r in self.rows if r["segment"] not in names and r["name"] not in names), fresh])
 
     def copy(self, path: str) -> Segments:
         """The documents of this version as one segment at another path."""
         other = Segments.open(self.spark, path)
-        fresh = other._segment(self._dealt())
+        fresh = other._segment(self.documents(), SCANNED)
         return other._publish([fresh])
 
-    def _dealt(self, names: list[str] | None = None) -> DataFrame:
-        """documents(names), about TOKENS to a task."""
-        total = sum(r["total"] for r in self.segments if names is None or r["name"] in names)
-        return self.documents(names).repartition(1 + total // TOKENS, "id")
-
-    def _segment(self, counts: DataFrame) -> dict:
+    def _segment(self, counts: DataFrame, scanned: int | None = None) -> dict:
+        """A segment of counts, whose scans read so many bytes in a task."""
         name = uuid.uuid4().hex
         base = f"{self.path}/segments/{name}"
         # Blocks are cut within partitions, where documents stand by length; nothing is moved for them.
-        placed = counts.sortWithinPartitions("dl", "id").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
-        placed.write.option("compression", "zstd").parquet(f"{base}/docs")
+        placed = counts.sortWithinPartitions("dl", "id").withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.floor(F.col("place") / BLOCK))
+        with _scans(self.spark, scanned) if scanned else nullcontext():
+            placed.write.option("compression", "zstd").parquet(f"{base}/docs")
         docs = self.spark.read.parquet(f"{base}/docs")
         n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         buckets, salts = min(BUCKETS, 1 + total // BUCKET), 1 + n // SALTED
-        lists = block_lists(docs).withColumns({"bucket": bucket_of(F.col("term"), buckets), "salt": F.pmod(F.xxhash64("block"), F.lit(salts))})
-        # Lists of numbers are moved; they become documents where they are written.
-        moved = lists.repartition(min(2000, buckets * salts), "bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "block")
-        zipped = F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")).alias("docs")
-        sums = F.size("ids").cast("long").alias("n"), F.array_max("tfs").alias("most_tf"), F.array_min("dls").alias("least_dl")
-        with _file_by_file(self.spark):  # a task's lists take many times the bytes of its files
-            moved.select("term", "block", zipped, *sums, "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
+        moved = dealt_lists(docs, buckets, salts, 1 + total // LISTED).sortWithinPartitions("bucket", "term", "block")
+        with _scans(self.spark):  # a task's lists take many times the bytes of its files
+            moved.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
         lists = self.spark.read.parquet(f"{base}/postings") if n and total else self.spark.createDataFrame([], "bucket int, term string, n long")
-        lists.groupBy("bucket", "term").agg(F.sum("n").alias("df")).write.parquet(f"{base}/terms")
+        lists.select("bucket", "term", "n").mapInArrow(_summed, "bucket int, term string, df long").write.option("compression", "zstd").parquet(f"{base}/terms")
         return {"kind": "segment", "name": name, "segment": name, "buckets": buckets, "n": n, "total": total}
 
     def _gone(self, ids: DataFrame) -> list[dict]:
@@ -236,15 +333,28 @@ class Segments:
             return []
         name = uuid.uuid4().hex
         base = f"{self.path}/gone/{name}"
-        live, few = self._live(), ids.limit(SENT + 1).count() <= SENT
-        # Rows have all their terms: few ids are sent to them, for more they are dealt like those of a new segment.
-        live = live if few else live.repartition(1 + sum(r["total"] for r in self.segments) // TOKENS, "id")
+        live, few = self._live().select("segment", "place", "id", "dl"), ids.limit(SENT + 1).count() <= SENT
+        # Ids are looked for without the documents' terms: few are sent to all tasks, for more both sides are dealt.
+        live = live if few else live.repartition(1 + sum(r["n"] for r in self.segments) // DEALT, "id")
         live.join(F.broadcast(ids) if few else ids, "id", "left_semi").write.option("compression", "zstd").parquet(f"{base}/docs")
         lost = self.spark.read.parquet(f"{base}/docs")
-        lost.select("segment", F.explode("terms.term").alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df")).write.parquet(f"{base}/terms")
         sums = lost.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()  # one for each segment
+        if not sums:
+            return []
+        found = self._marked(self._docs([r["segment"] for r in sums]), lost, sum(r["n"] for r in sums)).where("marked")
+        found.select("segment", F.explode("terms.term").alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df")).write.option("compression", "zstd").parquet(f"{base}/terms")
         return [{"kind": "gone", "name": name, "segment": r["segment"], "buckets": 0, "n": r["n"], "total": r["total"]} for r in sums]
 
+    def _marked(self, docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+        """docs with marked: whether they stand at one of the n places (segment, place). A place is a bit of a word of 64,
+        so that words are few; where they are not, documents are shuffled to them."""
+        bits = F.bit_or(F.expr("shiftleft(1L, int(place % 64))")).alias("bits")
+        words = places.groupBy("segment", F.shiftright("place", 6).alias("word")).agg(bits)
+        least = sum(r["n"] // 64 + r["total"] // TOKENS + 1 for r in self.segments)
+        words = F.broadcast(words) if min(n, least) <= SENT else words
+        held = docs.withColumn("word", F.shiftright("place", 6)).join(words, ["segment", "word"], "left")
+        return held.withColumn("marked", F.getbit(F.coalesce("bits", F.lit(0).cast("long")), F.expr("int(place % 64)")) == 1).drop("word", "bits")
+
     def _publish(self, rows: list) -> Segments:
         """The next version; it holds once its one file is there."""
         version = Segments.open(self.spark, self.path).version + 1
@@ -254,16 +364,18 @@ class Segments:
 
     # ---- what it holds ----------------------------------------------------------------------------------------------
 
-    def _read(self, table: str, names: list[str] | None = None, buckets: dict[str, list[int]] | None = None) -> DataFrame | None:
-        """A table of some segments, with the segment's name; of some buckets of each."""
-        rows = [r for r in self.segments if (names is None or r["name"] in names) and (table == "docs" or r["total"])]
+    def _read(self, table: str, buckets: dict[str, list[int]] | None = None) -> DataFrame | None:
+        """Postings or terms of all segments, with the segment's name; of some buckets of each."""
+        rows = [r for r in self.segments if r["total"]]
         parts = [self.spark.read.parquet(f"{self.path}/segments/{r['name']}/{table}").withColumn("segment", F.lit(r["name"])) for r in rows]
         if buckets is not None:
             parts = [p.where(F.col("bucket").isin(buckets[r["name"]])) for r, p in zip(rows, parts)]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _docs(self, names: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/segments/{n}/docs" for n in names))
+        """Documents of some segments, with the segment's name; one scan, which packs small files of all of them together."""
+        docs = self.spark.read.parquet(*(f"{self.path}/segments/{n}/docs" for n in names))
+        return docs.withColumn("segment", F.regexp_extract("_metadata.file_path", "/segments/([^/]+)/docs/", 1))
 
     def _notes(self, table: str) -> DataFrame | None:
         """Notes on segments that are there."""
@@ -278,7 +390,11 @@ class Segments:
         return rows if notes is None else rows.join(notes.select("segment", "id"), ["segment", "id"], "left_anti")
 
     def _live(self, names: list[str] | None = None) -> DataFrame:
-        return self._without_gone(self._read("docs", names))
+        """Documents of some segments, or all of them, that are not gone, with the segment's name."""
+        docs, notes = self._docs(names or [r["name"] for r in self.segments]), self._notes("docs")
+        if notes is None:
+            return docs
+        return self._marked(docs, notes, sum(r["n"] for r in self.rows if r["kind"] == "gone")).where("NOT marked").drop("marked")
 
     def documents(self, names: list[str] | None = None) -> DataFrame:
         """id, dl and terms of the documents that are there."""
