@@ -36,6 +36,8 @@ from sievework.session import materialize
 BLOCK, BUCKET, BUCKETS, SALTED, CHARS, TOKENS = 128, 250_000, 4096, 1_000_000, 8 << 20, 1_500_000
 #: Tokens of a task that writes lists, documents of a task that looks for ids, bytes of a merged segment's documents in a task.
 LISTED, DEALT, SCANNED = 500_000, 1_000_000, 4 << 20
+#: Lists that Spark is given at a time.
+ROWS = 10_000
 #: Segments from which an upsert merges the smaller half, question terms that are named to the scan, blocks scored first.
 SEGMENTS, NAMED, FIRST = 10, 2000, 16
 #: Ids of gone documents, or words of 64 marks at their places, that are sent to every task at most.
@@ -166,8 +168,9 @@ def _numbers(planes: bytes, kind: type) -> np.ndarray:
 
 
 def dealt_lists(docs: DataFrame, buckets: int, salts: int, tasks: int) -> DataFrame:
-    """term, block, docs (id, tf, dl in the order of ids), n, most_tf, least_dl, bucket: the lists of blocks, dealt by
-    salt and bucket to about that many tasks. What a task sends to another is one row of bytes."""
+    """term, block, docs (id, tf, dl in the order of ids), n, most_tf, least_dl, df, bucket: the lists of blocks, dealt by
+    salt and bucket to about that many tasks, in the order of buckets, terms and blocks. What a task sends to another is
+    one row of bytes. The first of a term's lists in a task has the df of them all, the others have none."""
     groups = min(buckets, -(-tasks // salts))  # of buckets that go together
     kind = docs.select("id").limit(0).toArrow().schema.field("id").type
     number = kind.to_pandas_dtype() if pa.types.is_integer(kind) else None
@@ -194,31 +197,37 @@ def dealt_lists(docs: DataFrame, buckets: int, salts: int, tasks: int) -> DataFr
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part[low]], pa.int32()), "size": pa.array([data.size]), "packed": [pa.compress(data, codec="zstd", asbytes=True)]})
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for size, packed in zip(batch.column("size").to_pylist(), batch.column("packed").to_pylist()):
-                row = pa.ipc.read_record_batch(pa.decompress(packed, decompressed_size=size, codec="zstd"), sent)
-                of = lambda c, kind=np.int32: _numbers(row.column(c)[0].as_py(), kind)  # noqa: B023, E731
-                n, tf, dl, lists = of("n"), of("tf"), of("dl"), of("lists")
-                starts = np.r_[0, np.cumsum(n)]
-                word = np.repeat(np.arange(len(lists)), lists)
-                ids = pa.array(of("id", number), kind) if number else row.column("id").flatten()
-                held = pa.StructArray.from_arrays([ids, pa.array(tf), pa.array(dl)], ["id", "tf", "dl"])
-                yield pa.RecordBatch.from_arrays(
-                    [row.column("term").flatten().take(pa.array(word)), pa.array(of("block", np.int64)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), held), pa.array(n, pa.int64()), pa.array(np.maximum.reduceat(tf, starts[:-1])), pa.array(np.minimum.reduceat(dl, starts[:-1])), pa.array(of("bucket")[word])],
-                    ["term", "block", "docs", "n", "most_tf", "least_dl", "bucket"],
-                )
+        every = [
+            pa.ipc.read_record_batch(pa.decompress(packed, decompressed_size=size, codec="zstd"), sent)
+            for batch in batches
+            for size, packed in zip(batch.column("size").to_pylist(), batch.column("packed").to_pylist())
+        ]
+        if not every:
+            return
+        of = lambda c, kind=np.int32: np.concatenate([_numbers(row.column(c)[0].as_py(), kind) for row in every])
+        words, word = _numbered(pa.concat_arrays([row.column("term").flatten() for row in every]))
+        each, n = of("lists"), of("n")
+        word, bucket, block = np.repeat(word, each), np.repeat(of("bucket"), each), of("block", np.int64)
+        order = np.lexsort((block, word, bucket))
+        starts = np.cumsum(n) - n
+        word, bucket, block, n, starts = word[order], bucket[order], block[order], n[order], starts[order]
+        ends = np.r_[0, np.cumsum(n)]
+        posting = np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])
+        tf, dl = of("tf")[posting], of("dl")[posting]
+        ids = pa.array(of("id", number)[posting], kind) if number else pa.concat_arrays([row.column("id").flatten() for row in every]).take(pa.array(posting))
+        heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        df, rest = np.zeros(len(n), np.int64), np.ones(len(n), bool)
+        df[heads], rest[heads] = np.add.reduceat(n, heads, dtype=np.int64), False
+        held = pa.StructArray.from_arrays([ids, pa.array(tf), pa.array(dl)], ["id", "tf", "dl"])
+        lists = [words.take(pa.array(word)), pa.array(block), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)]
+        sums = pa.array(n, pa.int64()), pa.array(np.maximum.reduceat(tf, ends[:-1])), pa.array(np.minimum.reduceat(dl, ends[:-1])), pa.array(df, mask=rest), pa.array(bucket)
+        told = pa.RecordBatch.from_arrays([*lists, *sums], ["term", "block", "docs", "n", "most_tf", "least_dl", "df", "bucket"])
+        yield from (told.slice(i, ROWS) for i in range(0, len(told), ROWS))
 
     rows = docs.select("id", "dl", "block", "terms", F.transform("terms.term", lambda t: bucket_of(t, buckets)).alias("buckets"))
     moved = rows.mapInArrow(pack, "part int, size long, packed binary").repartitionById(groups * salts, "part")
     told = f"array<struct<id: {docs.schema['id'].dataType.simpleString()}, tf: int, dl: int>>"
-    return moved.mapInArrow(unpack, f"term string, block long, docs {told}, n long, most_tf int, least_dl int, bucket int")
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """df of the terms of each batch."""
-    for batch in batches:
-        sums = pa.Table.from_batches([batch]).group_by(["bucket", "term"]).aggregate([("n", "sum")])
-        yield from sums.rename_columns({"n_sum": "df"}).select(["bucket", "term", "df"]).combine_chunks().to_batches()
+    return moved.mapInArrow(unpack, f"term string, block long, docs {told}, n long, most_tf int, least_dl int, df long, bucket int")
 
 
 @contextmanager
@@ -323,8 +332,8 @@ class Segments:
         moved = dealt_lists(docs, buckets, salts, 1 + total // LISTED).sortWithinPartitions("bucket", "term", "block")
         with _scans(self.spark):  # a task's lists take many times the bytes of its files
             moved.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{base}/postings")
-        lists = self.spark.read.parquet(f"{base}/postings") if n and total else self.spark.createDataFrame([], "bucket int, term string, n long")
-        lists.select("bucket", "term", "n").mapInArrow(_summed, "bucket int, term string, df long").write.option("compression", "zstd").parquet(f"{base}/terms")
+        lists = self.spark.read.parquet(f"{base}/postings") if n and total else self.spark.createDataFrame([], "bucket int, term string, df long")
+        lists.where("df IS NOT NULL").select("bucket", "term", "df").write.option("compression", "zstd").parquet(f"{base}/terms")
         return {"kind": "segment", "name": name, "segment": name, "buckets": buckets, "n": n, "total": total}
 
     def _gone(self, ids: DataFrame) -> list[dict]:

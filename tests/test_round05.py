@@ -95,4 +95,6 @@ def test_lists_are_moved_as_bytes_and_arrive_whole(spark, small, key):
             assert r["n"] == len(r["docs"]) and r["most_tf"] == max(d["tf"] for d in r["docs"]) and r["least_dl"] == min(d["dl"] for d in r["docs"]) and r["bucket"] == bucket[r["term"]]
             got[r["term"], r["block"]] += map(tuple, r["docs"])
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in held.items()}
+        first = lists.where("df IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")).collect()
+        assert {r["term"]: r["df"] for r in first} == Counter(w for c in counts(rows).values() for w in c) and lists.where("df IS NULL").count() > 0
     assert segments.dealt_lists(docs.where("false"), 1, 1, 1).isEmpty()
